@@ -140,3 +140,33 @@ def word_spans(raw: np.ndarray, at: np.ndarray, in_word: np.ndarray) -> tuple[np
     last[inner - 1] = is_word[inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return start, end, np.searchsorted(at, start, "right") - 1
+
+
+# ---- native text helpers ----
+
+
+def lower_ascii(text: Column) -> Column:
+    """Lower-cases A-Z and nothing else; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+NO_SPANS = "cast(array() as array<struct<start:bigint,end:bigint,hit:string>>)"
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches of a pattern: array of (start, end, hit), in code points, end exclusive.
+
+    What split() leaves between the matches gives their places.
+    """
+    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), hit.alias("hit")))
+
+    def step(state: Column, piece: Column) -> Column:
+        start = state["at"] + piece["gap"]
+        end = start + F.coalesce(F.length(piece["hit"]), F.lit(0))
+        found = F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("hit"))
+        return F.struct(end.alias("at"), F.when(piece["hit"].isNull(), state["found"]).otherwise(F.concat(state["found"], F.array(found))).alias("found"))
+
+    found = F.aggregate(pieces, F.struct(F.lit(0).cast("long").alias("at"), F.expr(NO_SPANS).alias("found")), step, lambda state: state["found"])
+    return F.when(text.rlike(pattern), found).otherwise(F.expr(NO_SPANS))
