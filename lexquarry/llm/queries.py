@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import bpe, chat, decontaminate, langid, quality, secrets
+from lexquarry.llm import bpe, chat, decontaminate, jaccard, langid, quality, secrets
 from lexquarry.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -126,6 +126,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(docs.select("doc_id", "text"), dictionaries).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -145,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op6_quality": op6_quality,
     "op7_langid": op7_langid,
+    "op8_jaccard": op8_jaccard,
     "op9_secrets": op9_secrets,
 }
 
