@@ -8,12 +8,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import bpe, chat, decontaminate, jaccard, langid, quality, secrets
+from lexquarry.llm import bpe, chat, decontaminate, jaccard, langid, neardup, quality, secrets
 from lexquarry.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of equal label; components by repeated minima over links.
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT u, v FROM links UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u
+), low AS (
+  SELECT u, min(v) AS low FROM reach GROUP BY u
+), n AS (
+  SELECT u, count(*) AS n FROM links GROUP BY u
+)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(low.low, vec_id)) AS component_id, vec_id <= coalesce(low.low, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN low ON low.u = vec_id
+"""
+
 OWN_CONVERSATION = """
 SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text
 UNION ALL SELECT -1L, 1L, 'assistant', '</s>[INST] ok [/INST]'
@@ -144,6 +167,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neardup": op1_neardup,
     "op2_chat": op2_chat,
     "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
@@ -154,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_neardup": OP1_SQL,
     "op2_chat": OP2_SQL,
     "op3_decontamination": OP3_SQL,
 }
