@@ -109,13 +109,17 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 2**64)
 
 
+#: Powers by base, kept by a task.
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.ones(1, np.uint64)
-    step = base
+    out = _POWERS.get(base, np.ones(1, np.uint64))
     while len(out) < n:
-        out = np.concatenate([out, out * np.uint64(step)])
-        step = step * step % 2**64
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 2**64))])
+    if len(out) <= 1 << 23:
+        _POWERS[base] = out
     return out[:n]
 
 

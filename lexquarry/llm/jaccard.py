@@ -14,7 +14,6 @@ differ are compared with each other.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -43,7 +42,6 @@ def _collisions(size: int, segments: int, spare: int) -> float:
     return EMPTY_COST * segments * too_many + NARROW_COST * segments * (1 + mean) * np.exp(-mean)
 
 
-@functools.cache
 def bands(percent: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lowest size, largest difference H, number of segments and whether deletions are indexed, for each band up to size top."""
     low, far, segments, deletions = [], [], [], []

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import bpe, chat, decontaminate, jaccard, langid, neardup, quality, secrets
+from lexquarry.llm import bpe, chat, decontaminate, jaccard, langid, neardup, quality, repeats, secrets
 from lexquarry.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -137,6 +137,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> Dat
     )
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return cut.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -171,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
+    "op5_repeats": op5_repeats,
     "op6_quality": op6_quality,
     "op7_langid": op7_langid,
     "op8_jaccard": op8_jaccard,
