@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import bpe, common, quality
+from lexquarry.llm import bpe, common, decontaminate, jaccard, quality, secrets
 from lexquarry.llm.queries import TOKENIZER
 
 
@@ -16,14 +16,29 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("__predicted") == 1).drop("__score", "__predicted")
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group that links of 90 % or more shingles in common make."""
+    return jaccard.keep_one(docs)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of ten words of a benchmark item."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts replaced by a mark."""
+    return secrets.redacted(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids and the text that the ids decode to."""
     return bpe.encode_documents(docs, TOKENIZER)
 
 
-STAGES = [("quality", keep_good), ("bpe", encode)]
+STAGES = [("quality", keep_good), ("jaccard", keep_one), ("decontamination", keep_clean), ("secrets", redact), ("bpe", encode)]
 
-#: The classifier and the encoder are beyond SQL; tests/llm holds the stages against brute force.
+#: SQL can express neither the classifier nor the encoder; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -8,8 +8,8 @@ a band either has H + 1 + SPARE exact segments, of which a set with at most SPAR
 or H // 2 + 1 segments with one-deletion neighbourhoods (some segment then differs in one token at most).
 
 Sets with a segment in common are verified exactly. Groups that share a segment are not expanded into
-pairs: all members are compared with the group's smallest set, and then only members whose components still
-differ are compared with each other.
+pairs: all members are compared with the group's smallest set. Groups whose members are then still in different
+components are chained to clusters, and the sets of a cluster are compared inside tasks, block by block.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from lexquarry.llm import common as C
 SHINGLE, SLICE_BYTES, SPARE = 3, 1_000_000, 2
 #: What a set that must index empty segments, and a segment of one token or none, cost in signatures.
 EMPTY_COST, NARROW_COST = 10_000, 100
+#: Sets and bytes of sets of one block of a cluster; cells of an incidence matrix.
+BLOCK_SETS, BLOCK_BYTES, CELLS = 1000, 8_000_000, 10_000_000
 BY_BYTE = C.fixed_random(256, 8)
 IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LOWER = np.arange(256, dtype=np.uint8)
@@ -186,15 +188,78 @@ def links(docs: DataFrame, made: DataFrame, percent: int, size: int = SHINGLE) -
     texts = docs.select("doc_id", "text").join(C.small_or_not(wanted), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))).select("node", "text")
     tokens = C.stored(contents(texts, size).dropDuplicates(["node"]), "tokens")
     found = C.stored(verified(stars, tokens, percent), "links")
-    # Members of a group that are still in different components.
+    # Groups whose members are still in different components, and the clusters that such groups chain together.
     part = C.components(found)
-    placed = shared.join(part, "node", "left").select("sig", "node", "n", F.coalesce("component_id", "node").alias("part"), F.col("low.node").alias("low"))
+    placed = shared.join(part, "node", "left").select("sig", "node", F.coalesce("component_id", "node").alias("part"), F.col("low.node").alias("low"))
     mixed = placed.groupBy("sig").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("sig")
-    open_ = C.stored(placed.join(mixed, "sig"), "open")
-    other = open_.select("sig", F.col("node").alias("v"), F.col("n").alias("m"), F.col("part").alias("other"), "low")
-    rest = open_.drop("low").join(other, "sig").where((F.col("part") < F.col("other")) & fits(F.col("n"), F.col("m")) & (F.col("node") != F.col("low")) & (F.col("v") != F.col("low")))
-    rest = rest.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
-    return found.union(verified(rest, tokens, percent))
+    open_ = C.stored(placed.join(mixed, "sig").select("node", "part", "low").distinct(), "open")
+    cluster = C.components(open_.select(F.col("low").alias("u"), F.col("node").alias("v")))
+    members = open_.select("node", "part").distinct().join(cluster.withColumnRenamed("component_id", "cluster"), "node").join(tokens, "node")
+    return found.union(compared(C.stored(members, "members"), percent))
+
+
+def _linked(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets in different components (and on different sides, if given) that reach the threshold.
+
+    Sizes of intersections are the product of the sets' incidence matrix with itself, over tokens in two sets at least.
+    """
+    size = np.array([len(x) for x in sets])
+    token, code, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    dense = np.cumsum(many > 1) - 1
+    keep = many[code] > 1
+    row, column = row[keep], dense[code[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    step = max(64, CELLS // len(sets))
+    width = int((many > 1).sum())
+    for first in range(0, width, step):
+        i, j = np.searchsorted(column, [first, first + step])
+        matrix = np.zeros((len(sets), min(step, width - first)), np.float32)
+        matrix[row[i:j], column[i:j] - first] = 1
+        both += matrix @ matrix.T
+    fits = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    fits &= part[:, None] != part[None, :]
+    if side is not None:
+        fits &= side[:, None] != side[None, :]
+    return np.nonzero(np.triu(fits, 1))
+
+
+def compared(members: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between members (node, part, cluster, tokens) of a cluster whose parts differ.
+
+    Clusters are compared inside tasks and no pairs are written but links. A cluster beyond BLOCK_SETS sets or
+    BLOCK_BYTES is cut into blocks, and each pair of blocks is a task's work of its own.
+    """
+    size = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum(F.length("tokens")).alias("bytes"))
+    size = C.stored(size.select("cluster", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), "bytes"), "sizes")
+    total = size.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0
+    dealt = members.join(C.small_or_not(size.select("cluster", "blocks")), "cluster").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", "node", "part", "tokens", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def checked(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        cluster, node, part, own, lo, hi = (group.column(c).to_numpy() for c in ("cluster", "node", "part", "own", "lo", "hi"))
+        tokens = group.column("tokens").combine_chunks()
+        order = np.lexsort((node, hi, lo, cluster))
+        new = np.r_[True, (cluster[order][1:] != cluster[order][:-1]) | (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])]
+        first = np.flatnonzero(new)
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in zip(first, np.r_[first[1:], len(order)], strict=True):
+            rows = order[i:j]
+            side = own[rows] if lo[rows[0]] != hi[rows[0]] else None
+            a, b = _linked([np.frombuffer(tokens[int(r)].as_buffer(), np.uint64) for r in rows], part[rows], side, percent)
+            # One link for each pair of components is enough.
+            pairs = np.column_stack([part[rows[a]], part[rows[b]]])
+            one = np.unique(np.sort(pairs, axis=1), axis=0, return_index=True)[1] if len(a) else a
+            u.append(node[rows[a[one]]])
+            v.append(node[rows[b[one]]])
+        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+    key = F.pmod(F.xxhash64("cluster", "lo", "hi"), F.lit(max(1, total // BLOCK_BYTES)))
+    return dealt.groupBy(key.alias("key")).applyInArrow(checked, "u bigint, v bigint")
 
 
 def join(docs: DataFrame, percent: int = 90, size: int = SHINGLE) -> DataFrame:

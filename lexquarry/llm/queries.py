@@ -159,6 +159,27 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS t(i) WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both_have FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT u, v FROM p JOIN n AS x ON x.doc_id = u JOIN n AS y ON y.doc_id = v WHERE 100 * both_have >= 90 * (x.n + y.n - both_have)
+), reach AS (
+  SELECT u, v FROM links UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u
+), low AS (
+  SELECT u, min(v) AS low FROM reach GROUP BY u
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON u = doc_id
+"""
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -188,4 +209,5 @@ SQL: dict[str, str] = {
     "op1_neardup": OP1_SQL,
     "op2_chat": OP2_SQL,
     "op3_decontamination": OP3_SQL,
+    "op8_jaccard": OP8_SQL,
 }

@@ -172,3 +172,17 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     whole = F.aggregate(spans, start, step, lambda st: F.concat(st["out"], F.substring(text, (st["at"] + 1).cast("int"), F.length(text))))
     return F.when(F.size(spans) == 0, text).otherwise(whole)
+
+
+def redacted(docs: DataFrame, q: float = 0.01, mark: str = "[SECRET]") -> DataFrame:
+    """docs, all rows and columns, with secrets in text replaced by a mark; n_chars, where there is one, follows the text.
+
+    The threshold is taken over all rows first; then each text is scanned again and rewritten.
+    """
+    mean_bits, lowest = threshold(inspect(docs.select("text")).select("__candidates"), q)
+    found = decide(inspect(docs), mean_bits, lowest)
+    hit = F.size("__spans") > 0
+    out = found.withColumn("text", redact(F.col("text"), F.col("__spans"), mark))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
