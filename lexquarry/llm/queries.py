@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import bpe, chat, decontaminate, jaccard, langid, neardup, quality, repeats, secrets
-from lexquarry.llm.common import held_out, table
+from lexquarry.llm import bpe, chat, counts, decontaminate, jaccard, langid, neardup, quality, repeats, secrets
+from lexquarry.llm.common import held_out, scratch, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -193,6 +193,25 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer version after inserts, revisions and the withdrawal of toxic documents."""
+    rollup = counts.Rollup(spark, scratch(spark, "counts"))
+    withdrawn = table(spark, sf_dir, "labels").where("toxic = 1")
+    return counts.maintained(rollup, table(spark, sf_dir, "documents"), withdrawn)
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+')) AS words, len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}+|[^\x09-\x0D\x20\p{L}\p{N}]')) AS pieces
+  FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+), t AS (
+  SELECT source, lang, 'words/1' AS version, count(*) AS docs, CAST(sum(words) AS BIGINT) AS tokens FROM d GROUP BY source, lang
+  UNION ALL SELECT source, lang, 'pieces/1', count(*), CAST(sum(pieces) AS BIGINT) FROM d GROUP BY source, lang
+)
+SELECT * FROM t WHERE docs <> 0 OR tokens <> 0
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_chat": op2_chat,
@@ -203,6 +222,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_langid": op7_langid,
     "op8_jaccard": op8_jaccard,
     "op9_secrets": op9_secrets,
+    "op10_counts": op10_counts,
 }
 
 SQL: dict[str, str] = {
@@ -210,4 +230,5 @@ SQL: dict[str, str] = {
     "op2_chat": OP2_SQL,
     "op3_decontamination": OP3_SQL,
     "op8_jaccard": OP8_SQL,
+    "op10_counts": OP10_SQL,
 }
