@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexquarry.plans import corpus, retrieval
+from lexquarry.plans import cleaning, corpus, retrieval
 
-_PARTS = (retrieval, corpus)
+_PARTS = (retrieval, corpus, cleaning)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
