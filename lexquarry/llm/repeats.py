@@ -104,22 +104,26 @@ def _gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return raw.take(at)
 
 
-def _span_rows(ids: np.ndarray, known: np.ndarray, th: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """SPANS columns: one row for each document row that has spans."""
-    order = np.lexsort((start, row))
-    row, pairs = row[order], np.column_stack([start[order], end[order]]).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
-    last = np.r_[first[1:], len(row)][: len(first)]
-    of = row[first]
-    return pa.array(ids[of], pa.int64(), mask=~known[of]), pa.array(th[of], pa.int64()), pa.array([pairs[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary())
+def _slots(ids: np.ndarray, th: np.ndarray, slots: int) -> np.ndarray:
+    """The slot of each document; copies of one text are dealt to different slots."""
+    return (C.mixed(C.mixed(ids.view(np.uint64)) + th.view(np.uint64)) % np.uint64(slots)).astype(np.int64)
+
+
+def _packed(ids: np.ndarray, known: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray, slots: int) -> tuple[np.ndarray, list[bytes]]:
+    """(slot, spans of all its documents in one binary) of spans, for each slot that has some."""
+    slot = _slots(ids, th, slots)
+    order = np.argsort(slot, kind="stable")
+    rows = np.column_stack([ids, known, th, start, end]).astype(np.int64)[order]
+    used, first = np.unique(slot[order], return_index=True)
+    return used, [rows[i:j].tobytes() for i, j in zip(first, np.r_[first[1:], len(rows)][: len(first)], strict=True)]
 
 
 def deal(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (bucket, doc_id, th, spans, passages, places): passages dealt to buckets, and spans that a batch settles by itself."""
+    """Rows (bucket, spans, passages, places): passages dealt to buckets, and spans that a batch settles by itself (by slot)."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        names = ["bucket", "doc_id", "th", "spans", "passages", "places"]
+        names = ["bucket", "spans", "passages", "places"]
         for b in batches:
             raw, at = C.flat(b.column("text"))
             known = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
@@ -131,10 +135,10 @@ def deal(docs: DataFrame, buckets: int) -> DataFrame:
             least = ids[row[order]][np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else np.zeros(0, np.int64)
             later = ids[row[order]] > least
             gone, order = order[later], np.sort(order[~later])
-            i, t, s = _span_rows(ids, known, th, row[gone], start[gone] - at[row[gone]], start[gone] + count[gone] + LENGTH - 1 - at[row[gone]])
-            if len(i):
-                own = pa.array((t.to_numpy().view(np.uint64) % np.uint64(buckets)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([own, i, t, s, pa.nulls(len(i), pa.binary()), pa.nulls(len(i), pa.binary())], names)
+            r = row[gone]
+            slot, spans = _packed(ids[r], known[r], th[r], start[gone] - at[r], start[gone] + count[gone] + LENGTH - 1 - at[r], buckets)
+            if len(slot):
+                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(spans, pa.binary()), pa.nulls(len(slot), pa.binary()), pa.nulls(len(slot), pa.binary())], names)
             bucket = (h[order] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             order, bucket = order[by], bucket[by]
@@ -144,9 +148,9 @@ def deal(docs: DataFrame, buckets: int) -> DataFrame:
                 size = count[o] + LENGTH - 1
                 used, of = np.unique(row[o], return_inverse=True)
                 places = [np.array([len(o), len(used)], np.int64), ids[used], known[used].astype(np.int64), th[used], start[o] - at[row[o]], of.astype(np.int32), size.astype(np.uint8), (place[o] - start[o]).astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([squeeze(_gather(raw, start[o], size).tobytes())], pa.binary()), pa.array([squeeze(b"".join(x.tobytes() for x in places))], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.nulls(1, pa.binary()), pa.array([squeeze(_gather(raw, start[o], size).tobytes())], pa.binary()), pa.array([squeeze(b"".join(x.tobytes() for x in places))], pa.binary())], names)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(dealt, "bucket int, doc_id bigint, th bigint, spans binary, passages binary, places binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(dealt, "bucket int, spans binary, passages binary, places binary")
 
 
 def _opened(places: bytes) -> list[np.ndarray]:
@@ -290,12 +294,12 @@ def _removed(data, begin, size, name, h, doc, pick) -> tuple[np.ndarray, np.ndar
     return np.r_[whole, pick[kept[index]]], np.r_[np.zeros(len(whole), np.int64), np.repeat(start, times)], np.r_[size[whole], np.repeat(end, times)]
 
 
-def settle(dealt: DataFrame) -> DataFrame:
-    """SPANS rows of all buckets; spans of a document may overlap."""
+def settle(dealt: DataFrame, slots: int) -> DataFrame:
+    """Rows (slot, spans) of all buckets: spans of all a slot's documents that one bucket or batch has found."""
 
     def settled(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        done = group.filter(pc.is_valid(group.column("spans"))).select(["doc_id", "th", "spans"])
+        done = group.filter(pc.is_valid(group.column("spans"))).select(["bucket", "spans"]).rename_columns(["slot", "spans"])
         blobs = group.filter(pc.is_valid(group.column("places")))
         open_ = zstandard.ZstdDecompressor().decompress
         parts = [_opened(open_(x.as_buffer())) for x in blobs.column("places")]
@@ -307,32 +311,37 @@ def settle(dealt: DataFrame) -> DataFrame:
         row = np.concatenate([p[4] + s for p, s in zip(parts, shift, strict=True)])
         size, place = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (5, 6))
         which, a, b = repeated(data, size, place, ids[row])
-        columns = _span_rows(ids, known.astype(bool), th, row[which], start[which] + a, start[which] + b)
-        return pa.concat_tables([done, pa.table(dict(zip(["doc_id", "th", "spans"], columns, strict=True)))])
+        r = row[which]
+        slot, spans = _packed(ids[r], known[r], th[r], start[which] + a, start[which] + b, slots)
+        return pa.concat_tables([done, pa.table({"slot": pa.array(slot, pa.int32()), "spans": pa.array(spans, pa.binary())})])
 
-    return dealt.groupBy("bucket").applyInArrow(settled, SPANS)
+    return dealt.groupBy("bucket").applyInArrow(settled, "slot int, spans binary")
 
 
-def merged(spans: list[bytes]) -> np.ndarray:
-    """Spans (start, end) sorted and joined where they overlap or touch."""
-    x = np.concatenate([np.frombuffer(s, np.int64).reshape(-1, 2) for s in spans])
-    x = x[np.argsort(x[:, 0], kind="stable")]
-    upto = np.maximum.accumulate(x[:, 1])
-    first = np.flatnonzero(np.r_[True, x[1:, 0] > upto[:-1]])
-    return np.column_stack([x[first, 0], upto[np.r_[first[1:], len(x)] - 1]])
+def merged(rows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """From rows (id, known, th, start, end) one row (id, known, th) for each document, and its spans sorted and joined where they overlap or touch."""
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    new = np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(1)]
+    # Documents are laid out one after the other, so that one running maximum serves all of them.
+    base = (np.cumsum(new) - 1) * (rows[:, 4].max() + 2)
+    start, upto = rows[:, 3] + base, np.maximum.accumulate(rows[:, 4] + base)
+    first = np.flatnonzero(np.r_[True, (start[1:] > upto[:-1]) | new[1:]])
+    pairs = np.column_stack([rows[first, 3], upto[np.r_[first[1:], len(rows)] - 1] - base[first]])
+    docs = np.flatnonzero(new[first])
+    return rows[first[docs], :3], [pairs[i:j].tobytes() for i, j in zip(docs, np.r_[docs[1:], len(first)], strict=True)]
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text) and spans (merged, as pairs of 64-bit integers) of documents with something to remove."""
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([merged(x.as_py()).tobytes() for x in b.column("all")], pa.binary())], ["doc_id", "th", "spans"])
+    def joined(group: pa.Table) -> pa.Table:
+        keys, spans = merged(np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 5) for x in group.column("spans")]))
+        return pa.table({"doc_id": pa.array(keys[:, 0], pa.int64(), mask=keys[:, 1] == 0), "th": pa.array(keys[:, 2], pa.int64()), "spans": pa.array(spans, pa.binary())})
 
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = settle(deal(docs, max(1, total * 7 // 2 // BUCKET)))
-    return found.groupBy("doc_id", "th").agg(F.collect_list("spans").alias("all")).mapInArrow(joined, SPANS)
+    buckets = max(1, total * 7 // 2 // BUCKET)
+    return settle(deal(docs, buckets), buckets).groupBy("slot").applyInArrow(joined, SPANS)
 
 
 def remove(docs: DataFrame) -> DataFrame:

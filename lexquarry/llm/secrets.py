@@ -144,13 +144,13 @@ def decide(inspected: DataFrame, mean_bits: float, lowest: int, alpha: float = 0
 
 
 def scan(docs: DataFrame, q: float = 0.01, keep_text: bool = False) -> DataFrame:
-    """docs' other columns than text with base and spans: arrays of (start, kind, end), kind an index of KINDS.
+    """docs' other columns than text with base and spans (replaced if docs has them): arrays of (start, kind, end), kind an index of KINDS.
 
     Places are code points of the whole text, end exclusive. Every row is scanned and kept, repeated
     rows too; null counts as empty; an empty table gives an empty table. The tested rows are stored once in the shared
     folder, without texts unless keep_text.
     """
-    inspected = inspect(docs)
+    inspected = inspect(docs.drop("base", "spans"))
     stored = C.stored(inspected if keep_text else inspected.drop("text"), "secrets")
     return decide(stored, *threshold(stored, q)).withColumnsRenamed({"__base": "base", "__spans": "spans"})
 
