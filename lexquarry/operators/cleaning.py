@@ -66,7 +66,8 @@ def without_running_lines(pages: DataFrame) -> DataFrame:
     headers, footers = running_lines(pages)
     e = edges(line_feeds(F.col("text")))
     split = pages.withColumns({"__lead": e["lead"], "__after": e["after"], "__first": strip(e["first"])})
-    headed = split.join(headers.withColumn("__h", F.lit(True)), (split["document_id"] == headers["document_id"]) & (F.col("__first") == F.col("header")), "left").drop(headers["document_id"]).drop("header")
+    tops = headers.select(F.col("document_id").alias("__hd"), F.col("header").alias("__top"))
+    headed = split.join(tops, (F.col("document_id") == F.col("__hd")) & (F.col("__first") == F.col("__top")), "left").withColumn("__h", F.col("__top").isNotNull())
     headed = headed.withColumn("header", F.when(F.col("__h"), F.col("__first"))).withColumn("text", F.when(F.col("__h"), F.concat("__lead", "__after")).otherwise(line_feeds(F.col("text"))))
     e = edges(F.col("text"))
     ended = headed.withColumns({"__body": e["body"], "__raw": e["last"], "__last": strip(e["last"])})
