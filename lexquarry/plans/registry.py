@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexquarry.plans import chunking, cleaning, corpus, retrieval
+from lexquarry.plans import chunking, cleaning, corpus, layout, retrieval
 
-_PARTS = (retrieval, corpus, cleaning, chunking)
+_PARTS = (retrieval, corpus, cleaning, chunking, layout)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
