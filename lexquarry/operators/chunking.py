@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.operators.quality import strip
+from lexquarry.functions.text import strip
 
 #: Budgets in tokens, and limits of heading detection.
 CHUNK_TOKENS, OVERLAP_TOKENS, TABLE_TOKENS, LEGACY_TOKENS, LEAST_BODY, ROW_TOKENS = 500, 50, 500, 600, 20, 480

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.operators.quality import strip
+from lexquarry.functions.text import strip
 
 #: Frequencies, patterns, words and suffixes.
 HEADER_PAGES, HEADER_FEW, HEADER_SHARE, FOOTER_PAGES, SHORTEST = 4, 3, 0.15, 4, 4

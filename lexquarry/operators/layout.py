@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexquarry.functions.text import strip
 from lexquarry.operators import quality as Q
 
 #: Limits of heading blocks.
@@ -16,7 +17,7 @@ ITEM = r"^([•\-*]|[0-9]+\.|\([a-z0-9]+\))\s+"
 def block_kind(text: Column) -> Column:
     """struct (kind, level) of a stripped block: heading (level 2 with a section number, else 3), list_item or paragraph."""
     lines = F.split(text, "\n")
-    first = Q.strip(F.get(lines, F.lit(0)))
+    first = strip(F.get(lines, F.lit(0)))
     section = first.rlike(SECTION)
     capitals = (F.upper(first) == first) & (F.lower(first) != first)
     short = (F.length(text) < SHORT_BLOCK) & (F.size(lines) <= 2)
@@ -31,7 +32,7 @@ def ordered_blocks(blocks: DataFrame) -> DataFrame:
     Blank blocks are left out but keep their number; the title is the last heading so far.
     """
     by_place = Window.partitionBy("page").orderBy("top", "left", "text")
-    numbered = blocks.withColumn("reading_order", F.row_number().over(by_place)).withColumn("text", Q.strip(F.col("text"))).where("text <> ''").withColumn("b", block_kind(F.col("text")))
+    numbered = blocks.withColumn("reading_order", F.row_number().over(by_place)).withColumn("text", strip(F.col("text"))).where("text <> ''").withColumn("b", block_kind(F.col("text")))
     so_far = Window.partitionBy("page").orderBy("reading_order").rowsBetween(Window.unboundedPreceding, 0)
     title = F.last(F.when(F.col("b.kind") == "heading", F.col("text")), True).over(so_far)
     return numbered.select("page", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_b"), F.col("reading_order").cast("string")).alias("block_id"), "reading_order", "b.kind", "b.level", "text", title.alias("section_title"))
@@ -59,7 +60,7 @@ def standalone_tables(page_text: Column, tables: Column) -> Column:
 
 def assessment(raw: Column, structured: Column, figures: Column, n_table_issues: Column) -> Column:
     """Warning categories of a page, in order; an empty page has no other."""
-    a, b = F.length(Q.strip(raw)), F.length(Q.strip(structured))
+    a, b = F.length(strip(raw)), F.length(strip(structured))
     apart = F.abs(a - b) / F.greatest(a, b)
     signs = Q.garbled(F.when(a > 0, raw).otherwise(structured))
     found = F.concat(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexquarry.functions.text import strip, words
+
 #: Thresholds.
 LOW_TEXT, OCR_TEXT, OCR_IMAGES = 100, 50, 1
 REPLACED, CONTROL, ALNUM, LONG_TOKEN, PART = 0.05, 0.03, 0.25, 60, 35
@@ -25,14 +27,6 @@ CATEGORIES = {
 OTHER_CATEGORY, EXCLUDED = "general_cybersecurity", ["annual report", "fiscal year"]
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
-
-
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
-
-
 def page_flags(text: Column, images: Column) -> Column:
     """struct of a page's figures and flags; reasons are listed in a fixed order."""
     body = strip(text)

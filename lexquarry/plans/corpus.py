@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexquarry.functions.text import strip
 from lexquarry.operators import quality as Q
 from lexquarry.sources.tables import pages, table
 
@@ -33,7 +34,7 @@ def doc_inventory_rollup(spark, sf):
 
 def corpus_summary(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.agg(F.count("*").alias("n_docs"), F.countDistinct("source").alias("n_sources"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"), F.countDistinct(F.sha2("text", 256)).alias("n_texts"), F.count_if(Q.strip(F.col("text")) == "").alias("n_empty"))
+    return docs.agg(F.count("*").alias("n_docs"), F.countDistinct("source").alias("n_sources"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"), F.countDistinct(F.sha2("text", 256)).alias("n_texts"), F.count_if(strip(F.col("text")) == "").alias("n_empty"))
 
 
 def category_rollup(spark, sf):

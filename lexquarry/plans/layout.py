@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexquarry.functions.text import strip
 from lexquarry.operators import layout as L
 from lexquarry.operators import quality as Q
 from lexquarry.operators import state as B
@@ -82,7 +83,7 @@ def inventory_cache(spark, sf):
     docs = table(spark, sf, "documents")
     cached = table(spark, sf, "labels").select("doc_id", (F.col("quality") * 1000).alias("cached")).groupBy("doc_id").agg(F.max("cached").alias("cached"))
     joined = docs.join(cached, "doc_id", "left")
-    return joined.select("doc_id", F.coalesce(F.col("cached"), F.length(Q.strip(F.col("text")))).cast("long").alias("text_length"), F.col("cached").isNotNull().alias("from_cache"))
+    return joined.select("doc_id", F.coalesce(F.col("cached"), F.length(strip(F.col("text")))).cast("long").alias("text_length"), F.col("cached").isNotNull().alias("from_cache"))
 
 
 def pending_documents(spark, sf):
