@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: BM25 parameters, fusion constant, depths.
 K1, B, EPSILON, RRF_K, DEPTH, FINAL = 1.5, 0.75, 0.25, 60, 20, 5
-#: Rows up to which the query side of a join is broadcast.
-SMALL = 200_000
+#: Rows up to which the query side of a join is broadcast; rows of a block of vectors and of one of query vectors.
+SMALL, VECTOR_BLOCK, QUERY_BLOCK = 200_000, 20_000, 2_000
 
 
 def tokens(text: Column) -> Column:
@@ -74,36 +72,39 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = DEPTH, hits: DataFrame |
     return top(hits.unionByName(zero), [F.round("score", 9).desc(), F.col("doc_id")], k)
 
 
+def _units(table: pa.Table, key: str, dims: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of length one of a table's rows; null and zero vectors are left out."""
+    rows = [(i, v) for i, v in zip(table.column(key).to_pylist(), table.column("embedding").to_pylist(), strict=True) if v is not None]
+    ids, x = np.array([i for i, _ in rows], np.int64), np.array([v[:dims] for _, v in rows], np.float64).reshape(len(rows), -1)
+    norm = np.linalg.norm(x, axis=1)
+    return ids[norm > 0], x[norm > 0] / norm[norm > 0, None]
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, dims: int | None = None) -> DataFrame:
     """query_id, vec_id, score (cosine), rank: the k nearest vectors of each query vector, without itself.
 
-    vectors (vec_id, embedding), queries (query_id, embedding): a stated query set of bounded size, which goes to every task as
-    one matrix. Each batch keeps its k best for each query, so k rows a batch are shuffled. Null and zero vectors are no hits.
+    vectors (vec_id, embedding), queries (query_id, embedding). Both sides are cut into blocks of bounded size, and each pair of
+    blocks is one matrix product that keeps k vectors for each query.
     """
-    asked = queries.where(F.col("embedding").isNotNull()).orderBy("query_id").select("query_id", "embedding").toPandas()
-    ids = asked["query_id"].to_numpy()
-    matrix = np.stack(asked["embedding"].to_numpy()).astype(np.float64)[:, :dims] if len(asked) else np.zeros((0, 1))
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            width = matrix.shape[1]
-            rows = [(i, v) for i, v in zip(b.column("vec_id").to_pylist(), b.column("embedding").to_pylist(), strict=True) if v is not None and len(v) >= width]
-            if not rows or not len(ids):
-                continue
-            vec = np.array([i for i, _ in rows])
-            x = np.array([v[:width] for _, v in rows], np.float64)
-            norm = np.linalg.norm(x, axis=1)
-            x, vec, norm = x[norm > 0], vec[norm > 0], norm[norm > 0]
-            near = np.round(matrix @ (x / norm[:, None]).T, 9)
-            near[ids[:, None] == vec[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(vec, near.shape), -near))[:, :k]
-            q = np.repeat(np.arange(len(ids)), order.shape[1])
-            score = near[q, order.ravel()]
-            keep = np.isfinite(score)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q][keep], pa.int64()), pa.array(vec[order.ravel()][keep], pa.int64()), pa.array(score[keep])], ["query_id", "vec_id", "score"])
-
-    found = vectors.select("vec_id", "embedding").mapInArrow(best, "query_id bigint, vec_id bigint, score double")
+    many_v, many_q = (max(1, -(-df.count() // rows)) for df, rows in ((vectors, VECTOR_BLOCK), (queries, QUERY_BLOCK)))
+
+    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, times: int) -> DataFrame:
+        return df.select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias(other))
+
+    def best(v: pa.Table, q: pa.Table) -> pa.Table:
+        vec, x = _units(v, "vec_id", dims)
+        ids, y = _units(q, "query_id", dims)
+        near = np.round(y @ x.T, 9) if len(vec) and len(ids) else np.zeros((len(ids), len(vec)))
+        near[ids[:, None] == vec[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(vec, near.shape), -near))[:, :k]
+        row = np.repeat(np.arange(len(ids)), order.shape[1])
+        score = near[row, order.ravel()]
+        keep = np.isfinite(score)
+        return pa.table({"query_id": pa.array(ids[row][keep], pa.int64()), "vec_id": pa.array(vec[order.ravel()][keep], pa.int64()), "score": pa.array(score[keep], pa.float64())})
+
+    left = dealt(vectors, "vec_id", "v", many_v, "q", many_q).groupBy("v", "q")
+    right = dealt(queries, "query_id", "q", many_q, "v", many_v).groupBy("v", "q")
+    found = left.cogroup(right).applyInArrow(best, "query_id bigint, vec_id bigint, score double")
     return top(found, [F.col("score").desc(), F.col("vec_id")], k)
 
 

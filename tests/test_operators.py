@@ -43,6 +43,21 @@ def test_bm25_fills_with_zeros_and_skips_blank_queries(spark):
     assert [(r.query_id, r.doc_id) for r in found] == [(1, 2), (1, 0), (1, 1)] and found[1].score == 0
 
 
+def test_dense_search_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(1).standard_normal((50, 8)).astype(np.float32)
+    rows = [(k, x[k].tolist()) for k in range(50)] + [(50, None), (51, [0.0] * 8)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    monkeypatch.setattr(S, "VECTOR_BLOCK", 7)
+    monkeypatch.setattr(S, "QUERY_BLOCK", 3)
+    found = S.dense(vectors, vectors.withColumnRenamed("vec_id", "query_id"), 4).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T - 3 * np.eye(50)
+    expected = {(q, r + 1, int(v)) for q in range(50) for r, v in enumerate(np.argsort(-near[q], kind="stable")[:4])}
+    assert {(r.query_id, r.rank, r.vec_id) for r in found} == expected
+
+
 def test_fusion_ties_keep_the_first_list(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id int, doc_id int, rank int")
     b = spark.createDataFrame([(1, 12, 1), (1, 11, 2)], "query_id int, doc_id int, rank int")
