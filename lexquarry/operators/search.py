@@ -75,7 +75,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = DEPTH, hits: DataFrame |
 def _units(table: pa.Table, key: str, dims: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of length one of a table's rows; null and zero vectors are left out."""
     rows = [(i, v) for i, v in zip(table.column(key).to_pylist(), table.column("embedding").to_pylist(), strict=True) if v is not None]
-    ids, x = np.array([i for i, _ in rows], np.int64), np.array([v[:dims] for _, v in rows], np.float64).reshape(len(rows), -1)
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros((0, 1))
+    ids, x = np.array([i for i, _ in rows], np.int64), np.array([v[:dims] for _, v in rows], np.float64)
     norm = np.linalg.norm(x, axis=1)
     return ids[norm > 0], x[norm > 0] / norm[norm > 0, None]
 
