@@ -15,14 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lexquarry.llm import common as C
 
 #: Words kept by a task before it starts its store anew.
-KEPT_WORDS = 250_000
-TEXT_BYTES = 4_000_000
+KEPT_WORDS = 150_000
+#: Text that is encoded at once.
+TEXT_BYTES = 1_000_000
 NO_RANK = np.iinfo(np.int64).max
-RESULT = "struct<ids:array<int>,decoded:string>"
 
 
 @functools.cache
@@ -178,35 +181,31 @@ class Encoder:
 
 
 
-def bpe(path: str, text: Column) -> Column:
-    """A column struct<ids, decoded> of a text column: token ids as the vocabulary's library gives them
-    without added special tokens, and the text that decoding those ids gives back.
+def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """docs (the columns keep of it; all by default) with ids (array<int>) and decoded (string) of the text column.
 
-    path is a vocabulary file on the driver; its content travels with the plan. Null and empty texts
-    have no ids and decode to an empty text. Texts are encoded whole, however long.
+    ids are what the vocabulary's library gives without added special tokens, decoded is what those ids decode to. path
+    is a vocabulary file on the driver; its content travels with the plan. Every row is kept, repeated rows too, and
+    encoded whole, however long; null and empty texts have no ids and decode to an empty text. Columns of the new names
+    are replaced. An empty table gives an empty table.
     """
     with open(path, encoding="utf-8") as f:
         spec = f.read()
     pattern, bmp_pattern = word_pattern(), word_pattern(0xFFFF)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in (ids, decoded)]
+    names = [f"c{i}" for i in range(len(kept))]
+    sent = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)], F.col(f"`{text}`").alias("t"))
+    schema = T.StructType([*(T.StructField(n, docs.schema[c].dataType) for c, n in zip(kept, names, strict=True)), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
-    @F.arrow_udf(RESULT)
-    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(spec, pattern, bmp_pattern)
-        for batch in batches:
-            out = []
-            rows = max(1, min(len(batch), TEXT_BYTES * len(batch) // max(batch.nbytes, 1)))
-            for i in range(0, len(batch), rows):
-                ids, at, decoded = encoder(batch.slice(i, rows).to_pylist())
-                out.append(pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())], ["ids", "decoded"]))
-            yield pa.concat_arrays(out) if out else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())]))
-
-    return encoded(text)
-
-
-def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """docs with the columns ids (array<int>) and decoded (string) for the text column.
-
-    Every row of docs is kept, repeated rows included; columns of those names are replaced. An empty
-    table gives an empty table.
-    """
-    return docs.withColumn("__bpe", bpe(path, F.col(text))).withColumn(ids, F.col("__bpe.ids")).withColumn(decoded, F.col("__bpe.decoded")).drop("__bpe")
+        for b in batches:
+            texts = b.column("t")
+            rows = max(1, TEXT_BYTES * len(texts) // max(texts.nbytes, 1))
+            for i in range(0, len(texts), rows):
+                found, at, plain = encoder(texts.slice(i, rows).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, rows) for n in names), lists, pa.array(plain, pa.string())], [*names, "ids", "decoded"])
+
+    out = C.small_batches(sent).mapInArrow(encoded, schema)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(kept, names, strict=True)], F.col("ids").alias(ids), F.col("decoded").alias(decoded))

@@ -272,7 +272,7 @@ def join(docs: DataFrame, percent: int = 90, size: int = SHINGLE) -> DataFrame:
     but do not name them. Other columns are not read. An empty table gives an empty table. Shingles and sets are told
     apart by 64-bit hashes.
     """
-    docs = docs.select("doc_id", "text")
+    docs = C.small_batches(docs.select("doc_id", "text"))
     made = C.stored(sets(docs, percent, size), "shingles")
     part = C.components(links(docs, made, percent, size))
     low = made.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))

@@ -95,5 +95,5 @@ def identify_documents(docs: DataFrame, dictionaries: dict[str, bytes], narrow:
     Every row is kept; columns of those names are replaced. Only the text enters a prediction. An empty
     table gives an empty table.
     """
-    found = docs.withColumn("__lang", identify(dictionaries, F.col(text)))
+    found = C.small_batches(docs).withColumn("__lang", identify(dictionaries, F.col(text)))
     return found.withColumn("lang_pred", F.col("__lang.lang")).withColumn("score", F.col("__lang.score")).withColumn("rejected", F.col("__lang.margin") < narrow).drop("__lang")

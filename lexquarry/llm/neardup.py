@@ -165,7 +165,7 @@ def near_duplicates(embeddings: DataFrame, hashing: Hashing = Hashing()) -> Data
     """
     element = embeddings.schema["embedding"].dataType.elementType
     kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
-    rows = _vectors(embeddings.select("vec_id", "label", "embedding"), kind).withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec")))
+    rows = _vectors(C.small_batches(embeddings).select("vec_id", "label", "embedding"), kind).withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec")))
     rows = C.stored(rows, "vectors")
     classes = C.stored(rows.where(F.col("vec").isNotNull()).groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("size"), F.min("vec_id").alias("low")), "classes")
     dealt = _bucketed(classes, hashing, kind)

@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
             x = of_texts(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__label"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))], ["doc_id", "label", "x"])
 
-    got = rows.mapInArrow(featured, "doc_id bigint, label int, x array<double>").limit(2 * max_rows).toPandas().sort_values("doc_id", kind="stable")
+    got = C.small_batches(rows).mapInArrow(featured, "doc_id bigint, label int, x array<double>").limit(2 * max_rows).toPandas().sort_values("doc_id", kind="stable")
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit(np.stack(got["x"].to_numpy()), got["label"].to_numpy(float))
@@ -222,4 +222,4 @@ def classify(docs: DataFrame, model: Additive, threshold: float = 0.7, text: str
     Every row is kept and scored on its own whole text, null and empty texts too. Nothing but the text
     enters a score. An empty table gives an empty table.
     """
-    return docs.withColumn(score_col, score(model, F.col(text))).withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
+    return C.small_batches(docs).withColumn(score_col, score(model, F.col(text))).withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))

@@ -128,7 +128,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
 
 def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode_documents(docs, tokenizer)
+    coded = bpe.encode_documents(docs, tokenizer, keep=["doc_id"])
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from lexquarry.llm import common as C
 
 LENGTH, K = 50, 12
-#: Bytes of text whose hashes are held at once, passages (bytes) of a bucket, and text of one transform.
-PIECE, BUCKET, TRANSFORM = 2_000_000, 24_000_000, 2_000_000
+#: Bytes of text whose hashes are held at once, text of one batch of documents, passages of a bucket, and text of one transform.
+PIECE, GATHERED, BUCKET, TRANSFORM = 2_000_000, 16_000_000, 24_000_000, 2_000_000
 #: Ends a passage; no byte of UTF-8 is equal to it.
 STOP = 0xFF
 LAST = np.iinfo(np.int64).max
@@ -124,7 +124,7 @@ def deal(docs: DataFrame, buckets: int) -> DataFrame:
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         names = ["bucket", "spans", "passages", "places"]
-        for b in batches:
+        for b in C.gathered(batches, GATHERED):
             raw, at = C.flat(b.column("text"))
             known = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             ids = np.where(known, b.column("doc_id").fill_null(LAST).to_numpy(), LAST)
@@ -338,7 +338,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         keys, spans = merged(np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 5) for x in group.column("spans")]))
         return pa.table({"doc_id": pa.array(keys[:, 0], pa.int64(), mask=keys[:, 1] == 0), "th": pa.array(keys[:, 2], pa.int64()), "spans": pa.array(spans, pa.binary())})
 
-    docs = docs.select("doc_id", "text")
+    docs = C.small_batches(docs.select("doc_id", "text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, total * 7 // 2 // BUCKET)
     return settle(deal(docs, buckets), buckets).groupBy("slot").applyInArrow(joined, SPANS)
