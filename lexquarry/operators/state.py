@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 STATES = ["PENDING", "IN_PROGRESS", "SUCCESS", "FAILED"]
 
 
+#: Ranges of keys in which places are counted apart.
+RANGES = 64
+
+
 def batches(docs: DataFrame, sizes: list[int], order: str = "doc_id") -> DataFrame:
-    """docs with batch_no: runs of the given sizes in order, the last size again and again. Beyond them places are counted by range of the order, not in one task."""
-    ranged = docs.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    """docs with batch_no: runs of the given sizes in order of a numeric key, the last size again and again.
+
+    Places are counted in ranges of the key, so no task sorts all rows; at most RANGES bounds come from quantiles.
+    """
+    bounds = sorted({float(x) for x in docs.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], 0.005)})
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col(order))) if bounds else F.lit(0)
+    ranged = docs.withColumn("__part", part)
     counts = ranged.groupBy("__part").count()
-    before = counts.select(F.col("__part").alias("__p"), (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))  # one row a partition
+    before = counts.select(F.col("__part").alias("__p"), (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))  # RANGES rows at most
     placed = ranged.join(F.broadcast(before), F.col("__part") == F.col("__p")).withColumn("__at", F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1)
     upto = 0
     number = None
