@@ -1,8 +1,9 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary of training text. The letters of a text are
-compressed once with every dictionary, and the language whose dictionary gives the fewest bytes is chosen; the margin to
-the next one gives the score, and narrow margins are marked as rejected.
+compressed with every dictionary, and the language whose dictionary gives the fewest bytes is chosen; the margin to
+the next one gives the score, and narrow margins are marked as rejected. A dictionary is out of reach once a frame is
+longer than the window, so long texts are compressed in pieces, each a fresh frame, and the bytes of all pieces count.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from lexquarry.llm import common as C
 
 #: Bounds of the training sample: rows of each language, characters of a row, dictionary bytes of each language.
 ROWS_PER_LANG, ROW_CHARS, DICT_BYTES = 80, 20_000, 200_000
+#: Bytes of letters in a frame at most, well under the window of 2**WINDOW_LOG.
+WINDOW_LOG, PIECE_BYTES = 18, 1 << 16
 RESULT = "struct<lang:string,score:double,margin:double>"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -51,12 +54,16 @@ class Classifier:
         self.compressors = []
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            parameters = zstandard.ZstdCompressionParameters.from_level(level, window_log=18, write_content_size=False, write_checksum=False, write_dict_id=False)
+            parameters = zstandard.ZstdCompressionParameters.from_level(level, window_log=WINDOW_LOG, write_content_size=False, write_checksum=False, write_dict_id=False)
             d.precompute_compress(compression_params=parameters)
             self.compressors.append(zstandard.ZstdCompressor(dict_data=d, compression_params=parameters))
 
     def sizes(self, data: bytes) -> list[int]:
-        return [len(c.compress(data)) for c in self.compressors]
+        """Compressed bytes by language, summed over pieces of about equal length that together are all of data."""
+        n = max(1, -(-len(data) // PIECE_BYTES))
+        step = max(1, -(-len(data) // n))
+        pieces = [data[k : k + step] for k in range(0, len(data), step)]
+        return [sum(len(c.compress(p)) for p in pieces) for c in self.compressors]
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         letters = plain(text) if text and self.langs else b""

@@ -304,5 +304,16 @@ def test_languages_without_training(documents):
     assert langid.train(documents([])) == {} and langid.identify_documents(documents([]), {}).collect() == []
 
 
+def test_all_of_a_long_text_counts_for_its_language():
+    rng = random.Random(3)
+    a, b = ([" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(3)) for _ in range(5000)] for letters in ("abcdefgh", "efghijkl"))
+    prose = lambda parts, n: " ".join(rng.choice(parts) for _ in range(n // 18))
+    classify = langid.Classifier({"a": langid.plain(prose(a, 200_000)), "b": langid.plain(prose(b, 200_000))})
+    short, long = classify(prose(a, 60_000)), classify(prose(a, 4_000_000))
+    assert short[0] == long[0] == "a" and long[2] > short[2] / 2 and long[2] > 0.02
+    assert classify(prose(a, 300_000) + " " + prose(b, 2_000_000))[0] == "b"
+    assert classify(prose(b, 300_000) + " " + prose(a, 2_000_000))[0] == "a"
+
+
 def test_vocabularies_are_read_where_they_are():
     assert TOKENIZER == public_tokenizers.path("word_bpe_49k.json")
