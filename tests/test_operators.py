@@ -214,3 +214,16 @@ def test_streamed_memory_and_counts(spark, tmp_path):
     query = I.event_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))).writeStream.format("memory").queryName("counted").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [(r.n, r.total) for r in spark.table("counted").orderBy("start").collect()][0] == (1, 1.0)
+
+
+def test_chunks_hold_every_word_of_every_line(spark, tmp_path):
+    from lexquarry.plans import chunking
+
+    words = {k: [f"w{k}x{n}" for n in range(13 * 30)] for k in range(11)}
+    rows = [(k, "\n".join(" ".join(w[i : i + 30]) for i in range(0, len(w), 30))) for k, w in words.items()]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = {k: set() for k in words}
+    for r in chunking.chunks_packed(spark, str(tmp_path)).collect():
+        held[int(r.document_id)] |= set(r.text.split())
+    assert all(set(w) <= held[k] for k, w in words.items())
+    assert {r.document_id: r.n_oversize for r in chunking.chunk_audit(spark, str(tmp_path)).collect()} == {str(k): 0 for k in words}
