@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ SHORT_BLOCK, LONG_HEADING = 120, 160
 SECTION = r"(?i)^(SECTION|[0-9]+(\.[0-9]+)*|[A-Z]\.[0-9]+)\s+"
 ITEM = r"^([•\-*]|[0-9]+\.|\([a-z0-9]+\))\s+"
 
+DIGEST = pa.schema([("document_id", pa.string()), ("n_chars", pa.int64()), ("text_sha256", pa.string())])
+
 
 def block_kind(text: Column) -> Column:
     """struct (kind, level) of a stripped block: heading (level 2 with a section number, else 3), list_item or paragraph."""
@@ -45,9 +51,36 @@ def structured_text(blocks: DataFrame) -> DataFrame:
 
 
 def with_dividers(pages: DataFrame) -> DataFrame:
-    """document_id, text: pages (document_id, page_number, text) one after the other under dividers."""
+    """document_id, page_number, text: pages (document_id, page_number, text), each under its divider."""
     one = F.concat(F.lit("--- PAGE "), F.col("page_number").cast("string"), F.lit(" ---\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
-    return pages.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", one.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    return pages.select("document_id", "page_number", one.alias("text"))
+
+
+def digests(divided: DataFrame) -> DataFrame:
+    """document_id, n_chars, text_sha256 of each document's pages (document_id, page_number, text) joined by line feeds.
+
+    Pages stay rows: a task reads a document's pages in order and holds a batch of them and the running hash, never the whole text.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda *row: pa.RecordBatch.from_pydict(dict(zip(DIGEST.names, ([x] for x in row), strict=True)), DIGEST)
+        doc, n_chars, running = None, 0, None
+        for b in batches:
+            for d, n, text in zip(*(b.column(k) for k in range(3)), strict=True):
+                if running is not None and d.as_py() == doc:
+                    running.update(b"\n")
+                    n_chars += 1
+                else:
+                    if running is not None:
+                        yield out(doc, n_chars, running.hexdigest())
+                    doc, n_chars, running = d.as_py(), 0, hashlib.sha256()
+                running.update(text.as_buffer())
+                n_chars += n.as_py()
+        if running is not None:
+            yield out(doc, n_chars, running.hexdigest())
+
+    in_order = divided.repartition("document_id").sortWithinPartitions("document_id", "page_number", "text")
+    return in_order.select("document_id", F.length("text").cast("long").alias("n_chars"), F.col("text").cast("binary").alias("text")).mapInArrow(hashed, "document_id string, n_chars bigint, text_sha256 string")
 
 
 def standalone_tables(page_text: Column, tables: Column) -> Column:

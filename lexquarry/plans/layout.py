@@ -29,7 +29,7 @@ def structured_text(spark, sf):
 
 
 def raw_text_export(spark, sf):
-    return L.with_dividers(pages(table(spark, sf, "documents"))).select("document_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    return L.digests(L.with_dividers(pages(table(spark, sf, "documents"))))
 
 
 def standalone_tables(spark, sf):

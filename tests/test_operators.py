@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexquarry.operators import chunking as K
 from lexquarry.operators import cleaning as C
 from lexquarry.operators import context as X
+from lexquarry.operators import layout as L
 from lexquarry.operators import quality as Q
 from lexquarry.operators import search as S
 from lexquarry.operators import state as B
@@ -227,3 +228,14 @@ def test_chunks_hold_every_word_of_every_line(spark, tmp_path):
         held[int(r.document_id)] |= set(r.text.split())
     assert all(set(w) <= held[k] for k, w in words.items())
     assert {r.document_id: r.n_oversize for r in chunking.chunk_audit(spark, str(tmp_path)).collect()} == {str(k): 0 for k in words}
+
+
+def test_exports_keep_pages_as_rows(spark):
+    import hashlib
+
+    rows = [("a", n, f"é{n} " * n) for n in range(1, 30)] + [("b", 3, None), ("b", 2, "x"), (None, 1, "no source"), ("c", 1, "")]
+    divided = L.with_dividers(spark.createDataFrame(rows, "document_id string, page_number int, text string"))
+    assert divided.count() == len(rows)
+    found = {r.document_id: (r.n_chars, r.text_sha256) for r in L.digests(divided).collect()}
+    whole = {d: "\n".join(f"--- PAGE {n} ---\n{t or ''}\n" for e, n, t in sorted(rows, key=lambda r: r[1]) if e == d) for d in ("a", "b", "c", None)}
+    assert found == {d: (len(t), hashlib.sha256(t.encode()).hexdigest()) for d, t in whole.items()}
