@@ -10,19 +10,33 @@ STATES = ["PENDING", "IN_PROGRESS", "SUCCESS", "FAILED"]
 
 #: Ranges of keys in which places are counted apart.
 RANGES = 64
+#: Upper bound, in rows, of counts by range that are broadcast.
+BROADCAST_ROWS = 100_000
 
 
-def batches(docs: DataFrame, sizes: list[int], order: str = "doc_id") -> DataFrame:
-    """docs with batch_no: runs of the given sizes in order of a numeric key, the last size again and again.
+def places(docs: DataFrame, order: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """docs with __at: each row's place from 0 in order of a numeric key, among rows equal in the columns within.
 
     Places are counted in ranges of the key, so no task sorts all rows; at most RANGES bounds come from quantiles.
     """
     bounds = sorted({float(x) for x in docs.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], 0.005)})
     part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col(order))) if bounds else F.lit(0)
     ranged = docs.withColumn("__part", part)
-    counts = ranged.groupBy("__part").count()
-    before = counts.select(F.col("__part").alias("__p"), (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))  # RANGES rows at most
-    placed = ranged.join(F.broadcast(before), F.col("__part") == F.col("__p")).withColumn("__at", F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1)
+    counts = ranged.groupBy(*within, "__part").count()
+    upto = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    before = counts.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__w{i}") for i, c in enumerate(within)], (F.sum("count").over(upto) - F.col("count")).alias("__before"))
+    if not within or docs.select(*within).distinct().count() * RANGES <= BROADCAST_ROWS:
+        before = F.broadcast(before)
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(within):
+        same &= F.col(c).eqNullSafe(F.col(f"__w{i}"))
+    found = ranged.join(before, same).withColumn("__at", F.col("__before") + F.row_number().over(Window.partitionBy(*within, "__part").orderBy(order)) - 1)
+    return found.drop("__part", "__p", "__before", *[f"__w{i}" for i in range(len(within))])
+
+
+def batches(docs: DataFrame, sizes: list[int], order: str = "doc_id") -> DataFrame:
+    """docs with batch_no: runs of the given sizes in order of a numeric key, the last size again and again."""
+    placed = places(docs, order)
     upto = 0
     number = None
     for i, size in enumerate(sizes):
@@ -30,7 +44,7 @@ def batches(docs: DataFrame, sizes: list[int], order: str = "doc_id") -> DataFra
         test = F.col("__at") < upto
         number = F.when(test, i + 1) if number is None else number.when(test, i + 1)
     number = number.otherwise(len(sizes) + 1 + F.floor((F.col("__at") - upto) / sizes[-1]))
-    return placed.withColumn("batch_no", number.cast("long")).drop("__part", "__p", "__before", "__at")
+    return placed.withColumn("batch_no", number.cast("long")).drop("__at")
 
 
 def latest(events: DataFrame, key: str, status: Column, at: Column) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexquarry.operators.state import places
+
 CHUNK = T.StructType([T.StructField("chunk_id", T.StringType()), T.StructField("id", T.StringType()), T.StructField("chunkId", T.StringType()), T.StructField("text", T.StringType()), T.StructField("content", T.StringType()), T.StructField("chunk", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
 
 
@@ -16,10 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pages(documents: DataFrame) -> DataFrame:
     """The page model: a source is a document, its rows by doc_id are the pages.
 
-    Returns document_id, page_number, doc_id, text.
+    Returns document_id, page_number, doc_id, text. A source's pages are counted in ranges of doc_id, so that no task
+    sorts all texts of a large source.
     """
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return documents.select(F.col("source").alias("document_id"), F.row_number().over(order).alias("page_number"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = documents.select(F.col("source").alias("document_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return places(found, "doc_id", ("document_id",)).select("document_id", (F.col("__at") + 1).cast("int").alias("page_number"), "doc_id", "text")
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.pdf", most: int | None = None) -> DataFrame:

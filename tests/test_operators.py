@@ -239,3 +239,16 @@ def test_exports_keep_pages_as_rows(spark):
     found = {r.document_id: (r.n_chars, r.text_sha256) for r in L.digests(divided).collect()}
     whole = {d: "\n".join(f"--- PAGE {n} ---\n{t or ''}\n" for e, n, t in sorted(rows, key=lambda r: r[1]) if e == d) for d in ("a", "b", "c", None)}
     assert found == {d: (len(t), hashlib.sha256(t.encode()).hexdigest()) for d, t in whole.items()}
+
+
+def test_pages_are_numbered_in_ranges(spark):
+    rows = [(k * 7 % 1000, "hot" if k % 3 else None if k % 2 else "s", f"t{k}") for k in range(1000)] + [(1000, "one", None)]
+    found = R.pages(spark.createDataFrame(rows, "doc_id bigint, source string, text string"))
+    of = {}
+    for d, s, t in sorted(rows, key=lambda r: r[0]):
+        of.setdefault(s, []).append((d, t or ""))
+    assert {(r.document_id, r.page_number, r.doc_id, r.text) for r in found.collect()} == {(s, n + 1, *x) for s, xs in of.items() for n, x in enumerate(xs)} and found.count() == 1001
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    numbered = [x for x in plan.splitlines() if "Window [row_number()" in x]
+    assert numbered and all("__part" in x for x in numbered)
+    assert R.pages(spark.createDataFrame([], "doc_id bigint, source string, text string")).count() == 0
