@@ -2,12 +2,15 @@
 
 Words of a batch that have not been seen are laid out as one flat array of symbols. In each round
 every word's lowest-rank pair is found by binary search over the sorted pair keys and merged at all
-its places, until no word has a pair left. Finished words are kept for later batches of the task.
+its places, until no word has a pair left. Long words would need a round for each of their ranks over all their
+symbols, so their rounds visit the places of one rank only, and look up just the pairs that a merge has made.
+Finished words are kept for later batches of the task.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 import unicodedata
@@ -21,8 +24,8 @@ from pyspark.sql import types as T
 
 from lexquarry.llm import common as C
 
-#: Words kept by a task before it starts its store anew.
-KEPT_WORDS = 150_000
+#: Words, and characters of words, kept by a task before it starts its store anew; bytes from which a word counts as long.
+KEPT_WORDS, KEPT_CHARS, LONG_WORD = 150_000, 20_000_000, 256
 #: Text that is encoded at once.
 TEXT_BYTES = 1_000_000
 NO_RANK = np.iinfo(np.int64).max
@@ -71,7 +74,13 @@ class Vocabulary:
         order = np.argsort(keys, kind="stable")
         order = order[np.r_[True, np.diff(keys[order]) > 0]]
         self.keys, self.ranks = keys[order], order.astype(np.int64)
-        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.merged = merged[order]
+        # Merging all places of a rank at once is exact only if no merge makes a pair of a lower or equal rank.
+        made = np.full(self.n, -1)
+        np.maximum.at(made, merged, np.arange(len(merged)))
+        if (np.maximum(made[keys // self.n], made[keys % self.n]) >= np.arange(len(keys))).any():
+            raise ValueError("a merge of this vocabulary uses a symbol that a later merge makes")
 
     @staticmethod
     def _byte_chars() -> list[str]:
@@ -80,6 +89,12 @@ class Vocabulary:
         spare = iter(range(256, 512))
         return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
+    def found(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (NO_RANK if there is none) and merged symbol of pairs, by binary search over the sorted pair keys."""
+        key = left * self.n + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NO_RANK), self.merged[at]
+
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words in a row, and the offsets of each word's ids. Words aren't empty."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -89,32 +104,80 @@ class Vocabulary:
         symbols = self.inner[data]
         symbols[ends - 1] = self.last[data[ends - 1]]
         word = np.repeat(np.arange(len(raw)), sizes)
-        done_symbols, done_words = [], []
+        long_ = np.repeat(sizes >= LONG_WORD, sizes)
+        parts = [self._rounds(symbols[~long_], word[~long_])]
+        if long_.any():
+            parts.append(self._rank_rounds(symbols[long_], word[long_]))
+        symbols, word = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(word, kind="stable")
+        return symbols[order], np.searchsorted(word[order], np.arange(len(words) + 1))
+
+    @staticmethod
+    def _alternate(linked: np.ndarray) -> np.ndarray:
+        """Of places that overlap (a run of one symbol; linked: with the place before) every second one, from the left."""
+        nth = np.arange(len(linked)) - np.maximum.accumulate(np.where(linked, 0, np.arange(len(linked))))
+        return nth % 2 == 0
+
+    def _rounds(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and their words after rounds that merge each word's lowest rank."""
+        done_symbols, done_words = [symbols[:0]], [word[:0]]
         while len(symbols):
-            rank, found = np.full(len(symbols), NO_RANK), np.zeros(len(symbols), np.int64)
+            rank, merged = np.full(len(symbols), NO_RANK), np.zeros(len(symbols), np.int64)
             pair = np.flatnonzero(word[:-1] == word[1:])
-            key = symbols[pair] * self.n + symbols[pair + 1]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            rank[pair[hit]], found[pair[hit]] = self.ranks[at[hit]], self.merged[at[hit]]
+            rank[pair], merged[pair] = self.found(symbols[pair], symbols[pair + 1])
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            lowest = np.minimum.reduceat(rank, starts)
             lengths = np.diff(np.r_[starts, len(symbols)])
-            open_ = np.repeat(lowest < NO_RANK, lengths)
+            lowest = np.repeat(np.minimum.reduceat(rank, starts), lengths)
+            open_ = lowest < NO_RANK
             done_symbols.append(symbols[~open_])
             done_words.append(word[~open_])
-            take = (rank == np.repeat(lowest, lengths)) & (rank < NO_RANK)
-            # Of places that overlap (a run of one symbol) every second one is merged, from the left.
-            places = np.flatnonzero(take)
-            run = np.r_[True, np.diff(places) > 1][: len(places)]
-            nth = np.arange(len(places)) - np.flatnonzero(run)[np.cumsum(run) - 1] if len(places) else places
-            places = places[nth % 2 == 0]
-            symbols[places] = found[places]
+            places = np.flatnonzero((rank == lowest) & open_)
+            places = places[self._alternate(np.r_[False, np.diff(places) == 1][: len(places)])]
+            symbols[places] = merged[places]
             open_[places + 1] = False
             symbols, word = symbols[open_], word[open_]
-        symbols, word = np.concatenate(done_symbols or [symbols]), np.concatenate(done_words or [word])
-        order = np.argsort(word, kind="stable")
-        return symbols[order], np.searchsorted(word[order], np.arange(len(words) + 1))
+        return np.concatenate(done_symbols), np.concatenate(done_words)
+
+    def _rank_rounds(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same after rounds that merge the lowest rank of all words at its places, which are kept by rank."""
+        n = len(symbols)
+        after = np.append(np.where(word[1:] == word[:-1], np.arange(1, n), -1), -1)
+        before = np.append(-1, np.where(word[1:] == word[:-1], np.arange(n - 1), -1))
+        rank, merged, alive = np.full(n, NO_RANK), np.zeros(n, np.int64), np.ones(n, bool)
+        queue: list[int] = []
+        waiting: dict[int, list[np.ndarray]] = {}
+
+        def look_up(places: np.ndarray) -> None:
+            rank[places], merged[places] = self.found(symbols[places], symbols[after[places]])
+            places = places[rank[places] < NO_RANK]
+            if not len(places):
+                return
+            places = places[np.argsort(rank[places], kind="stable")]
+            of, first = np.unique(rank[places], return_index=True)
+            for r, some in zip(of.tolist(), np.split(places, first[1:]), strict=True):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(queue, r)
+                waiting[r].append(some)
+
+        look_up(np.flatnonzero(after >= 0))
+        while queue:
+            r = heapq.heappop(queue)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            places = places[rank[places] == r]
+            if not len(places):
+                continue
+            places = places[self._alternate(np.r_[False, after[places[:-1]] == places[1:]])]
+            gone = after[places]
+            symbols[places] = merged[places]
+            alive[gone], rank[gone] = False, NO_RANK
+            after[places] = after[gone]
+            follows = after[places] >= 0
+            before[after[places[follows]]] = places[follows]
+            rank[places] = NO_RANK
+            touched = np.unique(np.r_[places, before[places][before[places] >= 0]])
+            look_up(touched[after[touched] >= 0])
+        return symbols[alive], word[alive]
 
 
 class Encoder:
@@ -131,11 +194,13 @@ class Encoder:
     def restart(self) -> None:
         self.index: dict[str, int] = {}
         self.decoded: list[str] = []
+        self.chars = 0
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
         for text, i in self.vocabulary.special.items():
             self._add([text], np.array([i], np.int32), np.array([0, 1]))
 
     def _add(self, words: list[str], ids: np.ndarray, at: np.ndarray) -> None:
+        self.chars += sum(map(len, words))
         self.index.update(zip(words, range(len(self.decoded), len(self.decoded) + len(words)), strict=True))
         tokens = [self.vocabulary.tokens[i] for i in ids.tolist()]
         self.decoded += [" ".join(tokens[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -158,21 +223,26 @@ class Encoder:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return (self.words if self.astral(text) else self.bmp_words)(text)
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    def known(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The words of each text, as numbers of kept words."""
         split = [self.split(t) if t else [] for t in texts]
         new = set().union(*split) - self.index.keys()
-        if len(new) + len(self.decoded) > KEPT_WORDS:
+        if len(new) + len(self.decoded) > KEPT_WORDS or self.chars > KEPT_CHARS:
             self.restart()
             new = set().union(*split) - self.index.keys()
         if new:
             words = list(new)
             self._add(words, *self.vocabulary.encode(words))
-        get, sizes = self.index.__getitem__, np.fromiter(map(len, split), np.int64, len(split))
-        decoded, rows = [], []
-        for words in split:
-            row = list(map(get, words))
-            rows.append(np.array(row, np.int64))
-            decoded.append(" ".join(map(self.decoded.__getitem__, row)))
+        return [np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)) for words in split]
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """The number of tokens of each text."""
+        return np.array([(self.at[w + 1] - self.at[w]).sum() for w in self.known(texts)], np.int64)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        rows = self.known(texts)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        decoded = [" ".join(map(self.decoded.__getitem__, row.tolist())) for row in rows]
         word = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         begin, length = self.at[word], self.at[word + 1] - self.at[word]
         ends = np.cumsum(length)
@@ -180,6 +250,20 @@ class Encoder:
         return ids, np.r_[0, ends][np.r_[0, np.cumsum(sizes)]], decoded
 
 
+def _slices(texts: pa.Array):
+    """(first row, texts) of slices of about TEXT_BYTES of text."""
+    rows = max(1, TEXT_BYTES * len(texts) // max(texts.nbytes, 1))
+    for i in range(0, len(texts), rows):
+        yield i, texts.slice(i, rows).to_pylist()
+
+
+def encoder_of(path: str):
+    """A function that makes an Encoder in a task; path is a vocabulary file on the driver, whose content travels with the plan."""
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()
+    pattern, bmp_pattern = word_pattern(), word_pattern(0xFFFF)
+    return lambda: Encoder(spec, pattern, bmp_pattern)
+
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """docs (the columns keep of it; all by default) with ids (array<int>) and decoded (string) of the text column.
@@ -189,23 +273,19 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
     encoded whole, however long; null and empty texts have no ids and decode to an empty text. Columns of the new names
     are replaced. An empty table gives an empty table.
     """
-    with open(path, encoding="utf-8") as f:
-        spec = f.read()
-    pattern, bmp_pattern = word_pattern(), word_pattern(0xFFFF)
+    make = encoder_of(path)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in (ids, decoded)]
     names = [f"c{i}" for i in range(len(kept))]
     sent = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)], F.col(f"`{text}`").alias("t"))
     schema = T.StructType([*(T.StructField(n, docs.schema[c].dataType) for c, n in zip(kept, names, strict=True)), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec, pattern, bmp_pattern)
+        encoder = make()
         for b in batches:
-            texts = b.column("t")
-            rows = max(1, TEXT_BYTES * len(texts) // max(texts.nbytes, 1))
-            for i in range(0, len(texts), rows):
-                found, at, plain = encoder(texts.slice(i, rows).to_pylist())
+            for i, texts in _slices(b.column("t")):
+                found, at, plain = encoder(texts)
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, rows) for n in names), lists, pa.array(plain, pa.string())], [*names, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, len(texts)) for n in names), lists, pa.array(plain, pa.string())], [*names, "ids", "decoded"])
 
-    out = C.small_batches(sent).mapInArrow(encoded, schema)
+    out = sent.mapInArrow(encoded, schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(kept, names, strict=True)], F.col("ids").alias(ids), F.col("decoded").alias(decoded))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm import bpe, chat, counts, decontaminate, jaccard, langid, neardup, quality, repeats, secrets
-from lexquarry.llm.common import held_out, scratch, table
+from lexquarry.llm.common import bounded_batches, held_out, scratch, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Tokenizer versions that op10_counts maintains, each with its vocabulary file.
+VERSIONS = {"word_bpe_49k/1": TOKENIZER, "byte_bpe_50k/1": public_tokenizers.path("byte_bpe_50k.tiktoken")}
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,32 +200,31 @@ def op10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by source, language and tokenizer version after inserts, revisions and the withdrawal of toxic documents."""
     rollup = counts.Rollup(spark, scratch(spark, "counts"))
     withdrawn = table(spark, sf_dir, "labels").where("toxic = 1")
-    return counts.maintained(rollup, table(spark, sf_dir, "documents"), withdrawn)
+    return counts.maintained(rollup, table(spark, sf_dir, "documents"), withdrawn, VERSIONS, public_tokenizers.PATTERN)
 
 
-OP10_SQL = r"""
-WITH d AS (
-  SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+')) AS words, len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}+|[^\x09-\x0D\x20\p{L}\p{N}]')) AS pieces
-  FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
-), t AS (
-  SELECT source, lang, 'words/1' AS version, count(*) AS docs, CAST(sum(words) AS BIGINT) AS tokens FROM d GROUP BY source, lang
-  UNION ALL SELECT source, lang, 'pieces/1', count(*), CAST(sum(pieces) AS BIGINT) FROM d GROUP BY source, lang
-)
-SELECT * FROM t WHERE docs <> 0 OR tokens <> 0
-"""
+def _application(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, in a session whose Arrow batches are bounded."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_neardup": op1_neardup,
-    "op2_chat": op2_chat,
-    "op3_decontamination": op3_decontamination,
-    "op4_bpe": op4_bpe,
-    "op5_repeats": op5_repeats,
-    "op6_quality": op6_quality,
-    "op7_langid": op7_langid,
-    "op8_jaccard": op8_jaccard,
-    "op9_secrets": op9_secrets,
-    "op10_counts": op10_counts,
+    "op1_neardup": _application(op1_neardup),
+    "op2_chat": _application(op2_chat),
+    "op3_decontamination": _application(op3_decontamination),
+    "op4_bpe": _application(op4_bpe),
+    "op5_repeats": _application(op5_repeats),
+    "op6_quality": _application(op6_quality),
+    "op7_langid": _application(op7_langid),
+    "op8_jaccard": _application(op8_jaccard),
+    "op9_secrets": _application(op9_secrets),
+    "op10_counts": _application(op10_counts),
 }
 
 SQL: dict[str, str] = {
@@ -230,5 +232,4 @@ SQL: dict[str, str] = {
     "op2_chat": OP2_SQL,
     "op3_decontamination": OP3_SQL,
     "op8_jaccard": OP8_SQL,
-    "op10_counts": OP10_SQL,
 }
