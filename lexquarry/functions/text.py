@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What counts as white space in all patterns.
+WHITE = " \t\n\x0b\f\r"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
 def strip(text: Column) -> Column:
     """The text without white space at its ends; null as empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
 
 
 def words(text: Column) -> Column:
     """What stands between white space."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"\s+"), "")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.functions.text import strip
+from lexquarry.functions.text import WHITE, let, strip
 
 #: Frequencies, patterns, words and suffixes.
 HEADER_PAGES, HEADER_FEW, HEADER_SHARE, FOOTER_PAGES, SHORTEST = 4, 3, 0.15, 4, 4
@@ -16,32 +16,46 @@ PAGE_NUMBER = r"(?i)^(page\s+)?([0-9]+|[ivxlcdm]+|[0-9]+-[0-9]+)$"
 HEADING = r"^(#+|[0-9]+(\.[0-9]+)*\s+[A-Z]|[A-Z][A-Za-z0-9\s]{2,}:)"
 BROKEN_LINE, BROKEN_SPACE = r"\b[a-zA-Z]{3,}-\s*\n\s*[a-zA-Z]{3,}\b", r"\b[a-zA-Z]{3,}-\s+[a-zA-Z]{3,}\b"
 SUFFIXES = "(tion|tions|ment|ments|ity|ities|able|ing|ed)$"
-JOINED_WORDS = """authentication authorization implementation organization organizational management cryptographic
-cryptography cryptosystem vulnerability vulnerabilities continuous monitoring recommendation recommendations operational
-interoperability infrastructure configuration capabilities information verification identification responsibilities
-considerations assurance establishment environment environments administrator administrators transmission protection
-assessment assessments requirement requirements architecture architectures guidelines publication publications
-reproducibility classification confidentiality integrity availability specification specifications accreditation
-certification compliance""".split()
-HYPHENATED = "zero-trust cross-site role-based attribute-based public-key private-key pair-wise high-performance supply-chain third-party real-time cloud-native machine-readable well-defined".split()
+JOINED_WORDS = [
+    "authentication", "authorization", "implementation", "organization", "organizational", "management", "cryptographic",
+    "cryptography", "cryptosystem", "vulnerability", "vulnerabilities", "continuous", "monitoring", "recommendation", "recommendations", "operational",
+    "interoperability", "infrastructure", "configuration", "capabilities", "information", "verification", "identification", "responsibilities",
+    "considerations", "assurance", "establishment", "environment", "environments", "administrator", "administrators", "transmission", "protection",
+    "assessment", "assessments", "requirement", "requirements", "architecture", "architectures", "guidelines", "publication", "publications",
+    "reproducibility", "classification", "confidentiality", "integrity", "availability", "specification", "specifications", "accreditation",
+    "certification", "compliance",
+]
+HYPHENATED = [
+    "aes-256", "aes-192", "aes-128", "aes-gcm", "aes-ccm", "aes-cbc", "sha-1", "sha-224", "sha-256", "sha-384", "sha-512", "sha-3", "hmac-sha-256", "rsa-2048", "rsa-4096", "ecdsa-p256", "ecdsa-p384",
+    "zero-trust", "cross-site", "role-based", "attribute-based", "public-key", "private-key", "pair-wise", "high-performance", "supply-chain", "third-party", "real-time", "cloud-native", "machine-readable", "well-defined",
+    "end-to-end", "fips-140-3", "sp-800-53", "sp-800-39", "sp-800-116", "sp-800-152", "sp-800-186",
+]
 TYPOGRAPHY = [("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"), ("—", " - "), ("–", "-")]
 LOST = "�"
 MATHS = r"[+\-=*/<>|()]\s*" + LOST + "|" + LOST + r"\s*[a-zA-Z]([^\p{L}\p{N}_]|$)"
 BOILERPLATE_CHARS, SNIPPET_CHARS = 60, 120
 
 
+#: The same without backtracking into a word, which the other pattern language of the SQL lacks.
+BROKEN_LINE_ONCE, BROKEN_SPACE_ONCE = (p.replace("{3,}-", "{3,}+-") for p in (BROKEN_LINE, BROKEN_SPACE))
+
+
 def line_feeds(text: Column) -> Column:
     """All line breaks as line feeds; null as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n")
 
 
-def edges(text: Column) -> dict[str, Column]:
-    """The first and last line that are not blank, and what stands around them."""
-    lead = F.regexp_extract(text, r"^((?:[^\S\n]*\n)*)", 1)
-    rest = F.substring(text, F.length(lead) + 1, F.length(text))
-    first = F.substring_index(rest, "\n", 1)
-    body = F.regexp_replace(text, r"\s+$", "")
-    return {"lead": lead, "first": first, "after": F.substring(rest, F.length(first) + 1, F.length(text)), "body": body, "last": F.substring_index(body, "\n", -1)}
+def _ends(pages: DataFrame) -> DataFrame:
+    """pages with __lead, __first, __after: blank lines, the first line that isn't blank, and the rest; and __body, __last: the text
+    without white space at its end, and its last line. A column of its own each, so that none is worked out twice."""
+    found = pages.withColumn("__lead", F.regexp_extract("text", r"^((?:[^\S\n]*\n)*)", 1)).withColumn("__after", F.expr("substring(text, length(__lead) + 1)"))
+    found = found.withColumn("__first", F.substring_index("__after", "\n", 1)).withColumn("__after", F.expr("substring(__after, length(__first) + 1)"))
+    return _last(found)
+
+
+def _last(pages: DataFrame) -> DataFrame:
+    found = pages.withColumn("__body", F.rtrim(F.col("text"), F.lit(WHITE)))
+    return found.withColumn("__last", F.substring_index("__body", "\n", -1))
 
 
 def running_lines(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,40 +63,40 @@ def running_lines(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Counts are combined before the shuffle, so one document may hold any share of the pages.
     """
-    e = edges(line_feeds(F.col("text")))
-    first, last = strip(e["first"]), strip(e["last"])
-    lines = pages.select("document_id", first.alias("first"), F.when(strip(e["body"]).contains("\n"), last).alias("last"))
-    size = lines.groupBy("document_id").agg(F.count("*").alias("n_pages"))
-    tops = lines.where("first <> ''").groupBy("document_id", F.col("first").alias("header")).count().join(F.broadcast(size), "document_id")
+    found = _ends(pages.select("document_id", line_feeds(F.col("text")).alias("text")))
+    lines = found.select("document_id", strip(F.col("__first")).alias("first"), F.when(F.ltrim(F.col("__body"), F.lit(WHITE)).contains("\n"), strip(F.col("__last"))).alias("last"))
+    # One pass over the texts: a row for each page's two lines, a null one for the page itself.
+    kinds = {"page": F.lit(""), "header": F.col("first"), "footer": F.col("last")}
+    each = lines.select("document_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("line")) for k, c in kinds.items()])).alias("x")).select("document_id", "x.*")
+    counted = each.where("line is not null").groupBy("document_id", "kind", "line").count()
+    size = counted.where("kind = 'page'").select("document_id", F.col("count").alias("n_pages"))
+    tops = counted.where("kind = 'header' and line <> ''").join(size, "document_id")
     often = (F.col("count") >= HEADER_PAGES) | ((F.col("count") >= HEADER_FEW) & (F.col("count") / F.col("n_pages") >= HEADER_SHARE))
-    headers = tops.where(often & (F.length("header") >= SHORTEST) & ~F.col("header").rlike(HEADING)).select("document_id", "header")
-    ends = lines.where("last is not null").groupBy("document_id", F.col("last").alias("footer")).count()
-    footers = ends.where((F.col("count") >= FOOTER_PAGES) & (F.length("footer") >= SHORTEST) & ~F.col("footer").rlike(PAGE_NUMBER)).select("document_id", "footer")
-    return headers, footers
+    headers = tops.where(often & (F.length("line") >= SHORTEST) & ~F.col("line").rlike(HEADING)).select("document_id", F.col("line").alias("header"))
+    ends = counted.where((F.col("kind") == "footer") & (F.col("count") >= FOOTER_PAGES) & (F.length("line") >= SHORTEST) & ~F.col("line").rlike(PAGE_NUMBER))
+    return headers, ends.select("document_id", F.col("line").alias("footer"))
 
 
 def without_running_lines(pages: DataFrame) -> DataFrame:
     """pages with text without running headers and footers, and the lines taken away (header, footer; null if none)."""
     headers, footers = running_lines(pages)
-    e = edges(line_feeds(F.col("text")))
-    split = pages.withColumns({"__lead": e["lead"], "__after": e["after"], "__first": strip(e["first"])})
-    tops = headers.select(F.col("document_id").alias("__hd"), F.col("header").alias("__top"))
-    headed = split.join(tops, (F.col("document_id") == F.col("__hd")) & (F.col("__first") == F.col("__top")), "left").withColumn("__h", F.col("__top").isNotNull())
-    headed = headed.withColumn("header", F.when(F.col("__h"), F.col("__first"))).withColumn("text", F.when(F.col("__h"), F.concat("__lead", "__after")).otherwise(line_feeds(F.col("text"))))
-    e = edges(F.col("text"))
-    ended = headed.withColumns({"__body": e["body"], "__raw": e["last"], "__last": strip(e["last"])})
-    ended = ended.join(footers.withColumnRenamed("document_id", "__doc"), (F.col("document_id") == F.col("__doc")) & (F.col("__last") == F.col("footer")), "left")
-    gone = F.col("__last").rlike(PAGE_NUMBER) | F.col("footer").isNotNull()
-    kept = F.concat(F.expr("left(__body, length(__body) - length(__raw))"), F.expr("substring(text, length(__body) + 1)"))
-    cut = ended.withColumn("text", F.regexp_replace(F.when(gone, kept).otherwise(F.col("text")), r"^\n+|\n+$", "")).withColumn("footer", F.when(gone, F.col("__last")))
+    split = _ends(pages.withColumn("text", line_feeds(F.col("text")))).withColumn("__top", strip(F.col("__first")))
+    tops = headers.select(F.col("document_id").alias("__hd"), "header")
+    headed = split.join(tops, (F.col("document_id") == F.col("__hd")) & (F.col("__top") == F.col("header")), "left")
+    headed = _last(headed.withColumn("text", F.when(F.col("header").isNull(), F.col("text")).otherwise(F.concat("__lead", "__after"))))
+    ended = headed.withColumn("__end", strip(F.col("__last")))
+    ended = ended.join(footers.withColumnRenamed("document_id", "__doc"), (F.col("document_id") == F.col("__doc")) & (F.col("__end") == F.col("footer")), "left")
+    gone = F.col("__end").rlike(PAGE_NUMBER) | F.col("footer").isNotNull()
+    kept = F.concat(F.expr("left(__body, length(__body) - length(__last))"), F.expr("substring(text, length(__body) + 1)"))
+    cut = ended.withColumn("__gone", gone).withColumn("text", F.btrim(F.when(F.col("__gone"), kept).otherwise(F.col("text")), F.lit("\n"))).withColumn("footer", F.when(F.col("__gone"), F.col("__end")))
     return cut.select(*pages.columns, "header", "footer")
 
 
-def _rebuilt(text: Column, pattern: str, f) -> tuple[Column, Column]:
-    """The text with f(match) for each match, and the matches."""
+def _rebuilt(text: Column, pattern: str, f) -> Column:
+    """struct (text, hits): the text with f(match) for each match, and the matches."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.concat(gap, F.when(hit.isNull(), "").otherwise(f(hit))))
-    return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text), hits
+    put = lambda h: F.struct(F.array_join(F.zip_with(F.split(text, pattern, -1), h, lambda gap, hit: F.concat(gap, F.when(hit.isNull(), "").otherwise(f(hit)))), "").alias("text"), h.alias("hits"))
+    return F.when(text.rlike(pattern), let(hits, put)).otherwise(F.struct(text.alias("text"), F.array().cast("array<string>").alias("hits")))
 
 
 def _parts(hit: Column) -> tuple[Column, Column]:
@@ -103,17 +117,18 @@ def _soft(hit: Column) -> Column:
 def repaired(text: Column) -> Column:
     """struct (text, n_joined, n_kept): words broken at line ends joined where they are surely one, spaced hyphens closed."""
     bare = lambda hit: F.concat(*_parts(hit))
-    first, hits = _rebuilt(text, BROKEN_LINE, lambda hit: F.when(_soft(hit), bare(hit)).otherwise(hit))
-    joined = F.size(F.filter(hits, _soft))
-    open_ = F.filter(hits, lambda hit: ~_soft(hit) & ~protected(*_parts(hit)))
+    known = lambda hit: F.lower(bare(hit)).isin(*JOINED_WORDS)
 
     def spaced(hit: Column) -> Column:
-        a, b = _parts(hit)
-        return F.when(protected(a, b), F.concat(a, F.lit("-"), b)).when(F.lower(F.concat(a, b)).isin(*JOINED_WORDS), F.concat(a, b)).otherwise(hit)
+        return F.when(protected(*_parts(hit)), F.concat_ws("-", *_parts(hit))).when(known(hit), bare(hit)).otherwise(hit)
+
+    def both(first: Column, second: Column) -> Column:
+        joined = F.size(F.filter(first["hits"], _soft)) + F.size(F.filter(second["hits"], lambda hit: ~protected(*_parts(hit)) & known(hit)))
+        open_ = F.size(F.filter(first["hits"], lambda hit: ~_soft(hit) & ~protected(*_parts(hit))))
+        return F.struct(second["text"].alias("text"), joined.cast("long").alias("n_joined"), open_.cast("long").alias("n_kept"))
 
-    second, again = _rebuilt(first, BROKEN_SPACE, spaced)
-    also = F.size(F.filter(again, lambda hit: ~protected(*_parts(hit)) & F.lower(F.concat(*_parts(hit))).isin(*JOINED_WORDS)))
-    return F.struct(second.alias("text"), (joined + also).cast("long").alias("n_joined"), F.size(open_).cast("long").alias("n_kept"))
+    lines = _rebuilt(text, BROKEN_LINE_ONCE, lambda hit: F.when(_soft(hit), bare(hit)).otherwise(hit))
+    return let(lines, lambda first: let(_rebuilt(first["text"], BROKEN_SPACE_ONCE, spaced), lambda second: both(first, second)))
 
 
 def _line(line: Column) -> Column:
@@ -132,13 +147,23 @@ def normalised(text: Column) -> Column:
     plain = F.replace(text, F.lit("\u00a0"), F.lit(" "))
     for x, y in TYPOGRAPHY:
         plain = F.replace(plain, F.lit(x), F.lit(y))
-    lost = F.filter(F.split(plain, "\n", -1), lambda x: x.contains(LOST))
-    fixed = F.size(F.filter(lost, lambda x: _line(x) != x))
-    lined = F.when(plain.contains(LOST), F.array_join(F.transform(F.split(plain, "\n", -1), _line), "\n")).otherwise(plain)
-    trimmed = F.regexp_replace(F.regexp_replace(lined, r"[^\S\n]+\n", "\n"), r"[^\S\n]+$", "")
-    collapsed = F.regexp_replace(trimmed, r"\n{3,}", "\n\n")
-    total = sum(kinds, F.lit(0)) + fixed + F.when(F.length(collapsed) < F.length(trimmed), 1).otherwise(0)
-    return F.struct(F.regexp_replace(collapsed, r"^\n+|\n+$", "").alias("text"), total.cast("long").alias("n_transforms"), (F.size(lost) - fixed).cast("long").alias("n_warnings"))
+
+    def lines(plain: Column) -> Column:
+        """struct (text, n_lost, n_fixed)."""
+        fixed = lambda x: F.struct(x.contains(LOST).alias("lost"), (_line(x) != x).alias("fixed"), _line(x).alias("text"))
+        put = lambda each: F.struct(F.array_join(F.transform(each, lambda x: x["text"]), "\n").alias("text"), F.size(F.filter(each, lambda x: x["lost"])).alias("n_lost"), F.size(F.filter(each, lambda x: x["fixed"])).alias("n_fixed"))
+        return F.when(plain.contains(LOST), let(F.transform(F.split(plain, "\n", -1), fixed), put)).otherwise(F.struct(plain.alias("text"), F.lit(0).alias("n_lost"), F.lit(0).alias("n_fixed")))
+
+    def spaced(x: Column) -> Column:
+        """The lines' struct with trimmed and collapsed text."""
+        trimmed = F.when(x["text"].rlike(r"[^\S\n](\n|$)"), F.regexp_replace(x["text"], r"[^\S\n]++(?=\n|$)", "")).otherwise(x["text"])
+        return let(trimmed, lambda t: let(F.when(t.contains("\n\n\n"), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t), lambda c: done(x, t, c)))
+
+    def done(x: Column, trimmed: Column, collapsed: Column) -> Column:
+        total = sum(kinds, F.lit(0)) + x["n_fixed"] + F.when(F.length(collapsed) < F.length(trimmed), 1).otherwise(0)
+        return F.struct(F.btrim(collapsed, F.lit("\n")).alias("text"), total.cast("long").alias("n_transforms"), (x["n_lost"] - x["n_fixed"]).cast("long").alias("n_warnings"))
+
+    return let(plain, lambda p: let(lines(p), spaced))
 
 
 def boilerplate(docs: DataFrame, patterns: list[tuple[str, str]], between: str = "\n\n") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.functions.text import strip, words
+from lexquarry.functions.text import let, strip, words
 
 #: Thresholds.
 LOW_TEXT, OCR_TEXT, OCR_IMAGES = 100, 50, 1
@@ -29,42 +29,48 @@ OTHER_CATEGORY, EXCLUDED = "general_cybersecurity", ["annual report", "fiscal ye
 
 def page_flags(text: Column, images: Column) -> Column:
     """struct of a page's figures and flags; reasons are listed in a fixed order."""
-    body = strip(text)
-    size = F.length(body)
-    low, empty = (size > 0) & (size < LOW_TEXT), size == 0
-    scanned = (size < OCR_TEXT) & (images >= OCR_IMAGES)
-    reasons = F.array_compact(F.array(F.when(empty, "empty"), F.when(low, "low_text"), F.when(scanned, "suspected_scan"), F.when(F.size(garbled(text)) > 0, "garbled")))
-    return F.struct(size.cast("long").alias("text_length"), F.size(words(body)).cast("long").alias("n_words"), empty.alias("is_empty"), low.alias("is_low_text"), scanned.alias("is_scanned"), reasons.alias("reasons"))
 
+    def flags(body: Column) -> Column:
+        size = F.length(body)
+        low, empty = (size > 0) & (size < LOW_TEXT), size == 0
+        scanned = (size < OCR_TEXT) & (images >= OCR_IMAGES)
+        reasons = F.array_compact(F.array(F.when(empty, "empty"), F.when(low, "low_text"), F.when(scanned, "suspected_scan"), F.when(F.size(_signs(body)) > 0, "garbled")))
+        return F.struct(size.cast("long").alias("text_length"), F.regexp_count(body, F.lit(r"\S++")).cast("long").alias("n_words"), empty.alias("is_empty"), low.alias("is_low_text"), scanned.alias("is_scanned"), reasons.alias("reasons"))
 
-def _kept(text: Column, pattern: str) -> Column:
-    """Number of characters that a negated class leaves."""
-    return F.length(F.regexp_replace(text, pattern, ""))
+    return let(strip(text), flags)
 
 
 def exempt(word: Column, core: Column) -> Column:
     """Whether a long token is no sign of garbling: digits only, a hex constant, or a slug of short parts."""
     digits = core.rlike(r"^\p{Nd}+$")
     hexadecimal = core.rlike("^0[xX].")
-    clean = F.regexp_replace(word, r"""^[()\[\]{}'"<>,;`]+|[()\[\]{}'"<>,;`]+$""", "")
+    clean = F.btrim(word, F.lit("()[]{}'\"<>,;`"))
     parts = F.filter(F.split(clean, r"[-_/.:?=&%]+"), lambda p: p != "")
     slug = clean.rlike(r"^[a-zA-Z0-9_\-./?=&%:]+$") & (F.size(parts) > 1) & F.forall(parts, lambda p: F.length(p) <= PART)
     return F.when(digits, True).when(hexadecimal, core.rlike("^0[xX][0-9a-fA-F]+$")).otherwise(slug)
 
 
-def garbled(text: Column) -> Column:
-    """Names of the signs of garbled text, for texts of 50 or more characters."""
-    body = strip(text)
+def _signs(body: Column) -> Column:
+    """Signs of garbling of a stripped text. Each pattern runs over the text once, and matches what is rare in sound text."""
     size, bare = F.length(body), F.replace(body, F.lit("."), F.lit(""))
-    replaced = (size - F.length(F.replace(body, F.lit("�"), F.lit("")))) / size > REPLACED
-    control = _kept(body, r"[^\x00-\x08\x0b\x0c\x0e-\x1f]") / size > CONTROL
-    sparse = (F.length(bare) >= 50) & (_kept(bare, r"[^\p{L}\p{N}]") / F.length(bare) < ALNUM)
+    replaced = body.contains("\ufffd") & ((size - F.length(F.replace(body, F.lit("\ufffd"), F.lit("")))) / size > REPLACED)
+    controls = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+    control = body.rlike(controls) & ((size - F.length(F.regexp_replace(body, controls + "+", ""))) / size > CONTROL)
+    # A text whose every window of four characters has a letter or digit is dense enough; the others are counted.
+    thin = bare.rlike(r"[^\p{L}\p{N}]{4}|^[^\p{L}\p{N}]{2}|[^\p{L}\p{N}]{2}$")
+    sparse = thin & (F.length(bare) >= 50) & (F.length(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", "")) / F.length(bare) < ALNUM)
     core = lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")
-    long_ = F.exists(words(body), lambda w: ~w.contains("://") & ~w.startswith("www.") & (F.length(w) > LONG_TOKEN) & (F.length(core(w)) > LONG_TOKEN) & ~exempt(w, core(w)))
+    odd = lambda w: ~w.contains("://") & ~w.startswith("www.") & (F.length(w) > LONG_TOKEN) & (F.length(core(w)) > LONG_TOKEN) & ~exempt(w, core(w))
+    long_ = body.rlike(rf"\S{{{LONG_TOKEN + 1}}}") & F.exists(words(body), odd)
     signs = F.array_compact(F.array(F.when(replaced, "replacement"), F.when(control, "control"), F.when(sparse, "low_alnum"), F.when(long_, "long_token")))
     return F.when(size >= 50, signs).otherwise(F.array().cast("array<string>"))
 
 
+def garbled(text: Column) -> Column:
+    """Names of the signs of garbled text, for texts of 50 or more characters."""
+    return let(strip(text), _signs)
+
+
 def inventory(flags: DataFrame) -> DataFrame:
     """Documents from page flags (document_id, text_length, n_words, is_empty, is_low_text, is_scanned, reasons): sums, reasons, status."""
     found = flags.groupBy("document_id").agg(
@@ -110,6 +116,39 @@ def near_pairs(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     return sides.where(both * 100 >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
+def literal_counts(docs: DataFrame, literals: DataFrame) -> DataFrame:
+    """item_id, n_docs: rows of docs (doc_id, text) that hold a literal (item_id, text) whole; runs of white space are one space.
+
+    A literal's longest inner word is its anchor: documents that have the word are its candidates, found by a join on words.
+    Literals of one or two words have no inner word; they look at all documents.
+    """
+    plain = lambda c: F.array_join(words(F.coalesce(c, F.lit(""))), " ")
+    wanted = literals.select("item_id", plain(F.col("text")).alias("literal"))
+    inner = F.slice(F.split("literal", " "), F.lit(2), F.greatest(F.size(F.split("literal", " ")) - 2, F.lit(0)))
+    wanted = wanted.withColumn("anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"])
+    row = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    have = row.select("doc_id", "th", F.explode(F.array_distinct(words(F.coalesce("text", F.lit(""))))).alias("anchor"))
+    asked = wanted.where("anchor is not null")
+    hits = have.join(asked.select("anchor", "item_id"), "anchor").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "item_id").distinct()
+    candidates = row.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t"))).select("item_id", plain(F.col("text")).alias("body")).join(asked.select("item_id", "literal"), "item_id")
+    found = candidates.where(F.contains("body", "literal")).select("item_id")
+    short = wanted.where("anchor is null").select(F.col("item_id"), "literal")
+    every = row.select(plain(F.col("text")).alias("body")).join(short, F.contains("body", "literal")).select("item_id")
+    counted = found.union(every).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    return wanted.join(counted, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
+
+
+def duplicate_peers(docs: DataFrame) -> DataFrame:
+    """doc_id, n_peers, first_peer, next_peer: for each row whose text others share, the peer that comes first and the next one in scan order.
+
+    Peers are rows of the same digest, so the whole list of a group follows its order; no group is gathered in one row.
+    """
+    digest = docs.select("doc_id", F.sha2("text", 256).alias("sha256")).where("sha256 is not null")
+    group = digest.groupBy("sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1")
+    ring = digest.join(group, "sha256").withColumn("next_peer", F.lead("doc_id").over(Window.partitionBy("sha256").orderBy("doc_id")))
+    return ring.select("doc_id", (F.col("n") - 1).alias("n_peers"), F.when(F.col("doc_id") != F.col("low"), F.col("low")).otherwise(F.col("next_peer")).alias("first_peer"), F.coalesce("next_peer", "low").alias("next_peer"))
+
+
 def repeated_lines(docs: DataFrame, least: int = 3) -> DataFrame:
     """line, n, n_docs: stripped non-empty lines that stand in least or more places."""
     lines = docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select("doc_id", strip(F.col("line")).alias("line")).where("line <> ''")
