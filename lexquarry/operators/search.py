@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexquarry.sources.store import stored
+
 #: BM25 parameters, fusion constant, depths.
 K1, B, EPSILON, RRF_K, DEPTH, FINAL = 1.5, 0.75, 0.25, 60, 20, 5
 #: Rows up to which the query side of a join is broadcast; rows of a block of vectors and of one of query vectors.
@@ -15,7 +21,7 @@ SMALL, VECTOR_BLOCK, QUERY_BLOCK = 200_000, 20_000, 2_000
 
 def tokens(text: Column) -> Column:
     """Lower-case words of a-z and 0-9 only; words with any other letter, digit or underscore vanish whole."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z0-9]+$"))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])[a-z0-9]++(?![\p{L}\p{N}_])"), F.lit(0))
 
 
 def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
@@ -28,46 +34,65 @@ def top(df: DataFrame, by: list[Column], k: int, key: str = "query_id") -> DataF
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where(F.col("rank") <= k)
 
 
+@dataclass(frozen=True)
+class Index:
+    """A stored BM25 index: postings (term, doc_id, tf, dl), terms (term, df, cf), and one row of the collection's size (n, avgdl)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    size: DataFrame
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """term, doc_id, tf, dl of docs (doc_id, text)."""
-    words = docs.select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    """term, doc_id, tf, dl of docs (doc_id, text), and for each document a row of the empty term."""
+    words = docs.select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("dl"), F.explode(F.concat("words", F.array(F.lit("")))).alias("term"))
     return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def term_stats(index: DataFrame) -> DataFrame:
     """term, df, cf."""
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return index.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
 
+def index_of(docs: DataFrame) -> Index:
+    """The index of docs (doc_id, text), for any number of queries: texts are read and split once. Rows that repeat an id are one document."""
+    made = stored(postings(docs), "postings")
+    size = made.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return Index(made.where("term <> ''"), stored(term_stats(made), "terms"), stored(size, "size"))
 
-def matched(docs: DataFrame, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, score (BM25), overlap (distinct query terms found) of documents that share a term.
+
+def matched(docs: DataFrame, queries: DataFrame, index: Index | None = None) -> DataFrame:
+    """query_id, doc_id, score (BM25), overlap (distinct query terms found) of documents that share a term; stored.
 
     docs (doc_id, text), queries (query_id, text). A negative inverse frequency is replaced by EPSILON times the
     mean over all terms; each occurrence of a term in the query counts.
     """
-    index = postings(docs) if index is None else index
-    size = docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    idf = term_stats(index).crossJoin(F.broadcast(size)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = idf.agg(F.avg("idf").alias("mean"))
+    index = index_of(docs) if index is None else index
+    size = F.broadcast(index.size)  # one row
+    idf = index.terms.crossJoin(size).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    mean = F.broadcast(idf.agg(F.avg("idf").alias("mean")))  # one row
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    asked = asked.join(idf, "term").crossJoin(F.broadcast(mean))
-    asked = asked.select("query_id", "term", "qf", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    hits = index.join(small(asked), "term").crossJoin(F.broadcast(size))
+    asked = stored(asked.join(idf, "term").crossJoin(mean).select("query_id", "term", "qf", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf")), "asked")
+    hits = index.postings.join(small(asked), "term").crossJoin(size)
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("overlap"))
+    return stored(hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("overlap")), "hits")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = DEPTH, hits: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score, overlap, rank: the k best documents, ties by doc_id.
 
     Blank queries have no hits. A query with fewer than k documents above zero is filled from documents of score
-    zero in order of doc_id; only such queries are held against all documents.
+    zero in order of doc_id. For that the smallest ids are enough: k more than such a query has hits.
     """
     hits = matched(docs, queries) if hits is None else hits
     asked = queries.where(F.size(tokens(F.col("text"))) > 0).select("query_id")
-    found = hits.where("score > 0").groupBy("query_id").count()
-    short = asked.join(found, "query_id", "left").where(F.coalesce("count", F.lit(0)) < k).select("query_id")
-    rest = docs.select("doc_id").join(F.broadcast(short)).join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    found = hits.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("above"), F.count("*").alias("n"))
+    short = stored(asked.join(found, "query_id", "left").where(F.coalesce("above", F.lit(0)) < k).select("query_id", F.coalesce("n", F.lit(0)).alias("n")), "short")
+    most = short.agg(F.max("n")).first()[0]
+    if most is None:
+        return top(hits, [F.round("score", 9).desc(), F.col("doc_id")], k)
+    first = docs.select("doc_id").distinct().orderBy("doc_id").limit(k + most)
+    rest = small(first).crossJoin(short.select("query_id")).join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     zero = rest.select("query_id", "doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("overlap"))
     return top(hits.unionByName(zero), [F.round("score", 9).desc(), F.col("doc_id")], k)
 
@@ -123,6 +148,46 @@ def fuse(lists: list[DataFrame], k: int = DEPTH) -> DataFrame:
     return top(fused, [F.round("score", 12).desc(), F.col("first")], k).drop("first")
 
 
+def hybrid(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, depth: int = DEPTH, k: int = DEPTH, lexical: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank: the dense and the BM25 list of depth documents each, dense first, fused.
+
+    vectors (vec_id, embedding) and docs (doc_id, text) share ids; a BM25 list that is there already may be given.
+    """
+    near = dense(vectors, query_vectors, depth).withColumnRenamed("vec_id", "doc_id")
+    return fuse([near, bm25(docs, queries, depth) if lexical is None else lexical], k)
+
+
+def normalised(vector: Column) -> Column:
+    """A vector of length one; null and zero vectors stay as they are."""
+    wide = F.transform(vector, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x))
+    return F.when(norm > 0, F.transform(wide, lambda x: x / norm)).otherwise(wide)
+
+
+def encoded(texts: DataFrame, encode: Callable[[], Callable[[list[str]], Any]], text: str = "text", batch: int = 64) -> DataFrame:
+    """texts with embedding: unit vectors of a model that encode loads once a task; batch texts are encoded at a time.
+
+    The model maps a list of texts to a matrix. Null texts are encoded as empty. Rows that are done already are left out by
+    joining them away first (state.pending), which makes a run resumable.
+    """
+
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = encode()
+        for b in batches:
+            rows = [np.asarray(model([t or "" for t in b.slice(i, batch).to_pylist()]), np.float64) for i in range(0, len(b), batch)]
+            yield pa.array([v.tolist() for r in rows for v in r], pa.list_(pa.float64()))
+
+    return texts.withColumn("embedding", run(F.col(text))).withColumn("embedding", normalised(F.col("embedding")))
+
+
+def deduplicated(chunks: DataFrame, key: str, order: str) -> DataFrame:
+    """One row a key: the content of its last row by order, at the place of its first, as column order."""
+    rest = [c for c in chunks.columns if c not in (key, order)]
+    last = chunks.groupBy(key).agg(F.min(order).alias(order), F.max(F.struct(order, *rest)).alias("__last"))
+    return last.select(key, order, *[F.col("__last")[c].alias(c) for c in rest])
+
+
 def min_max(column: str, key: str = "query_id") -> Column:
     """A score between the least and the greatest of its query; 1 where all are equal."""
     w = Window.partitionBy(key)
@@ -143,7 +208,8 @@ def rerank(candidates: DataFrame, docs: DataFrame, queries: DataFrame, k: int =
     This stands in for a pair-scoring model; ties keep the candidates' order.
     """
     asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("asked"))
-    read = candidates.join(docs.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("words")), "doc_id").join(asked, "query_id")
+    read = candidates.select("query_id", "doc_id", "rank").join(docs.select("doc_id", "text"), "doc_id").join(asked, "query_id")
+    read = read.select("query_id", "doc_id", "rank", "asked", tokens(F.col("text")).alias("words"))
     scored = read.select("query_id", "doc_id", (F.size(F.array_intersect("asked", "words")) / F.size("asked")).alias("score"), F.col("rank").alias("before"))
     return top(scored, [F.round("score", 9).desc(), F.col("before")], k).drop("before")
 
@@ -154,12 +220,12 @@ def metrics(hits: DataFrame, queries: DataFrame, by: list[str], depth: int = FIN
     Queries without hits count as zeros. Hits and precision are percentages; precision both over the hits returned
     and over depth.
     """
-    stages = hits.select(*by).distinct()
-    every = queries.select("query_id").join(F.broadcast(stages))
     at = lambda k: F.max(F.when(F.col("relevant") & (F.col("rank") <= k), 1.0).otherwise(0.0))
     inside = F.col("rank") <= depth
     found = F.sum(F.when(F.col("relevant") & inside, 1.0).otherwise(0.0))
-    each = hits.groupBy(*by, "query_id").agg(at(1).alias("hit1"), at(3).alias("hit3"), at(5).alias("hit5"), (found / F.count_if(inside)).alias("precision_returned"), (found / depth).alias("precision_fixed"), F.coalesce(1.0 / F.min(F.when(F.col("relevant"), F.col("rank"))), F.lit(0.0)).alias("mrr"))
-    full = every.join(each, [*by, "query_id"], "left").fillna(0.0)
-    scaled = [F.avg(c).alias(c) if c == "mrr" else (100 * F.avg(c)).alias(c) for c in ("hit1", "hit3", "hit5", "precision_returned", "precision_fixed", "mrr")]
-    return full.groupBy(*by).agg(F.count("*").alias("n_queries"), *scaled).withColumn("quality", (F.col("hit5") + 100 * F.col("mrr")) / 2)
+    figures = ("hit1", "hit3", "hit5", "precision_returned", "precision_fixed", "mrr")
+    each = hits.groupBy(*by, "query_id").agg(at(1).alias("hit1"), at(3).alias("hit3"), at(5).alias("hit5"), F.coalesce(found / F.nullif(F.count_if(inside), F.lit(0)), F.lit(0.0)).alias("precision_returned"), (found / depth).alias("precision_fixed"), F.coalesce(1.0 / F.min(F.when(F.col("relevant"), F.col("rank"))), F.lit(0.0)).alias("mrr"))
+    # Sums over the queries with hits, divided by the number of all; one row is joined.
+    sums = each.groupBy(*by).agg(*[F.sum(c).alias(c) for c in figures]).crossJoin(F.broadcast(queries.agg(F.count("*").alias("n_queries"))))
+    scaled = [(F.col(c) / F.col("n_queries") * (1 if c == "mrr" else 100)).alias(c) for c in figures]
+    return sums.select(*by, "n_queries", *scaled).withColumn("quality", (F.col("hit5") + 100 * F.col("mrr")) / 2)

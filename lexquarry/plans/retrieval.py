@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.operators import context as X
 from lexquarry.operators import search as S
+from lexquarry.sources.store import stored
 from lexquarry.sources.tables import table
 
 
@@ -28,9 +29,9 @@ def bm25_topk(spark, sf):
 
 
 def _lists(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All matches (persisted), the BM25 list, and a list by number of query terms found."""
+    """All matches (stored), the BM25 list, and a list by number of query terms found."""
     docs, asked = _docs(spark, sf), _asked(spark, sf)
-    hits = S.matched(docs, asked).persist()
+    hits = S.matched(docs, asked)
     return hits, S.bm25(docs, asked, hits=hits), S.top(hits, [F.col("overlap").desc(), F.col("doc_id")], S.DEPTH)
 
 
@@ -76,6 +77,48 @@ def dense_topk(spark, sf):
     return S.dense(*_vectors(spark, sf)).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+def _hybrid(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Queries (vectors' ids divisible by 100 that are documents, with their text), and the dense, BM25 and fused lists."""
+    vectors, vector_asked = _vectors(spark, sf)
+    docs = _docs(spark, sf)
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text").join(vector_asked.select("query_id"), "query_id", "left_semi")
+    asked_vectors = vector_asked.select("query_id", F.col("embedding").alias("embedding")).join(docs.select(F.col("doc_id").alias("query_id")), "query_id", "left_semi")
+    lexical = S.bm25(docs, asked)
+    near = S.dense(vectors, asked_vectors).withColumnRenamed("vec_id", "doc_id")
+    return asked, near, lexical, S.hybrid(docs, asked, vectors, asked_vectors, lexical=lexical)
+
+
+def hybrid_retrieval(spark, sf):
+    return _hybrid(spark, sf)[3].select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
+
+
+def four_stage_metrics(spark, sf):
+    """Dense, BM25, fused and reranked lists against labels: a document is relevant if its vector's label is the query's."""
+    asked, near, lexical, fused = _hybrid(spark, sf)
+    fused = stored(fused, "fused")
+    stages = [near, lexical, fused, S.rerank(fused, _docs(spark, sf), asked)]
+    hits = None
+    for name, x in zip(("dense", "bm25", "rrf", "rerank"), stages, strict=True):
+        part = x.select(F.lit(name).alias("stage"), "query_id", "doc_id", "rank")
+        hits = part if hits is None else hits.union(part)
+    labels = table(spark, sf, "embeddings").select("vec_id", "label")
+    own = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("asked"))
+    judged = stored(hits, "staged").join(labels.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left").join(own, "query_id").withColumn("relevant", F.coalesce(F.col("label") == F.col("asked"), F.lit(False)))
+    return S.metrics(judged, asked, ["stage"]).select("stage", "n_queries", *[F.round(c, 6).alias(c) for c in ("hit1", "hit3", "hit5", "precision_returned", "precision_fixed", "mrr", "quality")])
+
+
+def chunk_dedupe(spark, sf):
+    """Chunks of all documents under ids that repeat, in load order by doc_id."""
+    made = _docs(spark, sf).select(F.concat_ws("-", "source", (F.col("n_chars") % 40).cast("string")).alias("chunk_id"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return S.deduplicated(made, "chunk_id", "doc_id").select("chunk_id", F.col("doc_id").alias("first_id"), "text_sha256")
+
+
+def vector_normalise(spark, sf):
+    """Lengths of all vectors before and after they are normalised."""
+    length = lambda v: F.round(F.sqrt(F.aggregate(F.transform(v, lambda x: x.cast("double")), F.lit(0.0), lambda acc, x: acc + x * x)), 9)
+    return table(spark, sf, "embeddings").select("vec_id", F.round(length(F.col("embedding")), 6).alias("before"), length(S.normalised(F.col("embedding"))).alias("after"))
+
+
 def _staged(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Hits of two stages (all dimensions; the first half of them) with relevance (equal labels), and the queries."""
     vectors, asked = _vectors(spark, sf)
@@ -132,13 +175,17 @@ def judge_means(spark, sf):
 
 
 _TOKENS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z0-9]+'))"
-_MATCHED = f"""
+_ASKED = "SELECT item_id AS query_id, text FROM benchmark"
+
+
+def _matching(asked: str) -> str:
+    return f"""
   w AS (SELECT doc_id, {_TOKENS} AS words FROM documents),
   size AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM w),
   p AS (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(words) AS dl, unnest(words) AS term FROM w) GROUP BY term, doc_id),
   raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM p, size GROUP BY term, n),
   idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
-  b AS (SELECT item_id AS query_id, {_TOKENS} AS words FROM benchmark),
+  b AS (SELECT query_id, {_TOKENS} AS words FROM ({asked})),
   q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(words) AS term FROM b) GROUP BY query_id, term),
   hits AS (
     SELECT query_id, doc_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score, count(*) AS overlap
@@ -154,6 +201,9 @@ _MATCHED = f"""
   fused_all AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score, min(list * 1000 + rank) AS first FROM (SELECT query_id, doc_id, list, CAST(rank AS DOUBLE) AS rank FROM both_lists) GROUP BY query_id, doc_id),
   fused AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS rank FROM fused_all) WHERE rank <= 20)
 """
+
+
+_MATCHED = _matching(_ASKED)
 _DENSE = """
   e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL),
   pairs AS (
@@ -183,10 +233,32 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-QUERIES = {f.__name__: f for f in (bm25_postings_stats, bm25_topk, rrf_fusion, hybrid_weighted_rerank, rerank_overlap, context_blocks, answer_prompts, dense_topk, retrieval_metrics, rerank_regression, similarity_summary, conversation_window, rewrite_prompts, citation_accuracy, judge_means)}
+_HYBRID = f"""{_matching("SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)")}, {_DENSE},
+  near AS (SELECT query_id, vec_id AS doc_id, rank FROM ranked WHERE stage = 'full' AND query_id IN (SELECT query_id FROM b)),
+  two AS (SELECT query_id, doc_id, 0 AS list, rank FROM near UNION ALL SELECT query_id, doc_id, 1, rank FROM bm25),
+  mixed_all AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score, min(list * 1000 + rank) AS first FROM (SELECT query_id, doc_id, list, CAST(rank AS DOUBLE) AS rank FROM two) GROUP BY query_id, doc_id),
+  mixed AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS rank FROM mixed_all) WHERE rank <= 20),
+  again AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, before_rank) AS rank FROM (
+    SELECT query_id, mixed.doc_id, mixed.rank AS before_rank, len(list_intersect(list_distinct(b.words), list_distinct(w.words))) / len(list_distinct(b.words)) AS s FROM mixed JOIN b USING (query_id) JOIN w ON w.doc_id = mixed.doc_id)),
+  four AS (SELECT 'dense' AS stage, query_id, doc_id, rank FROM near UNION ALL SELECT 'bm25', query_id, doc_id, rank FROM bm25 UNION ALL SELECT 'rrf', query_id, doc_id, rank FROM mixed UNION ALL SELECT 'rerank', query_id, doc_id, rank FROM again WHERE rank <= 5),
+  seen AS (SELECT four.*, coalesce(x.label = y.label, false) AS relevant FROM four JOIN e AS x ON x.vec_id = query_id LEFT JOIN e AS y ON y.vec_id = four.doc_id)"""
+
+QUERIES = {f.__name__: f for f in (hybrid_retrieval, four_stage_metrics, chunk_dedupe, vector_normalise, bm25_postings_stats, bm25_topk, rrf_fusion, hybrid_weighted_rerank, rerank_overlap, context_blocks, answer_prompts, dense_topk, retrieval_metrics, rerank_regression, similarity_summary, conversation_window, rewrite_prompts, citation_accuracy, judge_means)}
 
 SQL = {
     "bm25_postings_stats": f"WITH w AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM w GROUP BY term",
+    "hybrid_retrieval": f"WITH {_HYBRID} SELECT query_id, doc_id, rank, round(score, 9) AS score FROM mixed",
+    "four_stage_metrics": f"""WITH {_HYBRID}, m AS (
+      SELECT stage, query_id, max(CASE WHEN relevant AND rank <= 1 THEN 1.0 ELSE 0 END) AS hit1, max(CASE WHEN relevant AND rank <= 3 THEN 1.0 ELSE 0 END) AS hit3, max(CASE WHEN relevant AND rank <= 5 THEN 1.0 ELSE 0 END) AS hit5,
+        sum(CASE WHEN relevant AND rank <= 5 THEN 1.0 ELSE 0 END) / count(*) FILTER (rank <= 5) AS pr, sum(CASE WHEN relevant AND rank <= 5 THEN 1.0 ELSE 0 END) / 5 AS pf, coalesce(1.0 / min(CASE WHEN relevant THEN rank END), 0) AS rr
+      FROM seen GROUP BY stage, query_id
+    ), asked AS (SELECT count(*) AS n FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT vec_id FROM embeddings))
+    SELECT stage, n AS n_queries, round(100 * sum(hit1) / n, 6) AS hit1, round(100 * sum(hit3) / n, 6) AS hit3, round(100 * sum(hit5) / n, 6) AS hit5, round(100 * sum(pr) / n, 6) AS precision_returned, round(100 * sum(pf) / n, 6) AS precision_fixed,
+      round(sum(rr) / n, 6) AS mrr, round((100 * sum(hit5) / n + 100 * sum(rr) / n) / 2, 6) AS quality FROM m, asked GROUP BY stage, n""",
+    "chunk_dedupe": """WITH c AS (SELECT concat_ws('-', source, CAST(n_chars % 40 AS VARCHAR)) AS chunk_id, doc_id, sha256(coalesce(text, '')) AS h FROM documents)
+      SELECT chunk_id, min(doc_id) AS first_id, arg_max(h, doc_id) AS text_sha256 FROM c GROUP BY chunk_id""",
+    "vector_normalise": """WITH v AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings)
+      SELECT vec_id, round(n, 6) AS before, CAST(CASE WHEN n > 0 THEN 1 ELSE 0 END AS DOUBLE) AS after FROM v""",
     "bm25_topk": f"WITH {_MATCHED} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM bm25",
     "rrf_fusion": f"WITH {_MATCHED} SELECT query_id, doc_id, rank, round(score, 9) AS score FROM fused",
     "hybrid_weighted_rerank": f"""WITH {_MATCHED}, m AS (
