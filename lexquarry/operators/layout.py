@@ -91,15 +91,15 @@ def standalone_tables(page_text: Column, tables: Column) -> Column:
     return F.transform(F.filter(marked, lambda x: x["alone"]), lambda x: x["m"])
 
 
-def assessment(raw: Column, structured: Column, figures: Column, n_table_issues: Column) -> Column:
-    """Warning categories of a page, in order; an empty page has no other."""
+def assessment(raw: Column, structured: Column, figures: Column, n_table_issues: Column, out_of_order: Column | None = None) -> Column:
+    """Warning categories of a page, in order; an empty page has no other. out_of_order: whether order_anomalies has found the page."""
     a, b = F.length(strip(raw)), F.length(strip(structured))
     apart = F.abs(a - b) / F.greatest(a, b)
     signs = Q.garbled(F.when(a > 0, raw).otherwise(structured))
     found = F.concat(
         F.array_compact(F.array(F.when((a > 0) & (a < Q.LOW_TEXT), "low_text_page"), F.when((a < Q.OCR_TEXT) & (figures > 0), "ocr_candidate"), F.when(F.size(signs) > 0, "garbled_text"))),
         F.array_repeat(F.lit("table_irregularity"), n_table_issues.cast("int")),
-        F.array_compact(F.array(F.when((a > 200) & (b > 0) & (apart > 0.40), "representation_divergence"))),
+        F.array_compact(F.array(F.when(F.lit(False) if out_of_order is None else out_of_order, "reading_order_warning"), F.when((a > 200) & (b > 0) & (apart > 0.40), "representation_divergence"))),
     )
     return F.when((a == 0) & (b == 0), F.array(F.lit("empty_page"))).otherwise(found)
 
@@ -119,9 +119,10 @@ def document_assessment(pages: DataFrame) -> DataFrame:
 def corrected(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """pages (document_id, page_number, text) with guarded corrections (document_id, page_number, signature, pattern, replacement) and applied.
 
-    A rule holds for its page if the text has the signature and not yet the replacement; rules are few and broadcast.
+    A rule holds for its page if the text has the signature and not yet the replacement. There may be a rule for every
+    document: the join is Spark's choice.
     """
-    r = F.broadcast(rules.withColumnsRenamed({"document_id": "__d", "page_number": "__p"}))
+    r = rules.withColumnsRenamed({"document_id": "__d", "page_number": "__p"})
     held = pages.join(r, (F.col("document_id") == F.col("__d")) & (F.col("page_number") == F.col("__p")), "left")
     holds = F.coalesce(F.contains("text", "signature") & ~F.contains("text", "replacement"), F.lit(False))
     return held.withColumn("applied", holds).withColumn("text", F.when(holds, F.expr("replace(text, pattern, replacement)")).otherwise(F.col("text"))).select(*pages.columns, "applied")

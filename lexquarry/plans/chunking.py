@@ -15,18 +15,6 @@ MARKED = {0: "# ", 3: "## ", 5: "### ", 7: "2.1 Aa", 8: "APPENDIX A "}
 
 
 def _pages(spark, sf) -> DataFrame:
-    """Pages of all documents, one each: every line is a paragraph, and lines of some kinds become headings or numbers."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
-    kind = F.col("doc_id").cast("int") % 11 + F.col("i")
-    made = F.col("line")
-    for k, mark in MARKED.items():
-        made = F.when(kind % 11 == k, F.concat(F.lit(mark), F.left("line", F.lit(30)))).otherwise(made)
-    made = F.when(kind % 11 == 9, "13").otherwise(made)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", made.alias("t")))), lambda x: x["t"]), "\n\n")
-    return lines.groupBy("doc_id").agg(joined.alias("text")).select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), "text")
-
-
-def _whole_pages(spark, sf) -> DataFrame:
     """Pages of all documents, one each: every line is a whole paragraph, and headings or numbers stand before lines of some kinds."""
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
     kind = (F.col("doc_id").cast("int") % 11 + F.col("i")) % 11
@@ -53,7 +41,7 @@ def _grouped(found: DataFrame) -> DataFrame:
 
 
 def _chunks(spark, sf) -> DataFrame:
-    return K.chunks(K.groups(K.segments(_whole_pages(spark, sf))))
+    return K.chunks(K.groups(K.segments(_pages(spark, sf))))
 
 
 def chunks_packed(spark, sf):
@@ -151,7 +139,8 @@ def checkpoint_status(spark, sf):
 
 _H = r"""
   lines AS (SELECT doc_id, i - 1 AS i, string_split(coalesce(text, ''), chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS t(i)),
-  made AS (SELECT doc_id, i, CASE (doc_id % 11 + i) % 11 WHEN 0 THEN '# ' || left(line, 30) WHEN 3 THEN '## ' || left(line, 30) WHEN 5 THEN '### ' || left(line, 30) WHEN 7 THEN '2.1 Aa' || left(line, 30) WHEN 8 THEN 'APPENDIX A ' || left(line, 30) WHEN 9 THEN '13' ELSE line END AS raw FROM lines),
+  made AS (SELECT doc_id, 2 * i AS i, CASE (doc_id % 11 + i) % 11 WHEN 0 THEN '# ' || left(line, 30) WHEN 3 THEN '## ' || left(line, 30) WHEN 5 THEN '### ' || left(line, 30) WHEN 7 THEN '2.1 Aa' || left(line, 30) WHEN 8 THEN 'APPENDIX A ' || left(line, 30) WHEN 9 THEN '13' END AS raw FROM lines WHERE (doc_id % 11 + i) % 11 IN (0, 3, 5, 7, 8, 9)
+    UNION ALL SELECT doc_id, 2 * i + 1, line FROM lines),
   s0 AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, i, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS text FROM made),
   s1 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(text, '^#+', ''), '^\s+|\s+$', '', 'g'), '^[*_ \t]+|[*_ \t]+$', '', 'g') AS clean, regexp_replace(regexp_replace(text, '^#+', ''), '^\s+|\s+$', '', 'g') AS content FROM s0 WHERE text <> '' AND NOT regexp_full_match(regexp_replace(regexp_replace(text, '^#+', ''), '^[*_ \t]+|[*_ \t]+$', '', 'g'), '[0-9]{1,4}')),
   s2 AS (SELECT *, regexp_extract(text, '^([0-9]+(?:\.[0-9]+)+|[0-9]+\.)\s+([A-Z][^\n]+)$', 1) AS number, regexp_replace(regexp_extract(text, '^([0-9]+(?:\.[0-9]+)+|[0-9]+\.)\s+([A-Z][^\n]+)$', 2), '\s+$', '') AS title FROM s1),

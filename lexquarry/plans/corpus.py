@@ -74,12 +74,8 @@ def embedding_validation(spark, sf):
 
 
 def literal_conservation(spark, sf):
-    """How many benchmark texts, white space aside, stand whole in some document."""
-    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", "")
-    literals = table(spark, sf, "benchmark").select("item_id", bare(F.col("text")).alias("literal"))
-    docs = table(spark, sf, "documents").select(bare(F.col("text")).alias("body"))
-    found = docs.join(F.broadcast(literals), F.expr("contains(body, literal)")).groupBy("item_id").agg(F.count("*").alias("n_docs"))
-    return literals.join(found, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
+    """In how many documents each benchmark text stands whole, runs of white space being one space."""
+    return Q.literal_counts(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
 def ocr_routing(spark, sf):
@@ -208,7 +204,7 @@ SQL = {
     "repeated_paragraphs": f"WITH l AS (SELECT doc_id, {_STRIP.format('line')} AS line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)) SELECT line, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM l WHERE line <> '' GROUP BY line HAVING count(*) >= 3",
     "entity_preservation": f"WITH p AS (SELECT source, {_PUT} AS x FROM documents), q AS (SELECT source, x, regexp_replace(x, '[ \\t]+', ' ', 'g') AS y FROM p) SELECT source, {_COUNT} FROM q GROUP BY source",
     "embedding_validation": "SELECT count(*) AS n_vectors, count(DISTINCT len(embedding)) AS n_dims, max(len(embedding)) AS dim, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS n_without_vector, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS n_without_document FROM embeddings",
-    "literal_conservation": r"WITH l AS (SELECT item_id, regexp_replace(coalesce(text, ''), '\s', '', 'g') AS x FROM benchmark), d AS (SELECT regexp_replace(coalesce(text, ''), '\s', '', 'g') AS y FROM documents) SELECT item_id, count(y) AS n_docs FROM l LEFT JOIN d ON contains(y, x) GROUP BY item_id",
+    "literal_conservation": r"WITH l AS (SELECT item_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS x FROM benchmark), d AS (SELECT trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS y FROM documents) SELECT item_id, count(y) AS n_docs FROM l LEFT JOIN d ON contains(y, x) GROUP BY item_id",
     "ocr_routing": f"WITH {_FLAGS} SELECT CASE WHEN NOT (text_length < 50 AND doc_id % 3 >= 1) THEN 'not_needed' WHEN doc_id % 2 = 0 THEN 'routed' ELSE 'engine_unavailable' END AS outcome, count(*) AS n_pages FROM f GROUP BY 1",
     "preflight_flags": "WITH p AS (SELECT p_brand, p_partkey % 10 = 0 AS r, p_partkey * 7 % 90 + 560 AS w, p_partkey * 11 % 120 + 750 AS h FROM part) SELECT p_brand, count(*) AS n_pages, count(*) FILTER (r) AS n_rotated, count(*) FILTER (NOT ((abs(w - 612) <= 20 AND abs(h - 792) <= 20) OR (abs(w - 595) <= 20 AND abs(h - 842) <= 20))) AS n_odd_size FROM p GROUP BY p_brand",
     "table_issues": """WITH c AS (SELECT l_orderkey, l_quantity AS q, CASE WHEN l_quantity > 45 THEN 1 ELSE 3 END AS width, CASE WHEN l_quantity > 12 THEN 1 ELSE 0 END + CASE WHEN l_quantity > 45 THEN 0 ELSE CASE WHEN l_quantity > 20 THEN 1 ELSE 0 END + CASE WHEN l_quantity > 15 THEN 1 ELSE 0 END END AS blank FROM lineitem),

@@ -13,11 +13,13 @@ from lexquarry.sources.tables import category_and_id, filled, pages, table
 
 
 def _blocks(spark, sf) -> DataFrame:
-    """The lines of all documents as blocks of a page each, placed by number; some become headings, items or blanks."""
+    """The lines of all documents as blocks of a page each, placed by number; beside some lines stands a heading, an item or a blank block."""
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
     kind = (F.col("doc_id") + F.col("i")) % 6
-    text = F.when(kind == 0, F.upper(F.replace(F.left("line", F.lit(40)), F.lit("ß"), F.lit("ss")))).when(kind == 1, F.concat(F.lit("3.1 "), F.left("line", F.lit(60)))).when(kind == 2, F.concat(F.lit("- "), "line")).when(kind == 3, "  ").otherwise(F.col("line"))
-    return lines.select(F.col("doc_id").alias("page"), (F.col("i") % 3 * 100).cast("double").alias("left"), F.floor(F.col("i") / 3).cast("double").alias("top"), text.alias("text"))
+    beside = F.when(kind == 0, F.upper(F.replace(F.left("line", F.lit(40)), F.lit("ß"), F.lit("ss")))).when(kind == 1, F.concat(F.lit("3.1 "), F.left("line", F.lit(60)))).when(kind == 2, F.concat(F.lit("- "), "line")).when(kind == 3, "  ")
+    left = (F.col("i") % 3 * 100).cast("double")
+    both = F.explode(F.filter(F.array(F.struct((left - 50).alias("left"), beside.alias("text")), F.struct(left.alias("left"), F.col("line").alias("text"))), lambda x: x["text"].isNotNull()))
+    return lines.select(F.col("doc_id").alias("page"), F.floor(F.col("i") / 3).cast("double").alias("top"), both.alias("b")).select("page", "b.left", "top", "b.text")
 
 
 def block_order(spark, sf):
@@ -43,9 +45,9 @@ def standalone_tables(spark, sf):
 
 def _assessed(spark, sf) -> DataFrame:
     found = pages(table(spark, sf, "documents"))
-    raw = F.when(F.col("doc_id") % 17 == 0, "").when(F.col("doc_id") % 17 == 1, F.left("text", F.lit(30))).otherwise(F.col("text"))
-    structured = F.when(F.col("doc_id") % 17 == 0, " ").when(F.col("doc_id") % 17 == 2, F.left("text", F.lit(100))).otherwise(F.col("text"))
-    return found.select("document_id", "page_number", "doc_id", L.assessment(raw, structured, F.col("doc_id") % 3, F.when(F.col("doc_id") % 5 == 0, 2).otherwise(0)).alias("found"), F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("ocr_candidate"))).otherwise(F.array().cast("array<string>")).alias("existing"))
+    raw = F.when(F.col("doc_id") % 17 == 0, "").when(F.col("doc_id") % 17 == 1, "A page with a few words.").otherwise(F.col("text"))
+    structured = F.when(F.col("doc_id") % 17 == 0, " ").when(F.col("doc_id") % 17 == 2, F.translate("text", "aeiou ", "")).otherwise(F.col("text"))
+    return found.select("document_id", "page_number", "doc_id", L.assessment(raw, structured, F.col("doc_id") % 3, F.when(F.col("doc_id") % 5 == 0, 2).otherwise(0), F.col("doc_id") % 11 == 3).alias("found"), F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("ocr_candidate"))).otherwise(F.array().cast("array<string>")).alias("existing"))
 
 
 def page_assessment(spark, sf):
@@ -67,7 +69,7 @@ def conservation_audit(spark, sf):
     """Pages of all sources against a second version that lost some pages and texts."""
     before = pages(table(spark, sf, "documents")).drop("doc_id")
     source = F.substring("document_id", 4, 9).cast("int")
-    after = before.where((source % 5 != 0) | (F.col("page_number") != 2)).where(source % 7 != 6).withColumn("text", F.when(source % 3 == 1, F.left("text", F.lit(500))).otherwise(F.col("text")))
+    after = before.where((source % 5 != 0) | (F.col("page_number") != 2)).where(source % 7 != 6).withColumn("text", F.when(source % 3 == 1, F.translate("text", "aeiou", "")).otherwise(F.col("text")))
     return L.conserved(before, after)
 
 
@@ -104,7 +106,8 @@ def known_publications(spark, sf):
 
 _B = """
   l AS (SELECT doc_id AS page, i - 1 AS i, string_split(coalesce(text, ''), chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS t(i)),
-  r AS (SELECT page, (i % 3) * 100 AS x, i // 3 AS y, CASE (page + i) % 6 WHEN 0 THEN upper(replace(left(line, 40), 'ß', 'ss')) WHEN 1 THEN '3.1 ' || left(line, 60) WHEN 2 THEN '- ' || line WHEN 3 THEN '  ' ELSE line END AS raw FROM l),
+  r AS (SELECT page, (i % 3) * 100 AS x, i // 3 AS y, line AS raw FROM l
+    UNION ALL SELECT page, (i % 3) * 100 - 50, i // 3, CASE (page + i) % 6 WHEN 0 THEN upper(replace(left(line, 40), 'ß', 'ss')) WHEN 1 THEN '3.1 ' || left(line, 60) WHEN 2 THEN '- ' || line ELSE '  ' END FROM l WHERE (page + i) % 6 < 4),
   n AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY y, x, raw) AS reading_order, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS text FROM r),
   k AS (SELECT *, regexp_matches(text, '(?i)^(SECTION|[0-9]+(\\.[0-9]+)*|[A-Z]\\.[0-9]+)\\s+') AS sec, upper(text) = text AND lower(text) <> text AS caps FROM n WHERE text <> ''),
   b AS (SELECT page, 'p' || page || '_b' || reading_order AS block_id, reading_order, text, CASE WHEN (length(text) < 120 AND (caps OR sec)) OR (sec AND length(text) < 160) THEN 'heading' WHEN regexp_matches(text, '^([•\\-*]|[0-9]+\\.|\\([a-z0-9]+\\))\\s+') THEN 'list_item' ELSE 'paragraph' END AS kind,
@@ -113,11 +116,11 @@ _B = """
 _P = "p AS (SELECT source AS document_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, coalesce(text, '') AS text FROM documents)"
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 _A = f"""{_P},
-  v AS (SELECT document_id, doc_id, CASE doc_id % 17 WHEN 0 THEN '' WHEN 1 THEN left(text, 30) ELSE text END AS raw, CASE doc_id % 17 WHEN 0 THEN ' ' WHEN 2 THEN left(text, 100) ELSE text END AS st FROM p),
+  v AS (SELECT document_id, doc_id, CASE doc_id % 17 WHEN 0 THEN '' WHEN 1 THEN 'A page with a few words.' ELSE text END AS raw, CASE doc_id % 17 WHEN 0 THEN ' ' WHEN 2 THEN translate(text, 'aeiou ', '') ELSE text END AS st FROM p),
   w AS (SELECT *, length({_STRIP.format("raw")}) AS a, length({_STRIP.format("st")}) AS s, replace({_STRIP.format("CASE WHEN raw <> '' THEN raw ELSE st END")}, '.', '') AS bare FROM v),
   c AS (SELECT document_id, doc_id, CASE WHEN a = 0 AND s = 0 THEN ['empty_page'] ELSE list_concat(list_concat(CASE WHEN a BETWEEN 1 AND 99 THEN ['low_text_page'] ELSE [] END, CASE WHEN a < 50 AND doc_id % 3 > 0 THEN ['ocr_candidate'] ELSE [] END),
     list_concat(list_concat(CASE WHEN length(bare) >= 50 AND length(regexp_replace(bare, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / length(bare) < 0.25 THEN ['garbled_text'] ELSE [] END, CASE WHEN doc_id % 5 = 0 THEN ['table_irregularity', 'table_irregularity'] ELSE [] END),
-    CASE WHEN a > 200 AND s > 0 AND abs(a - s) / greatest(a, s) > 0.40 THEN ['representation_divergence'] ELSE [] END)) END AS found FROM w)
+    list_concat(CASE WHEN doc_id % 11 = 3 THEN ['reading_order_warning'] ELSE [] END, CASE WHEN a > 200 AND s > 0 AND abs(a - s) / greatest(a, s) > 0.40 THEN ['representation_divergence'] ELSE [] END))) END AS found FROM w)
 """
 
 QUERIES = {f.__name__: f for f in (block_order, structured_text, raw_text_export, standalone_tables, page_assessment, document_assessment, guarded_corrections, conservation_audit, chunk_aliases, inventory_cache, pending_documents, known_publications)}
@@ -132,8 +135,8 @@ SQL = {
       g AS (SELECT document_id, count(*) AS n_pages, {", ".join(f"CAST(sum(len(list_filter(f, lambda x: x = '{k}'))) AS BIGINT) AS {n}" for k, n in (("empty_page", "n_empty"), ("ocr_candidate", "n_ocr"), ("garbled_text", "n_garbled"), ("table_irregularity", "n_table")))} FROM m GROUP BY document_id)
       SELECT *, concat_ws(',', CASE WHEN n_empty > 0 AND n_empty = n_pages THEN 'all_pages_empty' END, CASE WHEN n_ocr > 0 THEN 'document_has_ocr_candidates' END, CASE WHEN n_garbled > 0 THEN 'document_has_garbled_pages' END) AS warnings FROM g""",
     "guarded_corrections": f"WITH {_P}, a AS (SELECT document_id, page_number = 1 AND contains(text, ' the ') AND NOT contains(text, ' THE ') AS ok, text FROM p), b AS (SELECT document_id, ok, CASE WHEN ok THEN replace(text, ' the ', ' THE ') ELSE text END AS t FROM a) SELECT document_id, count(*) FILTER (ok) AS n_applied, CAST(sum(length(t)) AS BIGINT) AS n_chars, CAST(sum(length(t) - length(replace(t, ' THE ', ''))) AS BIGINT) AS changed FROM b GROUP BY document_id",
-    "conservation_audit": f"""WITH {_P}, q AS (SELECT document_id, page_number, length(text) AS n, CAST(substring(document_id, 4) AS INT) AS s FROM p), b AS (SELECT document_id, count(*) AS n, sum(n) AS c FROM q GROUP BY document_id),
-      a AS (SELECT document_id, count(*) AS n, max(page_number) - min(page_number) + 1 AS span, sum(CASE WHEN s % 3 = 1 THEN least(n, 500) ELSE n END) AS c FROM q WHERE (s % 5 <> 0 OR page_number <> 2) AND s % 7 <> 6 GROUP BY document_id)
+    "conservation_audit": f"""WITH {_P}, q AS (SELECT document_id, page_number, length(text) AS n, length(translate(text, 'aeiou', '')) AS bare, CAST(substring(document_id, 4) AS INT) AS s FROM p), b AS (SELECT document_id, count(*) AS n, sum(n) AS c FROM q GROUP BY document_id),
+      a AS (SELECT document_id, count(*) AS n, max(page_number) - min(page_number) + 1 AS span, sum(CASE WHEN s % 3 = 1 THEN bare ELSE n END) AS c FROM q WHERE (s % 5 <> 0 OR page_number <> 2) AND s % 7 <> 6 GROUP BY document_id)
       SELECT document_id, CASE WHEN a.n IS NULL THEN 'missing' WHEN a.n <> b.n THEN 'page_count' WHEN span <> a.n THEN 'not_consecutive' WHEN a.c / greatest(b.c, 1) BETWEEN 0.85 AND 1.30 THEN '' ELSE 'text_ratio' END AS fault FROM b LEFT JOIN a USING (document_id)""",
     "chunk_aliases": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 3 = 1 THEN 'i' || doc_id ELSE 'c' || doc_id END AS key FROM documents WHERE doc_id % 3 < 2 OR doc_id % 6 = 2",
     "inventory_cache": f"SELECT d.doc_id, coalesce(max(quality) * 1000, any_value(length({_STRIP.format("coalesce(text, '')")}))) AS text_length, max(quality) IS NOT NULL AS from_cache FROM documents AS d LEFT JOIN labels USING (doc_id) GROUP BY d.doc_id",
