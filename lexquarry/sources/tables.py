@@ -52,6 +52,42 @@ def chunk_files(spark: SparkSession, path: str) -> DataFrame:
     return found.where(F.col("chunk_id").isNotNull() & F.col("text").isNotNull())
 
 
+PAGE = "page_number int, citation_label string, raw_text string, structured_text string, cleaned_text string, tables array<struct<table_id:string,headers:array<string>,rows:array<array<string>>,caption:string>>, figures array<struct<figure_id:string,image_path:string,caption:string,width:int,height:int>>"
+DOCUMENT = f"document_id string, category string, file_path string, pages array<struct<{', '.join(f'{name}:{kind}' for name, kind in (c.split(' ', 1) for c in PAGE.split(', ')))}>>"
+
+
+def structured(documents: DataFrame, json: str = "value") -> DataFrame:
+    """document_id, category, file_path and PAGE: a row for each page of documents held as JSON in a column; broken ones have none."""
+    read = documents.select(F.from_json(json, DOCUMENT).alias("d")).where("d.pages is not null")
+    return read.select("d.document_id", "d.category", "d.file_path", F.explode("d.pages").alias("p")).select("document_id", "category", "file_path", "p.*")
+
+
+def structured_files(spark: SparkSession, path: str, only: list[str] | None = None) -> DataFrame:
+    """structured() of the files {category}/{document}/{document}_structured.json below path; only names the documents to read."""
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_structured.json").text(path)
+    found = raw.select("value", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"))
+    found = found if only is None else found.where(F.col("folder").isin(*only))
+    return structured(found)
+
+
+def qrels(answers: DataFrame, json: str = "value") -> DataFrame:
+    """query_id, chunk_id of ground truth held as JSON in a column: a list of ids for each query, or an object with relevant_chunks."""
+    read = answers.select(F.explode(F.from_json(json, "map<string, string>")).alias("query_id", "x"))
+    listed = F.when(F.col("x").startswith("["), F.from_json("x", "array<string>")).otherwise(F.from_json("x", "relevant_chunks array<string>")["relevant_chunks"])
+    return read.select("query_id", F.explode(listed).alias("chunk_id")).distinct()
+
+
+def embedded(vectors: DataFrame, metadata: DataFrame, key: list[str]) -> DataFrame:
+    """vectors with their metadata by key; vectors without metadata, and metadata without a vector, are passed over."""
+    return vectors.join(metadata, key)
+
+
+def to_run(files: DataFrame, pilot: DataFrame) -> DataFrame:
+    """files (path, length, sha256) that no pilot (sha256) had, and how many files have the same content."""
+    rest = files.join(pilot.select("sha256").distinct(), "sha256", "left_anti")
+    return rest.join(rest.groupBy("sha256").agg((F.count("*") - 1).alias("n_peers"), F.min("path").alias("first_path")), "sha256")
+
+
 def category_and_id(path: Column) -> tuple[Column, Column]:
     """(folder name, file name without extension) of a path."""
     parts = F.split(path, "/")
