@@ -11,13 +11,16 @@ from lexquarry.llm.queries import TOKENIZER
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score of 0.7 or more). The model learns from the labels of documents in docs."""
+    common.bounded_batches(spark)
     model = quality.train(docs, common.table(spark, sf_dir, "labels"))
-    scored = quality.classify(docs, model, score_col="__score", predicted_col="__predicted")
-    return scored.where(F.col("__predicted") == 1).drop("__score", "__predicted")
+    score, predicted = common.fresh(docs, "score", "predicted")
+    scored = quality.classify(docs, model, score_col=score, predicted_col=predicted)
+    return scored.where(F.col(predicted) == 1).drop(score, predicted)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group that links of 90 % or more shingles in common make."""
+    common.bounded_batches(spark)
     return jaccard.keep_one(docs)
 
 
@@ -33,6 +36,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids and the text that the ids decode to."""
+    common.bounded_batches(spark)
     return bpe.encode_documents(docs, TOKENIZER)
 
 
