@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,49 +10,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexquarry.functions.text import let
+from lexquarry.sources.store import release, scratch, stored
+
+__all__ = ["let", "release", "scratch", "stored"]  # shared with the rest of the library
+
 #: Upper bounds, in rows of bounded width or in bytes, of what is broadcast explicitly; beyond them the join is left to a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 #: Keys whose rows are joined where they are, at most; rows up to which a key is never one of these.
-HEAVY_KEYS, LIGHT_KEY = 100_000, 256
+HEAVY_KEYS, LIGHT_KEY = 100_000, 2000
 #: Edges of a graph that one task contracts.
-EDGES = 20_000
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir).
-
-    A local session without such a folder, as in tests, gets a temporary one; on a cluster that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: lineage ends there and survives lost executors.
-
-    The table goes when it is released, or else when the driver ends.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    atexit.register(release, out)
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Deletes stored tables that nothing will read any more."""
-    with contextlib.suppress(Exception):  # a table that stays only takes room; at the end the JVM may be gone
-        for frame in frames:
-            context = frame.sparkSession.sparkContext
-            at = context._jvm.org.apache.hadoop.fs.Path(frame._stored_at)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+EDGES = 50_000
 
 
 def fresh(df: DataFrame, *stems: str) -> list[str]:
@@ -154,7 +117,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v: long) by alternating large-star and small-star steps.
 
     Returns (node, component_id) with the smallest id of each component, for every node that has an
-    edge to another one. First, tasks of EDGES edges each replace theirs by stars. A step then takes each node's smallest
+    edge to another one. First, tasks of about EDGES edges each replace theirs by stars. A step then takes each node's smallest
     neighbour, with map-side combine, and joins it to the node's edges by spread_join, so a hub is no task's work. Rounds end
     with a checkpoint and their number grows with the logarithm of the longest path.
     """
@@ -164,14 +127,14 @@ def components(edges: DataFrame) -> DataFrame:
         return spread_join(edges, low, "u", total).select("u", "v", F.least("u", "m").alias("m"))
 
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    e = e.repartition(e.count() // EDGES + 1, "u", "v").mapInArrow(_contracted, "u bigint, v bigint").checkpoint()
+    e = e.coalesce(e.count() // EDGES + 1).mapInArrow(_contracted, "u bigint, v bigint").checkpoint()
     mark = None
     while True:
         seen = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark or not seen[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(e.select("v", "v").distinct())
         mark = seen
-        large = joined(e.union(e.select("v", "u")), 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = joined(e.union(e.select("v", "u")), 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().checkpoint()
         e = joined(large, seen[0]).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct().checkpoint()
 
 
@@ -266,11 +229,6 @@ def lower_ascii(text: Column) -> Column:
 NO_SPANS = "cast(array() as array<struct<start:bigint,end:bigint,hit:string>>)"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _in_blocks(array: Column, body: Callable[[Column], Column]) -> Column:
     """body of consecutive slices of an array that isn't empty, each of about as many elements as there are slices."""
     step = F.ceil(F.sqrt(F.size(array))).cast("int")

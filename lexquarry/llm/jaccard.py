@@ -8,8 +8,9 @@ a band either has H + 1 + SPARE exact segments, of which a set with at most SPAR
 or H // 2 + 1 segments with one-deletion neighbourhoods (some segment then differs in one token at most).
 
 Sets with a segment in common are verified exactly. Groups that share a segment are not expanded into
-pairs: all members are compared with the group's smallest set. Groups whose members are then still in different
-components are chained to clusters, and the sets of a cluster are compared inside tasks, block by block.
+pairs: within a batch of sets, and then over all batches, members are compared with the smallest one. Where members are then
+still in different components, the group is open. Open groups chain sets to clusters. A cluster that fits a block is compared as a
+whole, in one matrix product; of a larger one only the sets that share a segment are compared, group by group.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SHINGLE, SLICE_BYTES, SPARE = 3, 1_000_000, 2
 EMPTY_COST, NARROW_COST = 10_000, 100
 #: Sets and bytes of sets of one block of a cluster; cells of an incidence matrix.
 BLOCK_SETS, BLOCK_BYTES, CELLS = 1000, 8_000_000, 10_000_000
+#: Bytes of signatures that are grouped before the shuffle.
+GATHERED = 16_000_000
 BY_BYTE = C.fixed_random(256, 8)
 IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LOWER = np.arange(256, dtype=np.uint8)
@@ -158,44 +161,94 @@ def contents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(made, "node bigint, tokens binary")
 
 
+def shared_signatures(one: DataFrame) -> DataFrame:
+    """(sig, node, n, low, low_n) for each signature that several sets of one (node, n, sigs) have.
+
+    Within a batch a signature's sets point to the smallest of them, and only that one is shuffled on under the signature:
+    it points to the smallest of all batches. So a signature that very many sets have makes a row a batch.
+    """
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.gathered(batches, GATHERED):
+            node, n, lists = b.column("node").to_numpy(), b.column("n").to_numpy(), b.column("sigs")
+            sig, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            order = np.lexsort((node[row], sig))
+            sig, row = sig[order], row[order]
+            fresh = np.r_[True, (sig[1:] != sig[:-1]) | (row[1:] != row[:-1])][: len(sig)]
+            sig, row = sig[fresh], row[fresh]
+            first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
+            size = np.diff(np.r_[first, len(sig)])
+            low = np.repeat(row[first], size)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node[row]), pa.array(n[row]), pa.array(node[low]), pa.array(n[low]), pa.array(np.repeat(size > 1, size))], ["sig", "node", "n", "low", "low_n", "led"])
+
+    found = one.select("node", "n", "sigs").mapInArrow(grouped, "sig bigint, node bigint, n bigint, low bigint, low_n bigint, led boolean")
+    # The smallest of a batch has its signature's window; the others, whose place is known, have one each.
+    window = Window.partitionBy("sig", F.when(F.col("node") != F.col("low"), F.col("node")))
+    found = found.select("*", F.min(F.struct("low", "low_n")).over(window).alias("least"), F.max("low").over(window).alias("most"))
+    return found.where(F.col("led") | (F.col("least.low") != F.col("most"))).select("sig", "node", "n", "least.low", "least.low_n")
+
+
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold."""
+    """The pairs (u, v) whose sets reach the threshold.
 
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+    The sets v of one u are dealt to several groups, each of which gets u's set once.
+    """
 
-    sides = pairs.join(tokens.withColumnsRenamed({"node": "u", "tokens": "x"}), "u").join(tokens.withColumnsRenamed({"node": "v", "tokens": "y"}), "v")
-    return sides.select("u", "v", "x", "y").mapInArrow(checked, "u bigint, v bigint")
+    def checked(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        u, v, salt, sets = *(group.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "salt")), group.column("tokens").combine_chunks()
+        own = ~group.column("v").is_valid().to_numpy()
+        order = np.lexsort((~own, salt, u))
+        keep, mine = [], np.zeros(0, np.uint64)
+        for k in order.tolist():
+            other = np.frombuffer(sets[k].as_buffer(), np.uint64)
+            if own[k]:
+                mine = other
+                continue
+            at = np.searchsorted(mine, other)
+            both = int((mine[np.minimum(at, len(mine) - 1)] == other).sum())
+            if 100 * both >= percent * (len(mine) + len(other) - both):
+                keep.append(k)
+        return group.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+
+    many, size = pairs.count(), tokens.agg(F.avg(F.length("tokens"))).first()[0] or 0
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(max(64, many // BLOCK_SETS))))
+    right = salted.join(tokens.withColumnRenamed("node", "v"), "v").select("u", "v", "salt", "tokens")
+    left = salted.select("u", "salt").distinct().join(tokens.withColumnRenamed("node", "u"), "u").select("u", F.lit(None).cast("long").alias("v"), "salt", "tokens")
+    key = F.pmod(F.xxhash64("u", "salt"), F.lit(int(2 * many * size) // BLOCK_BYTES + 1))
+    return left.union(right).groupBy(key.alias("key")).applyInArrow(checked, "u bigint, v bigint")
 
 
 def links(docs: DataFrame, made: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
     """Verified links (u, v) between different sets; enough of them for the components of all links."""
     one = made.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.min(F.struct("doc_id", "th")).alias("row"))
     one = C.stored(one, "sets")
-    same = Window.partitionBy("sig")
-    shared = one.select("node", "n", F.explode("sigs").alias("sig")).select("sig", "node", "n", F.min(F.struct("node", "n")).over(same).alias("low"), F.max("node").over(same).alias("high"))
-    shared = C.stored(shared.where("low.node <> high").distinct(), "shared")
-    fits = lambda a, b: F.greatest(a, b) * percent <= F.least(a, b) * 100
-    stars = shared.where((F.col("node") != F.col("low.node")) & fits(F.col("n"), F.col("low.n"))).select(F.col("low.node").alias("u"), F.col("node").alias("v")).distinct()
-    wanted = C.stored(shared.select("node").distinct().join(one.select("node", "row"), "node").select("node", F.col("row.doc_id").alias("__id"), F.col("row.th").alias("__th")), "wanted")
-    texts = docs.select("doc_id", "text").join(C.small_or_not(wanted), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))).select("node", "text")
+    shared = C.stored(shared_signatures(one), "shared")
+    fits = F.greatest("n", "low_n") * percent <= F.least("n", "low_n") * 100
+    stars = C.stored(shared.where((F.col("node") != F.col("low")) & fits).select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), "stars")
+    wanted = C.stored(shared.select("node").distinct().join(one.select("node", "row"), "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.th").alias("th")), "wanted")
+    C.release(one)
+    texts = docs.join(C.small_or_not(wanted), F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("th"))).select("node", "text")
     tokens = C.stored(contents(texts, size).dropDuplicates(["node"]), "tokens")
     found = C.stored(verified(stars, tokens, percent), "links")
-    # Groups whose members are still in different components, and the clusters that such groups chain together.
+    C.release(stars, wanted)
     part = C.components(found)
-    placed = shared.join(part, "node", "left").select("sig", "node", F.coalesce("component_id", "node").alias("part"), F.col("low.node").alias("low"))
-    mixed = placed.groupBy("sig").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("sig")
-    open_ = C.stored(placed.join(mixed, "sig").select("node", "part", "low").distinct(), "open")
-    cluster = C.components(open_.select(F.col("low").alias("u"), F.col("node").alias("v")))
-    members = open_.select("node", "part").distinct().join(cluster.withColumnRenamed("component_id", "cluster"), "node").join(tokens, "node")
-    return found.union(compared(C.stored(members, "members"), percent))
+    placed = C.stored(shared.join(part, "node", "left").select("sig", "node", F.coalesce("component_id", "node").alias("part"), "low"), "placed")
+    C.release(shared)
+    # Open groups; of those with the same members one is enough.
+    mixed = placed.groupBy("sig").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("least <> most")
+    mixed = mixed.groupBy("members", "n").agg(F.min("sig").alias("sig")).select("sig", "n")
+    open_ = C.stored(C.spread_join(placed, mixed, "sig", placed.count()).select("sig", "node", "part", "low"), "open")
+    C.release(placed)
+    cluster = C.components(open_.select(F.col("low").alias("u"), F.col("node").alias("v"))).withColumnRenamed("component_id", "cluster")
+    nodes = C.stored(open_.select("node", "part").distinct().join(cluster, "node").join(tokens.select("node", F.length("tokens").alias("bytes")), "node"), "nodes")
+    large = nodes.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("bytes").alias("bytes")).where((F.col("sets") > BLOCK_SETS) | (F.col("bytes") > BLOCK_BYTES)).select("cluster")
+    large = C.small_or_not(large)
+    whole = nodes.join(large, "cluster", "left_anti").select(F.xxhash64(F.lit("cluster"), "cluster").alias("group"), "node", "part", "bytes")
+    apart = open_.select("sig", "node").join(nodes.join(large, "cluster", "left_semi").select("node", "part", "bytes"), "node").select(F.xxhash64(F.lit("sig"), "sig").alias("group"), "node", "part", "bytes")
+    members = C.stored(whole.union(apart), "members")
+    C.release(open_)
+    return found.union(compared(members, tokens, percent))
 
 
 def _linked(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,39 +279,41 @@ def _linked(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray | None, p
     return np.nonzero(np.triu(fits, 1))
 
 
-def compared(members: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between members (node, part, cluster, tokens) of a cluster whose parts differ.
+def compared(members: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between members (node, part, group, bytes) of a group whose parts differ; tokens (node, tokens) has their sets.
 
-    Clusters are compared inside tasks and no pairs are written but links. A cluster beyond BLOCK_SETS sets or
+    Groups are compared inside tasks and no pairs are written but links. A group beyond BLOCK_SETS sets or
     BLOCK_BYTES is cut into blocks, and each pair of blocks is a task's work of its own.
     """
-    size = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum(F.length("tokens")).alias("bytes"))
-    size = C.stored(size.select("cluster", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), "bytes"), "sizes")
+    size = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("bytes").alias("bytes"))
+    size = size.select("group", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), "bytes")
     total = size.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0
-    dealt = members.join(C.small_or_not(size.select("cluster", "blocks")), "cluster").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", "node", "part", "tokens", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-
-    def checked(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        cluster, node, part, own, lo, hi = (group.column(c).to_numpy() for c in ("cluster", "node", "part", "own", "lo", "hi"))
-        tokens = group.column("tokens").combine_chunks()
-        order = np.lexsort((node, hi, lo, cluster))
-        new = np.r_[True, (cluster[order][1:] != cluster[order][:-1]) | (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])]
+    # Few groups have more than one block, as each of these fills one.
+    cut = C.small_or_not(size.where("blocks > 1").select("group", "blocks"))
+    dealt = members.join(cut, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(tokens, "node")
+    dealt = dealt.select("group", "node", "part", "tokens", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def checked(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        group, node, part, own, lo, hi = (rows.column(c).to_numpy() for c in ("group", "node", "part", "own", "lo", "hi"))
+        tokens = rows.column("tokens").combine_chunks()
+        order = np.lexsort((node, hi, lo, group))
+        new = np.r_[True, (group[order][1:] != group[order][:-1]) | (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])]
         first = np.flatnonzero(new)
         u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, j in zip(first, np.r_[first[1:], len(order)], strict=True):
-            rows = order[i:j]
-            side = own[rows] if lo[rows[0]] != hi[rows[0]] else None
-            a, b = _linked([np.frombuffer(tokens[int(r)].as_buffer(), np.uint64) for r in rows], part[rows], side, percent)
+            some = order[i:j]
+            side = own[some] if lo[some[0]] != hi[some[0]] else None
+            a, b = _linked([np.frombuffer(tokens[int(r)].as_buffer(), np.uint64) for r in some], part[some], side, percent)
             # One link for each pair of components is enough.
-            pairs = np.column_stack([part[rows[a]], part[rows[b]]])
+            pairs = np.column_stack([part[some[a]], part[some[b]]])
             one = np.unique(np.sort(pairs, axis=1), axis=0, return_index=True)[1] if len(a) else a
-            u.append(node[rows[a[one]]])
-            v.append(node[rows[b[one]]])
+            u.append(node[some[a[one]]])
+            v.append(node[some[b[one]]])
         return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
 
-    key = F.pmod(F.xxhash64("cluster", "lo", "hi"), F.lit(max(1, total // BLOCK_BYTES)))
+    key = F.pmod(F.xxhash64("group", "lo", "hi"), F.lit(max(1, total // BLOCK_BYTES)))
     return dealt.groupBy(key.alias("key")).applyInArrow(checked, "u bigint, v bigint")
 
 
@@ -272,7 +327,7 @@ def join(docs: DataFrame, percent: int = 90, size: int = SHINGLE) -> DataFrame:
     but do not name them. Other columns are not read. An empty table gives an empty table. Shingles and sets are told
     apart by 64-bit hashes.
     """
-    docs = C.small_batches(docs.select("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
     made = C.stored(sets(docs, percent, size), "shingles")
     part = C.components(links(docs, made, percent, size))
     low = made.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
@@ -289,6 +344,7 @@ def keep_one(docs: DataFrame, percent: int = 90) -> DataFrame:
     Rows that repeat that id in one component are all kept, and so are rows without a set.
     """
     found = C.stored(join(docs, percent), "classes")
-    drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    i, th = C.fresh(docs, "id", "th")
+    drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(i), F.col("th").alias(th)).distinct()
     drop = C.small_or_not(C.stored(drop, "copies"))
-    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_anti")
+    return docs.join(drop, docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(th)), "left_anti")
