@@ -7,10 +7,13 @@ bound.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ CHUNK_TOKENS, OVERLAP_TOKENS, TABLE_TOKENS, LEGACY_TOKENS, LEAST_BODY, ROW_TOKEN
 HEADING_CHARS, TITLE_CHARS, TOP_SECTION = 200, 120, 25
 INTRODUCTION = "Introduction"
 CHUNKS = "chunk_id string, document_id string, page_start int, page_end int, citation_label string, section_path string, section_heading string, text string, token_count int, char_count int, content_hash string"
+LEGACY_CHUNKS = "chunk_id string, doc_id bigint, section string, text string, token_count int"
+ARROW_TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
 
 
 def estimate(text: str) -> int:
@@ -177,26 +182,30 @@ def pack(body: list[tuple[int, str]], prefix: str, limit: int, overlap: int, cou
         yield closed()
 
 
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.table({name: pa.array([r[k] for r in rows], ARROW_TYPES[kind]) for k, (name, kind) in enumerate(fields)})
+
+
 def chunks(grouped: DataFrame, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, count: Callable[[str], int] = estimate) -> DataFrame:
     """CHUNKS of grouped segments, numbered through each document."""
 
-    def packed(frame: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
+    def packed(document: pa.Table) -> pa.Table:
         rows: list[tuple] = []
-        for _, section in frame.sort_values("seq").groupby("group_no", sort=True):
-            heads = section[section["is_heading"]]["text"].tolist()
-            body = section[~section["is_heading"]]
-            prefix = "".join(f"### {h}\n\n" for h in heads)
-            first = section.iloc[0]
-            made = pack(list(zip(body["page_number"].tolist(), body["text"].tolist(), strict=True)), prefix, limit, overlap, count) if len(body) else [(int(first["page_number"]), int(first["page_number"]), prefix.strip())]
+        for _, members in groupby(document.sort_by("seq").to_pylist(), itemgetter("group_no")):
+            section = list(members)
+            first = section[0]
+            prefix = "".join(f"### {s['text']}\n\n" for s in section if s["is_heading"])
+            body = [(s["page_number"], s["text"]) for s in section if not s["is_heading"]]
+            made = pack(body, prefix, limit, overlap, count) if body else [(first["page_number"], first["page_number"], prefix.strip())]
             for start, end, text in made:
                 doc = first["document_id"]
                 label = f"[{doc} Page {start}]" if start == end else f"[{doc} Pages {start}-{end}]"
                 rows.append((f"{doc}_txt_{len(rows) + 1:05d}", doc, start, end, label, first["section_path"], first["group_heading"], text, count(text), len(text), hashlib.sha256(text.encode()).hexdigest() if text else ""))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
+        return _table(rows, CHUNKS)
 
-    return grouped.groupBy("document_id").applyInPandas(packed, CHUNKS)
+    needed = ["document_id", "seq", "group_no", "page_number", "text", "is_heading", "section_path", "group_heading"]
+    return grouped.select(*needed).groupBy("document_id").applyInArrow(packed, CHUNKS)
 
 
 def audit(made: DataFrame, limit: int = CHUNK_TOKENS) -> DataFrame:
@@ -250,14 +259,14 @@ def legacy_pack(text: str, limit: int = LEGACY_TOKENS, count: Callable[[str], in
 def legacy_chunks(sections: DataFrame, limit: int = LEGACY_TOKENS) -> DataFrame:
     """chunk_id ({doc}_{00001}), doc_id, section, text, token_count of legacy sections."""
 
-    def packed(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for r in frame.sort_values("section_no").itertuples():
-            for text in legacy_pack(r.text, limit):
-                rows.append((f"{r.doc_id}_{len(rows) + 1:05d}", r.doc_id, r.section, text, estimate(text)))
-        return pd.DataFrame(rows, columns=["chunk_id", "doc_id", "section", "text", "token_count"])
+    def packed(document: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        for r in document.sort_by("section_no").to_pylist():
+            for text in legacy_pack(r["text"], limit):
+                rows.append((f"{r['doc_id']}_{len(rows) + 1:05d}", r["doc_id"], r["section"], text, estimate(text)))
+        return _table(rows, LEGACY_CHUNKS)
 
-    return sections.groupBy("doc_id").applyInPandas(packed, "chunk_id string, doc_id bigint, section string, text string, token_count int")
+    return sections.groupBy("doc_id").applyInArrow(packed, LEGACY_CHUNKS)
 
 
 def slices(words: Column, size: int) -> Column:

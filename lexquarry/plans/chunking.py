@@ -161,18 +161,36 @@ _G = _H + """,
   g5 AS (SELECT *, count(*) FILTER (NOT is_heading) OVER (PARTITION BY document_id, n ORDER BY seq) AS before FROM g4)
 """
 
+_L = r"""
+  d AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\n(T[a-z]+ [a-z]+)', chr(10) || '3.2 \1' || chr(10) || chr(10), 'g'), '\nO', chr(10) || 'appendix B2 O', 'g'), chr(10)) AS ls FROM documents),
+  ln AS (SELECT doc_id, i, ls[i] AS line, regexp_replace(ls[i], '^\s+|\s+$', '', 'g') AS s FROM d, unnest(range(1, len(ls) + 1)) AS t(i)),
+  h AS (SELECT *, CASE WHEN regexp_matches(s, '^([0-9]+(?:\.[0-9]+){0,4})\s+(.+)$') AND length(s) <= 150 THEN regexp_extract(s, '^([0-9]+(?:\.[0-9]+){0,4})\s+(.+)$', 1) || ' ' || regexp_extract(s, '^([0-9]+(?:\.[0-9]+){0,4})\s+(.+)$', 2) WHEN regexp_matches(s, '(?i)^APPENDIX\s+[A-Z0-9]+') THEN s END AS h FROM ln),
+  m AS (SELECT *, count(h) OVER w AS island, coalesce(last_value(h IGNORE NULLS) OVER w, 'Introduction') AS section FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  g AS (SELECT doc_id, island, section, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS text FROM m WHERE h IS NULL GROUP BY doc_id, island, section),
+  sections AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS section_no, section, text FROM g)
+"""
+
 QUERIES = {f.__name__: f for f in (segments_headings, section_groups, chunks_packed, chunk_audit, token_stats, token_estimates, legacy_sections, legacy_chunks, fixed_slices, table_markdown, table_continuation, table_chunks, figure_captions, batch_slices, checkpoint_status)}
 
 SQL = {
     "segments_headings": f"WITH {_H} SELECT document_id, seq, is_heading, coalesce(level, 0) AS level, section_heading, section_path, length(text) AS n_chars FROM segs",
     "section_groups": f"WITH {_G} SELECT document_id, coalesce(arg_max(text, seq) FILTER (is_heading AND before = 0), arg_min(section_heading, seq)) AS group_heading, count(*) AS n_segments, count(*) FILTER (is_heading) AS n_headings, min(seq) AS first_seq, arg_min(section_path, seq) AS section_path FROM g5 GROUP BY document_id, n",
     "token_estimates": "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, length(text) // 4) END AS n_tokens, sha256(CASE WHEN length(text) <= 400 THEN text WHEN NOT contains(left(text, 400), ' ') THEN left(text, 400) ELSE left(text, 400 - strpos(reverse(left(text, 400)), ' ')) END) AS cut_sha256 FROM documents WHERE text IS NOT NULL",
-    "legacy_sections": r"""WITH d AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\n(T[a-z]+ [a-z]+)', chr(10) || '3.2 \1' || chr(10) || chr(10), 'g'), '\nO', chr(10) || 'appendix B2 O', 'g'), chr(10)) AS ls FROM documents),
-      l AS (SELECT doc_id, i, ls[i] AS line, regexp_replace(ls[i], '^\s+|\s+$', '', 'g') AS s FROM d, unnest(range(1, len(ls) + 1)) AS t(i)),
-      h AS (SELECT *, CASE WHEN regexp_matches(s, '^([0-9]+(?:\.[0-9]+){0,4})\s+(.+)$') AND length(s) <= 150 THEN regexp_extract(s, '^([0-9]+(?:\.[0-9]+){0,4})\s+(.+)$', 1) || ' ' || regexp_extract(s, '^([0-9]+(?:\.[0-9]+){0,4})\s+(.+)$', 2) WHEN regexp_matches(s, '(?i)^APPENDIX\s+[A-Z0-9]+') THEN s END AS h FROM l),
-      m AS (SELECT *, count(h) OVER w AS island, coalesce(last_value(h IGNORE NULLS) OVER w, 'Introduction') AS section FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-      g AS (SELECT doc_id, island, section, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS text FROM m WHERE h IS NULL GROUP BY doc_id, island, section)
-      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS section_no, section, sha256(text) AS text_sha256 FROM g""",
+    "legacy_sections": f"WITH {_L} SELECT doc_id, section_no, section, sha256(text) AS text_sha256 FROM sections",
+    "legacy_chunks": rf"""WITH RECURSIVE {_L},
+      p AS (SELECT doc_id, section_no, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY k) AS i, x FROM (
+        SELECT doc_id, section_no, k, regexp_replace(ps[k], '^\s+|\s+$', '', 'g') AS x FROM (SELECT *, string_split_regex(text, '\n\s*\n') AS ps FROM sections), unnest(range(1, len(ps) + 1)) AS t(k)) WHERE x <> ''),
+      st AS (
+        SELECT doc_id, section_no, CAST(0 AS BIGINT) AS i, '' AS held, CAST([] AS VARCHAR[]) AS made FROM sections
+        UNION ALL
+        SELECT doc_id, section_no, i, CASE WHEN fits THEN joined WHEN length(x) // 4 > 600 THEN '' ELSE x END,
+          CASE WHEN fits THEN made ELSE list_concat(list_concat(made, CASE WHEN held <> '' THEN [held] ELSE [] END), CASE WHEN length(x) // 4 > 600 THEN list_transform(range(0, length(x), 2400), lambda k: substring(x, k + 1, 2400)) ELSE [] END) END
+        FROM (SELECT p.doc_id, p.section_no, p.i, held, made, x, CASE WHEN held = '' THEN x ELSE held || chr(10) || chr(10) || x END AS joined, length(CASE WHEN held = '' THEN x ELSE held || chr(10) || chr(10) || x END) // 4 <= 600 AS fits
+          FROM st JOIN p ON p.doc_id = st.doc_id AND p.section_no = st.section_no AND p.i = st.i + 1)
+      ),
+      l AS (SELECT doc_id, section_no, arg_max(CASE WHEN held <> '' THEN list_append(made, held) ELSE made END, i) AS made FROM st GROUP BY doc_id, section_no),
+      u AS (SELECT doc_id, section_no, k, made[k] AS text FROM l, unnest(range(1, len(made) + 1)) AS t(k))
+      SELECT doc_id || '_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section_no, k) AS VARCHAR), 5, '0') AS chunk_id, doc_id, section, u.text, CAST(greatest(1, length(u.text) // 4) AS INT) AS token_count FROM u JOIN sections USING (doc_id, section_no)""",
     "fixed_slices": r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '') AS w FROM documents), s AS (SELECT doc_id, list_transform(range(1, len(w) + 1, 100), lambda i: array_to_string(w[i : i + 99], ' ')) AS s FROM w)
       SELECT doc_id, len(s) AS n_slices, sha256(coalesce(array_to_string(s, chr(10)), '')) AS slices_sha256 FROM s""",
     "table_markdown": r"""WITH r AS (SELECT l_orderkey, CASE WHEN l_quantity > 25 AND l_quantity <= 45 THEN l_linestatus ELSE '' END AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag, l_linestatus) AS i, CAST(l_linenumber AS VARCHAR) AS a, l_returnflag || ' x' AS c FROM lineitem),
