@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexquarry.functions.text import strip
+
 HISTORY = 6
 
 ANSWER_PROMPT = """Answer the question from the sources below and from nothing else.
@@ -34,7 +39,7 @@ def _known(c: Column) -> Column:
 def context_block(index: Column, document: Column, source: Column, section: Column, score: Column, text: Column) -> Column:
     """One source in the prompt's format; white space around the block is cut."""
     block = F.concat(F.format_string("SOURCE %d\n\nDocument: %s\nSource File: %s\nSection: %s\nRRF Score: %.6f\n\nContent:\n", index, _known(document), _known(source), _known(section), F.coalesce(score, F.lit(0.0))), F.coalesce(text, F.lit("")))
-    return F.regexp_replace(block, r"^\s+|\s+$", "")
+    return strip(block)
 
 
 def contexts(hits: DataFrame) -> DataFrame:
@@ -79,3 +84,39 @@ def citation_accuracy(answer: Column, n_sources: Column) -> Column:
     cited = citations(answer)
     good = F.size(F.filter(cited, lambda x: (x >= 1) & (x <= n_sources)))
     return F.when(F.size(cited) == 0, 0.0).otherwise(good / F.size(cited))
+
+
+def source_lines(hits: DataFrame) -> DataFrame:
+    """query_id, shown: a numbered line for each hit (query_id, rank, document, source, section), as answers list their sources."""
+    line = F.format_string("[Source %d] %s (%s) - %s", F.col("rank"), _known(F.col("document")), _known(F.col("source")), _known(F.col("section")))
+    return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("shown"))
+
+
+def extractive(context: Column, question: Column) -> Column:
+    """A stand-in for a language model: the sentence of the context that holds most different words of the question, the first of equals; null without a common word."""
+    terms = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    sentences = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(context, F.lit("")), r"([.!?])\s+", "$1\x00"), "\x00"), strip), lambda s: s != "")
+    scored = F.transform(sentences, lambda s, i: F.struct(F.size(F.array_intersect(terms(s), terms(question))).alias("n"), (-i).alias("place"), s.alias("text")))
+    best = F.array_max(scored)
+    return F.when(best["n"] > 0, best["text"])
+
+
+def generated(prompts: DataFrame, provider: Callable[[], Callable[[str], Iterator[str] | str]], prompt: str = "prompt") -> DataFrame:
+    """prompts with answer and failed: what a provider says, loaded once a task; parts of a stream are joined, and a failure marks its row only.
+
+    Null prompts have no answer.
+    """
+
+    @F.arrow_udf("struct<answer:string,failed:string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        say = provider()
+        for b in batches:
+            out = []
+            for text in b.to_pylist():
+                try:
+                    out.append({"answer": None if text is None else "".join(say(text)), "failed": None})
+                except Exception as e:  # the provider's own faults, whatever they are, belong to the row
+                    out.append({"answer": None, "failed": f"{type(e).__name__}: {e}"})
+            yield pa.array(out, pa.struct([("answer", pa.string()), ("failed", pa.string())]))
+
+    return prompts.withColumn("__said", run(F.col(prompt))).withColumn("answer", F.col("__said.answer")).withColumn("failed", F.col("__said.failed")).drop("__said")

@@ -156,6 +156,22 @@ def rewrite_prompts(spark, sf):
     return kept.select("conv_id", "turn", F.coalesce(F.sha2(X.rewrite_prompt(F.col("history"), F.col("question")), 256), F.lit("")).alias("prompt_sha256"))
 
 
+def source_display(spark, sf):
+    """The sources that answers to all benchmark items would list."""
+    docs = _docs(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("document"), "source", F.col("lang").alias("section"))
+    best = S.bm25(_docs(spark, sf), _asked(spark, sf)).where(F.col("rank") <= S.FINAL)
+    return X.source_lines(best.join(docs, "doc_id"))
+
+
+def stage_comparison(spark, sf):
+    """Figures of the dense stages beside each other, and what the first half of the dimensions loses."""
+    hits, asked = _staged(spark, sf)
+    found = S.metrics(hits, asked, ["stage"])
+    each = found.select("stage", F.explode(F.create_map(*[x for c in ("hit1", "hit3", "hit5", "mrr") for x in (F.lit(c), F.col(c))])).alias("figure", "value"))
+    wide = each.groupBy("figure").pivot("stage", ["full", "half"]).agg(F.first("value"))
+    return wide.select("figure", F.round("full", 6).alias("full"), F.round("half", 6).alias("half"), F.round(F.col("full") - F.col("half"), 6).alias("lost"))
+
+
 def citation_accuracy(spark, sf):
     """Answers made from all documents: citations whose numbers follow from the id, some of them out of range."""
     first, second = (F.col("doc_id") % 7).cast("string"), (F.col("doc_id") % 3 + 1).cast("string")
@@ -243,7 +259,7 @@ _HYBRID = f"""{_matching("SELECT doc_id AS query_id, text FROM documents WHERE d
   four AS (SELECT 'dense' AS stage, query_id, doc_id, rank FROM near UNION ALL SELECT 'bm25', query_id, doc_id, rank FROM bm25 UNION ALL SELECT 'rrf', query_id, doc_id, rank FROM mixed UNION ALL SELECT 'rerank', query_id, doc_id, rank FROM again WHERE rank <= 5),
   seen AS (SELECT four.*, coalesce(x.label = y.label, false) AS relevant FROM four JOIN e AS x ON x.vec_id = query_id LEFT JOIN e AS y ON y.vec_id = four.doc_id)"""
 
-QUERIES = {f.__name__: f for f in (hybrid_retrieval, four_stage_metrics, chunk_dedupe, vector_normalise, bm25_postings_stats, bm25_topk, rrf_fusion, hybrid_weighted_rerank, rerank_overlap, context_blocks, answer_prompts, dense_topk, retrieval_metrics, rerank_regression, similarity_summary, conversation_window, rewrite_prompts, citation_accuracy, judge_means)}
+QUERIES = {f.__name__: f for f in (source_display, stage_comparison, hybrid_retrieval, four_stage_metrics, chunk_dedupe, vector_normalise, bm25_postings_stats, bm25_topk, rrf_fusion, hybrid_weighted_rerank, rerank_overlap, context_blocks, answer_prompts, dense_topk, retrieval_metrics, rerank_regression, similarity_summary, conversation_window, rewrite_prompts, citation_accuracy, judge_means)}
 
 SQL = {
     "bm25_postings_stats": f"WITH w AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM w GROUP BY term",
@@ -276,6 +292,12 @@ SQL = {
     "answer_prompts": f"""WITH {_MATCHED}, c AS (SELECT query_id, rank, {_block("score")} AS block FROM bm25 JOIN documents USING (doc_id) WHERE rank <= 5),
       j AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM c GROUP BY query_id)
       SELECT query_id, sha256(replace(replace({_quoted(X.ANSWER_PROMPT)}, '{{context}}', context), '{{question}}', text)) AS prompt_sha256 FROM j JOIN benchmark ON item_id = query_id""",
+    "source_display": f"""WITH {_MATCHED}, c AS (SELECT query_id, rank, '[Source ' || rank || '] ' || doc_id || ' (' || coalesce(nullif(source, ''), 'Unknown') || ') - ' || coalesce(nullif(lang, ''), 'Unknown') AS line FROM bm25 JOIN documents USING (doc_id) WHERE rank <= 5)
+      SELECT query_id, string_agg(line, chr(10) ORDER BY rank) AS shown FROM c GROUP BY query_id""",
+    "stage_comparison": f"""WITH {_DENSE}, m AS (SELECT stage, query_id, max(CASE WHEN relevant AND rank <= 1 THEN 1.0 ELSE 0 END) AS hit1, max(CASE WHEN relevant AND rank <= 3 THEN 1.0 ELSE 0 END) AS hit3, max(CASE WHEN relevant AND rank <= 5 THEN 1.0 ELSE 0 END) AS hit5, coalesce(1.0 / min(CASE WHEN relevant THEN rank END), 0) AS mrr FROM judged GROUP BY stage, query_id),
+      q AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT stage, 100 * sum(hit1) / n AS hit1, 100 * sum(hit3) / n AS hit3, 100 * sum(hit5) / n AS hit5, sum(mrr) / n AS mrr FROM m, q GROUP BY stage, n),
+      u AS (SELECT stage, 'hit1' AS figure, hit1 AS v FROM s UNION ALL SELECT stage, 'hit3', hit3 FROM s UNION ALL SELECT stage, 'hit5', hit5 FROM s UNION ALL SELECT stage, 'mrr', mrr FROM s),
+      p AS (SELECT figure, max(v) FILTER (stage = 'full') AS f, max(v) FILTER (stage = 'half') AS h FROM u GROUP BY figure) SELECT figure, CAST(round(f, 6) AS DOUBLE) AS "full", CAST(round(h, 6) AS DOUBLE) AS half, CAST(round(f - h, 6) AS DOUBLE) AS lost FROM p""",
     "dense_topk": f"WITH {_DENSE} SELECT query_id, vec_id, rank, round(score, 6) AS score FROM ranked WHERE stage = 'full'",
     "retrieval_metrics": f"""WITH {_DENSE}, m AS (
       SELECT stage, query_id, max(CASE WHEN relevant AND rank <= 1 THEN 1.0 ELSE 0 END) AS hit1, max(CASE WHEN relevant AND rank <= 3 THEN 1.0 ELSE 0 END) AS hit3, max(CASE WHEN relevant AND rank <= 5 THEN 1.0 ELSE 0 END) AS hit5,

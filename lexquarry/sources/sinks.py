@@ -39,3 +39,18 @@ def verify(vectors: DataFrame, metadata: DataFrame, key: str) -> dict[str, int]:
     """Counts of both sides and of keys that one of them lacks."""
     a, b = vectors.select(key).distinct(), metadata.select(key).distinct()
     return {"vectors": vectors.count(), "metadata": metadata.count(), "without_metadata": a.join(b, key, "left_anti").count(), "without_vector": b.join(a, key, "left_anti").count()}
+
+
+def add_embeddings(vectors: DataFrame, path: str, run: str) -> None:
+    """Adds the vectors of a run with their metadata; the same run again replaces itself, so a run that was cut off can be repeated."""
+    vectors.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def add_statuses(events: DataFrame, path: str) -> None:
+    """Appends status events (key, status, at); state.latest and state.rollup read the manifest's view from them."""
+    events.write.mode("append").parquet(path)
+
+
+def rolled_up(manifests: DataFrame) -> DataFrame:
+    """One row of sums over manifests (n_documents, n_chunks, n_tokens), and how many there are."""
+    return manifests.agg(F.count("*").alias("n_manifests"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_documents", "n_chunks", "n_tokens")])

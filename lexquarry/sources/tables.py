@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +37,36 @@ def files(spark: SparkSession, path: str, pattern: str = "*.pdf", most: int | No
     return found.limit(most) if most is not None else found
 
 
+def parsed(spark: SparkSession, path: str, parsers: dict[str, Callable[[bytes], list[dict[str, Any]]]], pattern: str = "*.pdf") -> DataFrame:
+    """path, parser, fault, and a row for each page (page_number, raw_text, images) of files below path, by the first parser that gives a page with text.
+
+    A parser maps a file's bytes to pages (dicts with raw_text and images); each file is one task's work. Where one fails or finds no
+    text the next is tried. A file that none can read has one row with the last fault.
+    """
+    names = ["path", "parser", "fault", "page_number", "raw_text", "images"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for at, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                fault, found = "no text", None
+                for name, parse in parsers.items():
+                    try:
+                        pages = parse(content)
+                    except Exception as e:  # a parser's own faults, whatever they are, hand the file on
+                        fault = f"{name}: {type(e).__name__}"
+                        continue
+                    if any((p.get("raw_text") or "").strip() for p in pages):
+                        found = [(at, name, None, k, p.get("raw_text"), p.get("images", 0)) for k, p in enumerate(pages, 1)]
+                        break
+                rows += found or [(at, None, fault, None, None, None)]
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return read.select("path", "content").mapInArrow(run, "path string, parser string, fault string, page_number int, raw_text string, images int")
+
+
 def filled(*columns: Column) -> Column:
     """The first of columns that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lexquarry.functions import tokenizers as N
 from lexquarry.operators import assembly as A
 from lexquarry.operators import cleaning as C
+from lexquarry.operators import context as X
 from lexquarry.operators import quality as Q
 from lexquarry.operators import search as S
+from lexquarry.operators import state as B
 from lexquarry.sources import sinks as K
 from lexquarry.sources import tables as R
 
@@ -141,6 +143,56 @@ def test_manifest_and_points(spark, tmp_path):
     assert K.verify(K.points(spark, path), spark.createDataFrame([(1,), (3,)], "point_id int"), "point_id") == {"vectors": 2, "metadata": 2, "without_metadata": 1, "without_vector": 1}
 
 
+def test_logs_and_runs(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "doc_id int, status string, at int")
+    log = str(tmp_path / "log")
+    K.add_statuses(make([(1, "FAILED", 1)]), log)
+    K.add_statuses(make([(1, "SUCCESS", 2), (2, "FAILED", 1)]), log)
+    assert {r.doc_id: r.status for r in B.latest(spark.read.parquet(log), "doc_id", F.col("status"), F.col("at")).collect()} == {1: "SUCCESS", 2: "FAILED"}
+    path = str(tmp_path / "vectors")
+    for n in (1, 2):
+        K.add_embeddings(spark.createDataFrame([(n, [0.5])], "doc_id int, embedding array<double>"), path, "a")
+    K.add_embeddings(spark.createDataFrame([(3, [0.5])], "doc_id int, embedding array<double>"), path, "b")
+    assert sorted(r.doc_id for r in spark.read.parquet(path).collect()) == [2, 3]
+    assert tuple(K.rolled_up(spark.createDataFrame([(1, 2, 3), (4, 5, 6)], "n_documents int, n_chunks int, n_tokens int")).first()) == (2, 5, 7, 9)
+
+
+def test_parsers_in_turn(spark, tmp_path):
+    for name, content in (("a", "one|two"), ("b", "?bad"), ("c", "blank")):
+        (tmp_path / f"{name}.pdf").write_text(content)
+
+    def first(content):
+        if content.startswith(b"?"):
+            raise OSError("broken")
+        return [{"raw_text": t, "images": 1} for t in content.decode().split("|")] if content != b"blank" else [{"raw_text": " "}]
+
+    def second(content):
+        if content == b"blank":
+            raise ValueError("no")
+        return [{"raw_text": "rescued"}]
+
+    found = R.parsed(spark, str(tmp_path), {"first": first, "second": second}).collect()
+    assert sorted((r.path[-5:], r.parser or "", r.fault or "", r.page_number or 0, r.raw_text or "") for r in found) == [("a.pdf", "first", "", 1, "one"), ("a.pdf", "first", "", 2, "two"), ("b.pdf", "second", "", 1, "rescued"), ("c.pdf", "", "second: ValueError", 0, "")]
+
+
+def test_generation_and_sources(spark):
+    df = spark.createDataFrame([("Cats sleep. Dogs run fast! Dogs bark.", "Do dogs run?"), ("Nothing here.", "zzz"), (None, "x"), ("a b", None)], "c string, q string")
+    assert [r.x for r in df.select(X.extractive(F.col("c"), F.col("q")).alias("x")).collect()] == ["Dogs run fast!", None, None, None]
+
+    def provider():
+        def say(prompt):
+            if prompt == "bad":
+                raise RuntimeError("limit")
+            yield from ("to ", prompt)
+
+        return say
+
+    found = X.generated(spark.createDataFrame([("you",), ("bad",), (None,)], "prompt string"), provider).collect()
+    assert [(r.answer, r.failed) for r in found] == [("to you", None), (None, "RuntimeError: limit"), (None, None)]
+    hits = spark.createDataFrame([(1, 2, "b", None, ""), (1, 1, "a", "f", "s")], "query_id int, rank int, document string, source string, section string")
+    assert X.source_lines(hits).first().shown == "[Source 1] a (f) - s\n[Source 2] b (Unknown) - Unknown"
+
+
 # ---- tokenizers ----
 
 
