@@ -69,11 +69,11 @@ def matches(docs: DataFrame, items: DataFrame, index: DataFrame, window: int = 1
     places = F.array_distinct(F.filter(F.flatten(F.transform("windows", lambda w: F.array(w["a"], w["b"]))), lambda x: x.isNotNull()))
     wanted = known.select("seq", F.explode(F.transform(places, lambda o: F.struct(o.alias("off"), F.xxhash64(F.get("words", o)).alias("term")))).alias("x")).select("seq", "x.off", "x.term")
     hits = index.join(C.small_or_not(wanted, 200_000), "term").select("seq", "doc_id", "th", (F.col("pos") - F.col("off")).alias("diagonal"), "off")
-    small = C.small_or_not(known, 20_000)
+    small = C.light_or_not(known, F.length(F.concat_ws(" ", "words")) + 24 * F.size("words") + 32 * F.size("windows") + 100)
     both = F.exists("windows", lambda w: F.array_contains("offs", w["a"]) & (w["b"].isNull() | F.array_contains("offs", w["b"])))
     agreed = hits.groupBy("seq", "doc_id", "th", "diagonal").agg(F.collect_set("off").alias("offs")).join(small, "seq").where(both)
     per_doc = agreed.groupBy("doc_id", "th").agg(F.collect_list(F.struct("seq", "diagonal", "n")).alias("tries"))
-    per_doc = C.small_or_not(C.stored(per_doc, "tries"), 100_000).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "tries")
+    per_doc = C.light_or_not(C.stored(per_doc, "tries"), 64 * F.size("tries") + 100).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "tries")
     read = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     joined = read.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
     split = joined.select("doc_id", "th", "tries", words(F.col("text")).alias("words"))
@@ -110,7 +110,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     docs = docs.select("doc_id", "text")
     items = C.stored(items_of(benchmark.select("item_id", "text"), window), "items")
     index = postings(docs, items)
-    found = matches(docs, items, index, window).join(C.small_or_not(items.select("seq", "item_ids"), 20_000), "seq")
+    found = matches(docs, items, index, window).join(C.light_or_not(items.select("seq", "item_ids"), 16 * F.size("item_ids") + 100), "seq")
     by_doc = found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("item_ids", lambda i: i.cast("string")))))).alias("item_ids"))
 
     def add(state: Column, r: Column) -> Column:
@@ -120,12 +120,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     zero = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("total"))
     hit = by_doc.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.aggregate("runs", zero, add, lambda s: s["total"]).alias("n_hit"), "item_ids")
     ends = index.where(F.col("term") == F.xxhash64(F.lit(END))).select("doc_id", "th", F.col("pos").cast("long").alias("n_words"))
-    joined = ends.join(C.small_or_not(C.stored(hit, "hit"), 100_000), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
+    joined = ends.join(C.light_or_not(C.stored(hit, "hit"), 32 * F.size("item_ids") + 100), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
     return joined.select("doc_id", "th", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.expr("cast(array() as array<string>)")).alias("item_ids"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs, all columns, that hold no window of the benchmark."""
-    found = contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    i, th = C.fresh(docs, "id", "th")
+    found = contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias(i), F.col("th").alias(th)).distinct()
     found = C.small_or_not(C.stored(found, "contaminated"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(th)), "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.llm import common as C
 
-#: Bounds of the training sample: rows of each language, characters of a row, dictionary bytes of each language.
+#: Bounds of the training sample: rows of each language, characters learned from a row, dictionary bytes of each language.
 ROWS_PER_LANG, ROW_CHARS, DICT_BYTES = 80, 20_000, 200_000
 #: Bytes of letters in a frame at most, well under the window of 2**WINDOW_LOG.
 WINDOW_LOG, PIECE_BYTES = 18, 1 << 16
@@ -35,16 +35,19 @@ def plain(text: str) -> bytes:
 def train(docs: DataFrame, rows: int = ROWS_PER_LANG, row_chars: int = ROW_CHARS, size: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionary content by language, most frequent language first, from the rows with the smallest hashes.
 
-    Rows that are held out, those with a null id, text or lang, and texts of more than row_chars characters are
-    passed over. At most rows texts of a language reach the driver; together they fill up to size bytes.
+    Rows that are held out, and those with a null id, text or lang, are passed over. Of a text of more than row_chars
+    characters the row_chars from a place that its hash chooses are learned. At most rows texts of a language reach
+    the driver; together they fill up to size bytes.
     """
-    known = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= row_chars) & ~C.held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    ranked = known.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= rows)
+    known = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~C.held_out(F.col("doc_id")))
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - row_chars, F.lit(0)) + 1).cast("int") + 1
+    pieces = known.select("lang", F.xxhash64("doc_id").alias("place"), "doc_id", F.when(F.length("text") <= row_chars, F.col("text")).otherwise(F.substring(F.col("text"), start, F.lit(row_chars))).alias("piece"))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", "piece")
+    ranked = pieces.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
     often = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     texts: dict[str, list[bytes]] = {lang: [] for lang in sorted(often, key=lambda x: (-often[x], x))}
     for r in ranked.collect():
-        texts[r["lang"]].append(plain(r["text"]))
+        texts[r["lang"]].append(plain(r["piece"]))
     return {lang: b" ".join(sorted(found))[:size] for lang, found in texts.items()}
 
 
@@ -102,5 +105,6 @@ def identify_documents(docs: DataFrame, dictionaries: dict[str, bytes], narrow:
     Every row is kept; columns of those names are replaced. Only the text enters a prediction. An empty
     table gives an empty table.
     """
-    found = C.small_batches(docs).withColumn("__lang", identify(dictionaries, F.col(text)))
-    return found.withColumn("lang_pred", F.col("__lang.lang")).withColumn("score", F.col("__lang.score")).withColumn("rejected", F.col("__lang.margin") < narrow).drop("__lang")
+    (found,) = C.fresh(docs, "found")
+    out = docs.withColumn(found, identify(dictionaries, F.col(text)))
+    return out.withColumn("lang_pred", F.col(found)["lang"]).withColumn("score", F.col(found)["score"]).withColumn("rejected", F.col(found)["margin"] < narrow).drop(found)

@@ -190,16 +190,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     id has several labels, their mean decides (0.5 or more is 1). Only features of at most max_rows rows reach the driver.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~C.held_out(F.col("doc_id")))
-    ids = ids.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("__label"))
+    ids = ids.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows bounds the broadcast
+    # Ids may repeat: of all their rows max_rows are taken, in a fixed order.
+    rows = rows.withColumn("th", F.xxhash64("text"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = of_texts(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__label"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))], ["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), b.column("th"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))], ["doc_id", "label", "th", "x"])
 
-    got = C.small_batches(rows).mapInArrow(featured, "doc_id bigint, label int, x array<double>").limit(2 * max_rows).toPandas().sort_values("doc_id", kind="stable")
+    got = rows.mapInArrow(featured, "doc_id bigint, label int, th bigint, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(max_rows).toPandas()
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit(np.stack(got["x"].to_numpy()), got["label"].to_numpy(float))
@@ -222,4 +224,4 @@ def classify(docs: DataFrame, model: Additive, threshold: float = 0.7, text: str
     Every row is kept and scored on its own whole text, null and empty texts too. Nothing but the text
     enters a score. An empty table gives an empty table.
     """
-    return C.small_batches(docs).withColumn(score_col, score(model, F.col(text))).withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
+    return docs.withColumn(score_col, score(model, F.col(text))).withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))

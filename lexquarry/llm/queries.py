@@ -146,6 +146,35 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Texts as hexadecimal, cut into overlapping pieces and these into strings of 50 bytes; a string goes if a smaller document has it.
+OP5_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents
+), p AS (
+  SELECT doc_id, k, substring(h, 2000 * k + 1, 2098) AS piece FROM d, unnest(range(0, (n + 999) // 1000)) AS t(k)
+), s AS (
+  SELECT doc_id, 1000 * k + j AS i, substring(piece, 2 * j + 1, 100) AS x FROM p, unnest(range(0, greatest(least(1000, length(piece) // 2 - 49), 0))) AS t(j)
+), low AS (
+  SELECT x, min(doc_id) AS first FROM s GROUP BY x HAVING min(doc_id) <> max(doc_id)
+), r AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (SELECT DISTINCT doc_id, i FROM s JOIN low USING (x) WHERE first < doc_id)
+), g AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i - before > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM r
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY doc_id, g
+), gaps AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM spans
+  UNION ALL SELECT doc_id, coalesce(max(spans.z), 0), any_value(n) FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed FROM spans GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -196,6 +225,51 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _matches_sql(name: str, kind: int, pattern: str, test: str) -> str:
+    """CTEs: the places of a pattern's matches, which split() leaves between them; test is one of hit."""
+    return f"""
+  {name}0 AS (SELECT doc_id, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS hits FROM d),
+  {name}1 AS (SELECT doc_id, hits[k] AS hit, CAST(sum(length(gaps[k]) + length(hits[k])) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS z FROM {name}0, unnest(range(1, len(hits) + 1)) AS t(k)),
+  {name} AS (SELECT doc_id, {kind} AS kind, z - length(hit) AS a, z, hit FROM {name}1 WHERE {test})"""
+
+
+def _by_encoding_sql(values: dict[str, object]) -> str:
+    return "CASE encoding " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in values.items()) + " END"
+
+
+def _tail_sql(z: str) -> str:
+    """The same approximation of 1 - Phi(z) as the operator's."""
+    t = f"(1 / (1 + 0.2316419 * least(abs({z}), 37)))"
+    tail = f"(exp(-least(abs({z}), 37) * least(abs({z}), 37) / 2) / sqrt(2 * pi()) * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
+    return f"(CASE WHEN {z} >= 0 THEN {tail} ELSE 1 - {tail} END)"
+
+
+_QUOTED_ASSIGN = secrets.ASSIGN.replace("'", "''")
+_BIN = f"least({secrets.TOP_BIN}, greatest(0, floor(-log10(greatest(p / (bits / mean), 1e-300)) * {secrets.BINS_A_DECADE})))"
+_CHANGES = {e: secrets._class_changes(a) for e, a in secrets.ALPHABETS.items()}
+#: Fixed patterns, then the battery over tokens outside their spans, and the weighted step-up rule by encoding.
+OP9_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {_matches_sql("m0", 0, _QUOTED_ASSIGN, f"length(regexp_extract(hit, '{_QUOTED_ASSIGN}', 2)) >= 12")}, {_matches_sql("m1", 1, secrets.ACCESS, "length(hit) >= 18")}, {_matches_sql("m2", 2, secrets.HEX, "true")},
+  base AS (SELECT doc_id, kind, a, z FROM m0 UNION ALL SELECT doc_id, kind, a, z FROM m1 UNION ALL SELECT doc_id, kind, a, z FROM m2), {_matches_sql("m3", 3, secrets.TOKEN, "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')")},
+  c0 AS (SELECT doc_id, a, z, regexp_replace(hit, '=+$', '') AS raw FROM m3 WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = m3.doc_id AND base.a <= m3.a AND base.z >= m3.z)),
+  c1 AS (SELECT *, regexp_full_match(raw, '[0-9a-z]*') OR regexp_full_match(raw, '[0-9A-Z]*') AS one FROM c0),
+  c2 AS (SELECT doc_id, a, z, CASE WHEN one THEN lower(raw) ELSE translate(raw, '-_', '+/') END AS s, CASE WHEN one AND regexp_full_match(lower(raw), '[0-9a-f]*') THEN 'hex' WHEN one AND regexp_full_match(lower(raw), '[a-z2-7]*') THEN 'base32' WHEN one THEN 'base36' WHEN regexp_full_match(raw, '[0-9A-Za-z]*') THEN 'base62' ELSE 'base64' END AS encoding FROM c1),
+  c3 AS (SELECT *, {_by_encoding_sql(secrets.ALPHABETS)} AS alphabet, CAST(length(s) AS DOUBLE) AS n, CAST({_by_encoding_sql({e: len(a) for e, a in secrets.ALPHABETS.items()})} AS DOUBLE) AS k, CAST({_by_encoding_sql({e: x[0] for e, x in _CHANGES.items()})} AS DOUBLE) AS q, CAST({_by_encoding_sql({e: x[1] for e, x in _CHANGES.items()})} AS DOUBLE) AS w FROM c2 WHERE length(s) >= coalesce({_by_encoding_sql(secrets.LEAST)}, 20)),
+  c4 AS (SELECT *, list_sum(list_transform(string_split(alphabet, ''), lambda x: power(length(s) - length(replace(s, x, '')), 2))) AS squares, list_transform(string_split(s, ''), lambda x: strpos(alphabet, x) - 1 - (k - 1) / 2) AS v,
+    string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '0', 'g'), '[+/]', '-', 'g'), '') AS y FROM c3),
+  c5 AS (SELECT *, greatest(k / n * squares - n, 0) / (k - 1) AS ratio, list_sum(list_transform(range(2, len(y) + 1), lambda i: CASE WHEN y[i] <> y[i - 1] THEN 1 ELSE 0 END)) AS changes, list_sum(list_transform(range(2, len(v) + 1), lambda i: v[i] * v[i - 1])) / ((k * k - 1) / 12) AS product FROM c4),
+  c6 AS (SELECT *, (power(ratio, 1.0 / 3) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS z1, abs((changes - (n - 1) * q) / sqrt((n - 1) * q * (1 - q) + 2 * (n - 2) * (w - q * q))) AS z2, abs(product / sqrt(n - 1)) AS z3 FROM c5),
+  c7 AS (SELECT doc_id, a, z, encoding, n * log2(k) AS bits, -ln(greatest({_tail_sql("z1")}, 1e-100)) - ln(greatest(2 * {_tail_sql("z2")}, 1e-100)) - ln(greatest(2 * {_tail_sql("z3")}, 1e-100)) AS e FROM c6),
+  c8 AS (SELECT *, least(1, exp(-e) * (1 + e + e * e / 2)) AS p, avg(bits) OVER (PARTITION BY encoding) AS mean, count(*) OVER (PARTITION BY encoding) AS m FROM c7),
+  c9 AS (SELECT *, {_BIN} AS bin FROM c8), reached AS (SELECT *, count(*) OVER (PARTITION BY encoding ORDER BY bin DESC) AS r FROM c9),
+  lowest AS (SELECT encoding, min(bin) FILTER (power(10, -bin / {secrets.BINS_A_DECADE}) * m <= 0.05 * r) AS low FROM reached GROUP BY encoding),
+  spans AS (SELECT * FROM base UNION ALL SELECT doc_id, 3, a, z FROM c9 JOIN lowest USING (encoding) WHERE low IS NULL OR bin < low),
+  listed AS (SELECT doc_id, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || a || ':' || z AS x, a, z, kind FROM spans),
+  g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(x, ',' ORDER BY a, kind, z) FILTER (kind < 3) AS base, string_agg(x, ',' ORDER BY a, kind, z) AS spans FROM listed GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
 def op10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by source, language and tokenizer version after inserts, revisions and the withdrawal of toxic documents."""
     rollup = counts.Rollup(spark, scratch(spark, "counts"))
@@ -231,5 +305,7 @@ SQL: dict[str, str] = {
     "op1_neardup": OP1_SQL,
     "op2_chat": OP2_SQL,
     "op3_decontamination": OP3_SQL,
+    "op5_repeats": OP5_SQL,
     "op8_jaccard": OP8_SQL,
+    "op9_secrets": OP9_SQL,
 }
