@@ -2,12 +2,17 @@
 
 Every string of LENGTH bytes is dealt out by its minimizer, the K bytes in it with the smallest hash, so equal
 strings meet in one bucket wherever they come from. Neighbouring strings with one minimizer travel
-together, as one passage of at most 2 * LENGTH - K bytes. Within a batch of documents, of equal passages only
-those of the smallest document are sent on, as all the others are repeats already; a passage that
-very many documents share thus reaches its bucket once a batch at most.
+together, as one passage of at most 2 * LENGTH - K bytes. Equal passages are collapsed before the shuffle: within a
+batch of documents only those of the smallest document are sent on, as all strings of the others are repeats of it; a passage
+that very many documents share thus reaches its bucket once a batch at most.
 
-A bucket drops passages whose minimizer, with the bytes to one side of it, occurs in one document only. Over
-the others it builds a Burrows-Wheeler transform and extends intervals backwards, breadth first: the ends
+A minimizer that stands between many different words would make a hot bucket. Each of its strings also holds SIDE bytes before
+or after it, so its passages are cut in two and dealt out by the longer context instead. A batch that has many passages of a
+minimizer does so and tells the minimizer's bucket, which does the same with what it got from other batches; a
+second shuffle takes these passages on.
+
+A bucket drops passages whose context occurs in one document only. The others are collapsed to distinct ones, whose
+suffixes are sorted. From the Burrows-Wheeler transform of that order intervals are extended backwards, breadth first: the ends
 of the intervals of length l mark where the common prefix of neighbouring suffixes is shorter than l.
 This stops at LENGTH, so what stays unmarked lies inside the classes of equal strings of LENGTH bytes. A string is
 removed from a document if its class has a smaller one.
@@ -15,7 +20,8 @@ removed from a document if its class has a smaller one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +34,19 @@ from lexquarry.llm import common as C
 
 LENGTH, K = 50, 12
 #: Bytes of text whose hashes are held at once, text of one batch of documents, passages of a bucket, and text of one transform.
-PIECE, GATHERED, BUCKET, TRANSFORM = 2_000_000, 16_000_000, 24_000_000, 2_000_000
+PIECE, GATHERED, BUCKET, TRANSFORM = 2_000_000, 8_000_000, 12_000_000, 2_000_000
+#: Different passages of one minimizer in one batch of documents from which on the minimizer is hot.
+HOT = 32
 #: Ends a passage; no byte of UTF-8 is equal to it.
 STOP = 0xFF
 LAST = np.iinfo(np.int64).max
 BY_BYTE = C.fixed_random(256, 5)
 SPANS = "doc_id bigint, th bigint, spans binary"
+#: What is dealt to a bucket: spans that are settled, or passages with contexts of width bytes; and minimizers that are hot.
+DEALT = "bucket int, width int, spans binary, passages binary, places binary, hot binary"
 #: Every string of LENGTH bytes has at least so many bytes on one side of its minimizer.
 SIDE = (LENGTH - K + 1) // 2
+WIDE = K + SIDE
 
 
 def _hashes(raw: np.ndarray) -> np.ndarray:
@@ -118,12 +129,53 @@ def _packed(ids: np.ndarray, known: np.ndarray, th: np.ndarray, start: np.ndarra
     return used, [rows[i:j].tobytes() for i, j in zip(first, np.r_[first[1:], len(rows)][: len(first)], strict=True)]
 
 
+def _split(start: np.ndarray, count: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(passage, start, number of strings, place of the context of WIDE bytes) of passages cut in two by their strings' longer side."""
+    before = np.clip(place - SIDE - start + 1, 0, count)
+    parts = [(np.arange(len(start)), start, before, place - SIDE), (np.arange(len(start)), start + before, count - before, place)]
+    return tuple(np.concatenate([x[some] for x, some in zip(both, (parts[0][2] > 0, parts[1][2] > 0), strict=True)]) for both in zip(*parts, strict=True))
+
+
+def _hashes_at(raw: np.ndarray, begin: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """For each (offset, width), hashes of raw[begin + offset:][:width] of all passages; they lie within a passage. Begins may come in any order."""
+    out = [np.zeros(len(begin), np.uint64) for _ in spans]
+    order = np.argsort(begin, kind="stable")
+    at = begin[order]
+    for a in range(0, len(raw), PIECE):
+        i, j = np.searchsorted(at, [a, a + PIECE])
+        if j > i:
+            some = order[i:j]
+            hashes = C.span_hasher(raw[a : a + PIECE + 2 * LENGTH], BY_BYTE)
+            for into, (offset, width) in zip(out, spans, strict=True):
+                start = at[i:j] - a + np.broadcast_to(offset, len(begin))[some]
+                into[some] = hashes(start, start + np.broadcast_to(width, len(begin))[some])
+    return out
+
+
+def _rows(rows: Sequence[tuple]) -> pa.RecordBatch:
+    """DEALT rows."""
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "width", "spans", "passages", "places", "hot"])
+
+
+def _dealt(raw, start, count, place, key, width, inside, row, ids, known, th, buckets) -> Iterator[tuple]:
+    """DEALT rows of passages, dealt by key; inside is where a passage begins in its text, row that of ids, known and th."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((start, bucket))
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        o = order[ends[k] : ends[k + 1]]
+        size = count[o] + LENGTH - 1
+        used, of = np.unique(row[o], return_inverse=True)
+        places = [np.array([len(o), len(used)], np.int64), ids[used], known[used].astype(np.int64), th[used], np.diff(inside[o], prepend=0), of.astype(np.int32), size.astype(np.uint8), (place[o] - start[o]).astype(np.uint8)]
+        yield k, width, None, squeeze(_gather(raw, start[o], size).tobytes()), squeeze(b"".join(x.tobytes() for x in places)), None
+
+
 def deal(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (bucket, spans, passages, places): passages dealt to buckets, and spans that a batch settles by itself (by slot)."""
+    """DEALT rows of documents (doc_id, text): passages dealt to buckets, and spans that a batch settles by itself (by slot)."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        names = ["bucket", "spans", "passages", "places"]
         for b in C.gathered(batches, GATHERED):
             raw, at = C.flat(b.column("text"))
             known = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
@@ -137,20 +189,22 @@ def deal(docs: DataFrame, buckets: int) -> DataFrame:
             gone, order = order[later], np.sort(order[~later])
             r = row[gone]
             slot, spans = _packed(ids[r], known[r], th[r], start[gone] - at[r], start[gone] + count[gone] + LENGTH - 1 - at[r], buckets)
-            if len(slot):
-                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(spans, pa.binary()), pa.nulls(len(slot), pa.binary()), pa.nulls(len(slot), pa.binary())], names)
-            bucket = (h[order] % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            order, bucket = order[by], bucket[by]
-            ends = np.searchsorted(bucket, np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(ends)):
-                o = order[ends[k] : ends[k + 1]]
-                size = count[o] + LENGTH - 1
-                used, of = np.unique(row[o], return_inverse=True)
-                places = [np.array([len(o), len(used)], np.int64), ids[used], known[used].astype(np.int64), th[used], start[o] - at[row[o]], of.astype(np.int32), size.astype(np.uint8), (place[o] - start[o]).astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.nulls(1, pa.binary()), pa.array([squeeze(_gather(raw, start[o], size).tobytes())], pa.binary()), pa.array([squeeze(b"".join(x.tobytes() for x in places))], pa.binary())], names)
-
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(dealt, "bucket int, spans binary, passages binary, places binary")
+            rows = [((k, 0, x, None, None, None) for k, x in zip(slot.tolist(), spans, strict=True))]
+            _, of, many = np.unique(h[order], return_inverse=True, return_counts=True)
+            hot = many[of] >= HOT
+            cold, hot = order[~hot], order[hot]
+            rows.append(_dealt(raw, start[cold], count[cold], place[cold], h[cold], K, start[cold] - at[row[cold]], row[cold], ids, known, th, buckets))
+            if len(hot):
+                (told,) = _hashes_at(raw, place[hot], (0, K))
+                bucket = (h[hot] % np.uint64(buckets)).astype(np.int64)
+                rows.append([(k, 0, None, None, None, np.unique(told[bucket == k]).tobytes()) for k in np.unique(bucket).tolist()])
+                which, s, c, p = _split(start[hot], count[hot], place[hot])
+                of = row[hot[which]]
+                rows.append(_dealt(raw, s, c, p, _hashes_at(raw, p, (0, WIDE))[0], WIDE, s - at[of], of, ids, known, th, buckets))
+            del order, new, least, later, gone, many, name, h
+            yield from map(_rows, batched(chain.from_iterable(rows), 32))
+
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(dealt, DEALT)
 
 
 def _opened(places: bytes) -> list[np.ndarray]:
@@ -159,26 +213,35 @@ def _opened(places: bytes) -> list[np.ndarray]:
     for kind, many in ((np.int64, m), (np.int64, m), (np.int64, m), (np.int64, n), (np.int32, n), (np.uint8, n), (np.uint8, n)):
         out.append(np.frombuffer(places, kind, many, at))
         at += out[-1].nbytes
+    out[3] = np.cumsum(out[3])
     return out
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes sorted by their first LENGTH bytes: ranks of 8 bytes, doubled to 32, then 32 and 32 that overlap."""
+    """The suffix array of passages, each of at most 2 * LENGTH - K bytes and a STOP: ranks of 8 bytes, doubled until a passage is covered.
+
+    What follows a STOP does not order suffixes.
+    """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(LENGTH, np.uint8)]).astype(np.uint64)
+    left = np.flatnonzero(text == STOP)
+    left = left[np.searchsorted(left, np.arange(n))] - np.arange(n) + 1 if len(left) and left[-1] == n - 1 else np.full(n, n)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : n + i]
-    for shift in (8, 16, LENGTH - 32, 0):
+        key = (key << np.uint64(8)) | np.where(i < left, padded[i : n + i], np.uint64(0))
+    covered = 8
+    while True:
         order = np.argsort(key)
-        if not shift:
+        sorted_ = key[order]
+        new = np.r_[True, sorted_[1:] != sorted_[:-1]]
+        if covered > 2 * LENGTH - K or new.all():
             return order
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[True, key[order][1:] != key[order][:-1]])
+        rank[order] = np.cumsum(new)
         ahead = np.zeros(n, np.int64)
-        ahead[:-shift] = rank[shift:]
-        key = rank * (n + 1) + ahead
-    raise AssertionError
+        ahead[:-covered] = rank[covered:]
+        key = rank * (n + 1) + np.where(covered < left, ahead, 0)
+        covered *= 2
 
 
 def equal_strings(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,35 +293,44 @@ def _shared(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(data: np.ndarray, size: np.ndarray, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, from, to) of what is removed from a bucket's passages, in bytes of the passage, to exclusive."""
-    begin = np.cumsum(size) - size
-    h, name, left, right = (np.zeros(len(size), np.uint64) for _ in range(4))
-    for i, j in C.slices(np.r_[begin, len(data)], PIECE):
-        seg, at, p = data[begin[i] : begin[j - 1] + size[j - 1]], begin[i:j] - begin[i], place[i:j]
-        middle = at + p
-        h[i:j] = C.span_hashes(seg, middle, middle + K, BY_BYTE)
-        name[i:j] = C.span_hashes(seg, at, at + size[i:j], BY_BYTE)
-        left[i:j] = C.span_hashes(seg, np.maximum(at, middle - SIDE), middle + K, BY_BYTE)
-        right[i:j] = C.span_hashes(seg, middle, np.minimum(at + size[i:j], middle + K + SIDE), BY_BYTE)
-    pick = np.flatnonzero(_shared(h, doc))
-    full_left, full_right = place[pick] >= SIDE, size[pick] - place[pick] - K >= SIDE
-    keep = np.zeros(len(pick), bool)
-    keep[full_left] = _shared(left[pick[full_left]], doc[pick[full_left]])
-    keep[full_right] |= _shared(right[pick[full_right]], doc[pick[full_right]])
-    pick = pick[keep]
+def repeated(data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, from, to) of what is removed from passages data[begin:begin + size], in bytes of the passage, to exclusive.
+
+    Strings meet by the width bytes at place; groups of more than TRANSFORM bytes meet by a longer context.
+    """
+    if width == K:
+        low = np.maximum(place - SIDE, 0)
+        h, name, left, right = _hashes_at(data, begin, (place, K), (0, size), (low, place + K - low), (place, np.minimum(size - place, WIDE)))
+        pick = np.flatnonzero(_shared(h, doc))
+        full_left, full_right = place[pick] >= SIDE, size[pick] - place[pick] >= WIDE
+        keep = np.zeros(len(pick), bool)
+        keep[full_left] = _shared(left[pick[full_left]], doc[pick[full_left]])
+        keep[full_right] |= _shared(right[pick[full_right]], doc[pick[full_right]])
+        pick = pick[keep]
+    else:
+        h, name = _hashes_at(data, begin, (place, WIDE), (0, size))
+        pick = np.flatnonzero(_shared(h, doc))
     pick = pick[np.lexsort((doc[pick], name[pick], h[pick]))]
     out = [(np.zeros(0, np.int64),) * 3]
-    # Transforms of whole minimizer groups, of about TRANSFORM bytes.
-    total = np.cumsum(size[pick] + 1)
-    group = np.flatnonzero(np.r_[True, h[pick][1:] != h[pick][:-1]][: len(pick)])
-    cuts, last = [], 0
-    for g in np.r_[group[1:], len(pick)][: len(group)]:
-        if total[g - 1] - (total[last - 1] if last else 0) >= TRANSFORM or g == len(pick):
-            cuts.append((last, g))
+    first = np.flatnonzero(np.r_[True, h[pick][1:] != h[pick][:-1]][: len(pick)])
+    ends = np.r_[first[1:], len(pick)][: len(first)]
+    total = np.r_[0, np.cumsum(size[pick] + 1)]
+    if width == K:
+        large = np.repeat(total[ends] - total[first] > TRANSFORM, ends - first)
+        which, s, c, p = _split(begin[pick[large]], size[pick[large]] - LENGTH + 1, begin[pick[large]] + place[pick[large]])
+        of = pick[large][which]
+        w, a, b = repeated(data, s, c + LENGTH - 1, p - s, doc[of], WIDE)
+        out.append((of[w], a + (s - begin[of])[w], b + (s - begin[of])[w]))
+        pick = pick[~large]
+        first = np.flatnonzero(np.r_[True, h[pick][1:] != h[pick][:-1]][: len(pick)])
+        ends = np.r_[first[1:], len(pick)][: len(first)]
+        total = np.r_[0, np.cumsum(size[pick] + 1)]
+    # Transforms of whole groups, of about TRANSFORM bytes.
+    last = 0
+    for g in ends:
+        if total[g] - total[last] >= TRANSFORM or g == len(pick):
+            out.append(_removed(data, begin, size, name, h, doc, pick[last:g]))
             last = g
-    for i, j in cuts:
-        out.append(_removed(data, begin, size, name, h, doc, pick[i:j]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -294,28 +366,39 @@ def _removed(data, begin, size, name, h, doc, pick) -> tuple[np.ndarray, np.ndar
     return np.r_[whole, pick[kept[index]]], np.r_[np.zeros(len(whole), np.int64), np.repeat(start, times)], np.r_[size[whole], np.repeat(end, times)]
 
 
-def settle(dealt: DataFrame, slots: int) -> DataFrame:
-    """Rows (slot, spans) of all buckets: spans of all a slot's documents that one bucket or batch has found."""
+def settle(dealt: DataFrame, width: int, buckets: int) -> DataFrame:
+    """DEALT rows: spans of a slot's documents, from all buckets' passages with contexts of width bytes; spans and passages of another width are passed on."""
 
     def settled(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        done = group.filter(pc.is_valid(group.column("spans"))).select(["bucket", "spans"]).rename_columns(["slot", "spans"])
-        blobs = group.filter(pc.is_valid(group.column("places")))
+        own = pc.and_(pc.is_valid(group.column("places")), pc.equal(group.column("width"), width))
+        out = [group.filter(pc.and_(pc.invert(own), pc.is_null(group.column("hot"))))]
+        mine = group.filter(own)
         open_ = zstandard.ZstdDecompressor().decompress
-        parts = [_opened(open_(x.as_buffer())) for x in blobs.column("places")]
+        parts = [_opened(open_(x.as_buffer())) for x in mine.column("places")]
         if not parts:
-            return done
-        data = np.concatenate([np.frombuffer(open_(x.as_buffer()), np.uint8) for x in blobs.column("passages")])
+            return out[0]
+        data = np.concatenate([np.frombuffer(open_(x.as_buffer()), np.uint8) for x in mine.column("passages")])
         shift = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
         ids, known, th, start = (np.concatenate([p[k] for p in parts]) for k in range(4))
         row = np.concatenate([p[4] + s for p, s in zip(parts, shift, strict=True)])
         size, place = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (5, 6))
-        which, a, b = repeated(data, size, place, ids[row])
-        r = row[which]
-        slot, spans = _packed(ids[r], known[r], th[r], start[which] + a, start[which] + b, slots)
-        return pa.concat_tables([done, pa.table({"slot": pa.array(slot, pa.int32()), "spans": pa.array(spans, pa.binary())})])
-
-    return dealt.groupBy("bucket").applyInArrow(settled, "slot int, spans binary")
+        begin = np.cumsum(size) - size
+        told = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hot") if x.is_valid]
+        hot = np.isin(_hashes_at(data, begin, (place, K))[0], np.concatenate(told)) if told else np.zeros(len(size), bool)
+        if hot.any():
+            which, s, c, p = _split(begin[hot], size[hot] - LENGTH + 1, (begin + place)[hot])
+            of = np.flatnonzero(hot)[which]
+            rows = _dealt(data, s, c, p, _hashes_at(data, p, (0, WIDE))[0], WIDE, start[of] + s - begin[of], row[of], ids, known != 0, th, buckets)
+            out.append(pa.Table.from_batches([_rows(list(rows))]))
+        cold = np.flatnonzero(~hot)
+        which, a, b = repeated(data, begin[cold], size[cold], place[cold], ids[row[cold]], width)
+        which = cold[which]
+        slot, spans = _packed(ids[row[which]], known[row[which]], th[row[which]], start[which] + a, start[which] + b, buckets)
+        out.append(pa.Table.from_batches([_rows([(k, 0, x, None, None, None) for k, x in zip(slot.tolist(), spans, strict=True)])]))
+        return pa.concat_tables([x.cast(out[-1].schema) for x in out])
+
+    return dealt.groupBy("bucket").applyInArrow(settled, DEALT)
 
 
 def merged(rows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -338,10 +421,12 @@ def repeats(docs: DataFrame) -> DataFrame:
         keys, spans = merged(np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 5) for x in group.column("spans")]))
         return pa.table({"doc_id": pa.array(keys[:, 0], pa.int64(), mask=keys[:, 1] == 0), "th": pa.array(keys[:, 2], pa.int64()), "spans": pa.array(spans, pa.binary())})
 
-    docs = C.small_batches(docs.select("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, total * 7 // 2 // BUCKET)
-    return settle(deal(docs, buckets), buckets).groupBy("slot").applyInArrow(joined, SPANS)
+    first = C.stored(settle(deal(docs, buckets), K, buckets), "settled")
+    second = settle(first.where("passages is not null"), WIDE, buckets)
+    return first.where("spans is not null").union(second).groupBy("bucket").applyInArrow(joined, SPANS)
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -353,10 +438,9 @@ def remove(docs: DataFrame) -> DataFrame:
     replaced. An empty table gives an empty table. Passages are told apart by two 64-bit hashes.
     """
     found = C.stored(repeats(docs), "repeats")
-    size = found.agg(F.sum(F.length("spans") + 100)).first()[0] or 0
-    found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
-    found = F.broadcast(found) if size <= 64_000_000 else found
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
+    i, th, mine, cut_ = C.fresh(docs, "id", "th", "mine", "cut")
+    found = found.select(F.col("doc_id").alias(i), F.col("th").alias(th), F.col("spans").alias(mine))
+    joined = docs.join(C.light_or_not(found, F.length(mine) + 100), docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(th)), "left")
 
     @F.arrow_udf("struct<kept:binary,spans:array<struct<start:bigint,end:bigint>>>")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -370,4 +454,5 @@ def remove(docs: DataFrame) -> DataFrame:
                 out.append({"kept": b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)), "spans": [{"start": i, "end": j} for i, j in pairs]})
             yield pa.array(out, kind)
 
-    return joined.withColumn("__cut", cut("text", "__spans")).drop("__id", "__th", "__spans").withColumn("kept", F.col("__cut.kept")).withColumn("spans", F.col("__cut.spans")).drop("__cut")
+    out = joined.withColumn(cut_, cut("text", mine)).drop(i, th, mine)
+    return out.withColumn("kept", F.col(cut_)["kept"]).withColumn("spans", F.col(cut_)["spans"]).drop(cut_)
