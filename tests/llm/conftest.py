@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, th string, node string, n bigint, spans string, score string, __n string"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, th string, node string, n bigint, spans string, score string, __n string, id string, mine string, cut string, tested string, base string, found string, predicted string, __id string, __th string"
 
 
 @pytest.fixture(scope="session")
@@ -10,7 +10,7 @@ def documents(spark):
     """Makes a documents table, with extra columns whose names the operators use themselves."""
 
     def make(rows):
-        full = [(i, t, "en", "s", len(t) if t is not None else None, "x", "x", 1, "x", "x", "x") for i, t in rows]
+        full = [(i, t, "en", "s", len(t) if t is not None else None, "x", "x", 1, *["x"] * 12) for i, t in rows]
         return spark.createDataFrame(full, DOCS)
 
     return make
