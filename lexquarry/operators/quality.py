@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions.text import let, strip, words
+from lexquarry.sources.store import stored
 
 #: Thresholds.
 LOW_TEXT, OCR_TEXT, OCR_IMAGES = 100, 50, 1
@@ -101,14 +102,19 @@ def near_pairs(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     intersections are exact.
     """
     one = docs.where(F.col("text").isNotNull()).groupBy(F.xxhash64("text").alias("th"), F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("id"), F.first("text").alias("text"))
-    w = words(F.lower("text"))
-    shifted = F.arrays_zip(*[F.slice(w, k + 1, F.greatest(F.size(w) - size + 1, F.lit(0))) for k in range(size)])
-    grams = F.when(F.size(w) >= size, F.transform(shifted, lambda x: F.xxhash64(x))).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
-    sets = one.select("id", F.array_distinct(grams).alias("grams"))
+    none = F.array().cast("array<bigint>")
+
+    def grams(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(size))))
+        return F.when(F.size(w) >= size, each).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(none)
+
+    sets = stored(one.select("id", F.array_distinct(let(words(F.lower("text")), grams)).alias("grams")), "shingles")
     each = sets.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    often = each.groupBy("g").agg(F.count("*").alias("often"))
-    ranked = each.join(often, "g").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("often", "g")))
-    prefix = ranked.where((F.col("often") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("g", "id", "n")
+    # Shingles of one text come first in its order and lead to nobody: only their number is needed.
+    often = each.groupBy("g").agg(F.count("*").alias("often")).where("often > 1")
+    by_id = Window.partitionBy("id")
+    place = F.row_number().over(by_id.orderBy("often", "g")) + F.col("n") - F.count("*").over(by_id)
+    prefix = stored(each.join(often, "g").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("g", "id", "n"), "prefixes")
     other = prefix.select("g", F.col("id").alias("v"), F.col("n").alias("m"))
     pairs = prefix.withColumnRenamed("id", "u").join(other, "g").where((F.col("u") < F.col("v")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)).select("u", "v").distinct()
     sides = pairs.join(sets.select(F.col("id").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("grams").alias("b")), "v")
