@@ -2,6 +2,8 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -48,3 +50,10 @@ def test_entry(spark):
 
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("absent", ["public_tokenizers", "lexquarry.llm", "corpus_pipeline"])
+def test_entry_without_the_optional_part(absent):
+    """The library's own queries stay where the training-data part, or what it needs, can't be imported."""
+    code = f"import sys; sys.modules[{absent!r}] = None; import __spark_entry__ as e; names = set(e.queries()); assert 'bm25_topk' in names and 'op4_bpe' not in names and set(e.oracle_sql()) <= names"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(__spark_entry__.__file__)))
