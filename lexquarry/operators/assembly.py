@@ -96,3 +96,32 @@ def storage_estimate(n_pages: Column) -> Column:
 def checked(df: DataFrame, fault: Column, fail_fast: bool) -> DataFrame:
     """df with fault (a message, or null): with fail_fast the first one ends the run, without it the rows go on with their message."""
     return df.withColumn("fault", F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(F.lit(None).cast("string")) if fail_fast else fault)
+
+
+def resolved_id(*ids: Column) -> Column:
+    """The first id that is not null; a row without one is an error."""
+    return F.coalesce(*ids, F.raise_error(F.lit("a chunk has none of its id columns")))
+
+
+def first_fault(checks: dict[str, Column]) -> Column:
+    """The name of the first expectation that does not hold (a null one does not), in the order given; empty if all do."""
+    return F.coalesce(*[F.when(~F.coalesce(holds, F.lit(False)), name) for name, holds in checks.items()], F.lit(""))
+
+
+def artifact_checks(expected_pages: Column, pages: Column, ids: Column, raw: Column, structured: Column, citations: Column, missing_figures: Column, ragged_rows: Column) -> dict[str, Column]:
+    """Expectations of a document's artifacts for first_fault.
+
+    pages and ids are arrays of page numbers and of the document ids that pages name, citations the pages' labels; raw is the text with page
+    dividers, structured without; the last two count figure files that are missing and table rows of odd width.
+    """
+    n = F.size(pages)
+    return {
+        "page_count": n == expected_pages,
+        "not_consecutive": (n > 0) & (F.array_max(pages) - F.array_min(pages) + 1 == n) & (F.size(F.array_distinct(pages)) == n),
+        "document_ids": F.size(F.array_distinct(ids)) == 1,
+        "dividers": F.regexp_count(raw, F.lit(r"(?m)^--- PAGE [0-9]+ ---$")) == n,
+        "citations": F.forall(F.zip_with(pages, citations, lambda p, c: F.contains(c, F.concat(F.lit("Page "), p.cast("string")))), lambda holds: holds),
+        "figure_files": missing_figures == 0,
+        "table_rows": ragged_rows == 0,
+        "text_ratio": (F.length(structured) / F.greatest(F.length(raw), F.lit(1))).between(0.85, 1.30),
+    }

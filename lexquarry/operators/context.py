@@ -120,3 +120,10 @@ def generated(prompts: DataFrame, provider: Callable[[], Callable[[str], Iterato
             yield pa.array(out, pa.struct([("answer", pa.string()), ("failed", pa.string())]))
 
     return prompts.withColumn("__said", run(F.col(prompt))).withColumn("answer", F.col("__said.answer")).withColumn("failed", F.col("__said.failed")).drop("__said")
+
+
+def judged(reply: Column, metrics: list[str]) -> Column:
+    """struct of a judge's scores: the JSON object in its reply, whatever stands around it; a score that is missing or no number is null, never 0."""
+    inner = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
+    read = F.from_json(inner, ", ".join(f"`{m}` string" for m in metrics))
+    return F.struct(*[F.try_to_number(read[m], F.lit("S999999.999999")).cast("double").alias(m) for m in metrics])

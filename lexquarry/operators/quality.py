@@ -261,6 +261,26 @@ def figure_decision(size: Column, width: Column, height: Column, left: Column, c
     return out
 
 
+#: Page sizes in points, and how far a page may be off.
+PAPER, PAPER_MARGIN = {"letter": (612, 792), "a4": (595, 842)}, 20
+
+
+def preflight(width: Column, height: Column, rotation: Column, text_length: Column, images: Column) -> Column:
+    """struct (rotated, standard, ocr_candidate) of a page before it is parsed."""
+    near = F.lit(False)
+    for w, h in PAPER.values():
+        near = near | ((F.abs(width - w) <= PAPER_MARGIN) & (F.abs(height - h) <= PAPER_MARGIN))
+    return F.struct((rotation != 0).alias("rotated"), near.alias("standard"), ((text_length < OCR_TEXT) & (images >= OCR_IMAGES)).alias("ocr_candidate"))
+
+
+def embedding_report(docs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row for vectors (doc_id, embedding) against docs (doc_id): how many, dimensions, element type, and ids that one side lacks."""
+    no_vector, no_doc = docs.select("doc_id").join(vectors.select("doc_id"), "doc_id", "left_anti"), vectors.select("doc_id").join(docs.select("doc_id"), "doc_id", "left_anti")
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    counts = vectors.agg(F.count("*").alias("n_vectors"), F.countDistinct(F.size("embedding")).alias("n_dims"), F.max(F.size("embedding")).cast("long").alias("dim"), F.lit(element).alias("element"))
+    return counts.crossJoin(no_vector.agg(F.count("*").alias("n_without_vector"))).crossJoin(no_doc.agg(F.count("*").alias("n_without_document")))
+
+
 def ocr_route(text_length: Column, images: Column, enabled: Column) -> Column:
     """What becomes of a page: no candidate, candidate without an engine, or sent to one."""
     return F.when(~((text_length < OCR_TEXT) & (images >= OCR_IMAGES)), "not_needed").when(enabled, "routed").otherwise("engine_unavailable")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexquarry.operators import assembly as A
 from lexquarry.operators import chunking as K
 from lexquarry.operators import cleaning as C
+from lexquarry.operators import context as X
 from lexquarry.operators import quality as Q
 from lexquarry.plans.cleaning import _cut, _dirty, _dirty_sql, _hyphens, _normal
 from lexquarry.sources.tables import embedded, pages, qrels, structured, table
@@ -116,11 +117,35 @@ def embedding_scan(spark, sf):
     return found.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("dims").alias("n_values"), F.min("vec_id").alias("first_id"))
 
 
+def artifact_audit(spark, sf):
+    """The first expectation that artifacts made of all documents, three pages each, do not meet; some are made to fail by id."""
+    k = F.col("doc_id")
+    pages_ = F.when(k % 7 == 1, F.array(F.lit(1), F.lit(2))).when(k % 7 == 2, F.array(F.lit(1), F.lit(2), F.lit(4))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    raw = F.concat(F.lit("--- PAGE 1 ---\n"), F.translate("text", "-", "_"), F.lit("\n--- PAGE 2 ---\n"), F.when(k % 7 == 3, "").otherwise("--- PAGE 3 ---\n"), F.lit("end"))
+    cited = F.transform(pages_, lambda p: F.concat(F.lit("[d Page "), F.when(k % 7 == 4, p + 1).otherwise(p).cast("string"), F.lit("]")))
+    structured_ = F.when(k % 7 == 6, F.translate("text", "aeiounrst ", "")).otherwise(raw)
+    checks = A.artifact_checks(F.lit(3), pages_, F.array(F.lit("d"), F.when(k % 11 == 5, "e").otherwise("d")), raw, structured_, cited, F.when(k % 7 == 5, 2).otherwise(0), F.when(k % 13 == 6, 1).otherwise(0))
+    return _docs(spark, sf).select("doc_id", A.first_fault(checks).alias("fault"))
+
+
+def resolved_ids(spark, sf):
+    """Ids of all documents' chunks from three columns, of which the first is null for most."""
+    k = F.col("doc_id")
+    return _docs(spark, sf).select("doc_id", A.resolved_id(F.when(k % 3 == 0, F.concat(F.lit("c"), k.cast("string"))), F.when(k % 3 == 1, F.concat(F.lit("i"), k.cast("string"))), k.cast("string")).alias("id"))
+
+
+def judge_scores(spark, sf):
+    """Scores read from a judge's replies made of all events: JSON with words around it, of which one score is not there."""
+    reply = F.concat(F.lit("Here you are:\n"), "props", F.lit("\nThat is all."))
+    made = table(spark, sf, "events").select("event_type", X.judged(reply, ["k", "missing"]).alias("j"))
+    return made.groupBy("event_type").agg(F.count("j.k").alias("n_scored"), F.round(F.avg("j.k"), 6).alias("mean"), F.count("j.missing").alias("n_missing_scored"))
+
+
 def duplicate_peers(spark, sf):
     return Q.duplicate_peers(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (warning_lists, category_folders, stripped_tables, spliced_tables, parser_fallback, document_markdown, figure_chunks, chunk_union, issue_records, storage_estimates, structured_documents, relevance_judgements, embedding_scan, duplicate_peers)}
+QUERIES = {f.__name__: f for f in (warning_lists, category_folders, stripped_tables, spliced_tables, parser_fallback, document_markdown, figure_chunks, chunk_union, issue_records, storage_estimates, structured_documents, relevance_judgements, embedding_scan, artifact_audit, resolved_ids, judge_scores, duplicate_peers)}
 
 _D = "d AS (SELECT doc_id, coalesce(text, '') AS text, source, lang, n_chars FROM documents)"
 _F = r"""
@@ -155,6 +180,11 @@ SQL = {
     "structured_documents": f"WITH {_D}, g AS (SELECT doc_id // 5 AS d, max(lang) AS category FROM d GROUP BY 1) SELECT CAST(d AS VARCHAR) AS document_id, category, doc_id % 5 + 1 AS page_number, sha256(text) AS text_sha256, source AS header FROM d JOIN g ON d = doc_id // 5 WHERE d <> 3",
     "relevance_judgements": "SELECT DISTINCT CAST(item_id AS VARCHAR) AS query_id, CAST(item_id + k AS VARCHAR) AS chunk_id FROM benchmark, (SELECT unnest([0, 1]) AS k)",
     "embedding_scan": f"WITH {_D} SELECT source, lang, count(*) AS n, CAST(sum(len(embedding)) AS BIGINT) AS n_values, min(vec_id) AS first_id FROM embeddings JOIN d ON doc_id = vec_id WHERE doc_id % 3 <> 1 GROUP BY source, lang",
+    "artifact_audit": f"""WITH {_D}, r AS (SELECT doc_id, '--- PAGE 1 ---' || chr(10) || translate(text, '-', '_') || chr(10) || '--- PAGE 2 ---' || chr(10) || CASE WHEN doc_id % 7 = 3 THEN '' ELSE '--- PAGE 3 ---' || chr(10) END || 'end' AS raw, text FROM d)
+      SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'page_count' WHEN doc_id % 7 = 2 THEN 'not_consecutive' WHEN doc_id % 11 = 5 THEN 'document_ids' WHEN doc_id % 7 = 3 THEN 'dividers' WHEN doc_id % 7 = 4 THEN 'citations' WHEN doc_id % 7 = 5 THEN 'figure_files' WHEN doc_id % 13 = 6 THEN 'table_rows'
+        WHEN doc_id % 7 = 6 AND NOT length(translate(text, 'aeiounrst ', '')) / length(raw) BETWEEN 0.85 AND 1.30 THEN 'text_ratio' ELSE '' END AS fault FROM r""",
+    "resolved_ids": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'c' || doc_id WHEN 1 THEN 'i' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS id FROM documents",
+    "judge_scores": "WITH j AS (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) SELECT event_type, count(k) AS n_scored, round(avg(k), 6) AS mean, CAST(0 AS BIGINT) AS n_missing_scored FROM j GROUP BY event_type",
     "duplicate_peers": """WITH g AS (SELECT doc_id, count(*) OVER w AS n, min(doc_id) OVER w AS low, lead(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS nxt FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY text))
       SELECT doc_id, n - 1 AS n_peers, CASE WHEN doc_id <> low THEN low ELSE nxt END AS first_peer, coalesce(nxt, low) AS next_peer FROM g WHERE n > 1""",
 }

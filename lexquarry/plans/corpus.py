@@ -66,11 +66,8 @@ def entity_preservation(spark, sf):
 
 
 def embedding_validation(spark, sf):
-    """Vectors against documents by id: missing on either side, dimensions, totals."""
-    docs, vectors = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.size("embedding").alias("dim"))
-    no_vector, no_doc = docs.join(vectors, "doc_id", "left_anti"), vectors.join(docs, "doc_id", "left_anti")
-    counts = vectors.agg(F.count("*").alias("n_vectors"), F.countDistinct("dim").alias("n_dims"), F.max("dim").cast("long").alias("dim"))
-    return counts.crossJoin(no_vector.agg(F.count("*").alias("n_without_vector"))).crossJoin(no_doc.agg(F.count("*").alias("n_without_document")))
+    """Vectors against documents by id: missing on either side, dimensions, element type, totals."""
+    return Q.embedding_report(table(spark, sf, "documents"), table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"))
 
 
 def literal_conservation(spark, sf):
@@ -84,11 +81,11 @@ def ocr_routing(spark, sf):
 
 
 def preflight_flags(spark, sf):
-    """Page geometry from all parts: rotation, and sizes within 20 points of Letter or A4."""
-    w, h = (F.col("p_partkey") * 7 % 90 + 560).cast("double"), (F.col("p_partkey") * 11 % 120 + 750).cast("double")
-    near = lambda a, b: (F.abs(w - a) <= 20) & (F.abs(h - b) <= 20)
-    made = table(spark, sf, "part").select((F.col("p_partkey") % 10 == 0).alias("rotated"), (near(612, 792) | near(595, 842)).alias("standard"), "p_brand")
-    return made.groupBy("p_brand").agg(F.count("*").alias("n_pages"), F.count_if("rotated").alias("n_rotated"), F.count_if(~F.col("standard")).alias("n_odd_size"))
+    """Page geometry from all parts: rotation, sizes within 20 points of Letter or A4, and candidates for OCR."""
+    k = F.col("p_partkey")
+    flags = Q.preflight((k * 7 % 90 + 560).cast("double"), (k * 11 % 120 + 750).cast("double"), F.when(k % 10 == 0, 90).otherwise(0), F.col("p_size") * 3, k % 3)
+    made = table(spark, sf, "part").select("p_brand", flags.alias("f"))
+    return made.groupBy("p_brand").agg(F.count("*").alias("n_pages"), F.count_if("f.rotated").alias("n_rotated"), F.count_if(~F.col("f.standard")).alias("n_odd_size"), F.count_if("f.ocr_candidate").alias("n_ocr"))
 
 
 def table_issues(spark, sf):
@@ -203,10 +200,10 @@ SQL = {
       SELECT u, v FROM p JOIN n AS x ON x.id = u JOIN n AS y ON y.id = v WHERE c * 100 >= 85 * (x.n + y.n - c)""",
     "repeated_paragraphs": f"WITH l AS (SELECT doc_id, {_STRIP.format('line')} AS line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)) SELECT line, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM l WHERE line <> '' GROUP BY line HAVING count(*) >= 3",
     "entity_preservation": f"WITH p AS (SELECT source, {_PUT} AS x FROM documents), q AS (SELECT source, x, regexp_replace(x, '[ \\t]+', ' ', 'g') AS y FROM p) SELECT source, {_COUNT} FROM q GROUP BY source",
-    "embedding_validation": "SELECT count(*) AS n_vectors, count(DISTINCT len(embedding)) AS n_dims, max(len(embedding)) AS dim, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS n_without_vector, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS n_without_document FROM embeddings",
+    "embedding_validation": "SELECT count(*) AS n_vectors, count(DISTINCT len(embedding)) AS n_dims, max(len(embedding)) AS dim, lower(replace(any_value(typeof(embedding)), '[]', '')) AS element, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS n_without_vector, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS n_without_document FROM embeddings",
     "literal_conservation": r"WITH l AS (SELECT item_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS x FROM benchmark), d AS (SELECT trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS y FROM documents) SELECT item_id, count(y) AS n_docs FROM l LEFT JOIN d ON contains(y, x) GROUP BY item_id",
     "ocr_routing": f"WITH {_FLAGS} SELECT CASE WHEN NOT (text_length < 50 AND doc_id % 3 >= 1) THEN 'not_needed' WHEN doc_id % 2 = 0 THEN 'routed' ELSE 'engine_unavailable' END AS outcome, count(*) AS n_pages FROM f GROUP BY 1",
-    "preflight_flags": "WITH p AS (SELECT p_brand, p_partkey % 10 = 0 AS r, p_partkey * 7 % 90 + 560 AS w, p_partkey * 11 % 120 + 750 AS h FROM part) SELECT p_brand, count(*) AS n_pages, count(*) FILTER (r) AS n_rotated, count(*) FILTER (NOT ((abs(w - 612) <= 20 AND abs(h - 792) <= 20) OR (abs(w - 595) <= 20 AND abs(h - 842) <= 20))) AS n_odd_size FROM p GROUP BY p_brand",
+    "preflight_flags": "WITH p AS (SELECT p_brand, p_partkey % 10 = 0 AS r, p_size * 3 < 50 AND p_partkey % 3 >= 1 AS o, p_partkey * 7 % 90 + 560 AS w, p_partkey * 11 % 120 + 750 AS h FROM part) SELECT p_brand, count(*) AS n_pages, count(*) FILTER (r) AS n_rotated, count(*) FILTER (NOT ((abs(w - 612) <= 20 AND abs(h - 792) <= 20) OR (abs(w - 595) <= 20 AND abs(h - 842) <= 20))) AS n_odd_size, count(*) FILTER (o) AS n_ocr FROM p GROUP BY p_brand",
     "table_issues": """WITH c AS (SELECT l_orderkey, l_quantity AS q, CASE WHEN l_quantity > 45 THEN 1 ELSE 3 END AS width, CASE WHEN l_quantity > 12 THEN 1 ELSE 0 END + CASE WHEN l_quantity > 45 THEN 0 ELSE CASE WHEN l_quantity > 20 THEN 1 ELSE 0 END + CASE WHEN l_quantity > 15 THEN 1 ELSE 0 END END AS blank FROM lineitem),
       g AS (SELECT l_orderkey, count(*) FILTER (q > 5) AS n, max(width <> 3) AS ragged, sum(blank) / sum(width) > 0.70 AS sparse FROM c GROUP BY l_orderkey)
       SELECT l_orderkey, CASE WHEN n = 0 THEN 'no_rows' ELSE concat_ws(',', CASE WHEN ragged THEN 'ragged' END, CASE WHEN sparse THEN 'sparse' END, CASE WHEN l_orderkey % 5 = 0 THEN 'no_headers' END) END AS issues FROM g""",

@@ -19,6 +19,18 @@ def write(df: DataFrame, path: str, form: str = "parquet", by: list[str] | None
     (writer.partitionBy(*by) if by else writer).save(path)
 
 
+def write_artifacts(documents: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Artifacts of documents (document_id, category, markdown, raw_text, pages: array of structs), each form in a folder of its own by category.
+
+    structured holds JSON, markdown and raw_text a row of text for each document, manifest one JSON row of counts for each category.
+    """
+    write(documents.select("document_id", "category", "pages"), f"{path}/structured", "json", ["category"], overwrite)
+    for form in ("markdown", "raw_text"):
+        write(documents.select("document_id", "category", form), f"{path}/{form}", "parquet", ["category"], overwrite)
+    counts = documents.groupBy("category").agg(F.count("*").alias("n_documents"), F.sum(F.size("pages")).alias("n_pages"), F.sum(F.length("raw_text")).alias("n_chars"))
+    write(counts, f"{path}/manifest", "json", None, overwrite)
+
+
 def manifest(chunks: DataFrame) -> DataFrame:
     """One row: documents, chunks and tokens."""
     return chunks.agg(F.countDistinct("document_id").alias("n_documents"), F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens"))

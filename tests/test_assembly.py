@@ -78,6 +78,27 @@ def test_faults_stop_or_go_on(spark):
     assert df.select(A.storage_estimate(F.lit(10)).alias("n")).first().n == 432967
 
 
+def test_ids_and_expectations(spark):
+    df = spark.createDataFrame([(None, "b"), ("a", None)], "x string, y string")
+    assert [r.i for r in df.select(A.resolved_id(F.col("x"), F.col("y")).alias("i")).collect()] == ["b", "a"]
+    with pytest.raises(Exception, match="id columns"):
+        df.select(A.resolved_id(F.col("x")).alias("i")).collect()
+    good = {"expected": 2, "pages": [1, 2], "ids": ["d", "d"], "raw": "--- PAGE 1 ---\na\n--- PAGE 2 ---\nb", "structured": "--- PAGE 1 ---\na\n--- PAGE 2 ---\nb", "cited": ["Page 1", "Page 2"], "figures": 0, "ragged": 0}
+    bad = {"": {}, "page_count": {"expected": 3}, "not_consecutive": {"pages": [1, 3]}, "document_ids": {"ids": ["d", "e"]}, "dividers": {"raw": "no"}, "citations": {"cited": ["Page 1", "Page 9"]}, "figure_files": {"figures": 1}, "table_rows": {"ragged": None}, "text_ratio": {"structured": "x"}}
+    rows = [tuple((good | change).values()) for change in bad.values()]
+    df = spark.createDataFrame(rows, "expected int, pages array<int>, ids array<string>, raw string, structured string, cited array<string>, figures int, ragged int")
+    checks = A.artifact_checks(*[F.col(c) for c in df.columns])
+    assert [r.f for r in df.select(A.first_fault(checks).alias("f")).collect()] == list(bad)
+
+
+def test_judges_and_preflight(spark):
+    replies = ['Sure: {"a": 0.5, "b": "x"} ok', "{}", "none", None, '{"a": "12", "b": 3}']
+    found = spark.createDataFrame([(r,) for r in replies], "r string").select(X.judged(F.col("r"), ["a", "b"]).alias("j")).collect()
+    assert [(r.j.a, r.j.b) for r in found] == [(0.5, None), (None, None), (None, None), (None, None), (12.0, 3.0)]
+    pages = spark.createDataFrame([(612.0, 792.0, 0, 10, 1), (600.0, 850.0, 90, 60, 1), (400.0, 792.0, 0, 10, 0)], "w double, h double, r int, t int, i int")
+    assert [tuple(r.p) for r in pages.select(Q.preflight(*[F.col(c) for c in pages.columns]).alias("p")).collect()] == [(False, True, True), (True, True, False), (False, False, False)]
+
+
 def test_structured_files(spark, tmp_path):
     at = tmp_path / "cat" / "doc1"
     at.mkdir(parents=True)
@@ -132,6 +153,14 @@ def test_written_artifacts(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 2
 
 
+def test_artifacts_by_category(spark, tmp_path):
+    docs = spark.createDataFrame([("d", "x", "# d", "raw", [(1, "t")]), ("e", "y", "# e", "more", [(1, "t"), (2, "u")])], "document_id string, category string, markdown string, raw_text string, pages array<struct<page_number:int,text:string>>")
+    K.write_artifacts(docs, str(tmp_path / "a"))
+    assert {r.category: (r.n_documents, r.n_pages, r.n_chars) for r in spark.read.json(str(tmp_path / "a" / "manifest")).collect()} == {"x": (1, 1, 3), "y": (1, 2, 4)}
+    assert spark.read.json(str(tmp_path / "a" / "structured")).where("category = 'y'").first().pages[1].text == "u"
+    assert spark.read.parquet(str(tmp_path / "a" / "markdown")).count() == 2
+
+
 def test_manifest_and_points(spark, tmp_path):
     chunks = spark.createDataFrame([("d", 5), ("d", 7), ("e", 1)], "document_id string, token_count int")
     assert tuple(K.manifest(chunks).first()) == (2, 3, 13)
