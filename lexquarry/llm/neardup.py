@@ -5,6 +5,9 @@ such cells together are a bucket key, and there are several independent tables o
 a bucket are compared by their cosine. Equal vectors are one class with a count; the pairs of a bucket are
 counted in blocks and never written out, each pair in the first table in which it meets.
 
+Projections are sums of products of whole numbers, exact in double precision, so that a vector falls into the same cells
+whatever other vectors it is projected with.
+
 At the cosine bound of 0.93 two vectors of length one are 0.374 apart: with cells of width 2.2 a projection
 agrees with probability 0.86, ten agree with 0.23, and one of 24 tables has them together with 0.998; closer
 pairs are found more surely.
@@ -12,6 +15,7 @@ pairs are found more surely.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +27,8 @@ from pyspark.sql import types as T
 
 from lexquarry.llm import common as C
 
-#: Vectors of one bucket that are compared in one block, and bucket rows of one group of buckets.
-BLOCK, GROUP_ROWS = 2000, 4000
+#: Vectors of one bucket that are compared in one block, bucket rows of one group of buckets, and rows of a block compared at once.
+BLOCK, GROUP_ROWS, STRIP = 2000, 4000, 128
 
 
 @dataclass(frozen=True)
@@ -39,11 +43,15 @@ class Hashing:
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """Bucket keys (vector, table) of vectors of length one."""
-        rng = np.random.default_rng([self.seed, unit.shape[1]])
-        directions = rng.standard_normal((unit.shape[1], self.tables * self.cells))
+        dims = unit.shape[1]
+        rng = np.random.default_rng([self.seed, dims])
+        # Whole numbers: a sum of products is at most 2**24 * 2**fine * the direction's length, under 2**53 for any dims.
+        fine = min(20, 26 - math.ceil(math.log2(dims) / 2))
+        directions = np.rint(rng.standard_normal((dims, self.tables * self.cells)) * 2**fine)
         shift = rng.uniform(0, self.width, self.tables * self.cells)
-        cell = np.floor((unit @ directions + shift) / self.width).astype(np.int64).view(np.uint64).reshape(-1, self.tables, self.cells)
-        key = np.broadcast_to(np.arange(1, self.tables + 1, dtype=np.uint64) * np.uint64(unit.shape[1]), cell.shape[:2]).copy()
+        projected = (np.rint(unit * 2**24) @ directions) / 2.0 ** (24 + fine)
+        cell = np.floor((projected + shift) / self.width).astype(np.int64).view(np.uint64).reshape(-1, self.tables, self.cells)
+        key = np.broadcast_to(np.arange(1, self.tables + 1, dtype=np.uint64) * np.uint64(dims), cell.shape[:2]).copy()
         for k in range(self.cells):
             key = C.mixed(key * np.uint64(C.BASE) + cell[:, :, k])
         return key
@@ -97,18 +105,20 @@ def _bucketed(classes: DataFrame, hashing: Hashing, kind: str) -> DataFrame:
     return classes.select("node", "size", "vec", F.xxhash64("label").alias("label_hash")).mapInArrow(dealt, "key bigint, t int, node bigint, size bigint, vec binary")
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n nodes the least node that pairs (a, b) reach."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = np.minimum(new, new[new])
-        if (new == root).all():
-            return root
-        root = new
+def _close(unit: np.ndarray, side: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs a < b of rows (on different sides, if given) whose cosine reaches the bound, found strip by strip."""
+    out = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    for i in range(0, len(unit), STRIP):
+        near = unit[i : i + STRIP] @ unit[i:].T
+        close = near >= cosine - 1e-9
+        if side is not None:
+            close &= side[i : i + STRIP, None] != side[None, i:]
+        a, b = np.nonzero(np.triu(close, 1))
+        # A product's last bits vary with its shape; at the bound the plain sum decides, wherever the pair meets.
+        edge = np.flatnonzero(near[a, b] < cosine + 1e-9)
+        low = edge[(unit[i + a[edge]] * unit[i + b[edge]]).sum(1) < cosine]
+        out.append((np.delete(a, low).astype(np.int32) + np.int32(i), np.delete(b, low).astype(np.int32) + np.int32(i)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _linked(dealt: DataFrame, groups: int, hashing: Hashing, kind: str) -> DataFrame:
@@ -130,18 +140,17 @@ def _linked(dealt: DataFrame, groups: int, hashing: Hashing, kind: str) -> DataF
                     continue
                 o = order[i:j]
                 r = rows[o]
-                close = unit[o] @ unit[o].T >= hashing.cosine
-                cross = lo[r[0]] != hi[r[0]]
-                if cross:  # two blocks of a bucket: pairs inside a block have their own group
-                    close &= own[r][:, None] != own[r][None, :]
-                a, b = np.nonzero(np.triu(close, 1))
+                # Of two blocks of a bucket: pairs inside a block have their own group.
+                side = own[r] if lo[r[0]] != hi[r[0]] else None
+                a, b = _close(unit[o], side, hashing.cosine)
                 if not len(a):
                     continue
-                root = _roots(len(o), a, b)
+                root = C.roots(len(o), a, b)
                 moved = np.flatnonzero(root != np.arange(len(o)))
                 edges.append((node[r[moved]], node[r[root[moved]]]))
-                t = table[r[0]]
-                first = ~(keys[o[a], :t] == keys[o[b], :t]).any(1)
+                first = np.ones(len(a), bool)
+                for t in range(table[r[0]]):  # a pair counts in the first table in which it meets
+                    first &= keys[o[a], t] != keys[o[b], t]
                 more = np.bincount(a[first], size[r[b[first]]], len(o)) + np.bincount(b[first], size[r[a[first]]], len(o))
                 some = np.flatnonzero(more)
                 counts.append((node[r[some]], more[some].astype(np.int64)))
@@ -165,16 +174,17 @@ def near_duplicates(embeddings: DataFrame, hashing: Hashing = Hashing()) -> Data
     """
     element = embeddings.schema["embedding"].dataType.elementType
     kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
-    rows = _vectors(C.small_batches(embeddings).select("vec_id", "label", "embedding"), kind).withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec")))
+    rows = _vectors(embeddings.select("vec_id", "label", "embedding"), kind).withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec")))
     rows = C.stored(rows, "vectors")
     classes = C.stored(rows.where(F.col("vec").isNotNull()).groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("size"), F.min("vec_id").alias("low")), "classes")
     dealt = _bucketed(classes, hashing, kind)
     # Buckets beyond a block are cut into blocks; each pair of blocks is a group of its own.
-    large = C.stored(dealt.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
-    dealt = dealt.join(C.small_or_not(large), "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    large = C.stored(dealt.groupBy("key").count().where(F.col("count") > BLOCK).select("key", "count", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
+    dealt = dealt.join(C.small_or_not(large.select("key", "blocks")), "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
     dealt = dealt.select("key", "t", "node", "size", "vec", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    groups = max(1, classes.count() * hashing.tables // GROUP_ROWS)
+    copies = large.agg(F.sum(F.col("count") * (F.col("blocks") - 1))).first()[0] or 0
+    groups = max(1, (classes.count() * hashing.tables + copies) // GROUP_ROWS)
     found = C.stored(_linked(dealt, groups, hashing, kind), "links")
     part = C.components(found.where("v is not null").select("u", "v"))
     more = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("more"))

@@ -90,6 +90,16 @@ def test_components_of_paths_and_hubs(spark):
     assert found == {**dict.fromkeys(range(31), 0), **dict.fromkeys(range(100, 160), 100)}
 
 
+def test_components_in_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "EDGES", 10)
+    monkeypatch.setattr(common, "LIGHT_KEY", 5)
+    rng = random.Random(14)
+    edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 190)] + [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(120)]
+    found = {r.node: r.component_id for r in common.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    root = least_reachable(500, edges)
+    assert found == {k: root[k] for edge in edges for k in edge if edge[0] != edge[1]}
+
+
 def removed_by_brute_force(rows):
     first = {}
     order = lambda i: (i is None, i or 0)
@@ -124,10 +134,39 @@ def test_repeats_with_many_buckets_and_pieces(documents, prose, monkeypatch):
     assert repeats_of(df) == removed_by_brute_force(rows)
 
 
+def test_repeats_with_hot_minimizers(documents, prose, monkeypatch):
+    """A phrase between different words in every document, and groups that are split in batches, in buckets and in transforms."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))
+    phrase = "a phrase that all share"
+    ends = [" ".join(word() for _ in range(8)) for _ in range(6)]
+    rows = [*prose, *((400 + k, " ".join(f"{rng.choice(ends)} {phrase} {rng.choice(ends)}" if rng.random() < 0.6 else f"{word()} {phrase} {word()}" for _ in range(6))) for k in range(40))]
+    monkeypatch.setattr(repeats, "BUCKET", 20_000)
+    for hot, transform in ((2, 2_000_000), (5, 300), (10**9, 300)):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        monkeypatch.setattr(repeats, "TRANSFORM", transform)
+        assert repeats_of(documents(rows).repartition(5)) == removed_by_brute_force(rows)
+
+
+def test_repeats_keep_other_columns(documents, prose):
+    cut = repeats.remove(documents(prose))
+    assert set(documents([]).columns) | {"kept", "spans"} == set(cut.columns)
+    assert {(r.id, r.th, r.mine, r.cut) for r in cut.collect()} == {("x",) * 4}
+
+
 def test_repeats_empty(documents):
     assert repeats.remove(documents([])).collect() == []
 
 
+def test_suffix_order_is_that_of_the_suffixes():
+    rng = np.random.default_rng(2)
+    parts = [bytes(rng.integers(97, 99, int(rng.integers(50, 89))).astype(np.uint8)) for _ in range(30)]
+    text = np.frombuffer(b"".join(x + b"\xff" for x in parts * 2), np.uint8)
+    suffix = lambda k: bytes(text[k:]).split(b"\xff")[0] + b"\xff"
+    found = [suffix(k) for k in repeats.suffix_order(text)]
+    assert found == sorted(found)
+
+
 def test_equal_strings_are_the_classes_of_prefixes():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 100, 4000).astype(np.uint8)
@@ -181,6 +220,41 @@ def test_near_vectors_against_brute_force(spark, some_vectors, block, monkeypatc
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in found), key=str) == expected_vectors(some_vectors)
 
 
+def test_close_pairs_are_found(spark):
+    """Recall of pairs just above the bound, each apart from all others by its label."""
+    rng = np.random.default_rng(11)
+    rows, n = [], 4000
+    for k in range(n):
+        a, b = rng.standard_normal((2, 32))
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        cosine = rng.uniform(0.9305, 0.94)
+        b = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b)
+        rows += [(2 * k, a.tolist(), k), (2 * k + 1, b.tolist(), k)]
+    found = neardup.near_duplicates(vectors(spark, rows, "double")).where("n_links > 0").count() / 2
+    assert found / n > 0.995
+
+
+def test_cells_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(12)
+    unit = rng.standard_normal((300, 48))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    keys = neardup.Hashing().keys(unit)
+    assert all((neardup.Hashing().keys(unit[i:j]) == keys[i:j]).all() for i, j in ((0, 1), (5, 12), (100, 300)))
+
+
+def test_a_dense_block_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(13)
+    unit = np.abs(rng.standard_normal((1, 64))) + 0.05 * rng.standard_normal((2000, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    tracemalloc.start()
+    a, b = neardup._close(unit, None, 0.93)
+    assert len(a) == len(b) == 2000 * 1999 // 2 and tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+
+
 def test_near_vectors_empty_and_double(spark):
     assert neardup.near_duplicates(vectors(spark, [])).collect() == []
     tiny = [(1, [1e-200, 0.0], 1), (2, [1e200, 1e199], 1)]
