@@ -80,10 +80,12 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
-def test_rows_with_nulls_and_other_columns(spark, tables, tmp_path):
+def test_rows_with_nulls_and_other_columns(spark, tables):
     path, _, _ = tables
-    docs = spark.createDataFrame([(None, None, None, None, None, "x"), (1, None, None, None, None, None), (1, "Some text of good words here.", None, None, 3, "y"), (1, "Some text of good words here.", None, None, 3, "y")], "doc_id bigint, text string, lang string, source string, n_chars bigint, score string")
+    own = ["score", "predicted", "id", "th", "__id", "__th", "base", "tested", "spans", "found", "node", "sig", "__score"]
+    rows = [(None, None, None, None, None), (1, None, None, None, None), (1, "Some text of good words here.", None, None, 3), (1, "Some text of good words here.", None, None, 3)]
+    docs = spark.createDataFrame([(*r, *own) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in own))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, path)
-        assert set(docs.columns) <= set(out.columns)
-        out.collect()
+        assert set(docs.columns) <= set(out.columns), name
+        assert all(r[c] == c for r in out.collect() for c in own), name
