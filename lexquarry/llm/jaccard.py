@@ -179,13 +179,16 @@ def shared_signatures(one: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
             size = np.diff(np.r_[first, len(sig)])
             low = np.repeat(row[first], size)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node[row]), pa.array(n[row]), pa.array(node[low]), pa.array(n[low]), pa.array(np.repeat(size > 1, size))], ["sig", "node", "n", "low", "low_n", "led"])
+            alone = row == low
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node[row]), pa.array(n[row]), pa.array(node[low], mask=alone), pa.array(n[low], mask=alone), pa.array(np.repeat(size > 1, size))], ["sig", "node", "n", "low", "low_n", "led"])
 
+    # What points to nothing is null: nearly all rows are of signatures that one set has, and nulls shuffle as next to nothing.
     found = one.select("node", "n", "sigs").mapInArrow(grouped, "sig bigint, node bigint, n bigint, low bigint, low_n bigint, led boolean")
     # The smallest of a batch has its signature's window; the others, whose place is known, have one each.
-    window = Window.partitionBy("sig", F.when(F.col("node") != F.col("low"), F.col("node")))
-    found = found.select("*", F.min(F.struct("low", "low_n")).over(window).alias("least"), F.max("low").over(window).alias("most"))
-    return found.where(F.col("led") | (F.col("least.low") != F.col("most"))).select("sig", "node", "n", "least.low", "least.low_n")
+    window = Window.partitionBy("sig", F.when(F.col("low").isNotNull(), F.col("node")))
+    found = found.select("*", F.min(F.struct("node", "n")).over(window).alias("least"), F.max("node").over(window).alias("most"))
+    shared = found.where(F.col("led") | (F.col("least.node") != F.col("most")))
+    return shared.select("sig", "node", "n", F.coalesce("low", "least.node").alias("low"), F.coalesce("low_n", "least.n").alias("low_n"))
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
