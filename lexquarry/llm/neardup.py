@@ -27,8 +27,9 @@ from pyspark.sql import types as T
 
 from lexquarry.llm import common as C
 
-#: Vectors of one bucket that are compared in one block, bucket rows of one group of buckets, and rows of a block compared at once.
-BLOCK, GROUP_ROWS, STRIP = 2000, 4000, 128
+#: Vectors of one bucket that are compared in one block, bucket rows of one group of buckets, rows of a block compared at once, and
+#: vectors up to which buckets are compared all together.
+BLOCK, GROUP_ROWS, STRIP, FEW = 2000, 4000, 128, 24
 
 
 @dataclass(frozen=True)
@@ -116,11 +117,36 @@ def _close(unit: np.ndarray, side: np.ndarray | None, cosine: float) -> tuple[np
         a, b = np.nonzero(np.triu(close, 1))
         # A product's last bits vary with its shape; at the bound the plain sum decides, wherever the pair meets.
         edge = np.flatnonzero(near[a, b] < cosine + 1e-9)
-        low = edge[(unit[i + a[edge]] * unit[i + b[edge]]).sum(1) < cosine]
+        low = edge[_cosines(unit, i + a[edge], i + b[edge]) < cosine]
         out.append((np.delete(a, low).astype(np.int32) + np.int32(i), np.delete(b, low).astype(np.int32) + np.int32(i)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _cosines(unit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The plain sums of products of rows a and b."""
+    out = [(unit[a[i : i + 20_000]] * unit[b[i : i + 20_000]]).sum(1) for i in range(0, len(a), 20_000)]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _pairs(unit: np.ndarray, start: np.ndarray, end: np.ndarray, side: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs a < b of rows of one bucket (start to end) whose cosine reaches the bound; rows of one side that isn't -1 are no pair.
+
+    Small buckets are compared all together, by the distance of two rows in their bucket.
+    """
+    few = end - start <= FEW
+    row, last = np.arange(len(unit)), np.repeat(np.where(few, end, 0), end - start)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for d in range(1, FEW):
+        a = row[row + d < last]
+        a = a[(side[a] < 0) | (side[a] != side[a + d])]
+        a = a[_cosines(unit, a, a + d) >= cosine]
+        out.append((a, a + d))
+    for i, j in zip(start[~few], end[~few], strict=True):
+        a, b = _close(unit[i:j], side[i:j] if side[i] >= 0 else None, cosine)
+        out.append((a + i, b + i))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _linked(dealt: DataFrame, groups: int, hashing: Hashing, kind: str) -> DataFrame:
     """Rows (u, v, n): with v an edge of a bucket's spanning forest, without v n more linked vectors of node u."""
 
@@ -132,28 +158,23 @@ def _linked(dealt: DataFrame, groups: int, hashing: Hashing, kind: str) -> DataF
         for rows, unit in _unit(group.column("vec").combine_chunks(), kind):
             keys = hashing.keys(unit)
             order = np.lexsort((node[rows], hi[rows], lo[rows], key[rows]))
-            sorted_ = rows[order]
-            same = (key[sorted_][1:] == key[sorted_][:-1]) & (lo[sorted_][1:] == lo[sorted_][:-1]) & (hi[sorted_][1:] == hi[sorted_][:-1])
-            starts = np.flatnonzero(np.r_[True, ~same])
-            for i, j in zip(starts, np.r_[starts[1:], len(order)], strict=True):
-                if j - i < 2:
-                    continue
-                o = order[i:j]
-                r = rows[o]
-                # Of two blocks of a bucket: pairs inside a block have their own group.
-                side = own[r] if lo[r[0]] != hi[r[0]] else None
-                a, b = _close(unit[o], side, hashing.cosine)
-                if not len(a):
-                    continue
-                root = C.roots(len(o), a, b)
-                moved = np.flatnonzero(root != np.arange(len(o)))
-                edges.append((node[r[moved]], node[r[root[moved]]]))
-                first = np.ones(len(a), bool)
-                for t in range(table[r[0]]):  # a pair counts in the first table in which it meets
-                    first &= keys[o[a], t] != keys[o[b], t]
-                more = np.bincount(a[first], size[r[b[first]]], len(o)) + np.bincount(b[first], size[r[a[first]]], len(o))
-                some = np.flatnonzero(more)
-                counts.append((node[r[some]], more[some].astype(np.int64)))
+            r = rows[order]
+            same = (key[r][1:] == key[r][:-1]) & (lo[r][1:] == lo[r][:-1]) & (hi[r][1:] == hi[r][:-1])
+            start = np.flatnonzero(np.r_[True, ~same])
+            # Of two blocks of a bucket: pairs inside a block have their own group.
+            side = np.where(lo[r] != hi[r], own[r], -1)
+            a, b = _pairs(unit[order], start, np.r_[start[1:], len(order)], side, hashing.cosine)
+            root = C.roots(len(order), a, b)
+            moved = np.flatnonzero(root != np.arange(len(order)))
+            edges.append((node[r[moved]], node[r[root[moved]]]))
+            first, met = np.ones(len(a), bool), table[r[a]]
+            for t in range(hashing.tables):  # a pair counts in the first table in which it meets
+                later = np.flatnonzero(first & (met > t))
+                first[later] = keys[order[a[later]], t] != keys[order[b[later]], t]
+            a, b = a[first], b[first]
+            more = np.bincount(a, size[r[b]], len(order)) + np.bincount(b, size[r[a]], len(order))
+            some = np.flatnonzero(more)
+            counts.append((node[r[some]], more[some].astype(np.int64)))
         u = np.concatenate([x for x, _ in edges + counts] or [np.zeros(0, np.int64)])
         v = np.concatenate([y for _, y in edges] or [np.zeros(0, np.int64)])
         n = np.concatenate([y for _, y in counts] or [np.zeros(0, np.int64)])
