@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import bpe, chat, counts, decontaminate, jaccard, langid, neardup, quality, repeats, secrets
+from lexquarry.llm import bpe, chat, counts, decontaminate, jaccard, langid, neardup, periods, quality, repeats, secrets, urlrules, whitening
 from lexquarry.llm.common import bounded_batches, held_out, scratch, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -277,6 +277,109 @@ def op10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.maintained(rollup, table(spark, sf_dir, "documents"), withdrawn, VERSIONS, public_tokenizers.PATTERN)
 
 
+def repeating(docs: DataFrame) -> DataFrame:
+    """doc_id and the words of each text; with a crc32 of the id that 10 divides, the words from a place on repeat a few."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    n, g = F.size("words"), F.col("g")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    made = docs.select("doc_id", words.alias("words"), h.alias("h"), F.floor(h / 10).alias("g"))
+    made = made.withColumn("a", F.when(n > 0, a)).withColumn("p", F.when(n > 0, p))
+    return made.select("doc_id", F.array_join(F.when((F.col("h") % 10 == 0) & (n > 0), again).otherwise(F.col("words")), " ").alias("text"))
+
+
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.collapse(repeating(table(spark, sf_dir, "documents"))).withColumn("best", periods.strongest(F.col("runs")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: By powers of two w: where a stretch of w words comes again after w/2 < q <= w words for the first time, in consecutive places,
+#: lies a run of smallest period q (a stretch as long as the period can't come earlier).
+OP11_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER (ORDER BY doc_id, text) AS k, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), c AS (
+  SELECT *, len(w) AS n, CAST(doc_id AS VARCHAR) AS s FROM t
+), crc AS (
+  SELECT s, 1 AS i, CAST(4294967295 AS BIGINT) AS r FROM (SELECT DISTINCT s FROM c WHERE s IS NOT NULL)
+  UNION ALL
+  SELECT s, i + 1, list_reduce(list_prepend(xor(r, ascii(s[i])), range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)) FROM crc WHERE i <= length(s)
+), h AS (
+  SELECT s, xor(r, 4294967295) AS h FROM crc WHERE i = length(s) + 1
+), m AS (
+  SELECT k, doc_id, w, n, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, 3 + (h // 10) % 8 AS f FROM c LEFT JOIN h USING (s)
+), d AS (
+  SELECT k, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // f) END]) END AS w FROM m
+), x AS (
+  SELECT k, n, i, w[i + 1] AS x FROM d, unnest(range(0, n)) AS u(i)
+), g AS (
+  SELECT k, n, i, 1 AS w, hash(x) AS h FROM x
+  UNION ALL
+  SELECT k, n, i, w, h FROM (SELECT k, n, i, 2 * w AS w, hash(h, lead(h, w) OVER (PARTITION BY k ORDER BY i)) AS h FROM g WHERE n >= 3 * (w + 1)) AS y WHERE i + w <= n
+), again AS (
+  SELECT k, w, i, lead(i) OVER (PARTITION BY k, w, h ORDER BY i) - i AS q FROM g
+), near AS (
+  SELECT k, w, i, q, i - row_number() OVER (PARTITION BY k, w, q ORDER BY i) AS island FROM again WHERE q <= w AND 2 * q > w
+), runs AS (
+  SELECT k, min(i) AS start, max(i) + w + q - min(i) AS length, q AS period FROM near GROUP BY k, w, q, island HAVING max(i) + w + q - min(i) >= greatest(24, 3 * q)
+), per AS (
+  SELECT k, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM runs GROUP BY k
+), best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY k ORDER BY length / period DESC, start, period) = 1
+), gone AS (
+  SELECT DISTINCT k, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT k, string_agg(x, ' ' ORDER BY i) AS s FROM x ANTI JOIN gone USING (k, i) GROUP BY k
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(per.s, '')) AS runs_sha256, sha256(coalesce(kept.s, '')) AS collapsed_sha256
+FROM d LEFT JOIN per USING (k) LEFT JOIN best USING (k) LEFT JOIN kept USING (k)
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, model) if model else None
+    return whitening.whiten(vectors, model).withColumn("identity_error", F.lit(error).cast("double"))
+
+
+#: The rules of op13_urls: host, path, verdict.
+URL_RULES = "VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow') AS rules(host, path, verdict)"
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM {URL_RULES}")
+    return urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+OP13_SQL = f"""
+WITH u AS (
+  SELECT row_number() OVER () AS k, page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS s FROM pages
+), p AS (
+  SELECT k, page_id, translate(regexp_extract(s, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(s, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), f AS (
+  SELECT k, r.host || r.path AS rule, verdict FROM p JOIN (FROM ({URL_RULES.split(" AS rules")[0]}) AS v(host, path, verdict)) AS r
+  ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+), best AS (
+  SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(rule) DESC) = 1
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (k)
+"""
+
+
 def _application(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, in a session whose Arrow batches are bounded."""
 
@@ -299,6 +402,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": _application(op8_jaccard),
     "op9_secrets": _application(op9_secrets),
     "op10_counts": _application(op10_counts),
+    "op11_periods": _application(op11_periods),
+    "op12_whitening": _application(op12_whitening),
+    "op13_urls": _application(op13_urls),
 }
 
 SQL: dict[str, str] = {
@@ -308,4 +414,6 @@ SQL: dict[str, str] = {
     "op5_repeats": OP5_SQL,
     "op8_jaccard": OP8_SQL,
     "op9_secrets": OP9_SQL,
+    "op11_periods": OP11_SQL,
+    "op13_urls": OP13_SQL,
 }
