@@ -99,8 +99,8 @@ def _stretches(words: np.ndarray, at: np.ndarray, distance: np.ndarray) -> list[
 
 def _short_periods(words: np.ndarray) -> Iterator[list[np.ndarray]]:
     for q in range(1, FIRST_SCALE * 3 // 2):
-        equal = np.zeros(len(words) - q + 2, bool) if len(words) > q else np.zeros(2, bool)
-        equal[1:-1] = words[q:] == words[: len(words) - q]
+        equal = np.zeros(max(len(words) - q, 0) + 2, bool)
+        equal[1:-1] = words[q:] == words[: max(len(words) - q, 0)]
         edges = np.flatnonzero(equal[1:] != equal[:-1])
         start, length = edges[::2], edges[1::2] - edges[::2] + q
         long = length >= EXPONENT * q
