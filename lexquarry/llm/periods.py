@@ -197,7 +197,7 @@ def _worked(texts: pa.Array) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(n_runs, pa.int32()), runs), collapsed.cast(pa.string())], ["n_words", "runs", "collapsed"])
 
 
-def runs(text: Column) -> Column:
+def runs(text: Column, text_bytes: int = TEXT_BYTES) -> Column:
     """struct<n_words, runs, collapsed> of whole texts, worked out together in batches of bounded bytes.
 
     runs holds (start, length, period) of every run, in words from 0, by start and then period. collapsed is the text
@@ -209,20 +209,20 @@ def runs(text: Column) -> Column:
     def worked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
             at = C.flat(b)[1]
-            parts = [_worked(b.slice(i, j - i)) for i, j in C.slices(at, TEXT_BYTES)]
+            parts = [_worked(b.slice(i, j - i)) for i, j in C.slices(at, text_bytes)]
             yield pa.concat_arrays(parts) if parts else _worked(b)
 
     return worked(text)
 
 
-def collapse(docs: DataFrame, text: str = "text") -> DataFrame:
+def collapse(docs: DataFrame, text: str = "text", text_bytes: int = TEXT_BYTES) -> DataFrame:
     """docs with n_words, runs and collapsed.
 
     Every row is kept, repeated ones and those with null ids too; columns of those names are replaced. Each text is worked on by
     itself, where it lies: nothing is shuffled. An empty table gives an empty table.
     """
     (found,) = C.fresh(docs, "found")
-    out = docs.withColumn(found, runs(F.col(text)))
+    out = docs.withColumn(found, runs(F.col(text), text_bytes))
     return out.withColumns({name: F.col(found)[name] for name in ("n_words", "runs", "collapsed")}).drop(found)
 
 

@@ -120,15 +120,15 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return quantised(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
-    """Batches of about PACK_BYTES of quantised vectors each."""
-    rows = max(64, PACK_BYTES // (8 * dims) // 64 * 64)
-    for b in C.gathered(batches, PACK_BYTES):
+def _blocks(batches: Iterator[pa.RecordBatch], dims: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about so many bytes of quantised vectors each."""
+    rows = max(64, size // (8 * dims) // 64 * 64)
+    for b in C.gathered(batches, size):
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
 
 
-def fit(df: DataFrame, vector: str = "embedding", components: int = COMPONENTS) -> Whitening | None:
+def fit(df: DataFrame, vector: str = "embedding", components: int = COMPONENTS, size: int = PACK_BYTES) -> Whitening | None:
     """Whitening fitted to all vectors of a table; None without any.
 
     Rows whose vector is null, empty, or holds null or non-finite entries take no part. If vectors differ in length, those of the
@@ -144,7 +144,7 @@ def fit(df: DataFrame, vector: str = "embedding", components: int = COMPONENTS)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums, crossed = 0, [0] * dims, [[0] * dims for _ in range(dims)]
-        for b in _blocks(batches, dims):
+        for b in _blocks(batches, dims, size):
             x = _matrix(b.column("v"), dims)
             part, pairs = products(x)
             n += len(x)
@@ -174,7 +174,7 @@ def _decimals(whole: list[int]) -> pa.Array:
     return pa.array([Decimal(w) for w in whole], pa.decimal128(38, 0))
 
 
-def identity_error(df: DataFrame, model: Whitening, vector: str = "embedding") -> float:
+def identity_error(df: DataFrame, model: Whitening, vector: str = "embedding", size: int = PACK_BYTES) -> float:
     """The largest absolute entry of the whitened vectors' covariance less the identity, measured over all vectors.
 
     Components without variance are left out; 0 if there is no other.
@@ -187,7 +187,7 @@ def identity_error(df: DataFrame, model: Whitening, vector: str = "embedding") -
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((m + 1, m + 1))
-        for b in _blocks(batches, dims):
+        for b in _blocks(batches, dims, size):
             w = np.column_stack([model.project(_matrix(b.column("v"), dims))[:, live], np.ones(b.num_rows)])
             total += w.T @ w
         i, j = np.triu_indices(m + 1)

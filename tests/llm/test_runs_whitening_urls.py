@@ -81,13 +81,12 @@ def test_words_that_defeat_polynomial_hashes():
     assert (0, 3 * 4096, 4096) in set(zip(start.tolist(), length.tolist(), period.tolist()))
 
 
-def test_runs_of_documents(spark, documents, prose, monkeypatch):
+def test_runs_of_documents(spark, documents, prose):
     rows = [*prose, (200, "a b " * 12), (201, "A b " * 12 + "c"), (201, "a\u00a0b " * 30), (202, ("x y z w " * 40 + "end ") * 5), (203, "\t\n"), (204, "word " * 23)]
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
     expected = sorted(((i, len(words(t)), expected_runs(words(t)), expected_collapse(words(t))) for i, t in rows), key=str)
     for size in (periods.TEXT_BYTES, 300):
-        monkeypatch.setattr(periods, "TEXT_BYTES", size)
-        out = periods.collapse(documents(rows))
+        out = periods.collapse(documents(rows), text_bytes=size)
         assert {"th", "node", "found", "spans"} <= set(out.columns)
         got = sorted(((r.doc_id, r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in out.collect()), key=str)
         assert got == expected
@@ -145,17 +144,16 @@ def whitened_by_hand(values, m):
     return n, [sum((n * r[k] - s[k]) ** 2 for k in range(d)) for r in x], centred @ u[:, order] / np.sqrt(e[order]), e[order] / np.trace(v)
 
 
-def test_whitening_against_whole_numbers(spark, monkeypatch):
+def test_whitening_against_whole_numbers(spark):
     rng = np.random.default_rng(3)
     values = (rng.normal(size=(400, 6)) @ rng.normal(size=(6, 6)) + rng.normal(size=6) * 50).astype(np.float32).tolist()
     values[7] = values[3]
     bad = [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (904, []), (None, values[5]), (3, values[3])]
     good = [*enumerate(values), (None, values[5]), (3, values[3])]
     n, deviation, white, explained = whitened_by_hand([v for _, v in good], 4)
-    monkeypatch.setattr(whitening, "PACK_BYTES", 4096)
     df = vectors(spark, [*enumerate(values), *bad]).repartition(3)
-    model = whitening.fit(df, components=4)
-    assert whitening.identity_error(df, model) < 1e-9
+    model = whitening.fit(df, components=4, size=4096)
+    assert whitening.identity_error(df, model, size=4096) < 1e-9
     got = whitening.whiten(df, model, keep=["vec_id", "cells", "n"]).collect()
     assert len(got) == 4 * len(good) and {r.n for r in got} == {n} and {r.cells for r in got} == {"x"}
     ids = {i: k for k, (i, _) in enumerate(good)}
