@@ -3,115 +3,67 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.sources.store import stored
+from lexquarry.operators.lexical import DEPTH, Index, bm25, index_of, postings, search, small, term_stats, tokens, top, weights
 
-#: BM25 parameters, fusion constant, depths.
-K1, B, EPSILON, RRF_K, DEPTH, FINAL = 1.5, 0.75, 0.25, 60, 20, 5
-#: Rows up to which the query side of a join is broadcast; rows of a block of vectors and of one of query vectors.
-SMALL, VECTOR_BLOCK, QUERY_BLOCK = 200_000, 20_000, 2_000
+__all__ = ["DEPTH", "Index", "bm25", "index_of", "postings", "search", "small", "term_stats", "tokens", "top", "weights"]  # lexical search
 
-
-def tokens(text: Column) -> Column:
-    """Lower-case words of a-z and 0-9 only; words with any other letter, digit or underscore vanish whole."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])[a-z0-9]++(?![\p{L}\p{N}_])"), F.lit(0))
-
-
-def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """df with a broadcast hint if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
-def top(df: DataFrame, by: list[Column], k: int, key: str = "query_id") -> DataFrame:
-    """The first k rows of each key, with their rank."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where(F.col("rank") <= k)
-
-
-@dataclass(frozen=True)
-class Index:
-    """A stored BM25 index: postings (term, doc_id, tf, dl), terms (term, df, cf), and one row of the collection's size (n, avgdl)."""
-
-    postings: DataFrame
-    terms: DataFrame
-    size: DataFrame
-
-
-def postings(docs: DataFrame) -> DataFrame:
-    """term, doc_id, tf, dl of docs (doc_id, text), and for each document a row of the empty term."""
-    words = docs.select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("dl"), F.explode(F.concat("words", F.array(F.lit("")))).alias("term"))
-    return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
-def term_stats(index: DataFrame) -> DataFrame:
-    """term, df, cf."""
-    return index.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-
-
-def index_of(docs: DataFrame) -> Index:
-    """The index of docs (doc_id, text), for any number of queries: texts are read and split once. Rows that repeat an id are one document."""
-    made = stored(postings(docs), "postings")
-    size = made.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return Index(made.where("term <> ''"), stored(term_stats(made), "terms"), stored(size, "size"))
-
-
-def matched(docs: DataFrame, queries: DataFrame, index: Index | None = None) -> DataFrame:
-    """query_id, doc_id, score (BM25), overlap (distinct query terms found) of documents that share a term; stored.
-
-    docs (doc_id, text), queries (query_id, text). A negative inverse frequency is replaced by EPSILON times the
-    mean over all terms; each occurrence of a term in the query counts.
-    """
-    index = index_of(docs) if index is None else index
-    size = F.broadcast(index.size)  # one row
-    idf = index.terms.crossJoin(size).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = F.broadcast(idf.agg(F.avg("idf").alias("mean")))  # one row
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    asked = stored(asked.join(idf, "term").crossJoin(mean).select("query_id", "term", "qf", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf")), "asked")
-    hits = index.postings.join(small(asked), "term").crossJoin(size)
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return stored(hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("overlap")), "hits")
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = DEPTH, hits: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, score, overlap, rank: the k best documents, ties by doc_id.
-
-    Blank queries have no hits. A query with fewer than k documents above zero is filled from documents of score
-    zero in order of doc_id. For that the smallest ids are enough: k more than such a query has hits.
-    """
-    hits = matched(docs, queries) if hits is None else hits
-    asked = queries.where(F.size(tokens(F.col("text"))) > 0).select("query_id")
-    found = hits.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("above"), F.count("*").alias("n"))
-    short = stored(asked.join(found, "query_id", "left").where(F.coalesce("above", F.lit(0)) < k).select("query_id", F.coalesce("n", F.lit(0)).alias("n")), "short")
-    most = short.agg(F.max("n")).first()[0]
-    if most is None:
-        return top(hits, [F.round("score", 9).desc(), F.col("doc_id")], k)
-    first = docs.select("doc_id").distinct().orderBy("doc_id").limit(k + most)
-    rest = small(first).crossJoin(short.select("query_id")).join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    zero = rest.select("query_id", "doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("overlap"))
-    return top(hits.unionByName(zero), [F.round("score", 9).desc(), F.col("doc_id")], k)
+#: Fusion constant, depth of a final list.
+RRF_K, FINAL = 60, 5
+#: Rows of a block of vectors and of one of query vectors that are shuffled together, and those of their parts that make one product.
+VECTOR_BLOCK, QUERY_BLOCK, VECTOR_PART, QUERY_PART = 20_000, 2_000, 2_048, 256
 
 
 def _units(table: pa.Table, key: str, dims: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of length one of a table's rows; null and zero vectors are left out."""
-    rows = [(i, v) for i, v in zip(table.column(key).to_pylist(), table.column("embedding").to_pylist(), strict=True) if v is not None]
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros((0, 1))
-    ids, x = np.array([i for i, _ in rows], np.int64), np.array([v[:dims] for _, v in rows], np.float64)
-    norm = np.linalg.norm(x, axis=1)
-    return ids[norm > 0], x[norm > 0] / norm[norm > 0, None]
+    """Ids and vectors of a table's rows, read from Arrow's buffers; null vectors are left out."""
+    table = table.combine_chunks().filter(pc.is_valid(table.column("embedding")))
+    ids = table.column(key).to_numpy()
+    if not len(ids):
+        return ids, np.zeros((0, 1), np.float32)
+    lists = table.column("embedding").combine_chunks()
+    return ids, lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[:, :dims]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length one in double precision; zero vectors become NaN, which nothing is near."""
+    x = x.astype(np.float64)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > 0, norm, np.nan)
+
+
+def _nearest(ids: np.ndarray, y: np.ndarray, vec: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, vector and score of each query's k nearest vectors, ties by vector; only parts of both sides are multiplied at once."""
+    out = []
+    for i in range(0, len(ids), QUERY_PART):
+        asked, unit = ids[i : i + QUERY_PART], _unit(y[i : i + QUERY_PART])
+        row, at, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for j in range(0, len(vec), VECTOR_PART):
+            near = np.round(unit @ _unit(x[j : j + VECTOR_PART]).T, 9)
+            near[(asked[:, None] == vec[None, j : j + VECTOR_PART]) | ~np.isfinite(near)] = -np.inf
+            least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k] if near.shape[1] > k else np.full((len(asked), 1), -np.inf)
+            r, c = np.nonzero((near >= least) & (near > -np.inf))
+            row, at, score = np.concatenate([row, r]), np.concatenate([at, c + j]), np.concatenate([score, near[r, c]])
+            order = np.lexsort((vec[at], -score, row))
+            row, at, score = row[order], at[order], score[order]
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])[: len(row)]
+            keep = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < k
+            row, at, score = row[keep], at[keep], score[keep]
+        out.append((asked[row], vec[at], score))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (ids[:0], vec[:0], np.zeros(0))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, dims: int | None = None) -> DataFrame:
     """query_id, vec_id, score (cosine), rank: the k nearest vectors of each query vector, without itself.
 
-    vectors (vec_id, embedding), queries (query_id, embedding). Both sides are cut into blocks of bounded size, and each pair of
-    blocks is one matrix product that keeps k vectors for each query.
+    vectors (vec_id, embedding), queries (query_id, embedding), embeddings of one length. Both sides are cut into blocks of bounded
+    size, and each pair of blocks gives k vectors for each query. Null and zero vectors are near nothing.
     """
     many_v, many_q = (max(1, -(-df.count() // rows)) for df, rows in ((vectors, VECTOR_BLOCK), (queries, QUERY_BLOCK)))
 
@@ -119,15 +71,8 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, dims: int | No
         return df.select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias(other))
 
     def best(v: pa.Table, q: pa.Table) -> pa.Table:
-        vec, x = _units(v, "vec_id", dims)
-        ids, y = _units(q, "query_id", dims)
-        near = np.round(y @ x.T, 9) if len(vec) and len(ids) else np.zeros((len(ids), len(vec)))
-        near[ids[:, None] == vec[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(vec, near.shape), -near))[:, :k]
-        row = np.repeat(np.arange(len(ids)), order.shape[1])
-        score = near[row, order.ravel()]
-        keep = np.isfinite(score)
-        return pa.table({"query_id": pa.array(ids[row][keep], pa.int64()), "vec_id": pa.array(vec[order.ravel()][keep], pa.int64()), "score": pa.array(score[keep], pa.float64())})
+        query, vec, score = _nearest(*_units(q, "query_id", dims), *_units(v, "vec_id", dims), k)
+        return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.float64())})
 
     left = dealt(vectors, "vec_id", "v", many_v, "q", many_q).groupBy("v", "q")
     right = dealt(queries, "query_id", "q", many_q, "v", many_v).groupBy("v", "q")

@@ -28,16 +28,15 @@ def bm25_topk(spark, sf):
     return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-def _lists(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All matches (stored), the BM25 list, and a list by number of query terms found."""
-    docs, asked = _docs(spark, sf), _asked(spark, sf)
-    hits = S.matched(docs, asked)
-    return hits, S.bm25(docs, asked, hits=hits), S.top(hits, [F.col("overlap").desc(), F.col("doc_id")], S.DEPTH)
+def _lists(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The BM25 list, and a list by number of query words found, of one index."""
+    index = S.index_of(_docs(spark, sf))
+    weights = S.weights(index, _asked(spark, sf))
+    return tuple(S.search(index, weights, orders=("score", "overlap")))
 
 
 def _fused(spark, sf) -> DataFrame:
-    _, lexical, overlap = _lists(spark, sf)
-    return S.fuse([lexical, overlap])
+    return S.fuse(list(_lists(spark, sf)))
 
 
 def rrf_fusion(spark, sf):
@@ -45,7 +44,7 @@ def rrf_fusion(spark, sf):
 
 
 def hybrid_weighted_rerank(spark, sf):
-    best = S.weighted(_lists(spark, sf)[1], "overlap", "score")
+    best = S.weighted(_lists(spark, sf)[0], "overlap", "score")
     return best.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("hybrid", 6).alias("score"))
 
 
