@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexquarry.plans import assembly, chunking, cleaning, corpus, layout, retrieval
+from lexquarry.plans import assembly, chunking, cleaning, corpus, layout, retrieval, stores
 
-_PARTS = (retrieval, corpus, cleaning, chunking, layout, assembly)
+_PARTS = (retrieval, corpus, cleaning, chunking, layout, assembly, stores)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
