@@ -34,13 +34,23 @@ def without_tables(text: Column, tables: Column) -> Column:
     return F.aggregate(solid, F.coalesce(text, F.lit("")), lambda rest, m: F.replace(rest, m, F.lit("")))
 
 
-def spliced(text: Column, tables: Column) -> Column:
-    """A text with tables (array of structs at, markdown) put in at their places, the last first; those without a place follow at the end."""
-    placed = F.reverse(F.array_sort(F.filter(tables, lambda t: t["at"].isNotNull())))
-    put = lambda rest, t: F.concat(F.substring(rest, F.lit(1), t["at"].cast("int")), F.lit("\n\n"), t["markdown"], F.lit("\n\n"), F.substring(rest, (t["at"] + 1).cast("int"), F.length(rest)))
-    inside = F.aggregate(placed, F.coalesce(text, F.lit("")), put)
-    loose = F.transform(F.filter(tables, lambda t: t["at"].isNull()), lambda t: t["markdown"])
-    return F.concat_ws("\n\n", inside, F.nullif(F.array_join(loose, "\n\n"), F.lit("")))
+def spliced(text: Column, tables: Column, boxes: Column) -> Column:
+    """A text in which each box (array of structs start, end) has given way to the table (array of Markdown) of its place among them.
+
+    Boxes are taken from the last start to the first. A box without a table, or whose range isn't one of the text as it is by then, stays as it is. Tables
+    follow at the end if there are no boxes at all, and only then. Null arrays count as empty.
+    """
+    gap, none = F.lit("\n\n"), F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    tables, boxes = F.coalesce(tables, F.expr("cast(array() as array<string>)")), F.coalesce(boxes, none)
+    last_first = F.array_sort(F.transform(boxes, lambda b, i: F.struct((-F.coalesce(b["start"], F.lit(0))).cast("int").alias("from_end"), i.alias("i"), b["start"].cast("int").alias("start"), b["end"].cast("int").alias("end"))))
+    placed = F.transform(last_first, lambda b, i: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.get(tables, F.size(boxes) - 1 - i).alias("table")))
+
+    def put(rest: Column, b: Column) -> Column:
+        fits = (b["start"] >= 0) & (b["start"] < b["end"]) & (b["end"] <= F.length(rest)) & b["table"].isNotNull()
+        return F.when(fits, F.concat(F.substring(rest, F.lit(1), b["start"]), gap, b["table"], gap, F.substring(rest, b["end"] + 1, F.length(rest)))).otherwise(rest)
+
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.size(boxes) > 0, F.aggregate(placed, text, put)).when(F.size(tables) > 0, F.concat(text, gap, F.array_join(tables, "\n\n"))).otherwise(text)
 
 
 def first_parsed(*outputs: Column) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.functions.text import strip
+from lexquarry.functions.text import strip, white
 
 #: Budgets in tokens, and limits of heading detection.
 CHUNK_TOKENS, OVERLAP_TOKENS, TABLE_TOKENS, LEGACY_TOKENS, LEAST_BODY, ROW_TOKENS = 500, 50, 500, 600, 20, 480
@@ -55,8 +55,8 @@ def heading(text: Column) -> Column:
     s = strip(text)
     marks = F.length(F.regexp_extract(s, "^(#+)", 1))
     content = strip(F.regexp_replace(s, "^#+", ""))
-    number = F.regexp_extract(s, r"^([0-9]+(?:\.[0-9]+)+|[0-9]+\.)\s+([A-Z][^\n]+)$", 1)
-    title = strip(F.regexp_extract(s, r"^([0-9]+(?:\.[0-9]+)+|[0-9]+\.)\s+([A-Z][^\n]+)$", 2))
+    number = F.regexp_extract(s, white(r"^([0-9]+(?:\.[0-9]+)+|[0-9]+\.)\s+([A-Z][^\n]+)$"), 1)
+    title = strip(F.regexp_extract(s, white(r"^([0-9]+(?:\.[0-9]+)+|[0-9]+\.)\s+([A-Z][^\n]+)$"), 2))
     dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
     top = F.try_to_number(F.regexp_extract(number, r"^([0-9]+)\.$", 1), F.lit("999999999"))
     numbered = (number != "") & (F.length(title) <= TITLE_CHARS) & ~title.rlike("[.;:,]$") & (top.isNull() | (top <= TOP_SECTION))
@@ -66,8 +66,8 @@ def heading(text: Column) -> Column:
     return (
         F.when((s == "") | (F.length(s) > HEADING_CHARS), none)
         .when(s.startswith("#"), marked)
-        .when(s.rlike(r"(?i)^APPENDIX\s+[A-Z0-9]+") | s.rlike(r"(?i)^CHAPTER\s+([A-Z]+|[0-9]+)"), found(s, F.lit(1)))
-        .when(s.rlike(r"^[A-Z]{2}-[0-9]+(\([0-9]+\))?\s+[A-Z\s]+$"), found(s, F.lit(2)))
+        .when(s.rlike(white(r"(?i)^APPENDIX\s+[A-Z0-9]+")) | s.rlike(white(r"(?i)^CHAPTER\s+([A-Z]+|[0-9]+)")), found(s, F.lit(1)))
+        .when(s.rlike(white(r"^[A-Z]{2}-[0-9]+(\([0-9]+\))?\s+[A-Z\s]+$")), found(s, F.lit(2)))
         .when(numbered, found(s, F.least(F.lit(3), F.greatest(F.lit(1), dots))))
         .otherwise(none)
     )
@@ -224,9 +224,9 @@ def token_stats(made: DataFrame) -> DataFrame:
 def legacy_heading(line: Column) -> Column:
     """A numbered line of at most 150 characters with up to five levels, or an appendix; null if it is none."""
     s = strip(line)
-    pattern = r"^([0-9]+(?:\.[0-9]+){0,4})\s+(.+)$"
+    pattern = white(r"^([0-9]+(?:\.[0-9]+){0,4})\s+(.+)$")
     numbered = F.concat_ws(" ", F.regexp_extract(s, pattern, 1), strip(F.regexp_extract(s, pattern, 2)))
-    return F.when(s.rlike(pattern) & (F.length(s) <= 150), numbered).when(s.rlike(r"(?i)^APPENDIX\s+[A-Z0-9]+"), s)
+    return F.when(s.rlike(pattern) & (F.length(s) <= 150), numbered).when(s.rlike(white(r"(?i)^APPENDIX\s+[A-Z0-9]+")), s)
 
 
 def legacy_sections(docs: DataFrame) -> DataFrame:

@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.functions.text import WHITE, let, strip
+from lexquarry.functions.text import WHITE, let, strip, white
 
 #: Frequencies, patterns, words and suffixes.
 HEADER_PAGES, HEADER_FEW, HEADER_SHARE, FOOTER_PAGES, SHORTEST = 4, 3, 0.15, 4, 4
-PAGE_NUMBER = r"(?i)^(page\s+)?([0-9]+|[ivxlcdm]+|[0-9]+-[0-9]+)$"
-HEADING = r"^(#+|[0-9]+(\.[0-9]+)*\s+[A-Z]|[A-Z][A-Za-z0-9\s]{2,}:)"
-BROKEN_LINE, BROKEN_SPACE = r"\b[a-zA-Z]{3,}-\s*\n\s*[a-zA-Z]{3,}\b", r"\b[a-zA-Z]{3,}-\s+[a-zA-Z]{3,}\b"
+PAGE_NUMBER = white(r"(?i)^(page\s+)?([0-9]+|[ivxlcdm]+|[0-9]+-[0-9]+)$")
+HEADING = white(r"^(#+|[0-9]+(\.[0-9]+)*\s+[A-Z]|[A-Z][A-Za-z0-9\s]{2,}:)")
+BROKEN_LINE, BROKEN_SPACE = white(r"\b[a-zA-Z]{3,}-\s*\n\s*[a-zA-Z]{3,}\b"), white(r"\b[a-zA-Z]{3,}-\s+[a-zA-Z]{3,}\b")
 SUFFIXES = "(tion|tions|ment|ments|ity|ities|able|ing|ed)$"
 JOINED_WORDS = [
     "authentication", "authorization", "implementation", "organization", "organizational", "management", "cryptographic",
@@ -32,12 +32,12 @@ HYPHENATED = [
 ]
 TYPOGRAPHY = [("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"), ("—", " - "), ("–", "-")]
 LOST = "�"
-MATHS = r"[+\-=*/<>|()]\s*" + LOST + "|" + LOST + r"\s*[a-zA-Z]([^\p{L}\p{N}_]|$)"
+MATHS = white(r"[+\-=*/<>|()]\s*") + LOST + "|" + LOST + white(r"\s*[a-zA-Z]([^\p{L}\p{N}_]|$)")
 BOILERPLATE_CHARS, SNIPPET_CHARS = 60, 120
 
 
-#: The same without backtracking into a word, which the other pattern language of the SQL lacks.
-BROKEN_LINE_ONCE, BROKEN_SPACE_ONCE = (p.replace("{3,}-", "{3,}+-") for p in (BROKEN_LINE, BROKEN_SPACE))
+#: The same without backtracking into a word, and with borders that know all letters; the other pattern language of the SQL lacks both.
+BROKEN_LINE_ONCE, BROKEN_SPACE_ONCE = (r"(?<![\p{L}\p{N}_])" + p.removeprefix(r"\b").removesuffix(r"\b").replace("{3,}-", "{3,}+-") + r"(?![\p{L}\p{N}_])" for p in (BROKEN_LINE, BROKEN_SPACE))
 
 
 def line_feeds(text: Column) -> Column:
@@ -48,7 +48,7 @@ def line_feeds(text: Column) -> Column:
 def _ends(pages: DataFrame) -> DataFrame:
     """pages with __lead, __first, __after: blank lines, the first line that isn't blank, and the rest; and __body, __last: the text
     without white space at its end, and its last line. A column of its own each, so that none is worked out twice."""
-    found = pages.withColumn("__lead", F.regexp_extract("text", r"^((?:[^\S\n]*\n)*)", 1)).withColumn("__after", F.expr("substring(text, length(__lead) + 1)"))
+    found = pages.withColumn("__lead", F.regexp_extract("text", white(r"^((?:[^\S\n]*\n)*)"), 1)).withColumn("__after", F.expr("substring(text, length(__lead) + 1)"))
     found = found.withColumn("__first", F.substring_index("__after", "\n", 1)).withColumn("__after", F.expr("substring(__after, length(__first) + 1)"))
     return _last(found)
 
@@ -133,7 +133,7 @@ def repaired(text: Column) -> Column:
 
 def _line(line: Column) -> Column:
     """A line with a lost character resolved: a bullet, or a separator inside a word; kept in formulas and else."""
-    bullet = r"^(\s*)" + LOST + r"\s+(.*)$"
+    bullet = white(r"^(\s*)") + LOST + white(r"\s+(.*)$")
     inside = "([A-Za-z])" + LOST + "([A-Za-z])"
     return F.when(~line.contains(LOST), line).when(line.rlike(bullet), F.regexp_replace(line, bullet, "$1* $2")).when(line.rlike(MATHS), line).when(line.rlike(inside), F.regexp_replace(line, inside, "$1 $2")).otherwise(line)
 
@@ -156,7 +156,7 @@ def normalised(text: Column) -> Column:
 
     def spaced(x: Column) -> Column:
         """The lines' struct with trimmed and collapsed text."""
-        trimmed = F.when(x["text"].rlike(r"[^\S\n](\n|$)"), F.regexp_replace(x["text"], r"[^\S\n]++(?=\n|$)", "")).otherwise(x["text"])
+        trimmed = F.when(x["text"].rlike(white(r"[^\S\n](\n|$)")), F.regexp_replace(x["text"], white(r"[^\S\n]++(?=\n|$)"), "")).otherwise(x["text"])
         return let(trimmed, lambda t: let(F.when(t.contains("\n\n\n"), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t), lambda c: done(x, t, c)))
 
     def done(x: Column, trimmed: Column, collapsed: Column) -> Column:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.functions.text import strip
+from lexquarry.functions.text import strip, white
 
 HISTORY = 6
 
@@ -95,7 +95,7 @@ def source_lines(hits: DataFrame) -> DataFrame:
 def extractive(context: Column, question: Column) -> Column:
     """A stand-in for a language model: the sentence of the context that holds most different words of the question, the first of equals; null without a common word."""
     terms = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    sentences = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(context, F.lit("")), r"([.!?])\s+", "$1\x00"), "\x00"), strip), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(context, F.lit("")), white(r"([.!?])\s+"), "$1\x00"), "\x00"), strip), lambda s: s != "")
     scored = F.transform(sentences, lambda s, i: F.struct(F.size(F.array_intersect(terms(s), terms(question))).alias("n"), (-i).alias("place"), s.alias("text")))
     best = F.array_max(scored)
     return F.when(best["n"] > 0, best["text"])

@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.functions.text import strip
+from lexquarry.functions.text import strip, white
 from lexquarry.operators import quality as Q
 
 #: Limits of heading blocks.
 SHORT_BLOCK, LONG_HEADING = 120, 160
-SECTION = r"(?i)^(SECTION|[0-9]+(\.[0-9]+)*|[A-Z]\.[0-9]+)\s+"
-ITEM = r"^([•\-*]|[0-9]+\.|\([a-z0-9]+\))\s+"
+SECTION = white(r"(?i)^(SECTION|[0-9]+(\.[0-9]+)*|[A-Z]\.[0-9]+)\s+")
+ITEM = white(r"^([•\-*]|[0-9]+\.|\([a-z0-9]+\))\s+")
 
 DIGEST = pa.schema([("document_id", pa.string()), ("n_chars", pa.int64()), ("text_sha256", pa.string())])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.functions.text import let, strip, words
+from lexquarry.functions.text import let, strip, white, words
 from lexquarry.sources.store import stored
 
 #: Thresholds.
@@ -36,7 +36,7 @@ def page_flags(text: Column, images: Column) -> Column:
         low, empty = (size > 0) & (size < LOW_TEXT), size == 0
         scanned = (size < OCR_TEXT) & (images >= OCR_IMAGES)
         reasons = F.array_compact(F.array(F.when(empty, "empty"), F.when(low, "low_text"), F.when(scanned, "suspected_scan"), F.when(F.size(_signs(body)) > 0, "garbled")))
-        return F.struct(size.cast("long").alias("text_length"), F.regexp_count(body, F.lit(r"\S++")).cast("long").alias("n_words"), empty.alias("is_empty"), low.alias("is_low_text"), scanned.alias("is_scanned"), reasons.alias("reasons"))
+        return F.struct(size.cast("long").alias("text_length"), F.regexp_count(body, F.lit(white(r"\S++"))).cast("long").alias("n_words"), empty.alias("is_empty"), low.alias("is_low_text"), scanned.alias("is_scanned"), reasons.alias("reasons"))
 
     return let(strip(text), flags)
 
@@ -62,7 +62,7 @@ def _signs(body: Column) -> Column:
     sparse = thin & (F.length(bare) >= 50) & (F.length(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", "")) / F.length(bare) < ALNUM)
     core = lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")
     odd = lambda w: ~w.contains("://") & ~w.startswith("www.") & (F.length(w) > LONG_TOKEN) & (F.length(core(w)) > LONG_TOKEN) & ~exempt(w, core(w))
-    long_ = body.rlike(rf"\S{{{LONG_TOKEN + 1}}}") & F.exists(words(body), odd)
+    long_ = body.rlike(white(rf"\S{{{LONG_TOKEN + 1}}}")) & F.exists(words(body), odd)
     signs = F.array_compact(F.array(F.when(replaced, "replacement"), F.when(control, "control"), F.when(sparse, "low_alnum"), F.when(long_, "long_token")))
     return F.when(size >= 50, signs).otherwise(F.array().cast("array<string>"))
 
@@ -163,7 +163,7 @@ def repeated_lines(docs: DataFrame, least: int = 3) -> DataFrame:
 
 
 #: Entities whose numbers must survive cleaning.
-ENTITIES = {"controls": r"[A-Z]{2}-[0-9]+(\([0-9]+\))?", "cves": r"CVE-[0-9]{4}-[0-9]{4,7}", "urls": r"https?://[^\s)\]>]+", "algorithms": r"(AES|SHA|RSA|ECDSA|HMAC|TLS)[-0-9]*", "tables": r"Table [0-9]+", "figures": r"Figure [0-9]+"}
+ENTITIES = {"controls": r"[A-Z]{2}-[0-9]+(\([0-9]+\))?", "cves": r"CVE-[0-9]{4}-[0-9]{4,7}", "urls": white(r"https?://[^\s)\]>]+"), "algorithms": r"(AES|SHA|RSA|ECDSA|HMAC|TLS)[-0-9]*", "tables": r"Table [0-9]+", "figures": r"Figure [0-9]+"}
 
 
 def entities(text: Column) -> Column:
@@ -194,9 +194,9 @@ def relevant(title: Column) -> Column:
 
 def links(html: Column) -> Column:
     """array of (href, text) of anchors with an href, text without tags and with single spaces."""
-    found = F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["'][^"']*["'][^>]*>.*?</a>"""), F.lit(0))
-    href = lambda a: F.regexp_extract(a, r"""(?is)href\s*=\s*["']([^"']*)["']""", 1)
-    text = lambda a: strip(F.regexp_replace(F.regexp_replace(a, "(?s)<[^>]*>", " "), r"\s+", " "))
+    found = F.regexp_extract_all(html, F.lit(white(r"""(?is)<a\s[^>]*?href\s*=\s*["'][^"']*["'][^>]*>.*?</a>""")), F.lit(0))
+    href = lambda a: F.regexp_extract(a, white(r"""(?is)href\s*=\s*["']([^"']*)["']"""), 1)
+    text = lambda a: strip(F.regexp_replace(F.regexp_replace(a, "(?s)<[^>]*>", " "), white(r"\s+"), " "))
     return F.transform(found, lambda a: F.struct(href(a).alias("href"), text(a).alias("text")))
 
 

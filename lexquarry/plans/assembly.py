@@ -41,10 +41,13 @@ def stripped_tables(spark, sf):
 
 
 def spliced_tables(spark, sf):
-    """Two tables put into all texts, at a third and at the end of their characters; every other second table has no place."""
+    """Two tables in all texts: without boxes, in boxes in order and out of it, and with a box that goes beyond the text."""
     n = F.length("text")
-    tables = F.array(F.struct(F.floor(n / 3).alias("at"), F.lit("| x |").alias("markdown")), F.struct(F.when(F.col("doc_id") % 2 == 0, n.cast("long")).alias("at"), F.lit("| y |").alias("markdown")))
-    return _docs(spark, sf).select("doc_id", F.sha2(A.spliced(F.col("text"), tables), 256).alias("text_sha256"))
+    first, second = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
+    box = lambda a, z: F.struct(a.alias("start"), z.alias("end"))
+    tail, k = box(second, n), F.col("doc_id") % 4
+    boxes = F.when(k == 1, F.array(box(first, F.least(first + 7, second)), tail)).when(k == 2, F.array(tail, box(first, second))).when(k == 3, F.array(box(first, n + 1000), tail))
+    return _docs(spark, sf).select("doc_id", F.sha2(A.spliced(F.col("text"), F.array(F.lit("| x |"), F.lit("| y |")), boxes), 256).alias("text_sha256"))
 
 
 def parser_fallback(spark, sf):
@@ -163,8 +166,9 @@ SQL = {
       SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(w)), '|'), '') AS warnings FROM w""",
     "category_folders": f"WITH {_D} SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 5 = 0 THEN 'root' WHEN doc_id % 4 = 1 THEN coalesce(lang, source) ELSE source END AS category FROM d",
     "stripped_tables": f"WITH {_D} SELECT doc_id, sha256(replace(text || chr(10) || chr(10) || {_MD} || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || 'between' || chr(10) || chr(10) || {_MD} ELSE '' END || chr(10) || chr(10) || 'end', {_MD}, '')) AS text_sha256 FROM d",
-    "spliced_tables": f"""WITH {_D}, n AS (SELECT doc_id, text, length(text) // 3 AS a, chr(10) || chr(10) AS g FROM d)
-      SELECT doc_id, sha256(left(text, a) || g || '| x |' || g || substring(text, a + 1) || CASE WHEN doc_id % 2 = 0 THEN g || '| y |' || g ELSE g || '| y |' END) AS text_sha256 FROM n""",
+    "spliced_tables": f"""WITH {_D}, n AS (SELECT doc_id, text, doc_id % 4 AS k, length(text) AS n, length(text) // 3 AS a, 2 * length(text) // 3 AS b, chr(10) || chr(10) AS g FROM d),
+      t AS (SELECT *, CASE WHEN b < n THEN left(text, b) || g || '| y |' || g ELSE text END AS one, CASE k WHEN 1 THEN least(a + 7, b) WHEN 2 THEN b ELSE n + 1000 END AS e FROM n)
+      SELECT doc_id, sha256(CASE WHEN k = 0 THEN text || g || '| x |' || g || '| y |' WHEN a < e AND e <= length(one) THEN left(one, a) || g || '| x |' || g || substring(one, e + 1) ELSE one END) AS text_sha256 FROM t""",
     "parser_fallback": f"""WITH {_D}, p AS (SELECT doc_id, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' AS full_ FROM d)
       SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND full_ THEN 'primary' WHEN doc_id % 3 <> 0 AND full_ THEN 'hybrid' ELSE 'block' END AS parser, sha256(CASE WHEN doc_id % 2 = 0 AND full_ THEN text WHEN doc_id % 3 <> 0 AND full_ THEN upper(replace(text, 'ß', 'ss')) ELSE '> ' || text END) AS text_sha256 FROM p""",
     "document_markdown": f"""WITH {_D}, p AS (SELECT doc_id // 7 AS d, doc_id % 7 + 1 AS n, concat_ws(chr(10) || chr(10), '## Page ' || (doc_id % 7 + 1), nullif(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ''), CASE WHEN doc_id % 2 = 0 THEN '| t |' END) AS b FROM d),

@@ -19,9 +19,8 @@ def _paged(spark, sf) -> DataFrame:
 
 
 def _hyphened(text):
-    """ASCII text in which words are broken before 'tion' and 'ing', and some compounds are spaced."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x00-\x7F]", "")
-    broken = F.regexp_replace(F.regexp_replace(bare, "([a-z]{3})tion", "$1-\ntion"), "([a-z]{3})ing ", "$1-  ing ")
+    """A text in which words are broken before 'tion' and 'ing', and some compounds are spaced."""
+    broken = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z]{3})tion", "$1-\ntion"), "([a-z]{3})ing ", "$1-  ing ")
     return F.replace(F.replace(broken, F.lit(" that "), F.lit(" zero- trust ")), F.lit(" with "), F.lit(" infor- mation "))
 
 
@@ -69,7 +68,7 @@ _FEEDS = r"regexp_replace(coalesce({}, ''), '\r\n|[\r\x0b\x0c\x1c-\x1e\x{{85}}\x
 
 
 def _hyphened_sql(text: str) -> str:
-    return rf"replace(replace(regexp_replace(regexp_replace(regexp_replace(coalesce({text}, ''), '[^\x00-\x7F]', '', 'g'), '([a-z]{{3}})tion', '\1-' || chr(10) || 'tion', 'g'), '([a-z]{{3}})ing ', '\1-  ing ', 'g'), ' that ', ' zero- trust '), ' with ', ' infor- mation ')"
+    return rf"replace(replace(regexp_replace(regexp_replace(coalesce({text}, ''), '([a-z]{{3}})tion', '\1-' || chr(10) || 'tion', 'g'), '([a-z]{{3}})ing ', '\1-  ing ', 'g'), ' that ', ' zero- trust '), ' with ', ' infor- mation ')"
 
 
 def _dirty_sql(text: str) -> str:
@@ -108,15 +107,22 @@ _PROTECTED = f"(list_contains({_HYPHENATED}, lower({_A} || '-' || {_B})) OR rege
 _SOFT = f"(NOT {_PROTECTED} AND (list_contains({_WORDS}, lower({_A} || {_B})) OR regexp_matches(lower({_A} || {_B}), '{C.SUFFIXES}')))"
 
 
+#: Letters beyond ASCII, as far as the given texts go.
+_LETTERS = r"\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{370}-\x{1fff}\x{3041}-\x{9fff}\x{ac00}-\x{d7a3}"
+
+
 def _hyphens(source: str) -> str:
     """CTEs that repair hyphens of a relation with text; the last one, joined, has n_joined and n_kept too."""
     build = lambda text, pattern, f: f"list_reduce(list_transform(list_zip(string_split_regex({text}, '{pattern}'), regexp_extract_all({text}, '{pattern}')), lambda z: z[1] || coalesce({f}, '')), lambda p, q: p || q)"
+    # a word border is one of ASCII here: letters beyond it get marks that count as letters on both sides, which go again
+    marked, plain = rf"regexp_replace(text, '([{_LETTERS}])', '_' || chr(1) || '\1' || chr(1) || '_', 'g')", lambda x: f"replace(replace({x}, '_' || chr(1), ''), chr(1) || '_', '')"
     return rf"""
-  h1 AS (SELECT *, regexp_extract_all(text, '{C.BROKEN_LINE}') AS hits FROM {source}),
-  h2 AS (SELECT * EXCLUDE (hits), len(list_filter(hits, lambda x: {_SOFT})) AS soft, len(list_filter(hits, lambda x: NOT {_SOFT} AND NOT {_PROTECTED})) AS n_kept, {build("text", C.BROKEN_LINE, f"list_transform([z[2]], lambda x: CASE WHEN {_SOFT} THEN {_A} || {_B} ELSE x END)[1]")} AS one FROM h1),
+  h0 AS (SELECT *, {marked} AS m FROM {source}),
+  h1 AS (SELECT *, regexp_extract_all(m, '{C.BROKEN_LINE}') AS hits FROM h0),
+  h2 AS (SELECT * EXCLUDE (hits, m), len(list_filter(hits, lambda x: {_SOFT})) AS soft, len(list_filter(hits, lambda x: NOT {_SOFT} AND NOT {_PROTECTED})) AS n_kept, {build("m", C.BROKEN_LINE, f"list_transform([z[2]], lambda x: CASE WHEN {_SOFT} THEN {_A} || {_B} ELSE x END)[1]")} AS one FROM h1),
   h3 AS (SELECT *, regexp_extract_all(one, '{C.BROKEN_SPACE}') AS hits FROM h2),
   joined AS (SELECT * EXCLUDE (hits, soft), soft + len(list_filter(hits, lambda x: NOT {_PROTECTED} AND list_contains({_WORDS}, lower({_A} || {_B})))) AS n_joined,
-    {build("one", C.BROKEN_SPACE, f"list_transform([z[2]], lambda x: CASE WHEN {_PROTECTED} THEN {_A} || '-' || {_B} WHEN list_contains({_WORDS}, lower({_A} || {_B})) THEN {_A} || {_B} ELSE x END)[1]")} AS two FROM h3)"""
+    {plain(build("one", C.BROKEN_SPACE, f"list_transform([z[2]], lambda x: CASE WHEN {_PROTECTED} THEN {_A} || '-' || {_B} WHEN list_contains({_WORDS}, lower({_A} || {_B})) THEN {_A} || {_B} ELSE x END)[1]"))} AS two FROM h3)"""
 
 
 _LOST = "�"

@@ -39,8 +39,19 @@ def test_warnings_and_categories(spark):
 def test_tables_in_texts(spark):
     df = spark.createDataFrame([("one |t| two |t| three", ["|t|", " ", None]), (None, ["|t|"]), ("plain", [])], "t string, m array<string>")
     assert [r.x for r in df.select(A.without_tables(F.col("t"), F.col("m")).alias("x")).collect()] == ["one  two  three", "", "plain"]
-    df = spark.createDataFrame([("abcdef", [(2, "X"), (4, "Y"), (None, "Z")]), ("abc", []), (None, [(None, "Z")])], "t string, m array<struct<at:bigint,markdown:string>>")
-    assert [r.x for r in df.select(A.spliced(F.col("t"), F.col("m")).alias("x")).collect()] == ["ab\n\nX\n\ncd\n\nY\n\nef\n\nZ", "abc", "\n\nZ"]
+    boxed = [
+        ("before OLDTABLE after", ["| new |"], [(7, 15)], "before \n\n| new |\n\n after"),
+        ("abcdef", ["X", "Y"], [(4, 5), (1, 2)], "a\n\nX\n\ncd\n\nY\n\nf"),  # in order of their places
+        ("abcdef", ["X"], [(1, 2), (4, 5)], "a\n\nX\n\ncdef"),  # no table is left for the second
+        ("abcdef", ["X", "Y"], [(1, 99), (3, 3)], "abcdef"),  # beyond the text, and empty
+        ("abcdef", ["X", "Y"], [(None, 3), (2, 3)], "ab\n\nY\n\ndef"),
+        ("abc", ["X", "Y"], [], "abc\n\nX\n\nY"),
+        ("abc", ["X"], None, "abc\n\nX"),
+        ("abc", [], [(0, 1)], "abc"),
+        (None, None, None, ""),
+    ]
+    df = spark.createDataFrame([b[:3] for b in boxed], "t string, m array<string>, b array<struct<start:int,end:int>>")
+    assert [r.x for r in df.select(A.spliced(F.col("t"), F.col("m"), F.col("b")).alias("x")).collect()] == [b[3] for b in boxed]
 
 
 def test_parser_chain(spark):
