@@ -122,28 +122,6 @@ def near_pairs(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     return sides.where(both * 100 >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
-def literal_counts(docs: DataFrame, literals: DataFrame) -> DataFrame:
-    """item_id, n_docs: rows of docs (doc_id, text) that hold a literal (item_id, text) whole; runs of white space are one space.
-
-    A literal's longest inner word is its anchor: documents that have the word are its candidates, found by a join on words.
-    Literals of one or two words have no inner word; they look at all documents.
-    """
-    plain = lambda c: F.array_join(words(F.coalesce(c, F.lit(""))), " ")
-    wanted = literals.select("item_id", plain(F.col("text")).alias("literal"))
-    inner = F.slice(F.split("literal", " "), F.lit(2), F.greatest(F.size(F.split("literal", " ")) - 2, F.lit(0)))
-    wanted = wanted.withColumn("anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"])
-    row = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    have = row.select("doc_id", "th", F.explode(F.array_distinct(words(F.coalesce("text", F.lit(""))))).alias("anchor"))
-    asked = wanted.where("anchor is not null")
-    hits = have.join(asked.select("anchor", "item_id"), "anchor").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "item_id").distinct()
-    candidates = row.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t"))).select("item_id", plain(F.col("text")).alias("body")).join(asked.select("item_id", "literal"), "item_id")
-    found = candidates.where(F.contains("body", "literal")).select("item_id")
-    short = wanted.where("anchor is null").select(F.col("item_id"), "literal")
-    every = row.select(plain(F.col("text")).alias("body")).join(short, F.contains("body", "literal")).select("item_id")
-    counted = found.union(every).groupBy("item_id").agg(F.count("*").alias("n_docs"))
-    return wanted.join(counted, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
-
-
 def duplicate_peers(docs: DataFrame) -> DataFrame:
     """doc_id, n_peers, first_peer, next_peer: for each row whose text others share, the peer that comes first and the next one in scan order.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions.text import strip
+from lexquarry.operators import literals
 from lexquarry.operators import quality as Q
 from lexquarry.sources.tables import pages, table
 
@@ -72,7 +73,7 @@ def embedding_validation(spark, sf):
 
 def literal_conservation(spark, sf):
     """In how many documents each benchmark text stands whole, runs of white space being one space."""
-    return Q.literal_counts(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return literals.counts(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
 def ocr_routing(spark, sf):

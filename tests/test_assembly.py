@@ -9,6 +9,7 @@ from lexquarry.functions import tokenizers as N
 from lexquarry.operators import assembly as A
 from lexquarry.operators import cleaning as C
 from lexquarry.operators import context as X
+from lexquarry.operators import literals as literals_of
 from lexquarry.operators import quality as Q
 from lexquarry.operators import search as S
 from lexquarry.operators import state as B
@@ -143,7 +144,7 @@ def test_duplicate_peers(spark):
 def test_literal_counts(spark):
     docs = spark.createDataFrame([(1, "see  the long\nword here"), (1, "see the long word here"), (1, "see the long word here"), (2, None), (3, "a b")], "doc_id bigint, text string")
     literals = spark.createDataFrame([(1, "the long word"), (2, "a  b"), (3, "longish"), (4, "he long wo"), (5, None), (6, "see the longer word")], "item_id bigint, text string")
-    assert {r.item_id: r.n_docs for r in Q.literal_counts(docs, literals).collect()} == {1: 3, 2: 1, 3: 0, 4: 3, 5: 5, 6: 0}
+    assert {r.item_id: r.n_docs for r in literals_of.counts(docs, literals).collect()} == {1: 3, 2: 1, 3: 0, 4: 3, 5: 5, 6: 0}
 
 
 # ---- sinks ----
