@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions.text import strip
-from lexquarry.operators import literals
+from lexquarry.operators import classes, literals
 from lexquarry.operators import quality as Q
 from lexquarry.sources.tables import pages, table
 
@@ -71,6 +71,20 @@ def embedding_validation(spark, sf):
     return Q.embedding_report(table(spark, sf, "documents"), table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"))
 
 
+def near_duplicate_classes(spark, sf):
+    """Classes that near duplicates make, with the number of links of each text."""
+    return classes.classes(Q.near_pairs(table(spark, sf, "documents"))).select(F.col("node").alias("doc_id"), "class_id", "n_links")
+
+
+def repeated_tables(spark, sf):
+    """All documents as tables, a line a row, cut in two cells at the first blank; rows are turned round and written in capitals by turns."""
+    k, lines = F.col("doc_id"), F.split(F.coalesce("text", F.lit("")), "\n")
+    cells = F.transform(lines, lambda x: F.array(F.substring_index(x, " ", 1), F.substring(x, F.length(F.substring_index(x, " ", 1)) + 1, F.length(x))))
+    rows = F.when(k % 2 == 0, F.reverse(cells)).when(k % 3 == 0, F.transform(cells, lambda r: F.transform(r, lambda c: F.concat(F.lit("  "), c, F.lit("\t"))))).otherwise(cells)
+    made = table(spark, sf, "documents").select(k.alias("table_id"), F.array(F.when(k % 5 == 0, F.upper("lang")).otherwise(F.col("lang")), F.lit("Text")).alias("headers"), rows.alias("rows"))
+    return classes.repeated_tables(made)
+
+
 def literal_conservation(spark, sf):
     """In how many documents each benchmark text stands whole, runs of white space being one space."""
     return literals.counts(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -182,7 +196,7 @@ _TITLES = f"""
 _PUT = "coalesce(text, '') || chr(10) || 'AC-' || (doc_id % 20) || '(1)  CVE-2024-' || lpad(CAST(doc_id % 99999 AS VARCHAR), 5, '0') || ' https://a.example/' || doc_id || ' SHA-256 Table ' || (doc_id % 9)"
 _COUNT = ", ".join(f"CAST(sum(len(regexp_extract_all({side}, '{p}'))) AS BIGINT) AS {name}_{k}" for name, side in (("before", "x"), ("after", "y")) for k, p in Q.ENTITIES.items())
 
-QUERIES = {f.__name__: f for f in (page_quality_flags, garbled_reasons, doc_inventory_rollup, corpus_summary, category_rollup, size_labels, exact_duplicates, near_duplicates_jaccard, repeated_paragraphs, entity_preservation, embedding_validation, literal_conservation, ocr_routing, preflight_flags, table_issues, reading_order_anomaly, table_overlap_anti, figure_filter, page_links, publication_index, classify_titles, first_relevant)}
+QUERIES = {f.__name__: f for f in (page_quality_flags, garbled_reasons, doc_inventory_rollup, corpus_summary, category_rollup, size_labels, exact_duplicates, near_duplicates_jaccard, near_duplicate_classes, repeated_tables, repeated_paragraphs, entity_preservation, embedding_validation, literal_conservation, ocr_routing, preflight_flags, table_issues, reading_order_anomaly, table_overlap_anti, figure_filter, page_links, publication_index, classify_titles, first_relevant)}
 
 SQL = {
     "page_quality_flags": f"WITH {_FLAGS} SELECT doc_id, text_length, n_words, is_empty, is_low_text, is_scanned, concat_ws(',', CASE WHEN is_empty THEN 'empty' END, CASE WHEN is_low_text THEN 'low_text' END, CASE WHEN is_scanned THEN 'suspected_scan' END, CASE WHEN is_garbled THEN 'garbled' END) AS reasons FROM f",
@@ -195,6 +209,15 @@ SQL = {
     "category_rollup": "SELECT CASE WHEN grouping(lang) = 1 THEN 'TOTAL' ELSE coalesce(lang, '') END AS lang, CAST(grouping(lang) AS BIGINT) AS is_total, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY ROLLUP (lang)",
     "size_labels": "SELECT doc_id, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.2f KB', s / 1024.0) WHEN s < 1073741824 THEN printf('%.2f MB', s / 1048576.0) ELSE printf('%.2f GB', s / 1073741824.0) END AS size_text FROM (SELECT doc_id, strlen(coalesce(text, '')) AS s FROM documents)",
     "exact_duplicates": "SELECT sha256(text) AS sha256, count(*) AS n_docs, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "near_duplicate_classes": r"""WITH RECURSIVE o AS (SELECT min(doc_id) AS id, list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL GROUP BY text),
+      s AS (SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS g FROM o, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+      p AS (SELECT a.id AS u, b.id AS v, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+      l AS (SELECT u, v FROM p JOIN n AS x ON x.id = u JOIN n AS y ON y.id = v WHERE c * 100 >= 85 * (x.n + y.n - c)),
+      e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l), r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+      SELECT r.u AS doc_id, least(r.u, min(r.v)) AS class_id, any_value(k) AS n_links FROM r JOIN (SELECT u, count(*) AS k FROM e GROUP BY u) AS c ON c.u = r.u GROUP BY r.u""",
+    "repeated_tables": r"""WITH d AS (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+      r AS (SELECT doc_id, lang, list_sort(list_transform(ls, lambda x: lower(trim(regexp_replace(split_part(x, ' ', 1), '\s+', ' ', 'g'))) || chr(31) || lower(trim(regexp_replace(substring(x, length(split_part(x, ' ', 1)) + 1), '\s+', ' ', 'g'))))) AS rows FROM d),
+      g AS (SELECT doc_id, count(*) OVER w AS n_tables, min(doc_id) OVER w AS class_id FROM r WINDOW w AS (PARTITION BY coalesce(lower(lang), ''), rows)) SELECT doc_id AS table_id, class_id, n_tables FROM g WHERE n_tables > 1""",
     "near_duplicates_jaccard": r"""WITH o AS (SELECT min(doc_id) AS id, list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL GROUP BY text),
       s AS (SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS g FROM o, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
       p AS (SELECT a.id AS u, b.id AS v, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
