@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +13,6 @@ SHORT_BLOCK, LONG_HEADING = 120, 160
 SECTION = white(r"(?i)^(SECTION|[0-9]+(\.[0-9]+)*|[A-Z]\.[0-9]+)\s+")
 ITEM = white(r"^([•\-*]|[0-9]+\.|\([a-z0-9]+\))\s+")
 
-DIGEST = pa.schema([("document_id", pa.string()), ("n_chars", pa.int64()), ("text_sha256", pa.string())])
-
 
 def block_kind(text: Column) -> Column:
     """struct (kind, level) of a stripped block: heading (level 2 with a section number, else 3), list_item or paragraph."""
@@ -57,30 +51,14 @@ def with_dividers(pages: DataFrame) -> DataFrame:
 
 
 def digests(divided: DataFrame) -> DataFrame:
-    """document_id, n_chars, text_sha256 of each document's pages (document_id, page_number, text) joined by line feeds.
+    """document_id, n_pages, n_chars, digest of each document's pages (document_id, page_number, text) joined by line feeds.
 
-    Pages stay rows: a task reads a document's pages in order and holds a batch of them and the running hash, never the whole text.
+    The digest is a sum over pages of the first 60 bits of the SHA-256 of a page's number and text: it tells the same pages in the same
+    order from all others, and parts of a document are summed wherever they lie, so that no task reads a whole one.
     """
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = lambda *row: pa.RecordBatch.from_pydict(dict(zip(DIGEST.names, ([x] for x in row), strict=True)), DIGEST)
-        doc, n_chars, running = None, 0, None
-        for b in batches:
-            for d, n, text in zip(*(b.column(k) for k in range(3)), strict=True):
-                if running is not None and d.as_py() == doc:
-                    running.update(b"\n")
-                    n_chars += 1
-                else:
-                    if running is not None:
-                        yield out(doc, n_chars, running.hexdigest())
-                    doc, n_chars, running = d.as_py(), 0, hashlib.sha256()
-                running.update(text.as_buffer())
-                n_chars += n.as_py()
-        if running is not None:
-            yield out(doc, n_chars, running.hexdigest())
-
-    in_order = divided.repartition("document_id").sortWithinPartitions("document_id", "page_number", "text")
-    return in_order.select("document_id", F.length("text").cast("long").alias("n_chars"), F.col("text").cast("binary").alias("text")).mapInArrow(hashed, "document_id string, n_chars bigint, text_sha256 string")
+    bits = F.conv(F.left(F.sha2(F.concat(F.col("page_number").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))), 256), F.lit(15)), 16, 10).cast("decimal(20,0)")
+    chars = F.sum(F.length(F.coalesce("text", F.lit("")))) + F.count("*") - 1
+    return divided.groupBy("document_id").agg(F.count("*").alias("n_pages"), chars.alias("n_chars"), F.sum(bits).cast("string").alias("digest"))
 
 
 def standalone_tables(page_text: Column, tables: Column) -> Column:

@@ -5,33 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexquarry.sources.store import stored
+
 STATES = ["PENDING", "IN_PROGRESS", "SUCCESS", "FAILED"]
 
 
-#: Ranges of keys in which places are counted apart.
-RANGES = 64
-#: Upper bound, in rows, of counts by range that are broadcast.
-BROADCAST_ROWS = 100_000
+#: Keys of a range in which places are counted apart.
+RANGE_KEYS = 1_000_000
 
 
-def places(docs: DataFrame, order: str, within: tuple[str, ...] = ()) -> DataFrame:
-    """docs with __at: each row's place from 0 in order of a numeric key, among rows equal in the columns within.
+def places(docs: DataFrame, order: str, within: tuple[str, ...] = (), range_keys: int = RANGE_KEYS) -> DataFrame:
+    """docs with __at: each row's place from 0 in order of a key, among rows equal in the columns within; rows that repeat a key follow each other in any order.
 
-    Places are counted in ranges of the key, so no task sorts all rows; at most RANGES bounds come from quantiles.
+    Places come from the keys alone, counted in as many ranges as their number needs and added up over ranges; only then rows are joined with them,
+    by their whole key. So neither a sort nor a task grows with what other columns hold, or with a group of very many rows.
     """
-    bounds = sorted({float(x) for x in docs.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], 0.005)})
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col(order))) if bounds else F.lit(0)
-    ranged = docs.withColumn("__part", part)
-    counts = ranged.groupBy(*within, "__part").count()
-    upto = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
-    before = counts.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__w{i}") for i, c in enumerate(within)], (F.sum("count").over(upto) - F.col("count")).alias("__before"))
-    if not within or docs.select(*within).distinct().count() * RANGES <= BROADCAST_ROWS:
-        before = F.broadcast(before)
-    same = F.col("__part") == F.col("__p")
-    for i, c in enumerate(within):
-        same &= F.col(c).eqNullSafe(F.col(f"__w{i}"))
-    found = ranged.join(before, same).withColumn("__at", F.col("__before") + F.row_number().over(Window.partitionBy(*within, "__part").orderBy(order)) - 1)
-    return found.drop("__part", "__p", "__before", *[f"__w{i}" for i in range(len(within))])
+    by = [*within, order]
+    names = [f"__k{i}" for i in range(len(by))]
+    keys = docs.groupBy(*(F.col(c).alias(n) for c, n in zip(by, names, strict=True))).agg(F.count("*").alias("__n"))
+    n = max(1, -(-docs.count() // range_keys))
+    ranged = stored(keys.repartitionByRange(n, names[-1]).withColumn("__part", F.spark_partition_id()), "keys")
+    group = names[:-1]
+    inside = Window.partitionBy(*group, "__part").orderBy(names[-1])
+    upto = Window.partitionBy(*group).orderBy("__part")
+    before = ranged.groupBy(*group, "__part").agg(F.sum("__n").alias("__rows")).withColumn("__before", F.sum("__rows").over(upto) - F.col("__rows")).drop("__rows")
+    same = F.col("a.__part") == F.col("b.__part")
+    for c in group:
+        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    placed = ranged.withColumn("__inside", F.sum("__n").over(inside) - F.col("__n")).alias("a").join(before.alias("b"), same).select(*(F.col(f"a.{c}") for c in names), "a.__n", (F.col("__before") + F.col("__inside")).alias("__first"))
+    match = F.lit(True)
+    for c, name in zip(by, names, strict=True):
+        match &= docs[c].eqNullSafe(F.col(name))
+    found = docs.join(placed, match)
+    if ranged.where("__n > 1").isEmpty():
+        return found.withColumn("__at", F.col("__first")).drop(*names, "__n", "__first")
+    twin = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0))) - 1
+    return found.withColumn("__at", F.col("__first") + twin).drop(*names, "__n", "__first")
 
 
 def batches(docs: DataFrame, sizes: list[int], order: str = "doc_id") -> DataFrame:

@@ -172,7 +172,86 @@ _L = r"""
 
 QUERIES = {f.__name__: f for f in (segments_headings, section_groups, chunks_packed, chunk_audit, token_stats, token_estimates, legacy_sections, legacy_chunks, fixed_slices, table_markdown, table_continuation, table_chunks, figure_captions, batch_slices, checkpoint_status)}
 
+
+def _count(x: str) -> str:
+    return f"(CASE WHEN length({x}) = 0 THEN 0 ELSE greatest(1, length({x}) // 4) END)"
+
+
+def _trim(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _split(marked: str) -> str:
+    """The stripped parts between marks that aren't empty."""
+    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: {_trim('s')}), lambda s: s <> '')"
+
+
+def _sentences(x: str) -> str:
+    return _split(rf"""regexp_replace({x}, '([.!?])\s+([A-Z0-9("\[''])', '\1' || chr(1) || '\2', 'g')""")
+
+
+def _tail(x: str) -> str:
+    """The last sentences that together have at most OVERLAP_TOKENS tokens."""
+    fits = f"list_sum(list_transform(ss[i:], lambda s: {_count('s')})) <= {K.OVERLAP_TOKENS}"
+    kept = f"list_transform([list_min(list_filter(range(1, len(ss) + 1), lambda i: {fits}))], lambda k: CASE WHEN k IS NULL THEN '' ELSE array_to_string(ss[k:], ' ') || chr(10) || chr(10) END)[1]"
+    return f"list_transform([{_sentences(x)}], lambda ss: {kept})[1]"
+
+
+_STRIPPED = _trim("prefix || carry || {}")
+#: Paragraphs beyond a chunk are cut into sentences, clauses and words, which runs of one kind put together again; then a fold over a section's pieces.
+_C = (
+    _G
+    + rf""",
+  sec AS (SELECT document_id, n, coalesce(string_agg('### ' || text || chr(10) || chr(10), '' ORDER BY seq) FILTER (is_heading), '') AS prefix, arg_min(section_path, seq) AS section_path, coalesce(arg_max(text, seq) FILTER (is_heading AND before = 0), arg_min(section_heading, seq)) AS section_heading FROM g5 GROUP BY document_id, n),
+  para AS (SELECT g5.document_id, g5.n, seq, text, prefix, greatest({K.LEAST_BODY}, {K.CHUNK_TOKENS} - {_count("prefix")}) AS room FROM g5 JOIN sec ON sec.document_id = g5.document_id AND sec.n = g5.n WHERE NOT is_heading),
+  l0 AS (SELECT * EXCLUDE (ss), ss[a] AS x FROM (SELECT * EXCLUDE (text, prefix), {_sentences("text")} AS ss FROM para WHERE {_count("text")} > room), unnest(range(1, len(ss) + 1)) AS t(a)),
+  l1 AS (SELECT * EXCLUDE (ss), ss[b] AS x FROM (SELECT * EXCLUDE (x), {_split(r"regexp_replace(x, '([;:])\s+', '' || chr(1), 'g')")} AS ss FROM l0 WHERE {_count("x")} > room), unnest(range(1, len(ss) + 1)) AS t(b)),
+  l2 AS (SELECT * EXCLUDE (ss), ss[c] AS x FROM (SELECT * EXCLUDE (x), {_split(r"regexp_replace(x, '\s+', chr(1), 'g')")} AS ss FROM l1 WHERE {_count("x")} > room), unnest(range(1, len(ss) + 1)) AS t(c)),
+  leaf AS (SELECT document_id, n, seq, room, a, 0 AS b, 0 AS c, '' AS parent, x FROM l0 WHERE {_count("x")} <= room UNION ALL SELECT document_id, n, seq, room, a, b, 0, '1.' || a, x FROM l1 WHERE {_count("x")} <= room UNION ALL SELECT document_id, n, seq, room, a, b, c, '2.' || a || '.' || b, x FROM l2),
+  opened AS (SELECT *, CASE WHEN parent IS DISTINCT FROM lag(parent) OVER (PARTITION BY document_id, seq ORDER BY a, b, c) THEN 1 ELSE 0 END AS opens FROM leaf),
+  placed AS (SELECT *, sum(opens) OVER (PARTITION BY document_id, seq ORDER BY a, b, c) AS run FROM opened),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY document_id, seq, run ORDER BY a, b, c) AS k FROM placed),
+  greedy AS (
+    SELECT document_id, seq, run, k, length(x) AS size, 1 AS part FROM ranked WHERE k = 1
+    UNION ALL
+    SELECT r.document_id, r.seq, r.run, r.k, CASE WHEN (size + 1 + length(x)) // 4 > room THEN length(x) ELSE size + 1 + length(x) END, CASE WHEN (size + 1 + length(x)) // 4 > room THEN part + 1 ELSE part END
+    FROM greedy JOIN ranked AS r ON r.document_id = greedy.document_id AND r.seq = greedy.seq AND r.run = greedy.run AND r.k = greedy.k + 1),
+  parts AS (SELECT r.document_id, n, r.seq, r.run, part, string_agg(x, ' ' ORDER BY r.k) AS x FROM ranked AS r JOIN greedy AS g ON r.document_id = g.document_id AND r.seq = g.seq AND r.run = g.run AND r.k = g.k GROUP BY ALL),
+  unit AS (SELECT document_id, n, seq, 0 AS run, 0 AS part, text AS x, false AS alone FROM para WHERE {_count("text")} <= room UNION ALL SELECT document_id, n, seq, run, part, x, true FROM parts),
+  units AS (SELECT *, row_number() OVER (PARTITION BY document_id, n ORDER BY seq, run, part) AS u FROM unit),
+  fold AS (
+    SELECT document_id, n, prefix, CAST(0 AS BIGINT) AS u, '' AS held, '' AS carry, CAST([] AS VARCHAR[]) AS made FROM sec
+    UNION ALL
+    SELECT document_id, n, prefix, u, CASE WHEN alone THEN '' WHEN full_ THEN x ELSE joined END, CASE WHEN alone THEN {_tail("x")} WHEN full_ THEN {_tail("held")} ELSE carry END,
+      list_concat(CASE WHEN held <> '' AND (alone OR full_) THEN list_append(made, closed) ELSE made END, CASE WHEN alone THEN [{_trim("prefix || x")}] ELSE [] END)
+    FROM (SELECT *, {_count(_STRIPPED.format("joined"))} > {K.CHUNK_TOKENS} AND held <> '' AS full_, CASE WHEN {_count(_STRIPPED.format("held"))} <= {K.CHUNK_TOKENS} THEN {_STRIPPED.format("held")} ELSE {_trim("prefix || held")} END AS closed
+      FROM (SELECT f.*  EXCLUDE (u), y.u, x, alone, CASE WHEN held = '' THEN x ELSE held || chr(10) || chr(10) || x END AS joined FROM fold AS f JOIN units AS y ON y.document_id = f.document_id AND y.n = f.n AND y.u = f.u + 1) AS z) AS q),
+  last_ AS (SELECT document_id, n, arg_max(prefix, u) AS prefix, arg_max(held, u) AS held, arg_max(carry, u) AS carry, arg_max(made, u) AS made, max(u) AS u FROM fold GROUP BY document_id, n),
+  whole AS (SELECT document_id, n, CASE WHEN u = 0 THEN [{_trim("prefix")}] WHEN held <> '' THEN list_append(made, CASE WHEN {_count(_STRIPPED.format("held"))} <= {K.CHUNK_TOKENS} THEN {_STRIPPED.format("held")} ELSE {_trim("prefix || held")} END) ELSE made END AS made FROM last_),
+  packed AS (SELECT document_id, n, k, made[k] AS text FROM whole, unnest(range(1, len(made) + 1)) AS t(k)),
+  chunks AS (SELECT document_id || '_txt_' || lpad(CAST(row_number() OVER (PARTITION BY document_id ORDER BY n, k) AS VARCHAR), 5, '0') AS chunk_id, document_id, 1 AS page_start, 1 AS page_end, '[' || document_id || ' Page 1]' AS citation_label, section_path, section_heading, text, CAST({_count("text")} AS INT) AS token_count, CAST(length(text) AS INT) AS char_count, CASE WHEN text <> '' THEN sha256(text) ELSE '' END AS content_hash FROM packed JOIN sec USING (document_id, n))
+"""
+)
+
 SQL = {
+    "table_chunks": f"""WITH RECURSIVE o AS (SELECT l_suppkey AS d, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_returnflag, l_partkey % 50 = 0 DESC) - 1 AS i, CAST(l_orderkey AS VARCHAR) AS a, l_returnflag AS f, l_partkey % 50 = 0 AS remarked FROM lineitem),
+      u AS (SELECT list_concat(['Checked by hand;'], list_transform(range(119), lambda k: 'kept. Checked by hand;'), ['kept.']) AS units),
+      r AS (SELECT d, i, '| ' || a || ' | ' || f || ' | ' AS lead, remarked, '| ' || a || ' | ' || f || ' | ' || CASE WHEN remarked THEN array_to_string(units, ' ') ELSE 'ok' END || ' |' AS line FROM o, u),
+      z AS (SELECT *, length('### Table: Lines (Part 99 of 99)' || chr(10) || 'Source: [Page 1]' || chr(10) || chr(10) || '| order | flag | remark |' || chr(10) || '| :--- | :--- | :--- |') AS base, count(*) OVER (PARTITION BY d) AS n, sum(length(line) + 1) OVER (PARTITION BY d) AS body FROM r),
+      y AS (SELECT *, (base - length(' (Part 99 of 99)') + body) // 4 <= {K.TABLE_TOKENS} AS fits, (base + 1 + length(line)) // 4 > {K.TABLE_TOKENS} AS big FROM z),
+      fold AS (
+        SELECT d, CAST(-1 AS BIGINT) AS i, 0 AS run, CAST(0 AS BIGINT) AS size FROM y WHERE i = 0
+        UNION ALL
+        SELECT y.d, y.i, CASE WHEN fits THEN 1 WHEN big OR size = 0 OR (base + size + 1 + length(line)) // 4 > {K.TABLE_TOKENS} THEN run + 1 ELSE run END, CASE WHEN big THEN 0 WHEN size = 0 OR (base + size + 1 + length(line)) // 4 > {K.TABLE_TOKENS} THEN 1 + length(line) ELSE size + 1 + length(line) END
+        FROM fold JOIN y ON y.d = fold.d AND y.i = fold.i + 1),
+      x AS (SELECT y.d, y.i, run, fits, h, CASE WHEN big THEN lead || array_to_string(CASE WHEN h = 1 THEN units[1:61] ELSE units[62:] END, ' ') || ' |' ELSE line END AS line FROM y JOIN fold ON fold.d = y.d AND fold.i = y.i, u, (SELECT unnest([1, 2]) AS h) WHERE big OR h = 1),
+      g AS (SELECT d, run, h, bool_and(fits) AS fits, min(i) AS first_, max(i) + 1 AS end_, string_agg(line, chr(10) ORDER BY i) AS body FROM x GROUP BY d, run, h),
+      k AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY run, h) AS k, count(*) OVER (PARTITION BY d) AS m FROM g),
+      t AS (SELECT *, '### Table: Lines' || CASE WHEN fits THEN '' ELSE ' (Part ' || k || ' of ' || m || ')' END || chr(10) || 'Source: [Page 1]' || chr(10) || chr(10) || '| order | flag | remark |' || chr(10) || '| :--- | :--- | :--- |' || chr(10) || body AS text FROM k)
+      SELECT d || '_tbl_00001_p' || lpad(CAST(k AS VARCHAR), CAST(greatest(2, length(CAST(k AS VARCHAR))) AS INT), '0') AS chunk_id, 'lines' AS table_id, CAST(k AS INT) AS part_index, CAST(m AS INT) AS total_parts, CAST(first_ AS INT) AS row_start, CAST(end_ AS INT) AS row_end, text, CAST(greatest(1, length(text) // 4) AS INT) AS token_count FROM t""",
+    "chunks_packed": f"WITH RECURSIVE {_C} SELECT * FROM chunks",
+    "chunk_audit": rf"WITH RECURSIVE {_C} SELECT document_id, count(*) AS n_chunks, count(*) FILTER ({_trim('text')} = '') AS n_empty, count(*) FILTER (token_count = 0) AS n_no_tokens, count(*) FILTER (page_start > page_end) AS n_inverted, count(*) FILTER (token_count > {K.CHUNK_TOKENS}) AS n_oversize FROM chunks GROUP BY document_id",
+    "token_stats": f"WITH RECURSIVE {_C} SELECT count(*) AS n_chunks, min(token_count) AS least, round_even(median(token_count), 1) AS median, round_even(avg(token_count), 1) AS mean, max(token_count) AS most FROM chunks",
     "segments_headings": f"WITH {_H} SELECT document_id, seq, is_heading, coalesce(level, 0) AS level, section_heading, section_path, length(text) AS n_chars FROM segs",
     "section_groups": f"WITH {_G} SELECT document_id, coalesce(arg_max(text, seq) FILTER (is_heading AND before = 0), arg_min(section_heading, seq)) AS group_heading, count(*) AS n_segments, count(*) FILTER (is_heading) AS n_headings, min(seq) AS first_seq, arg_min(section_path, seq) AS section_path FROM g5 GROUP BY document_id, n",
     "token_estimates": "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, length(text) // 4) END AS n_tokens, sha256(CASE WHEN length(text) <= 400 THEN text WHEN NOT contains(left(text, 400), ' ') THEN left(text, 400) ELSE left(text, 400 - strpos(reverse(left(text, 400)), ' ')) END) AS cut_sha256 FROM documents WHERE text IS NOT NULL",

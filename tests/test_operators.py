@@ -234,11 +234,14 @@ def test_exports_keep_pages_as_rows(spark):
     import hashlib
 
     rows = [("a", n, f"é{n} " * n) for n in range(1, 30)] + [("b", 3, None), ("b", 2, "x"), (None, 1, "no source"), ("c", 1, "")]
-    divided = L.with_dividers(spark.createDataFrame(rows, "document_id string, page_number int, text string"))
+    divided = L.with_dividers(spark.createDataFrame(rows, "document_id string, page_number int, text string").repartition(5))
     assert divided.count() == len(rows)
-    found = {r.document_id: (r.n_chars, r.text_sha256) for r in L.digests(divided).collect()}
-    whole = {d: "\n".join(f"--- PAGE {n} ---\n{t or ''}\n" for e, n, t in sorted(rows, key=lambda r: r[1]) if e == d) for d in ("a", "b", "c", None)}
-    assert found == {d: (len(t), hashlib.sha256(t.encode()).hexdigest()) for d, t in whole.items()}
+    found = {r.document_id: (r.n_pages, r.n_chars, r.digest) for r in L.digests(divided).collect()}
+    pages = {d: [f"--- PAGE {n} ---\n{t or ''}\n" for e, n, t in sorted(rows, key=lambda r: r[1]) if e == d] for d in ("a", "b", "c", None)}
+    bits = lambda d: sum(int(hashlib.sha256(f"{n}:--- PAGE {n} ---\n{t or ''}\n".encode()).hexdigest()[:15], 16) for e, n, t in rows if e == d)
+    assert found == {d: (len(p), len("\n".join(p)), str(bits(d))) for d, p in pages.items()}
+    turned = L.digests(divided.withColumn("page_number", F.when(F.col("document_id") == "b", 5 - F.col("page_number")).otherwise(F.col("page_number"))))
+    assert {r.document_id for r in turned.collect() if r.digest != found[r.document_id][2]} == {"b"}
 
 
 def test_pages_are_numbered_in_ranges(spark):
@@ -249,6 +252,18 @@ def test_pages_are_numbered_in_ranges(spark):
         of.setdefault(s, []).append((d, t or ""))
     assert {(r.document_id, r.page_number, r.doc_id, r.text) for r in found.collect()} == {(s, n + 1, *x) for s, xs in of.items() for n, x in enumerate(xs)} and found.count() == 1001
     plan = found._jdf.queryExecution().executedPlan().toString()
-    numbered = [x for x in plan.splitlines() if "Window [row_number()" in x]
-    assert numbered and all("__part" in x for x in numbered)
+    assert not [x for x in plan.splitlines() if "Window [" in x and "text" in x]
     assert R.pages(spark.createDataFrame([], "doc_id bigint, source string, text string")).count() == 0
+
+
+def test_places_in_many_ranges(spark):
+    rows = [(k % 70 if k < 100 else None, "g" if k % 3 else None, f"t{k}") for k in range(110)]
+    df = spark.createDataFrame(rows, "id bigint, part string, text string").repartition(4)
+    for within in ((), ("part",)):
+        got = B.places(df, "id", within, range_keys=9).collect()
+        of = {}
+        for r in got:
+            of.setdefault(r.part if within else 0, []).append((r["__at"], r.id if r.id is not None else -1))
+        assert len(got) == len(rows)
+        for found in of.values():
+            assert [at for at, _ in sorted(found)] == list(range(len(found))) and [i for _, i in sorted(found)] == sorted(i for _, i in found)
