@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexquarry.functions.html import links
 from lexquarry.functions.text import let, strip, white, words
 from lexquarry.sources.store import stored
 
@@ -170,14 +171,6 @@ def relevant(title: Column) -> Column:
     return ~excluded & (F.array_max(category_scores(title))["score"] > 0)
 
 
-def links(html: Column) -> Column:
-    """array of (href, text) of anchors with an href, text without tags and with single spaces."""
-    found = F.regexp_extract_all(html, F.lit(white(r"""(?is)<a\s[^>]*?href\s*=\s*["'][^"']*["'][^>]*>.*?</a>""")), F.lit(0))
-    href = lambda a: F.regexp_extract(a, white(r"""(?is)href\s*=\s*["']([^"']*)["']"""), 1)
-    text = lambda a: strip(F.regexp_replace(F.regexp_replace(a, "(?s)<[^>]*>", " "), white(r"\s+"), " "))
-    return F.transform(found, lambda a: F.struct(href(a).alias("href"), text(a).alias("text")))
-
-
 def absolute(base: Column, href: Column) -> Column:
     return F.when(href.startswith("http"), href).otherwise(F.concat(base, href))
 

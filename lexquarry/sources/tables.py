@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Any
+from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,12 +32,39 @@ def pages(documents: DataFrame) -> DataFrame:
     return places(found, "doc_id", ("document_id",)).select("document_id", (F.col("__at") + 1).cast("int").alias("page_number"), "doc_id", "text")
 
 
-def files(spark: SparkSession, path: str, pattern: str = "*.pdf", most: int | None = None) -> DataFrame:
-    """path, length and sha256 of files below path, sorted by path; hidden and lock files are skipped."""
+#: Bytes of a file that are read at once for its digest.
+DIGEST_BYTES = 8 << 20
+
+
+def digest(path: str, size: int, step: int = DIGEST_BYTES) -> str:
+    """The SHA-256 of a file of any store that Arrow reads, in ranges: only one of them is held."""
+    if path.startswith(("file:", "/")):
+        store, at = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        store, at = fs.FileSystem.from_uri(quote(path, safe="/:@?=&"))
+    running = hashlib.sha256()
+    with store.open_input_file(at) as file:
+        for first in range(0, size, step):
+            running.update(file.read_at(min(step, size - first), first))
+    return running.hexdigest()
+
+
+def files(spark: SparkSession, path: str, pattern: str = "*.pdf", most: int | None = None, step: int = DIGEST_BYTES) -> DataFrame:
+    """path, length and sha256 of files below path, sorted by path; hidden, lock and empty files are skipped.
+
+    Spark lists the files and spreads them over tasks; a task reads a file in ranges of step bytes, so files may be of any size.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    found = found.where(~name.startswith(".") & ~name.startswith("~$")).select("path", "length", F.sha2("content", 256).alias("sha256")).orderBy("path")
-    return found.limit(most) if most is not None else found
+    found = found.where(~name.startswith(".") & ~name.startswith("~$")).select("path", "length").orderBy("path")
+    found = found.limit(most) if most is not None else found
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, (p, n) in enumerate(zip(b.column("path").to_pylist(), b.column("length").to_pylist(), strict=True)):
+                yield pa.RecordBatch.from_arrays([*b.slice(k, 1).columns, pa.array([digest(p, n, step)])], ["path", "length", "sha256"])
+
+    return found.mapInArrow(hashed, "path string, length bigint, sha256 string")
 
 
 def parsed(spark: SparkSession, path: str, parsers: dict[str, Callable[[bytes], list[dict[str, Any]]]], pattern: str = "*.pdf") -> DataFrame:

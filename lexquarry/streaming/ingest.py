@@ -61,3 +61,53 @@ def event_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hours")
     """Events by window and type, repeated ids counted once; rows later than the watermark are left out."""
     once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     return once.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+#: Attempts of a document before it has failed for good.
+ATTEMPTS = 3
+
+
+def checkpoints(events: DataFrame, stale: str = "30 minutes", attempts: int = ATTEMPTS) -> DataFrame:
+    """key, status, at, n_attempts of a stream of status events (key, status, at): a row for each change of a key's status.
+
+    A key that is IN_PROGRESS and hears nothing for the time stale, by the watermark of events, is PENDING again, so that a crashed worker's documents are
+    taken up; each start counts as an attempt, and one that goes stale or fails after the last attempt is FAILED. SUCCESS is final. Events of a key
+    count in order of time within a batch, older ones than its last are passed over.
+    """
+    wait = int(pd.Timedelta(stale).total_seconds() * 1000)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, at, n = state.get if state.exists else ("PENDING", 0, 0)
+        out = []
+
+        def change(new: str, when: int) -> None:
+            nonlocal status, at
+            new = "FAILED" if new == "PENDING" and n >= attempts else new
+            if new != status:
+                out.append((key[0], new, pd.Timestamp(when, unit="ms"), n))
+            status, at = new, when
+
+        if state.hasTimedOut:
+            if status == "IN_PROGRESS":
+                change("PENDING", at + wait)
+        else:
+            for r in pd.concat(list(frames)).sort_values(["at", "status"]).itertuples():
+                when = int(r.at.timestamp() * 1000)
+                if status == "SUCCESS" or when < at:
+                    continue
+                if status == "IN_PROGRESS" and when > at + wait:
+                    change("PENDING", at + wait)
+                if r.status == "IN_PROGRESS" and status != "FAILED":
+                    n += 1
+                    change("IN_PROGRESS", when)
+                elif r.status == "FAILED":
+                    change("PENDING" if n < attempts else "FAILED", when)
+                elif r.status == "SUCCESS":
+                    change("SUCCESS", when)
+        state.update((status, at, n))
+        if status == "IN_PROGRESS":
+            state.setTimeoutTimestamp(max(at + wait, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["key", "status", "at", "n_attempts"])
+
+    kept = events.select("key", "status", "at").withWatermark("at", "0 seconds")
+    return kept.groupBy("key").applyInPandasWithState(step, "key bigint, status string, at timestamp, n_attempts int", "status string, at bigint, n int", "append", GroupStateTimeout.EventTimeTimeout)
