@@ -49,7 +49,8 @@ def repeated_tables(tables: DataFrame) -> DataFrame:
     Tables are alike if headers and rows are, but for case, white space and the order of rows. Tables without any text are left out. Counts are made before
     the shuffle, and classes go back to tables by a join, so a table that very many pages have is no task of its own.
     """
-    filled = F.exists(F.concat(F.coalesce("headers", F.expr("cast(array() as array<string>)")), F.flatten(F.coalesce("rows", F.expr("cast(array() as array<array<string>>)")))), lambda c: normal(c) != "")
+    none = F.expr("cast(array() as array<string>)")
+    filled = F.exists(F.concat(F.coalesce("headers", F.expr("cast(array() as array<string>)")), F.flatten(F.transform(F.coalesce("rows", F.expr("cast(array() as array<array<string>>)")), lambda r: F.coalesce(r, none)))), lambda c: normal(c) != "")
     marked = tables.where(filled).select("table_id", fingerprint(F.col("headers"), F.col("rows")).alias("print"))
     groups = marked.groupBy("print").agg(F.min("table_id").alias("class_id"), F.count("*").alias("n_tables")).where("n_tables > 1")
     return marked.join(groups, "print").select("table_id", "class_id", "n_tables")

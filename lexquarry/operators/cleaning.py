@@ -191,3 +191,14 @@ def summary(pages: DataFrame) -> DataFrame:
         F.sum(c("n_transforms")).alias("n_transforms"), F.sum(c("original_chars")).cast("long").alias("original_chars"), F.sum(c("cleaned_chars")).cast("long").alias("cleaned_chars"),
     )
     return found.withColumn("pct_change", F.round((F.col("cleaned_chars") - F.col("original_chars")) / F.greatest("original_chars", F.lit(1)) * 100, 4))
+
+
+def cohorts(documents: DataFrame, members: DataFrame) -> DataFrame:
+    """cohort, n_documents, sums and change in per cent of summary()'s documents by cohort (document_id, cohort), how many grew, and the one that changed most.
+
+    Documents of no cohort are one of their own, named 'none'.
+    """
+    named = documents.join(members.select("document_id", "cohort"), "document_id", "left").withColumn("cohort", F.coalesce("cohort", F.lit("none")))
+    sums = ("n_pages", "n_headers", "n_footers", "n_joined", "n_warnings", "n_transforms", "original_chars", "cleaned_chars")
+    found = named.groupBy("cohort").agg(F.count("*").alias("n_documents"), *(F.sum(c).alias(c) for c in sums), F.count_if(F.col("cleaned_chars") > F.col("original_chars")).alias("n_grown"), F.min_by("document_id", F.struct(-F.abs("pct_change"), "document_id")).alias("most_changed"))
+    return found.withColumn("pct_change", F.round((F.col("cleaned_chars") - F.col("original_chars")) / F.greatest("original_chars", F.lit(1)) * 100, 4))

@@ -174,3 +174,11 @@ def metrics(hits: DataFrame, queries: DataFrame, by: list[str], depth: int = FIN
     sums = each.groupBy(*by).agg(*[F.sum(c).alias(c) for c in figures]).crossJoin(F.broadcast(queries.agg(F.count("*").alias("n_queries"))))
     scaled = [(F.col(c) / F.col("n_queries") * (1 if c == "mrr" else 100)).alias(c) for c in figures]
     return sums.select(*by, "n_queries", *scaled).withColumn("quality", (F.col("hit5") + 100 * F.col("mrr")) / 2)
+
+
+def compared(figures: DataFrame, base: str) -> DataFrame:
+    """metrics() by stage with hit5_gain and mrr_gain over the stage named base, and best: whether no stage has a greater mean reciprocal rank."""
+    of_base = F.broadcast(figures.where(F.col("stage") == base).select(F.col("hit5").alias("__hit5"), F.col("mrr").alias("__mrr")))  # one row
+    most = F.broadcast(figures.agg(F.max(F.round("mrr", 9)).alias("__most")))  # one row
+    joined = figures.crossJoin(most).join(of_base, F.lit(True), "left")
+    return joined.withColumns({"hit5_gain": F.col("hit5") - F.col("__hit5"), "mrr_gain": F.col("mrr") - F.col("__mrr"), "best": F.round("mrr", 9) == F.col("__most")}).drop("__hit5", "__mrr", "__most")

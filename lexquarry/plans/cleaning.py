@@ -61,6 +61,14 @@ def cleaning_summary(spark, sf):
     return C.summary(C.cleaned(made))
 
 
+def cleaning_cohorts(spark, sf):
+    """The summary of all documents by cohorts, which their names' lengths and last letters make; one letter has none."""
+    made = _paged(spark, sf).withColumn("text", F.concat(F.lit("\n"), _hyphened(F.col("text")), F.lit("\n\n")))
+    last = F.right("document_id", F.lit(1))
+    members = table(spark, sf, "documents").select(F.col("source").alias("document_id")).distinct().where(F.col("document_id").isNotNull())
+    return C.cohorts(C.summary(C.cleaned(made)), members.where(last != "7").withColumn("cohort", F.concat(F.length("document_id").cast("string"), F.when(last < "5", "low").otherwise("high"))))
+
+
 _WORDS = "[" + ", ".join(f"'{w}'" for w in C.JOINED_WORDS) + "]"
 _HYPHENATED = "[" + ", ".join(f"'{w}'" for w in C.HYPHENATED) + "]"
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -143,7 +151,7 @@ def _normal(source: str, text: str) -> str:
   normal AS (SELECT *, regexp_replace(collapsed, '^\n+|\n+$', '', 'g') AS final, kinds + fixed + CAST(length(collapsed) < length(trimmed) AS INT) AS n_transforms, len(lost) - fixed AS n_warnings FROM n4)"""
 
 
-QUERIES = {f.__name__: f for f in (header_footer_discovery, header_footer_strip, hyphen_repair, typography_normalise, boilerplate_tags, cleaning_summary)}
+QUERIES = {f.__name__: f for f in (header_footer_discovery, header_footer_strip, hyphen_repair, typography_normalise, boilerplate_tags, cleaning_summary, cleaning_cohorts)}
 
 SQL = {
     "header_footer_discovery": f"WITH {_PAGED}, {_cut('paged')} SELECT document_id, 'header' AS kind, header AS line FROM headers UNION ALL SELECT document_id, 'footer', footer FROM footers",
@@ -152,6 +160,13 @@ SQL = {
     "typography_normalise": f"WITH s AS (SELECT doc_id, {_dirty_sql('text')} AS text FROM documents), {_normal('s', 'text')} SELECT doc_id, n_transforms, n_warnings, sha256(final) AS text_sha256 FROM normal",
     "boilerplate_tags": f"""WITH p AS (SELECT doc_id, {_STRIP.format("p")} AS p FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10) || chr(10))) AS p FROM documents)), t AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(p, '(?i){pattern}') THEN '{name}'" for name, pattern in LICENSES)} END AS tag FROM p WHERE length(p) >= 60)
       SELECT doc_id, tag, replace(left(p, 120), chr(10), ' ') AS snippet, length(p) AS n_chars FROM t WHERE tag IS NOT NULL""",
+    "cleaning_cohorts": f"""WITH {_PAGED}, made AS (SELECT document_id, doc_id, chr(10) || {_hyphened_sql("text")} || chr(10) || chr(10) AS text FROM paged), {_cut("made")}, {_hyphens("cut")}, {_normal("joined", "two")},
+      g AS (SELECT document_id, count(*) AS n_pages, count(header) AS n_headers, count(footer) AS n_footers, CAST(sum(n_joined) AS BIGINT) AS n_joined, CAST(sum(n_kept + n_warnings) AS BIGINT) AS n_warnings, CAST(sum(n_transforms) AS BIGINT) AS n_transforms, CAST(sum(original) AS BIGINT) AS original_chars, CAST(sum(length(final)) AS BIGINT) AS cleaned_chars FROM normal GROUP BY document_id),
+      s AS (SELECT *, round((cleaned_chars - original_chars) / greatest(original_chars, 1) * 100, 4) AS pct FROM g),
+      t AS (SELECT *, CASE WHEN document_id IS NULL OR right(document_id, 1) = '7' THEN 'none' ELSE length(document_id) || CASE WHEN right(document_id, 1) < '5' THEN 'low' ELSE 'high' END END AS cohort FROM s),
+      u AS (SELECT cohort, count(*) AS n_documents, CAST(sum(n_pages) AS BIGINT) AS n_pages, CAST(sum(n_headers) AS BIGINT) AS n_headers, CAST(sum(n_footers) AS BIGINT) AS n_footers, CAST(sum(n_joined) AS BIGINT) AS n_joined, CAST(sum(n_warnings) AS BIGINT) AS n_warnings, CAST(sum(n_transforms) AS BIGINT) AS n_transforms,
+        CAST(sum(original_chars) AS BIGINT) AS original_chars, CAST(sum(cleaned_chars) AS BIGINT) AS cleaned_chars, count(*) FILTER (cleaned_chars > original_chars) AS n_grown, first(document_id ORDER BY abs(pct) DESC, document_id) AS most_changed FROM t GROUP BY cohort)
+      SELECT *, round((cleaned_chars - original_chars) / greatest(original_chars, 1) * 100, 4) AS pct_change FROM u""",
     "cleaning_summary": f"""WITH {_PAGED}, made AS (SELECT document_id, doc_id, chr(10) || {_hyphened_sql("text")} || chr(10) || chr(10) AS text FROM paged), {_cut("made")}, {_hyphens("cut")}, {_normal("joined", "two")},
       g AS (SELECT document_id, count(*) AS n_pages, count(header) AS n_headers, count(footer) AS n_footers, CAST(sum(n_joined) AS BIGINT) AS n_joined, CAST(sum(n_kept + n_warnings) AS BIGINT) AS n_warnings, CAST(sum(n_transforms) AS BIGINT) AS n_transforms, CAST(sum(original) AS BIGINT) AS original_chars, CAST(sum(length(final)) AS BIGINT) AS cleaned_chars FROM normal GROUP BY document_id)
       SELECT *, round((cleaned_chars - original_chars) / greatest(original_chars, 1) * 100, 4) AS pct_change FROM g""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexquarry.functions.text import strip
 from lexquarry.operators import classes, literals
 from lexquarry.operators import quality as Q
-from lexquarry.sources.tables import pages, table
+from lexquarry.sources.tables import manifest_inventory, pages, table
 
 
 def _flags(spark, sf):
@@ -90,6 +90,18 @@ def literal_conservation(spark, sf):
     return literals.counts(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def cleaning_inventory(spark, sf):
+    """Documents of folders of 50, each with a manifest as JSON, of which every fifth is cut off and every seventh missing; a hundredth is the pilot."""
+    k = F.col("doc_id")
+    d = table(spark, sf, "documents").select(F.floor(k / 50).alias("folder"), k.cast("string").alias("document_id"), F.col("lang").alias("category"), F.floor(F.col("n_chars") / 2000).alias("n_pages"), F.col("n_chars").alias("size"), k)
+    none = F.lit(None).cast("long")
+    entry = F.struct(F.when(k % 4 != 0, F.col("category")).alias("category"), F.when(k % 2 == 0, F.concat(F.lit("in/"), "document_id")).alias("relative_path"), F.when(k % 3 == 0, F.col("n_pages")).otherwise(none).alias("expected_pages"), F.when(k % 3 == 1, F.col("n_pages") + 1).otherwise(none).alias("actual_pages"), F.col("size").alias("file_size_bytes"), F.when(k % 6 == 0, F.array("document_id", F.lit("x"))).alias("duplicate_of"))
+    whole = F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("document_id", entry.alias("e")))).alias("documents")))
+    manifests = d.groupBy("folder").agg(whole.alias("value")).where("folder % 7 <> 3").withColumn("value", F.when(F.col("folder") % 5 == 2, F.left("value", F.lit(40))).otherwise(F.col("value")))
+    found = manifest_inventory(manifests, d, d.where("doc_id % 100 = 0"))
+    return found.select("folder", "document_id", "category", "relative_path", "expected_pages", "file_size_bytes", F.size("duplicate_of").cast("long").alias("n_duplicates"), "from_manifest")
+
+
 def ocr_routing(spark, sf):
     routed = _flags(spark, sf).select(Q.ocr_route(F.col("text_length"), F.col("doc_id") % 3, F.col("doc_id") % 2 == 0).alias("outcome"))
     return routed.groupBy("outcome").agg(F.count("*").alias("n_pages"))
@@ -196,7 +208,7 @@ _TITLES = f"""
 _PUT = "coalesce(text, '') || chr(10) || 'AC-' || (doc_id % 20) || '(1)  CVE-2024-' || lpad(CAST(doc_id % 99999 AS VARCHAR), 5, '0') || ' https://a.example/' || doc_id || ' SHA-256 Table ' || (doc_id % 9)"
 _COUNT = ", ".join(f"CAST(sum(len(regexp_extract_all({side}, '{p}'))) AS BIGINT) AS {name}_{k}" for name, side in (("before", "x"), ("after", "y")) for k, p in Q.ENTITIES.items())
 
-QUERIES = {f.__name__: f for f in (page_quality_flags, garbled_reasons, doc_inventory_rollup, corpus_summary, category_rollup, size_labels, exact_duplicates, near_duplicates_jaccard, near_duplicate_classes, repeated_tables, repeated_paragraphs, entity_preservation, embedding_validation, literal_conservation, ocr_routing, preflight_flags, table_issues, reading_order_anomaly, table_overlap_anti, figure_filter, page_links, publication_index, classify_titles, first_relevant)}
+QUERIES = {f.__name__: f for f in (page_quality_flags, garbled_reasons, doc_inventory_rollup, corpus_summary, category_rollup, size_labels, exact_duplicates, near_duplicates_jaccard, near_duplicate_classes, repeated_tables, repeated_paragraphs, entity_preservation, embedding_validation, literal_conservation, cleaning_inventory, ocr_routing, preflight_flags, table_issues, reading_order_anomaly, table_overlap_anti, figure_filter, page_links, publication_index, classify_titles, first_relevant)}
 
 SQL = {
     "page_quality_flags": f"WITH {_FLAGS} SELECT doc_id, text_length, n_words, is_empty, is_low_text, is_scanned, concat_ws(',', CASE WHEN is_empty THEN 'empty' END, CASE WHEN is_low_text THEN 'low_text' END, CASE WHEN is_scanned THEN 'suspected_scan' END, CASE WHEN is_garbled THEN 'garbled' END) AS reasons FROM f",
@@ -209,6 +221,9 @@ SQL = {
     "category_rollup": "SELECT CASE WHEN grouping(lang) = 1 THEN 'TOTAL' ELSE coalesce(lang, '') END AS lang, CAST(grouping(lang) AS BIGINT) AS is_total, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY ROLLUP (lang)",
     "size_labels": "SELECT doc_id, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.2f KB', s / 1024.0) WHEN s < 1073741824 THEN printf('%.2f MB', s / 1048576.0) ELSE printf('%.2f GB', s / 1073741824.0) END AS size_text FROM (SELECT doc_id, strlen(coalesce(text, '')) AS s FROM documents)",
     "exact_duplicates": "SELECT sha256(text) AS sha256, count(*) AS n_docs, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "cleaning_inventory": """WITH d AS (SELECT doc_id // 50 AS folder, doc_id AS k, CAST(doc_id AS VARCHAR) AS document_id, lang, n_chars // 2000 AS p, n_chars, doc_id // 50 % 7 <> 3 AND doc_id // 50 % 5 <> 2 AS m FROM documents WHERE doc_id % 100 <> 0)
+      SELECT folder, document_id, CASE WHEN m THEN coalesce(CASE WHEN k % 4 <> 0 THEN lang END, 'root') ELSE lang END AS category, CASE WHEN m AND k % 2 = 0 THEN 'in/' || k ELSE 'documents/' || k || '.pdf' END AS relative_path,
+        CASE WHEN NOT m OR k % 3 = 0 THEN coalesce(p, 0) WHEN k % 3 = 1 THEN coalesce(p + 1, 0) ELSE 0 END AS expected_pages, CASE WHEN m THEN coalesce(n_chars, 0) ELSE n_chars END AS file_size_bytes, CAST(CASE WHEN m AND k % 6 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_duplicates, m AS from_manifest FROM d""",
     "near_duplicate_classes": r"""WITH RECURSIVE o AS (SELECT min(doc_id) AS id, list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL GROUP BY text),
       s AS (SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS g FROM o, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
       p AS (SELECT a.id AS u, b.id AS v, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),

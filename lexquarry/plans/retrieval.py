@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +108,23 @@ def four_stage_metrics(spark, sf):
     return S.metrics(judged, asked, ["stage"]).select("stage", "n_queries", *[F.round(c, 6).alias(c) for c in ("hit1", "hit3", "hit5", "precision_returned", "precision_fixed", "mrr", "quality")])
 
 
+def three_stage_comparison(spark, sf):
+    """Vectors alone, reranked, and both weighted (0.8 and 0.2), five places each, with what each gains over vectors alone."""
+    vectors, vector_asked = _vectors(spark, sf)
+    docs = _docs(spark, sf)
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text").join(vector_asked.select("query_id"), "query_id", "left_semi")
+    own_vectors = vector_asked.select("query_id", F.col("embedding").alias("embedding")).join(asked.select("query_id"), "query_id", "left_semi")
+    near = stored(S.dense(vectors, own_vectors).withColumnRenamed("vec_id", "doc_id"), "near")
+    again = stored(S.rerank(near, docs, asked, S.DEPTH), "reranked")
+    both = near.select("query_id", "doc_id", F.col("score").alias("vector"), "rank").join(again.select("query_id", "doc_id", F.col("score").alias("reranker")), ["query_id", "doc_id"])
+    stages = {"vector": near, "reranker": again, "hybrid": S.weighted(both, "vector", "reranker", (0.8, 0.2))}
+    hits = reduce(DataFrame.union, (x.where(F.col("rank") <= S.FINAL).select(F.lit(name).alias("stage"), "query_id", "doc_id", "rank") for name, x in stages.items()))
+    labels = vectors.select("vec_id", "label")
+    own = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("asked"))
+    judged = hits.join(labels.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left").join(own, "query_id").withColumn("relevant", F.coalesce(F.col("label") == F.col("asked"), F.lit(False)))
+    return S.compared(S.metrics(judged, asked, ["stage"]), "vector").select("stage", "n_queries", *[F.round(c, 6).alias(c) for c in ("hit1", "hit3", "hit5", "precision_fixed", "mrr", "hit5_gain", "mrr_gain")], "best")
+
+
 def chunk_dedupe(spark, sf):
     """Chunks of all documents under ids that repeat, in load order by doc_id."""
     made = _docs(spark, sf).select(F.concat_ws("-", "source", (F.col("n_chars") % 40).cast("string")).alias("chunk_id"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -258,7 +277,7 @@ _HYBRID = f"""{_matching("SELECT doc_id AS query_id, text FROM documents WHERE d
   four AS (SELECT 'dense' AS stage, query_id, doc_id, rank FROM near UNION ALL SELECT 'bm25', query_id, doc_id, rank FROM bm25 UNION ALL SELECT 'rrf', query_id, doc_id, rank FROM mixed UNION ALL SELECT 'rerank', query_id, doc_id, rank FROM again WHERE rank <= 5),
   seen AS (SELECT four.*, coalesce(x.label = y.label, false) AS relevant FROM four JOIN e AS x ON x.vec_id = query_id LEFT JOIN e AS y ON y.vec_id = four.doc_id)"""
 
-QUERIES = {f.__name__: f for f in (source_display, stage_comparison, hybrid_retrieval, four_stage_metrics, chunk_dedupe, vector_normalise, bm25_postings_stats, bm25_topk, rrf_fusion, hybrid_weighted_rerank, rerank_overlap, context_blocks, answer_prompts, dense_topk, retrieval_metrics, rerank_regression, similarity_summary, conversation_window, rewrite_prompts, citation_accuracy, judge_means)}
+QUERIES = {f.__name__: f for f in (source_display, stage_comparison, three_stage_comparison, hybrid_retrieval, four_stage_metrics, chunk_dedupe, vector_normalise, bm25_postings_stats, bm25_topk, rrf_fusion, hybrid_weighted_rerank, rerank_overlap, context_blocks, answer_prompts, dense_topk, retrieval_metrics, rerank_regression, similarity_summary, conversation_window, rewrite_prompts, citation_accuracy, judge_means)}
 
 SQL = {
     "bm25_postings_stats": f"WITH w AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM w GROUP BY term",
@@ -270,6 +289,18 @@ SQL = {
     ), asked AS (SELECT count(*) AS n FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT vec_id FROM embeddings))
     SELECT stage, n AS n_queries, round(100 * sum(hit1) / n, 6) AS hit1, round(100 * sum(hit3) / n, 6) AS hit3, round(100 * sum(hit5) / n, 6) AS hit5, round(100 * sum(pr) / n, 6) AS precision_returned, round(100 * sum(pf) / n, 6) AS precision_fixed,
       round(sum(rr) / n, 6) AS mrr, round((100 * sum(hit5) / n + 100 * sum(rr) / n) / 2, 6) AS quality FROM m, asked GROUP BY stage, n""",
+    "three_stage_comparison": f"""WITH {_HYBRID},
+      nv AS (SELECT query_id, vec_id AS doc_id, score AS v, rank FROM ranked WHERE stage = 'full' AND query_id IN (SELECT doc_id FROM documents)),
+      rr AS (SELECT query_id, nv.doc_id, v, nv.rank AS before_rank, len(list_intersect(list_distinct(b.words), list_distinct(w.words))) / len(list_distinct(b.words)) AS s FROM nv JOIN b USING (query_id) JOIN w ON w.doc_id = nv.doc_id),
+      mm AS (SELECT *, min(v) OVER q AS vl, max(v) OVER q AS vh, min(s) OVER q AS sl, max(s) OVER q AS sh FROM rr WINDOW q AS (PARTITION BY query_id)),
+      hy AS (SELECT query_id, doc_id, 0.8 * CASE WHEN vh = vl THEN 1.0 ELSE (v - vl) / (vh - vl) END + 0.2 * CASE WHEN sh = sl THEN 1.0 ELSE (s - sl) / (sh - sl) END AS h FROM mm),
+      three AS (SELECT 'vector' AS stage, query_id, doc_id, rank FROM nv UNION ALL SELECT 'reranker', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, before_rank) FROM rr UNION ALL SELECT 'hybrid', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(h, 9) DESC, doc_id) FROM hy),
+      judged3 AS (SELECT three.*, coalesce(x.label = y.label, false) AS relevant FROM three JOIN e AS x ON x.vec_id = query_id LEFT JOIN e AS y ON y.vec_id = three.doc_id WHERE rank <= 5),
+      m AS (SELECT stage, query_id, max(CASE WHEN relevant AND rank <= 1 THEN 1.0 ELSE 0 END) AS hit1, max(CASE WHEN relevant AND rank <= 3 THEN 1.0 ELSE 0 END) AS hit3, max(CASE WHEN relevant THEN 1.0 ELSE 0 END) AS hit5, sum(CASE WHEN relevant THEN 1.0 ELSE 0 END) / 5 AS pf, coalesce(1.0 / min(CASE WHEN relevant THEN rank END), 0) AS rr FROM judged3 GROUP BY stage, query_id),
+      asked AS (SELECT count(*) AS n FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
+      f AS (SELECT stage, n, 100 * sum(hit1) / n AS hit1, 100 * sum(hit3) / n AS hit3, 100 * sum(hit5) / n AS hit5, 100 * sum(pf) / n AS pf, sum(rr) / n AS mrr FROM m, asked GROUP BY stage, n),
+      c AS (SELECT f.*, f.hit5 - z.hit5 AS hit5_gain, f.mrr - z.mrr AS mrr_gain, max(f.mrr) OVER () AS top_mrr FROM f, (SELECT hit5, mrr FROM f WHERE stage = 'vector') AS z)
+      SELECT stage, n AS n_queries, round(hit1, 6) AS hit1, round(hit3, 6) AS hit3, round(hit5, 6) AS hit5, round(pf, 6) AS precision_fixed, round(mrr, 6) AS mrr, round(hit5_gain, 6) AS hit5_gain, round(mrr_gain, 6) AS mrr_gain, round(mrr, 9) = round(top_mrr, 9) AS best FROM c""",
     "chunk_dedupe": """WITH c AS (SELECT concat_ws('-', source, CAST(n_chars % 40 AS VARCHAR)) AS chunk_id, doc_id, sha256(coalesce(text, '')) AS h FROM documents)
       SELECT chunk_id, min(doc_id) AS first_id, arg_max(h, doc_id) AS text_sha256 FROM c GROUP BY chunk_id""",
     "vector_normalise": """WITH v AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings)

@@ -152,6 +152,24 @@ def to_run(files: DataFrame, pilot: DataFrame) -> DataFrame:
     return rest.join(rest.groupBy("sha256").agg((F.count("*") - 1).alias("n_peers"), F.min("path").alias("first_path")), "sha256")
 
 
+ENTRY = "struct<category:string,relative_path:string,expected_pages:bigint,actual_pages:bigint,file_size_bytes:bigint,sha256_hash:string,duplicate_of:array<string>>"
+
+
+def manifest_inventory(manifests: DataFrame, scanned: DataFrame, pilot: DataFrame, json: str = "value") -> DataFrame:
+    """folder, document_id, category, relative_path, expected_pages, file_size_bytes, sha256_hash, duplicate_of, from_manifest of documents to clean.
+
+    manifests (folder, value: JSON with an object of entries by document id under documents) say which documents a folder holds; where a folder's manifest is missing,
+    broken or empty, those that a scan found count (scanned: folder, document_id, category, n_pages, size). Documents of pilot (document_id) are left out of both.
+    """
+    read = manifests.select("folder", F.from_json(json, f"documents map<string,{ENTRY}>")["documents"].alias("m")).where(F.size("m") > 0)
+    listed = read.select("folder", F.explode("m").alias("document_id", "e"))
+    path = lambda given: F.coalesce(given, F.concat(F.lit("documents/"), "document_id", F.lit(".pdf")))
+    of = listed.select("folder", "document_id", F.coalesce("e.category", F.lit("root")).alias("category"), path(F.col("e.relative_path")).alias("relative_path"), F.coalesce("e.expected_pages", "e.actual_pages", F.lit(0)).alias("expected_pages"), F.coalesce("e.file_size_bytes", F.lit(0)).alias("file_size_bytes"), F.coalesce("e.sha256_hash", F.lit("")).alias("sha256_hash"), F.coalesce("e.duplicate_of", F.expr("cast(array() as array<string>)")).alias("duplicate_of"), F.lit(True).alias("from_manifest"))
+    rest = scanned.join(read.select("folder").distinct(), "folder", "left_anti")
+    found = rest.select("folder", "document_id", "category", path(F.lit(None).cast("string")).alias("relative_path"), F.coalesce("n_pages", F.lit(0)).cast("long").alias("expected_pages"), F.col("size").cast("long").alias("file_size_bytes"), F.lit("").alias("sha256_hash"), F.expr("cast(array() as array<string>)").alias("duplicate_of"), F.lit(False).alias("from_manifest"))
+    return of.union(found).join(pilot.select("document_id").distinct(), "document_id", "left_anti")
+
+
 def category_and_id(path: Column) -> tuple[Column, Column]:
     """(folder name, file name without extension) of a path."""
     parts = F.split(path, "/")
