@@ -13,6 +13,10 @@ WHITE_RANGES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
+#: White space for Java's patterns only, which letters of ASCII leave after two tests.
+WHITE_SOON = rf"[\t-\x20\x{{85}}-\x{{3000}}&&[{WHITE_RANGES}]]"
+
+
 def white(pattern: str) -> str:
     r"""A pattern whose \s and \S mean all white space, not that of ASCII only."""
     out, inside, k = [], False, 0
@@ -52,4 +56,4 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """What stands between white space."""
-    return F.array_remove(F.split(text, white(r"\s+")), "")
+    return F.array_remove(F.split(text, WHITE_SOON + "+"), "")

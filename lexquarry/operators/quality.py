@@ -37,7 +37,7 @@ def page_flags(text: Column, images: Column) -> Column:
         low, empty = (size > 0) & (size < LOW_TEXT), size == 0
         scanned = (size < OCR_TEXT) & (images >= OCR_IMAGES)
         reasons = F.array_compact(F.array(F.when(empty, "empty"), F.when(low, "low_text"), F.when(scanned, "suspected_scan"), F.when(F.size(_signs(body)) > 0, "garbled")))
-        return F.struct(size.cast("long").alias("text_length"), F.regexp_count(body, F.lit(white(r"\S++"))).cast("long").alias("n_words"), empty.alias("is_empty"), low.alias("is_low_text"), scanned.alias("is_scanned"), reasons.alias("reasons"))
+        return F.struct(size.cast("long").alias("text_length"), F.regexp_count(body, F.lit(white(r"(?:[!-~]++|\S)++"))).cast("long").alias("n_words"), empty.alias("is_empty"), low.alias("is_low_text"), scanned.alias("is_scanned"), reasons.alias("reasons"))
 
     return let(strip(text), flags)
 
@@ -63,7 +63,7 @@ def _signs(body: Column) -> Column:
     sparse = thin & (F.length(bare) >= 50) & (F.length(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", "")) / F.length(bare) < ALNUM)
     core = lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")
     odd = lambda w: ~w.contains("://") & ~w.startswith("www.") & (F.length(w) > LONG_TOKEN) & (F.length(core(w)) > LONG_TOKEN) & ~exempt(w, core(w))
-    long_ = body.rlike(white(rf"\S{{{LONG_TOKEN + 1}}}")) & F.exists(words(body), odd)
+    long_ = body.rlike(rf"[^\t-\r\x1c-\x20]{{{LONG_TOKEN + 1}}}") & F.exists(words(body), odd)  # no long token hides between other white space
     signs = F.array_compact(F.array(F.when(replaced, "replacement"), F.when(control, "control"), F.when(sparse, "low_alnum"), F.when(long_, "long_token")))
     return F.when(size >= 50, signs).otherwise(F.array().cast("array<string>"))
 

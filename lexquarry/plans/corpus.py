@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from lexquarry.functions.text import strip
 from lexquarry.operators import classes, literals
 from lexquarry.operators import quality as Q
-from lexquarry.sources.tables import manifest_inventory, pages, table
+from lexquarry.sources.tables import manifest_inventory, table
 
 
 def _flags(spark, sf):
-    """Page flags of the page model; the number of images follows from the id."""
-    found = pages(table(spark, sf, "documents")).withColumn("f", Q.page_flags(F.col("text"), F.col("doc_id") % 3))
-    return found.select("document_id", "page_number", "doc_id", "f.*")
+    """Flags of all documents as pages of their sources; the number of images follows from the id."""
+    found = table(spark, sf, "documents").withColumn("f", Q.page_flags(F.col("text"), F.col("doc_id") % 3))
+    return found.select(F.col("source").alias("document_id"), "doc_id", "f.*")
 
 
 def page_quality_flags(spark, sf):
