@@ -11,6 +11,9 @@ or after it, so its passages are cut in two and dealt out by the longer context
 minimizer does so and tells the minimizer's bucket, which does the same with what it got from other batches; a
 second shuffle takes these passages on.
 
+There are more buckets the larger the corpus is, but a batch makes FAN rows of passages at most: with more buckets a number of a bucket has several
+digits, batches are dealt by the first one, and what has one digit is put together to batches again and dealt by the next.
+
 A bucket drops passages whose context occurs in one document only. The others are collapsed to distinct ones, whose
 suffixes are sorted. From the Burrows-Wheeler transform of that order intervals are extended backwards, breadth first: the ends
 of the intervals of length l mark where the common prefix of neighbouring suffixes is shorter than l.
@@ -21,6 +24,7 @@ removed from a document if its class has a smaller one.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from itertools import batched, chain
 
 import numpy as np
@@ -37,18 +41,49 @@ LENGTH, K = 50, 12
 PIECE, GATHERED, BUCKET, TRANSFORM = 2_000_000, 8_000_000, 12_000_000, 2_000_000
 #: Different passages of one minimizer in one batch of documents from which on the minimizer is hot.
 HOT = 32
+#: Buckets to which a batch is dealt at once.
+FAN = 10_000
 #: Ends a passage; no byte of UTF-8 is equal to it.
 STOP = 0xFF
 LAST = np.iinfo(np.int64).max
 BY_BYTE = C.fixed_random(256, 5)
 SPANS = "doc_id bigint, th bigint, spans binary"
-#: What is dealt to a bucket: spans that are settled, or passages with contexts of width bytes; and minimizers that are hot.
-DEALT = "bucket int, width int, spans binary, passages binary, places binary, hot binary"
+#: What is dealt to a bucket, or to the first digits of its number (depth of them): spans that are settled, or passages with contexts of width bytes;
+#: and minimizers that are hot.
+DEALT = "bucket bigint, depth int, width int, spans binary, passages binary, places binary, hot binary"
 #: Every string of LENGTH bytes has at least so many bytes on one side of its minimizer.
 SIDE = (LENGTH - K + 1) // 2
 WIDE = K + SIDE
 
 
+@dataclass(frozen=True)
+class Radix:
+    """Numbers of buckets with so many digits to the base fan."""
+
+    fan: int
+    digits: int
+
+    @classmethod
+    def of(cls, buckets: int, most: int) -> Radix:
+        """As few digits as make so many buckets with a fan of at most most (2 at least), and the least fan with these."""
+        digits = 1
+        while max(most, 2) ** digits < buckets:
+            digits += 1
+        fan = max(1, round(buckets ** (1 / digits)) - 1)
+        while fan**digits < buckets:
+            fan += 1
+        return cls(fan, digits)
+
+    @property
+    def buckets(self) -> int:
+        return self.fan**self.digits
+
+    def of_key(self, key: np.ndarray, depth: int | None = None) -> np.ndarray:
+        """The first depth digits (all, if None) of a key's bucket."""
+        rest = 0 if depth is None else self.digits - depth
+        return (key % np.uint64(self.buckets) // np.uint64(self.fan**rest)).astype(np.int64)
+
+
 def _hashes(raw: np.ndarray) -> np.ndarray:
     """A hash of raw[i:i + K] for each i."""
     b = [np.uint64(pow(C.BASE, n, 2**64)) for n in (1, 2, 4)]
@@ -154,25 +189,46 @@ def _hashes_at(raw: np.ndarray, begin: np.ndarray, *spans: tuple[np.ndarray, np.
 
 def _rows(rows: Sequence[tuple]) -> pa.RecordBatch:
     """DEALT rows."""
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "width", "spans", "passages", "places", "hot"])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "depth", "width", "spans", "passages", "places", "hot"])
 
 
-def _dealt(raw, start, count, place, key, width, inside, row, ids, known, th, buckets) -> Iterator[tuple]:
-    """DEALT rows of passages, dealt by key; inside is where a passage begins in its text, row that of ids, known and th."""
+def _dealt(raw, start, count, place, key, width, inside, row, ids, known, th, radix: Radix, depth: int = 1) -> Iterator[tuple]:
+    """DEALT rows of passages, dealt by the first depth digits of key's bucket; inside is where a passage begins in its text, row that of ids, known and th.
+
+    Rows rise with start. All is laid out in the order of buckets at once; a row of DEALT only cuts its part out.
+    """
+    if not len(start):
+        return
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((start, bucket))
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for k in np.flatnonzero(np.diff(ends)).tolist():
-        o = order[ends[k] : ends[k + 1]]
-        size = count[o] + LENGTH - 1
-        used, of = np.unique(row[o], return_inverse=True)
-        places = [np.array([len(o), len(used)], np.int64), ids[used], known[used].astype(np.int64), th[used], np.diff(inside[o], prepend=0), of.astype(np.int32), size.astype(np.uint8), (place[o] - start[o]).astype(np.uint8)]
-        yield k, width, None, squeeze(_gather(raw, start[o], size).tobytes()), squeeze(b"".join(x.tobytes() for x in places)), None
-
-
-def deal(docs: DataFrame, buckets: int) -> DataFrame:
+    bucket = radix.of_key(key, depth)
+    lowest = bucket.min()
+    bucket -= lowest
+    # Two stable sorts; that of numbers of 16 bits is linear.
+    order = np.arange(len(start)) if (start[1:] >= start[:-1]).all() else np.argsort(start, kind="stable")
+    order = order[np.argsort(bucket[order].astype(np.uint16 if bucket.max() < 2**16 else np.int64), kind="stable")]
+    bucket, row = bucket[order], row[order]
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    ends = np.r_[first[1:], len(order)]
+    size = count[order] + LENGTH - 1
+    bytes_at = np.r_[0, np.cumsum(size)]
+    new = np.r_[True, row[1:] != row[:-1]]
+    new[first] = True
+    docs_at = np.r_[0, np.cumsum(new)]
+    of = docs_at[1:] - 1 - np.repeat(docs_at[first], ends - first)
+    gap = np.diff(inside[order], prepend=0)
+    gap[first] = inside[order][first]
+    data = memoryview(_gather(raw, start[order], size))
+    by_doc = [memoryview(np.ascontiguousarray(x[row[new]].astype(kind))).cast("B") for x, kind in ((ids, np.int64), (known, np.int64), (th, np.int64))]
+    each = [(memoryview(np.ascontiguousarray(x.astype(kind))).cast("B"), np.dtype(kind).itemsize) for x, kind in ((gap, np.int64), (of, np.int32), (size, np.uint8), (place[order] - start[order], np.uint8))]
+    head = np.column_stack([ends - first, docs_at[ends] - docs_at[first]]).astype(np.int64)
+    for n, (k, i, j) in enumerate(zip((bucket[first] + lowest).tolist(), first.tolist(), ends.tolist(), strict=True)):
+        a, b = int(docs_at[i]) * 8, int(docs_at[j]) * 8
+        places = b"".join([head[n].tobytes(), *(x[a:b] for x in by_doc), *(x[i * w : j * w] for x, w in each)])
+        yield k, depth, width, None, squeeze(data[bytes_at[i] : bytes_at[j]]), squeeze(places), None
+
+
+def deal(docs: DataFrame, radix: Radix) -> DataFrame:
     """DEALT rows of documents (doc_id, text): passages dealt to buckets, and spans that a batch settles by itself (by slot)."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,33 +244,95 @@ def deal(docs: DataFrame, buckets: int) -> DataFrame:
             later = ids[row[order]] > least
             gone, order = order[later], np.sort(order[~later])
             r = row[gone]
-            slot, spans = _packed(ids[r], known[r], th[r], start[gone] - at[r], start[gone] + count[gone] + LENGTH - 1 - at[r], buckets)
-            rows = [((k, 0, x, None, None, None) for k, x in zip(slot.tolist(), spans, strict=True))]
+            slot, spans = _packed(ids[r], known[r], th[r], start[gone] - at[r], start[gone] + count[gone] + LENGTH - 1 - at[r], radix.buckets)
+            rows = [((k, radix.digits, 0, x, None, None, None) for k, x in zip(slot.tolist(), spans, strict=True))]
             _, of, many = np.unique(h[order], return_inverse=True, return_counts=True)
             hot = many[of] >= HOT
             cold, hot = order[~hot], order[hot]
-            rows.append(_dealt(raw, start[cold], count[cold], place[cold], h[cold], K, start[cold] - at[row[cold]], row[cold], ids, known, th, buckets))
+            rows.append(_dealt(raw, start[cold], count[cold], place[cold], h[cold], K, start[cold] - at[row[cold]], row[cold], ids, known, th, radix))
             if len(hot):
                 (told,) = _hashes_at(raw, place[hot], (0, K))
-                bucket = (h[hot] % np.uint64(buckets)).astype(np.int64)
-                rows.append([(k, 0, None, None, None, np.unique(told[bucket == k]).tobytes()) for k in np.unique(bucket).tolist()])
+                told, one = np.unique(told, return_index=True)
+                bucket = radix.of_key(h[hot][one])
+                o = np.argsort(bucket, kind="stable")
+                used, first = np.unique(bucket[o], return_index=True)
+                rows.append([(k, radix.digits, 0, None, None, None, told[o[i:j]].tobytes()) for k, i, j in zip(used.tolist(), first, np.r_[first[1:], len(o)], strict=True)])
                 which, s, c, p = _split(start[hot], count[hot], place[hot])
                 of = row[hot[which]]
-                rows.append(_dealt(raw, s, c, p, _hashes_at(raw, p, (0, WIDE))[0], WIDE, s - at[of], of, ids, known, th, buckets))
+                rows.append(_dealt(raw, s, c, p, _hashes_at(raw, p, (0, WIDE))[0], WIDE, s - at[of], of, ids, known, th, radix))
             del order, new, least, later, gone, many, name, h
             yield from map(_rows, batched(chain.from_iterable(rows), 32))
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(dealt, DEALT)
 
 
-def _opened(places: bytes) -> list[np.ndarray]:
-    n, m = np.frombuffer(places, np.int64, 2)
-    out, at = [], 16
-    for kind, many in ((np.int64, m), (np.int64, m), (np.int64, m), (np.int64, n), (np.int32, n), (np.uint8, n), (np.uint8, n)):
-        out.append(np.frombuffer(places, kind, many, at))
-        at += out[-1].nbytes
-    out[3] = np.cumsum(out[3])
-    return out
+def _opened(passages: pa.Array, places: pa.Array) -> tuple[np.ndarray, ...]:
+    """data (all passages in a row), ids, known, th of documents, and of passages where they begin in their texts, row of ids, size and place of the minimizer."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    out = [[] for _ in range(7)]
+    rows = 0
+    for x in places:
+        read = open_(x.as_buffer())
+        n, m = np.frombuffer(read, np.int64, 2)
+        at = 16
+        for into, kind, many in zip(out, (np.int64, np.int64, np.int64, np.int64, np.int32, np.uint8, np.uint8), (m, m, m, n, n, n, n), strict=True):
+            into.append(np.frombuffer(read, kind, many, at))
+            at += into[-1].nbytes
+        out[3][-1] = np.cumsum(out[3][-1])
+        out[4][-1] = out[4][-1].astype(np.int64) + rows
+        rows += int(m)
+    data = np.concatenate([np.frombuffer(open_(x.as_buffer()), np.uint8) for x in passages])
+    ids, known, th, inside, row, size, place = map(np.concatenate, out)
+    return data, ids, known, th, inside, row, size.astype(np.int64), place.astype(np.int64)
+
+
+def _key(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """By what passages with contexts of width bytes, at these places of data, are dealt: the hashes of _hashes and _hashes_at, of these places only."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(K) if width == K else reversed(range(WIDE)):
+        out = out * np.uint64(C.BASE) + BY_BYTE[data[at + k]]
+    return C.mixed(out if width == K else out + np.uint64(WIDE))
+
+
+def deal_on(dealt: DataFrame, depth: int, most: float, radix: Radix) -> DataFrame:
+    """DEALT rows with passages of so many digits dealt by one more; others are passed on. most is the expected number of bytes of passages with the same digits.
+
+    Rows with the same digits lie together in their task and are opened in batches of about GATHERED bytes, whatever their number.
+    """
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            for width in (K, WIDE):
+                mine = t.filter(pc.equal(t.column("width"), width)).combine_chunks()
+                if mine.num_rows:
+                    data, ids, known, th, inside, row, many, place = _opened(mine.column("passages"), mine.column("places"))
+                    begin = np.cumsum(many) - many
+                    rows = _dealt(data, begin, many - LENGTH + 1, begin + place, _key(data, begin + place, width), width, inside, row, ids, known != 0, th, radix, depth + 1)
+                    yield from map(_rows, batched(rows, 32))
+
+        for b in batches:
+            open_ = pc.and_(pc.is_valid(b.column("places")), pc.equal(b.column("depth"), depth))
+            rest = b.filter(pc.invert(open_))
+            if rest.num_rows:
+                yield rest
+            b = b.filter(open_)
+            digits = b.column("bucket").to_numpy()
+            bytes_ = [zstandard.frame_content_size(x.as_buffer()[:18]) for x in b.column("passages")]
+            for i in range(b.num_rows):
+                if held and (size >= GATHERED * 3 or held[-1].column("bucket")[0].as_py() != digits[i]):
+                    yield from out()
+                    held, size = [], 0
+                held.append(b.slice(i, 1))
+                size += bytes_[i]
+        if held:
+            yield from out()
+
+    tasks = max(1, int(most // (GATHERED * 3)))
+    salt = F.pmod(F.xxhash64(F.coalesce("places", "spans", "hot")), F.lit(tasks))
+    return dealt.repartition("bucket", salt).sortWithinPartitions("bucket").mapInArrow(again, DEALT)
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -366,7 +484,7 @@ def _removed(data, begin, size, name, h, doc, pick) -> tuple[np.ndarray, np.ndar
     return np.r_[whole, pick[kept[index]]], np.r_[np.zeros(len(whole), np.int64), np.repeat(start, times)], np.r_[size[whole], np.repeat(end, times)]
 
 
-def settle(dealt: DataFrame, width: int, buckets: int) -> DataFrame:
+def settle(dealt: DataFrame, width: int, radix: Radix) -> DataFrame:
     """DEALT rows: spans of a slot's documents, from all buckets' passages with contexts of width bytes; spans and passages of another width are passed on."""
 
     def settled(group: pa.Table) -> pa.Table:
@@ -374,28 +492,22 @@ def settle(dealt: DataFrame, width: int, buckets: int) -> DataFrame:
         own = pc.and_(pc.is_valid(group.column("places")), pc.equal(group.column("width"), width))
         out = [group.filter(pc.and_(pc.invert(own), pc.is_null(group.column("hot"))))]
         mine = group.filter(own)
-        open_ = zstandard.ZstdDecompressor().decompress
-        parts = [_opened(open_(x.as_buffer())) for x in mine.column("places")]
-        if not parts:
+        if not mine.num_rows:
             return out[0]
-        data = np.concatenate([np.frombuffer(open_(x.as_buffer()), np.uint8) for x in mine.column("passages")])
-        shift = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
-        ids, known, th, start = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        row = np.concatenate([p[4] + s for p, s in zip(parts, shift, strict=True)])
-        size, place = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (5, 6))
+        data, ids, known, th, start, row, size, place = _opened(mine.column("passages"), mine.column("places"))
         begin = np.cumsum(size) - size
         told = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hot") if x.is_valid]
         hot = np.isin(_hashes_at(data, begin, (place, K))[0], np.concatenate(told)) if told else np.zeros(len(size), bool)
         if hot.any():
             which, s, c, p = _split(begin[hot], size[hot] - LENGTH + 1, (begin + place)[hot])
             of = np.flatnonzero(hot)[which]
-            rows = _dealt(data, s, c, p, _hashes_at(data, p, (0, WIDE))[0], WIDE, start[of] + s - begin[of], row[of], ids, known != 0, th, buckets)
+            rows = _dealt(data, s, c, p, _hashes_at(data, p, (0, WIDE))[0], WIDE, start[of] + s - begin[of], row[of], ids, known != 0, th, radix)
             out.append(pa.Table.from_batches([_rows(list(rows))]))
         cold = np.flatnonzero(~hot)
         which, a, b = repeated(data, begin[cold], size[cold], place[cold], ids[row[cold]], width)
         which = cold[which]
-        slot, spans = _packed(ids[row[which]], known[row[which]], th[row[which]], start[which] + a, start[which] + b, buckets)
-        out.append(pa.Table.from_batches([_rows([(k, 0, x, None, None, None) for k, x in zip(slot.tolist(), spans, strict=True)])]))
+        slot, spans = _packed(ids[row[which]], known[row[which]], th[row[which]], start[which] + a, start[which] + b, radix.buckets)
+        out.append(pa.Table.from_batches([_rows([(k, radix.digits, 0, x, None, None, None) for k, x in zip(slot.tolist(), spans, strict=True)])]))
         return pa.concat_tables([x.cast(out[-1].schema) for x in out])
 
     return dealt.groupBy("bucket").applyInArrow(settled, DEALT)
@@ -423,9 +535,16 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, total * 7 // 2 // BUCKET)
-    first = C.stored(settle(deal(docs, buckets), K, buckets), "settled")
-    second = settle(first.where("passages is not null"), WIDE, buckets)
+    radix = Radix.of(max(1, total * 7 // 2 // BUCKET), FAN)
+
+    def onward(rows: DataFrame) -> DataFrame:
+        for depth in range(1, radix.digits):
+            rows = deal_on(rows, depth, total * 3.5 / radix.fan**depth, radix)
+        return rows
+
+    first = C.stored(settle(onward(deal(docs, radix)), K, radix), "settled")
+    hot = first.where("passages is not null")
+    second = settle(onward(hot.where(F.col("depth") < radix.digits)).union(hot.where(F.col("depth") == radix.digits)), WIDE, radix)
     return first.where("spans is not null").union(second).groupBy("bucket").applyInArrow(joined, SPANS)
 
 

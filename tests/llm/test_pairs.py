@@ -6,7 +6,9 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from lexquarry.llm import common, jaccard, neardup, repeats
 
@@ -134,6 +136,39 @@ def test_repeats_with_many_buckets_and_pieces(documents, prose, monkeypatch):
     assert repeats_of(df) == removed_by_brute_force(rows)
 
 
+def test_repeats_dealt_digit_by_digit(documents, prose, monkeypatch):
+    """Small fans: numbers of buckets with two digits and more; hot minimizers are dealt on after the first round too."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))
+    rows = [*prose, *((400 + k, " ".join(f"{word()} a phrase that all share {word()}" for _ in range(6))) for k in range(30)), (500, "q" * 400), (501, "q" * 90)]
+    monkeypatch.setattr(repeats, "BUCKET", 8_000)
+    seen = set()
+    for fan, hot in ((2, 2), (7, 32)):
+        monkeypatch.setattr(repeats, "FAN", fan)
+        monkeypatch.setattr(repeats, "HOT", hot)
+        seen.add(repeats.Radix.of(sum(len(t.encode()) for _, t in rows if t) * 7 // 2 // 8_000, fan).digits)
+        assert repeats_of(documents(rows).repartition(4)) == removed_by_brute_force(rows)
+    assert min(seen) >= 2 and max(seen) >= 3, seen
+
+
+def test_radix_rows_of_a_batch_are_bounded():
+    raw = np.frombuffer(random.Random(3).randbytes(60_000).replace(b"\xff", b"x"), np.uint8)
+    at, ids = np.array([0, 30_000, len(raw)]), np.array([5, 9])
+    start, count, place, h, _, row = repeats.passages(raw, at)
+    for buckets in (1, 30, 1000, 10**6, 10**9):
+        radix = repeats.Radix.of(buckets, 40)
+        assert radix.fan <= 40 and radix.buckets >= buckets
+        dealt = list(repeats._dealt(raw, start, count, place, h, repeats.K, start - at[row], row, ids, ids > 0, ids, radix))
+        assert len({r[0] for r in dealt}) == len(dealt) <= radix.fan
+        data, kept, _, _, inside, of, size, minimizer = repeats._opened(pa.array([r[4] for r in dealt]), pa.array([r[5] for r in dealt]))
+        begin = np.cumsum(size) - size
+        assert sorted(zip(kept[of], inside, size, minimizer, strict=True)) == sorted(zip(ids[row], start - at[row], count + repeats.LENGTH - 1, place - start, strict=True))
+        context = np.flatnonzero(size - minimizer >= repeats.WIDE)
+        assert (repeats._key(data, (begin + minimizer)[context], repeats.WIDE) == repeats._hashes_at(data, (begin + minimizer)[context], (0, repeats.WIDE))[0]).all()
+        # What was dealt by one digit falls, dealt on, into the buckets that all digits name.
+        assert (radix.of_key(repeats._key(data, begin + minimizer, repeats.K), 1) == np.repeat([r[0] for r in dealt], [np.frombuffer(zstandard.decompress(r[5]), np.int64, 1)[0] for r in dealt])).all()
+
+
 def test_repeats_with_hot_minimizers(documents, prose, monkeypatch):
     """A phrase between different words in every document, and groups that are split in batches, in buckets and in transforms."""
     rng = random.Random(8)
