@@ -196,7 +196,7 @@ def _rows(rows: Sequence[tuple]) -> pa.RecordBatch:
 def _dealt(raw, start, count, place, key, width, inside, row, ids, known, th, radix: Radix, depth: int = 1) -> Iterator[tuple]:
     """DEALT rows of passages, dealt by the first depth digits of key's bucket; inside is where a passage begins in its text, row that of ids, known and th.
 
-    Rows rise with start. All is laid out in the order of buckets at once; a row of DEALT only cuts its part out.
+    Rows rise with start. Places are laid out in the order of buckets at once; a row of DEALT only cuts its part out.
     """
     if not len(start):
         return
@@ -218,14 +218,20 @@ def _dealt(raw, start, count, place, key, width, inside, row, ids, known, th, ra
     of = docs_at[1:] - 1 - np.repeat(docs_at[first], ends - first)
     gap = np.diff(inside[order], prepend=0)
     gap[first] = inside[order][first]
-    data = memoryview(_gather(raw, start[order], size))
     by_doc = [memoryview(np.ascontiguousarray(x[row[new]].astype(kind))).cast("B") for x, kind in ((ids, np.int64), (known, np.int64), (th, np.int64))]
     each = [(memoryview(np.ascontiguousarray(x.astype(kind))).cast("B"), np.dtype(kind).itemsize) for x, kind in ((gap, np.int64), (of, np.int32), (size, np.uint8), (place[order] - start[order], np.uint8))]
-    head = np.column_stack([ends - first, docs_at[ends] - docs_at[first]]).astype(np.int64)
-    for n, (k, i, j) in enumerate(zip((bucket[first] + lowest).tolist(), first.tolist(), ends.tolist(), strict=True)):
-        a, b = int(docs_at[i]) * 8, int(docs_at[j]) * 8
-        places = b"".join([head[n].tobytes(), *(x[a:b] for x in by_doc), *(x[i * w : j * w] for x, w in each)])
-        yield k, depth, width, None, squeeze(data[bytes_at[i] : bytes_at[j]]), squeeze(places), None
+    docs_at = docs_at[np.r_[first, len(order)]].tolist()
+    digits, start, first = (bucket[first] + lowest).tolist(), start[order], np.r_[first, len(order)]
+    del gap, of, new, order, bucket
+    # The bytes of about PIECE at a time.
+    for g, upto in C.slices(bytes_at[first], PIECE):
+        i, base = first[g], bytes_at[first[g]]
+        data = memoryview(_gather(raw, start[i : first[upto]], size[i : first[upto]]))
+        for n in range(g, upto):
+            i, j, a, b = int(first[n]), int(first[n + 1]), docs_at[n], docs_at[n + 1]
+            head = np.array([j - i, b - a], np.int64).tobytes()
+            places = b"".join([head, *(x[a * 8 : b * 8] for x in by_doc), *(x[i * w : j * w] for x, w in each)])
+            yield digits[n], depth, width, None, squeeze(data[bytes_at[i] - base : bytes_at[j] - base]), squeeze(places), None
 
 
 def deal(docs: DataFrame, radix: Radix) -> DataFrame:
