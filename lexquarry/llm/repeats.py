@@ -38,7 +38,7 @@ from lexquarry.llm import common as C
 
 LENGTH, K = 50, 12
 #: Bytes of text whose hashes are held at once, text of one batch of documents, passages of a bucket, and text of one transform.
-PIECE, GATHERED, BUCKET, TRANSFORM = 2_000_000, 8_000_000, 12_000_000, 2_000_000
+PIECE, GATHERED, BUCKET, TRANSFORM = 1_000_000, 8_000_000, 12_000_000, 1_000_000
 #: Different passages of one minimizer in one batch of documents from which on the minimizer is hot.
 HOT = 32
 #: Buckets to which a batch is dealt at once.
