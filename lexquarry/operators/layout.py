@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ SHORT_BLOCK, LONG_HEADING = 120, 160
 SECTION = white(r"(?i)^(SECTION|[0-9]+(\.[0-9]+)*|[A-Z]\.[0-9]+)\s+")
 ITEM = white(r"^([•\-*]|[0-9]+\.|\([a-z0-9]+\))\s+")
 
+DIGEST = pa.schema([("document_id", pa.string()), ("n_pages", pa.int64()), ("n_chars", pa.int64()), ("text_sha256", pa.string())])
+
 
 def block_kind(text: Column) -> Column:
     """struct (kind, level) of a stripped block: heading (level 2 with a section number, else 3), list_item or paragraph."""
@@ -61,6 +67,36 @@ def digests(divided: DataFrame) -> DataFrame:
     return divided.groupBy("document_id").agg(F.count("*").alias("n_pages"), chars.alias("n_chars"), F.sum(bits).cast("string").alias("digest"))
 
 
+def text_digests(divided: DataFrame) -> DataFrame:
+    """document_id, n_pages, n_chars, text_sha256 of each document's whole text: its pages (document_id, page_number, text) in order, joined by line feeds.
+
+    Pages stay rows: a task reads a document's pages in order and holds a batch of them and the running hash, never the whole text.
+    A document is one task's work, as a SHA-256 can only be taken in order; digests tells texts apart without that.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda *row: pa.RecordBatch.from_pydict(dict(zip(DIGEST.names, ([x] for x in row), strict=True)), DIGEST)
+        doc, n_pages, n_chars, running = None, 0, 0, None
+        for b in batches:
+            for d, n, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if running is not None and d == doc:
+                    running.update(b"\n")
+                    n_chars += 1
+                else:
+                    if running is not None:
+                        yield out(doc, n_pages, n_chars, running.hexdigest())
+                    doc, n_pages, n_chars, running = d, 0, 0, hashlib.sha256()
+                running.update(text.as_buffer())
+                n_pages += 1
+                n_chars += n
+        if running is not None:
+            yield out(doc, n_pages, n_chars, running.hexdigest())
+
+    text = F.coalesce("text", F.lit(""))
+    in_order = divided.select("document_id", "page_number", text.alias("text")).repartition("document_id").sortWithinPartitions("document_id", "page_number", "text")
+    return in_order.select("document_id", F.length("text").cast("long").alias("n_chars"), F.col("text").cast("binary").alias("text")).mapInArrow(hashed, "document_id string, n_pages bigint, n_chars bigint, text_sha256 string")
+
+
 def standalone_tables(page_text: Column, tables: Column) -> Column:
     """Those of a page's tables (array of Markdown) for which the text has no occurrence left: the n-th of equal ones needs n."""
     seen = lambda m, i: F.size(F.filter(F.slice(tables, F.lit(1), i + 1), lambda x: x == m))

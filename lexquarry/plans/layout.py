@@ -31,7 +31,7 @@ def structured_text(spark, sf):
 
 
 def raw_text_export(spark, sf):
-    return L.digests(L.with_dividers(pages(table(spark, sf, "documents"))))
+    return L.text_digests(L.with_dividers(pages(table(spark, sf, "documents"))))
 
 
 def standalone_tables(spark, sf):
@@ -128,8 +128,7 @@ QUERIES = {f.__name__: f for f in (block_order, structured_text, raw_text_export
 SQL = {
     "block_order": f"WITH {_B} SELECT page, block_id, reading_order, kind, level, coalesce(last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY page ORDER BY reading_order), '') AS section_title FROM b",
     "structured_text": f"WITH {_B} SELECT page, sha256(string_agg(CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' || text WHEN 'list_item' THEN '- ' || text ELSE text END, chr(10) || chr(10) ORDER BY reading_order)) AS text_sha256 FROM b GROUP BY page",
-    "raw_text_export": f"""WITH {_P}, j AS (SELECT document_id, page_number, '--- PAGE ' || page_number || ' ---' || chr(10) || text || chr(10) AS t FROM p)
-      SELECT document_id, count(*) AS n_pages, CAST(sum(length(t)) + count(*) - 1 AS BIGINT) AS n_chars, CAST(sum(CAST(CAST('0x' || left(sha256(page_number || ':' || t), 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM j GROUP BY document_id""",
+    "raw_text_export": f"WITH {_P}, j AS (SELECT document_id, count(*) AS n_pages, string_agg('--- PAGE ' || page_number || ' ---' || chr(10) || text || chr(10), chr(10) ORDER BY page_number) AS t FROM p GROUP BY document_id) SELECT document_id, n_pages, length(t) AS n_chars, sha256(t) AS text_sha256 FROM j",
     "standalone_tables": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END - CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n_standalone FROM documents",
     "page_assessment": f"WITH {_A} SELECT doc_id, coalesce(array_to_string(found, ','), '') AS categories FROM c",
     "document_assessment": f"""WITH {_A}, m AS (SELECT document_id, CASE WHEN doc_id % 4 = 0 THEN list_concat(['ocr_candidate'], list_filter(found, lambda x: x <> 'ocr_candidate')) ELSE found END AS f FROM c),

@@ -244,6 +244,20 @@ def test_exports_keep_pages_as_rows(spark):
     assert {r.document_id for r in turned.collect() if r.digest != found[r.document_id][2]} == {"b"}
 
 
+def test_export_digests_are_of_whole_texts_in_order(spark):
+    import hashlib
+
+    import __spark_entry__
+
+    rows = [("a", n, f"é{n} " * n) for n in range(1, 30)] + [("b", 3, None), ("b", 2, "x"), (None, 1, "no source"), ("c", 1, "")]
+    divided = L.with_dividers(spark.createDataFrame(rows, "document_id string, page_number int, text string").repartition(5))
+    found = {r.document_id: (r.n_pages, r.n_chars, r.text_sha256) for r in L.text_digests(divided).collect()}
+    pages = {d: [f"--- PAGE {n} ---\n{t or ''}\n" for e, n, t in sorted(rows, key=lambda r: r[1]) if e == d] for d in ("a", "b", "c", None)}
+    assert found == {d: (len(p), len("\n".join(p)), hashlib.sha256("\n".join(p).encode()).hexdigest()) for d, p in pages.items()}
+    assert L.text_digests(divided.where("false")).count() == 0
+    assert "sha256(t)" in __spark_entry__.oracle_sql()["raw_text_export"]  # of the joined text, not of pages
+
+
 def test_pages_are_numbered_in_ranges(spark):
     rows = [(k * 7 % 1000, "hot" if k % 3 else None if k % 2 else "s", f"t{k}") for k in range(1000)] + [(1000, "one", None)]
     found = R.pages(spark.createDataFrame(rows, "doc_id bigint, source string, text string"))
