@@ -19,6 +19,9 @@ suffixes are sorted. From the Burrows-Wheeler transform of that order intervals
 of the intervals of length l mark where the common prefix of neighbouring suffixes is shorter than l.
 This stops at LENGTH, so what stays unmarked lies inside the classes of equal strings of LENGTH bytes. A string is
 removed from a document if its class has a smaller one.
+
+What is shuffled is laid out byte by byte of its columns and compressed. Passages are compressed against a dictionary of some texts' beginnings, as with
+many buckets a row holds few of them; it decides nothing but their size.
 """
 
 from __future__ import annotations
@@ -31,18 +34,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm import common as C
 
 LENGTH, K = 50, 12
-#: Bytes of text whose hashes are held at once, text of one batch of documents, passages of a bucket, and text of one transform.
-PIECE, GATHERED, BUCKET, TRANSFORM = 1_000_000, 8_000_000, 12_000_000, 1_000_000
+#: Bytes of text whose hashes are held at once, text of one batch of documents, passages of a bucket, and text of one transform. The first and the last
+#: keep their arrays of 64-bit integers within a core's cache.
+PIECE, GATHERED, BUCKET, TRANSFORM = 60_000, 8_000_000, 12_000_000, 120_000
 #: Different passages of one minimizer in one batch of documents from which on the minimizer is hot.
 HOT = 32
 #: Buckets to which a batch is dealt at once.
-FAN = 10_000
+FAN = 20_000
+#: Slots of documents, to which spans are dealt: as many as buckets, but beyond LEAST_SLOTS one for SLOT of them only.
+LEAST_SLOTS, SLOT = 1000, 8
+#: Level at which passages are compressed; texts whose beginnings make the dictionary, and characters of each.
+LEVEL, DICTIONARY_ROWS, DICTIONARY_CHARS = 3, 200, 600
 #: Ends a passage; no byte of UTF-8 is equal to it.
 STOP = 0xFF
 LAST = np.iinfo(np.int64).max
@@ -78,6 +86,10 @@ class Radix:
     def buckets(self) -> int:
         return self.fan**self.digits
 
+    @property
+    def slots(self) -> int:
+        return min(self.buckets, max(LEAST_SLOTS, self.buckets // SLOT))
+
     def of_key(self, key: np.ndarray, depth: int | None = None) -> np.ndarray:
         """The first depth digits (all, if None) of a key's bucket."""
         rest = 0 if depth is None else self.digits - depth
@@ -155,13 +167,61 @@ def _slots(ids: np.ndarray, th: np.ndarray, slots: int) -> np.ndarray:
     return (C.mixed(C.mixed(ids.view(np.uint64)) + th.view(np.uint64)) % np.uint64(slots)).astype(np.int64)
 
 
+def _planes(x: np.ndarray, kind: type) -> list[memoryview]:
+    """The lowest bytes of all numbers, then the next ones, and so on."""
+    return [memoryview(p) for p in np.ascontiguousarray(np.ascontiguousarray(x.astype(kind))[:, None].view(np.uint8).T)]
+
+
+def _read(frames: list[bytes], groups: int, columns: Sequence[tuple[int, type]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """From frames (lengths of the groups of columns, then the columns' planes): their lengths, and each (group, kind) column of all frames in a row."""
+    planes = [[[] for _ in range(np.dtype(kind).itemsize)] for _, kind in columns]
+    heads = np.empty((len(frames), groups), np.int64)
+    for k, x in enumerate(frames):
+        raw, heads[k], at = np.frombuffer(x, np.uint8), np.frombuffer(x, np.int64, groups), 8 * groups
+        head = heads[k].tolist()
+        for (group, _), column in zip(columns, planes, strict=True):
+            for plane in column:
+                plane.append(raw[at : at + head[group]])
+                at += head[group]
+    return heads, [np.ascontiguousarray(np.stack([np.concatenate(p) for p in column]).T).view(kind).ravel() for (_, kind), column in zip(columns, planes, strict=True)]
+
+
+def _steps(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """x less the number before; those at first as they are."""
+    out = np.diff(x, prepend=0)
+    out[first] = x[first]
+    return out
+
+
+def _summed(steps: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """What _steps was made of, in ranges of so many."""
+    first = (np.cumsum(many) - many)[many > 0]
+    out = np.cumsum(steps)
+    return out - np.repeat(out[first] - steps[first], many[many > 0])
+
+
+#: Columns of spans: known, id (steps), th, start, length.
+SPAN_COLUMNS = ((0, np.uint8), (0, np.int64), (0, np.int64), (0, np.uint32), (0, np.uint32))
+
+
 def _packed(ids: np.ndarray, known: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray, slots: int) -> tuple[np.ndarray, list[bytes]]:
     """(slot, spans of all its documents in one binary) of spans, for each slot that has some."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     slot = _slots(ids, th, slots)
-    order = np.argsort(slot, kind="stable")
-    rows = np.column_stack([ids, known, th, start, end]).astype(np.int64)[order]
-    used, first = np.unique(slot[order], return_index=True)
-    return used, [rows[i:j].tobytes() for i, j in zip(first, np.r_[first[1:], len(rows)][: len(first)], strict=True)]
+    order = np.lexsort((start, th, ids, slot))
+    slot, start = slot[order], start[order]
+    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]][: len(slot)])
+    columns = known[order], _steps(ids[order], first), th[order], start, end[order] - start
+    planes = [p for x, (_, kind) in zip(columns, SPAN_COLUMNS, strict=True) for p in _planes(x, kind)]
+    return slot[first], [squeeze(b"".join([np.int64(j - i).tobytes(), *(p[i:j] for p in planes)])) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(slot)], strict=False)]
+
+
+def _unpacked(spans: pa.ChunkedArray) -> np.ndarray:
+    """Rows (id, known, th, start, end) of _packed spans."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    heads, (known, ids, th, start, size) = _read([open_(x.as_buffer()) for x in spans], 1, SPAN_COLUMNS)
+    start = start.astype(np.int64)
+    return np.column_stack([_summed(ids, heads[:, 0]), known.astype(np.int64), th, start, start + size])
 
 
 def _split(start: np.ndarray, count: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -193,14 +253,26 @@ def _rows(rows: Sequence[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "depth", "width", "spans", "passages", "places", "hot"])
 
 
-def _dealt(raw, start, count, place, key, width, inside, row, ids, known, th, radix: Radix, depth: int = 1) -> Iterator[tuple]:
+def _coder(words: bytes) -> dict:
+    """Arguments for zstandard's classes: the dictionary, if there is one."""
+    return {"dict_data": zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if len(words) >= 8 else {}
+
+
+#: Columns of places, of documents: known, id (steps), th; of passages: place in the text, whether it is the first of its document, size, place of the minimizer.
+PLACE_COLUMNS = ((1, np.uint8), (1, np.int64), (1, np.int64), (0, np.uint32), (0, np.uint8), (0, np.uint8), (0, np.uint8))
+
+
+def _dealt(raw, start, count, place, key, width, inside, row, ids, known, th, radix: Radix, depth: int = 1, words: bytes = b"") -> Iterator[tuple]:
     """DEALT rows of passages, dealt by the first depth digits of key's bucket; inside is where a passage begins in its text, row that of ids, known and th.
 
     Rows rise with start. Places are laid out in the order of buckets at once; a row of DEALT only cuts its part out.
     """
     if not len(start):
         return
-    squeeze = zstandard.ZstdCompressor(level=1).compress
+    coder = _coder(words)
+    for x in coder.values():
+        x.precompute_compress(level=LEVEL)
+    squeeze, squeeze_places = zstandard.ZstdCompressor(level=LEVEL, **coder).compress, zstandard.ZstdCompressor(level=1).compress
     bucket = radix.of_key(key, depth)
     lowest = bucket.min()
     bucket -= lowest
@@ -209,20 +281,17 @@ def _dealt(raw, start, count, place, key, width, inside, row, ids, known, th, ra
     order = order[np.argsort(bucket[order].astype(np.uint16 if bucket.max() < 2**16 else np.int64), kind="stable")]
     bucket, row = bucket[order], row[order]
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    ends = np.r_[first[1:], len(order)]
     size = count[order] + LENGTH - 1
     bytes_at = np.r_[0, np.cumsum(size)]
     new = np.r_[True, row[1:] != row[:-1]]
     new[first] = True
     docs_at = np.r_[0, np.cumsum(new)]
-    of = docs_at[1:] - 1 - np.repeat(docs_at[first], ends - first)
-    gap = np.diff(inside[order], prepend=0)
-    gap[first] = inside[order][first]
-    by_doc = [memoryview(np.ascontiguousarray(x[row[new]].astype(kind))).cast("B") for x, kind in ((ids, np.int64), (known, np.int64), (th, np.int64))]
-    each = [(memoryview(np.ascontiguousarray(x.astype(kind))).cast("B"), np.dtype(kind).itemsize) for x, kind in ((gap, np.int64), (of, np.int32), (size, np.uint8), (place[order] - start[order], np.uint8))]
+    docs = row[new]
+    columns = known[docs], _steps(ids[docs], docs_at[first]), th[docs], inside[order], new, size, place[order] - start[order]
+    planes = [(group, p) for x, (group, kind) in zip(columns, PLACE_COLUMNS, strict=True) for p in _planes(x, kind)]
     docs_at = docs_at[np.r_[first, len(order)]].tolist()
     digits, start, first = (bucket[first] + lowest).tolist(), start[order], np.r_[first, len(order)]
-    del gap, of, new, order, bucket
+    del docs, columns, new, order, bucket
     # The bytes of about PIECE at a time.
     for g, upto in C.slices(bytes_at[first], PIECE):
         i, base = first[g], bytes_at[first[g]]
@@ -230,12 +299,12 @@ def _dealt(raw, start, count, place, key, width, inside, row, ids, known, th, ra
         for n in range(g, upto):
             i, j, a, b = int(first[n]), int(first[n + 1]), docs_at[n], docs_at[n + 1]
             head = np.array([j - i, b - a], np.int64).tobytes()
-            places = b"".join([head, *(x[a * 8 : b * 8] for x in by_doc), *(x[i * w : j * w] for x, w in each)])
-            yield digits[n], depth, width, None, squeeze(data[bytes_at[i] - base : bytes_at[j] - base]), squeeze(places), None
+            places = b"".join([head, *(p[a:b] if group else p[i:j] for group, p in planes)])
+            yield digits[n], depth, width, None, squeeze(data[bytes_at[i] - base : bytes_at[j] - base]), squeeze_places(places), None
 
 
-def deal(docs: DataFrame, radix: Radix) -> DataFrame:
-    """DEALT rows of documents (doc_id, text): passages dealt to buckets, and spans that a batch settles by itself (by slot)."""
+def deal(docs: DataFrame, radix: Radix, words: bytes = b"") -> DataFrame:
+    """DEALT rows of documents (doc_id, th, text): passages dealt to buckets, and spans that a batch settles by itself (by slot)."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.gathered(batches, GATHERED):
@@ -244,18 +313,18 @@ def deal(docs: DataFrame, radix: Radix) -> DataFrame:
             ids = np.where(known, b.column("doc_id").fill_null(LAST).to_numpy(), LAST)
             th = b.column("th").to_numpy()
             start, count, place, h, name, row = passages(raw, at)
-            order = np.lexsort((ids[row], h, name))
+            order = np.argsort(name)
             new = np.r_[True, (name[order][1:] != name[order][:-1]) | (h[order][1:] != h[order][:-1])][: len(order)]
-            least = ids[row[order]][np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else np.zeros(0, np.int64)
+            least = np.minimum.reduceat(ids[row[order]], np.flatnonzero(new))[np.cumsum(new) - 1] if len(order) else np.zeros(0, np.int64)
             later = ids[row[order]] > least
             gone, order = order[later], np.sort(order[~later])
             r = row[gone]
-            slot, spans = _packed(ids[r], known[r], th[r], start[gone] - at[r], start[gone] + count[gone] + LENGTH - 1 - at[r], radix.buckets)
+            slot, spans = _packed(ids[r], known[r], th[r], start[gone] - at[r], start[gone] + count[gone] + LENGTH - 1 - at[r], radix.slots)
             rows = [((k, radix.digits, 0, x, None, None, None) for k, x in zip(slot.tolist(), spans, strict=True))]
             _, of, many = np.unique(h[order], return_inverse=True, return_counts=True)
             hot = many[of] >= HOT
             cold, hot = order[~hot], order[hot]
-            rows.append(_dealt(raw, start[cold], count[cold], place[cold], h[cold], K, start[cold] - at[row[cold]], row[cold], ids, known, th, radix))
+            rows.append(_dealt(raw, start[cold], count[cold], place[cold], h[cold], K, start[cold] - at[row[cold]], row[cold], ids, known, th, radix, words=words))
             if len(hot):
                 (told,) = _hashes_at(raw, place[hot], (0, K))
                 told, one = np.unique(told, return_index=True)
@@ -265,31 +334,19 @@ def deal(docs: DataFrame, radix: Radix) -> DataFrame:
                 rows.append([(k, radix.digits, 0, None, None, None, told[o[i:j]].tobytes()) for k, i, j in zip(used.tolist(), first, np.r_[first[1:], len(o)], strict=True)])
                 which, s, c, p = _split(start[hot], count[hot], place[hot])
                 of = row[hot[which]]
-                rows.append(_dealt(raw, s, c, p, _hashes_at(raw, p, (0, WIDE))[0], WIDE, s - at[of], of, ids, known, th, radix))
+                rows.append(_dealt(raw, s, c, p, _hashes_at(raw, p, (0, WIDE))[0], WIDE, s - at[of], of, ids, known, th, radix, words=words))
             del order, new, least, later, gone, many, name, h
             yield from map(_rows, batched(chain.from_iterable(rows), 32))
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(dealt, DEALT)
+    return docs.select("doc_id", "th", "text").mapInArrow(dealt, DEALT)
 
 
-def _opened(passages: pa.Array, places: pa.Array) -> tuple[np.ndarray, ...]:
+def _opened(passages: pa.Array, places: pa.Array, words: bytes = b"") -> tuple[np.ndarray, ...]:
     """data (all passages in a row), ids, known, th of documents, and of passages where they begin in their texts, row of ids, size and place of the minimizer."""
-    open_ = zstandard.ZstdDecompressor().decompress
-    out = [[] for _ in range(7)]
-    rows = 0
-    for x in places:
-        read = open_(x.as_buffer())
-        n, m = np.frombuffer(read, np.int64, 2)
-        at = 16
-        for into, kind, many in zip(out, (np.int64, np.int64, np.int64, np.int64, np.int32, np.uint8, np.uint8), (m, m, m, n, n, n, n), strict=True):
-            into.append(np.frombuffer(read, kind, many, at))
-            at += into[-1].nbytes
-        out[3][-1] = np.cumsum(out[3][-1])
-        out[4][-1] = out[4][-1].astype(np.int64) + rows
-        rows += int(m)
+    open_, open_places = zstandard.ZstdDecompressor(**_coder(words)).decompress, zstandard.ZstdDecompressor().decompress
+    heads, (known, ids, th, inside, new, size, place) = _read([open_places(x.as_buffer()) for x in places], 2, PLACE_COLUMNS)
     data = np.concatenate([np.frombuffer(open_(x.as_buffer()), np.uint8) for x in passages])
-    ids, known, th, inside, row, size, place = map(np.concatenate, out)
-    return data, ids, known, th, inside, row, size.astype(np.int64), place.astype(np.int64)
+    return data, _summed(ids, heads[:, 1]), known.astype(np.int64), th, inside.astype(np.int64), np.cumsum(new, dtype=np.int64) - 1, size.astype(np.int64), place.astype(np.int64)
 
 
 def _key(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -300,7 +357,7 @@ def _key(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return C.mixed(out if width == K else out + np.uint64(WIDE))
 
 
-def deal_on(dealt: DataFrame, depth: int, most: float, radix: Radix) -> DataFrame:
+def deal_on(dealt: DataFrame, depth: int, most: float, radix: Radix, words: bytes = b"") -> DataFrame:
     """DEALT rows with passages of so many digits dealt by one more; others are passed on. most is the expected number of bytes of passages with the same digits.
 
     Rows with the same digits lie together in their task and are opened in batches of about GATHERED bytes, whatever their number.
@@ -314,9 +371,9 @@ def deal_on(dealt: DataFrame, depth: int, most: float, radix: Radix) -> DataFram
             for width in (K, WIDE):
                 mine = t.filter(pc.equal(t.column("width"), width)).combine_chunks()
                 if mine.num_rows:
-                    data, ids, known, th, inside, row, many, place = _opened(mine.column("passages"), mine.column("places"))
+                    data, ids, known, th, inside, row, many, place = _opened(mine.column("passages"), mine.column("places"), words)
                     begin = np.cumsum(many) - many
-                    rows = _dealt(data, begin, many - LENGTH + 1, begin + place, _key(data, begin + place, width), width, inside, row, ids, known != 0, th, radix, depth + 1)
+                    rows = _dealt(data, begin, many - LENGTH + 1, begin + place, _key(data, begin + place, width), width, inside, row, ids, known != 0, th, radix, depth + 1, words)
                     yield from map(_rows, batched(rows, 32))
 
         for b in batches:
@@ -342,7 +399,7 @@ def deal_on(dealt: DataFrame, depth: int, most: float, radix: Radix) -> DataFram
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """The suffix array of passages, each of at most 2 * LENGTH - K bytes and a STOP: ranks of 8 bytes, doubled until a passage is covered.
+    """The suffix array of passages, each of at most 2 * LENGTH - K bytes and a STOP: ranks of 8 bytes, put together until a passage is covered.
 
     What follows a STOP does not order suffixes.
     """
@@ -362,10 +419,14 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
             return order
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
-        ahead = np.zeros(n, np.int64)
-        ahead[:-covered] = rank[covered:]
-        key = rank * (n + 1) + np.where(covered < left, ahead, 0)
-        covered *= 2
+        # As many ranks as fit into 63 bits, two at least.
+        base = int(np.count_nonzero(new)) + 1
+        times = max(2, min(int(62 / np.log2(base)), -(-(2 * LENGTH - K + 1) // covered)))
+        key = rank.copy()
+        for k in range(covered, covered * times, covered):
+            key *= base
+            key[:-k] += np.where(k < left[:-k], rank[k:], 0)
+        covered *= times
 
 
 def equal_strings(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -387,19 +448,20 @@ def equal_strings(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     preceding[by_byte[1:][same]] = by_byte[:-1][same]
     marked = np.zeros(n + 1, bool)
     marked[0] = True
-    low = np.flatnonzero(np.r_[True, text[order][1:] != text[order][:-1]])
-    high = np.r_[low[1:], n]
+    low = np.flatnonzero(np.r_[True, text[order][1:] != text[order][:-1]]).astype(np.int32)
+    high = np.r_[low[1:], np.int32(n)]
     marked[high] = True
+    every = np.arange(n, dtype=np.int32)
     for _ in range(LENGTH - 1):
         size = high - low
-        ends = np.cumsum(size)
-        x = np.repeat(low - (ends - size), size) + np.arange(ends[-1])
+        ends = np.cumsum(size, dtype=np.int32)
+        x = np.repeat(low - (ends - size), size) + every[: ends[-1]]
         # The first and the last place of each byte in an interval bound the extended interval.
         new_low = np.sort(to[x[preceding[x] < np.repeat(low, size)]])
-        new_high = np.sort(to[x[following[x] >= np.repeat(high, size)]]) + 1
+        new_high = np.sort(to[x[following[x] >= np.repeat(high, size)]]) + np.int32(1)
         fresh = ~marked[new_high]
         marked[new_high] = True
-        low, high = new_low[fresh].astype(np.int64), new_high[fresh].astype(np.int64)
+        low, high = new_low[fresh], new_high[fresh]
         if not len(low):
             break
     return order, np.cumsum(marked[:n]) - 1
@@ -490,7 +552,7 @@ def _removed(data, begin, size, name, h, doc, pick) -> tuple[np.ndarray, np.ndar
     return np.r_[whole, pick[kept[index]]], np.r_[np.zeros(len(whole), np.int64), np.repeat(start, times)], np.r_[size[whole], np.repeat(end, times)]
 
 
-def settle(dealt: DataFrame, width: int, radix: Radix) -> DataFrame:
+def settle(dealt: DataFrame, width: int, radix: Radix, words: bytes = b"") -> DataFrame:
     """DEALT rows: spans of a slot's documents, from all buckets' passages with contexts of width bytes; spans and passages of another width are passed on."""
 
     def settled(group: pa.Table) -> pa.Table:
@@ -500,19 +562,19 @@ def settle(dealt: DataFrame, width: int, radix: Radix) -> DataFrame:
         mine = group.filter(own)
         if not mine.num_rows:
             return out[0]
-        data, ids, known, th, start, row, size, place = _opened(mine.column("passages"), mine.column("places"))
+        data, ids, known, th, start, row, size, place = _opened(mine.column("passages"), mine.column("places"), words)
         begin = np.cumsum(size) - size
         told = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hot") if x.is_valid]
         hot = np.isin(_hashes_at(data, begin, (place, K))[0], np.concatenate(told)) if told else np.zeros(len(size), bool)
         if hot.any():
             which, s, c, p = _split(begin[hot], size[hot] - LENGTH + 1, (begin + place)[hot])
             of = np.flatnonzero(hot)[which]
-            rows = _dealt(data, s, c, p, _hashes_at(data, p, (0, WIDE))[0], WIDE, start[of] + s - begin[of], row[of], ids, known != 0, th, radix)
+            rows = _dealt(data, s, c, p, _hashes_at(data, p, (0, WIDE))[0], WIDE, start[of] + s - begin[of], row[of], ids, known != 0, th, radix, words=words)
             out.append(pa.Table.from_batches([_rows(list(rows))]))
         cold = np.flatnonzero(~hot)
         which, a, b = repeated(data, begin[cold], size[cold], place[cold], ids[row[cold]], width)
         which = cold[which]
-        slot, spans = _packed(ids[row[which]], known[row[which]], th[row[which]], start[which] + a, start[which] + b, radix.buckets)
+        slot, spans = _packed(ids[row[which]], known[row[which]], th[row[which]], start[which] + a, start[which] + b, radix.slots)
         out.append(pa.Table.from_batches([_rows([(k, radix.digits, 0, x, None, None, None) for k, x in zip(slot.tolist(), spans, strict=True)])]))
         return pa.concat_tables([x.cast(out[-1].schema) for x in out])
 
@@ -532,25 +594,31 @@ def merged(rows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     return rows[first[docs], :3], [pairs[i:j].tobytes() for i, j in zip(docs, np.r_[docs[1:], len(first)], strict=True)]
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text) and spans (merged, as pairs of 64-bit integers) of documents with something to remove."""
+def measured(docs: DataFrame) -> tuple[int, Column]:
+    """Bytes of all texts, and what tells rows with the same doc_id apart: a hash of the text if ids repeat, else nothing."""
+    total, most = docs.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("m")).agg(F.sum("n"), F.max("m")).first()
+    return total or 0, F.xxhash64(docs["text"]) if (most or 0) > 1 else F.lit(0).cast("long")
+
+
+def repeats(docs: DataFrame, total: int, name: Column) -> DataFrame:
+    """doc_id, th (name) and spans (merged, as pairs of 64-bit integers) of documents with something to remove; total and name as measured."""
 
     def joined(group: pa.Table) -> pa.Table:
-        keys, spans = merged(np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 5) for x in group.column("spans")]))
+        keys, spans = merged(_unpacked(group.column("spans")))
         return pa.table({"doc_id": pa.array(keys[:, 0], pa.int64(), mask=keys[:, 1] == 0), "th": pa.array(keys[:, 2], pa.int64()), "spans": pa.array(spans, pa.binary())})
 
-    docs = docs.select("doc_id", "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.select("doc_id", name.alias("th"), "text")
     radix = Radix.of(max(1, total * 7 // 2 // BUCKET), FAN)
+    words = "".join(r[0] for r in docs.where("text is not null").select(F.left("text", F.lit(DICTIONARY_CHARS))).limit(DICTIONARY_ROWS).collect()).encode()
 
     def onward(rows: DataFrame) -> DataFrame:
         for depth in range(1, radix.digits):
-            rows = deal_on(rows, depth, total * 3.5 / radix.fan**depth, radix)
+            rows = deal_on(rows, depth, total * 3.5 / radix.fan**depth, radix, words)
         return rows
 
-    first = C.stored(settle(onward(deal(docs, radix)), K, radix), "settled")
+    first = C.stored(settle(onward(deal(docs, radix, words)), K, radix, words), "settled")
     hot = first.where("passages is not null")
-    second = settle(onward(hot.where(F.col("depth") < radix.digits)).union(hot.where(F.col("depth") == radix.digits)), WIDE, radix)
+    second = settle(onward(hot.where(F.col("depth") < radix.digits)).union(hot.where(F.col("depth") == radix.digits)), WIDE, radix, words)
     return first.where("spans is not null").union(second).groupBy("bucket").applyInArrow(joined, SPANS)
 
 
@@ -562,10 +630,11 @@ def remove(docs: DataFrame) -> DataFrame:
     empty. Rows that repeat an id are not repeats of each other; all rows are kept. Columns named kept or spans are
     replaced. An empty table gives an empty table. Passages are told apart by two 64-bit hashes.
     """
-    found = C.stored(repeats(docs), "repeats")
+    total, name = measured(docs)
+    found = C.stored(repeats(docs, total, name), "repeats")
     i, th, mine, cut_ = C.fresh(docs, "id", "th", "mine", "cut")
     found = found.select(F.col("doc_id").alias(i), F.col("th").alias(th), F.col("spans").alias(mine))
-    joined = docs.join(C.light_or_not(found, F.length(mine) + 100), docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(th)), "left")
+    joined = docs.join(C.light_or_not(found, F.length(mine) + 100), docs["doc_id"].eqNullSafe(F.col(i)) & (name == F.col(th)), "left")
 
     @F.arrow_udf("struct<kept:binary,spans:array<struct<start:bigint,end:bigint>>>")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

@@ -169,6 +169,32 @@ def test_radix_rows_of_a_batch_are_bounded():
         assert (radix.of_key(repeats._key(data, begin + minimizer, repeats.K), 1) == np.repeat([r[0] for r in dealt], [np.frombuffer(zstandard.decompress(r[5]), np.int64, 1)[0] for r in dealt])).all()
 
 
+def test_repeats_shuffle_few_bytes():
+    """Bytes of a batch that is dealt to many buckets, by bytes of its text, and bytes of a span."""
+    rng = random.Random(12)
+    known = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 10))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(known) for _ in range(300)).encode() for _ in range(200)]
+    raw, at = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    start, count, place, h, _, row = repeats.passages(raw, at)
+    ids = np.arange(200) * 7
+    some = np.zeros(200, np.int64)
+    rows = list(repeats._dealt(raw, start, count, place, h, repeats.K, start - at[row], row, ids, some == 0, some, repeats.Radix.of(1000, 10_000)))
+    assert sum(len(r[5]) for r in rows) < 0.45 * len(raw)
+    sizes = np.array(rng.choices(range(50, 200), k=len(start)))
+    spans = repeats._packed(ids[row], some[row] == 0, some[row], start - at[row], start - at[row] + sizes, 50)
+    assert sum(map(len, spans[1])) < 10 * len(start)
+
+
+def test_repeats_of_ids_that_repeat(documents, prose):
+    rows = [*prose, (2, "other words " * 9), (2, "other words " * 9 + "and more"), (9_000, "and a last one " * 9)]
+    assert repeats_of(documents(rows)) == removed_by_brute_force(rows)
+    for given, some in ((rows, True), ([(1, "a"), (2, "a"), (None, "a")], False)):
+        docs = documents(given)
+        total, name = repeats.measured(docs)
+        assert total == sum(len((t or "").encode()) for _, t in given)
+        assert docs.where(name != 0).count() == (len(given) if some else 0)
+
+
 def test_repeats_with_hot_minimizers(documents, prose, monkeypatch):
     """A phrase between different words in every document, and groups that are split in batches, in buckets and in transforms."""
     rng = random.Random(8)
