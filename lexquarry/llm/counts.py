@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import contextlib
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ KEYS = ["source", "lang", "version"]
 DELTAS = "source string, lang string, version string, docs bigint, tokens bigint"
 #: Bytes of text that are counted at once.
 PIECE_BYTES = 1_000_000
+#: Held while a mark is renamed: a store whose rename looks first and then renames is safe for the writers of one driver at least.
+RENAMING = threading.Lock()
 
 
 def counted(docs: DataFrame, versions: dict[str, str], pattern: str, text: str = "text") -> DataFrame:
@@ -104,7 +107,7 @@ class Rollup:
         """Makes the batch's mark, which holds name; False if there is one already.
 
         The mark is written aside, whole, and then linked or renamed, which fails where the target exists: one call of
-        the store, so that of any number of writers one gets True.
+        the store, so that of any number of writers one gets True. A rename need be atomic only between drivers.
         """
         aside, mark = self._at(f"_aside/{name}"), self._at(f"batches/{batch}")
         out = self._fs.create(aside, False)
@@ -118,7 +121,9 @@ class Rollup:
                 self._jvm.java.nio.file.Files.createLink(*local)
             else:
                 options = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(aside, mark, options)
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+                with RENAMING:
+                    context.rename(aside, mark, options)
             return True
         except Exception:
             if not self.committed(batch):

@@ -272,6 +272,53 @@ def test_one_of_several_writers_commits_a_batch(spark, renamed, monkeypatch):
     assert [(r.docs, r.tokens, r.batch) for r in counts.Rollup(spark, path).log().collect()] == [(1, 10, 1)]
 
 
+def test_writers_of_one_driver_rename_marks_one_by_one(spark):
+    """A store whose rename looks at its target first and then takes its time."""
+    path, start, done, marks = scratch(spark, "test-slow-rename"), threading.Barrier(3), [], {}
+
+    class Slow:
+        org = apache = hadoop = fs = FileContext = property(lambda self: self)
+
+        def __getattr__(self, name):
+            return getattr(spark.sparkContext._jvm.org.apache.hadoop.fs, name)
+
+        def getFileContext(self, *_):
+            return self
+
+        def rename(self, aside, mark, _):
+            if mark.toString() in marks:
+                raise FileExistsError(mark)
+            time.sleep(0.3)
+            marks[mark.toString()] = aside.toString()
+
+    class Store:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def getScheme(self):
+            return "other"
+
+        def exists(self, mark):
+            return mark.toString() in marks
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    def write(name):
+        log = counts.Rollup(spark, path)
+        log._fs, log._jvm = Store(log._fs), Slow()
+        start.wait()
+        done.append((log._mark(1, name), name))
+
+    threads = [threading.Thread(target=write, args=(f"w{k}",)) for k in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(d for d, _ in done) == [False, False, True]
+    assert [m.rsplit("/", 1)[1] for m in marks.values()] == [name for d, name in done if d]
+
+
 def test_maintained_counts_against_the_libraries(spark):
     texts = [(1, "Don't stop: été 12!", "s", "en", 19), (2, "x" * 3000, "s", "en", 3000), (3, None, "s", None, None), (4, "", None, "en", 0), (4, "again", None, "en", 5), (4, "again", None, "en", 5), (5, "taken back", "s", "en", 10), (None, "no id", "t", "fr", 5)]
     docs = spark.createDataFrame([(*t, "x", "x") for t in texts], "doc_id bigint, text string, source string, lang string, n_chars bigint, estimate string, c0 string")
