@@ -93,12 +93,12 @@ def fuse(lists: list[DataFrame], k: int = DEPTH) -> DataFrame:
     return top(fused, [F.round("score", 12).desc(), F.col("first")], k).drop("first")
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, depth: int = DEPTH, k: int = DEPTH, lexical: DataFrame | None = None) -> DataFrame:
+def hybrid(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, depth: int = DEPTH, k: int = DEPTH, lexical: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score, rank: the dense and the BM25 list of depth documents each, dense first, fused.
 
-    vectors (vec_id, embedding) and docs (doc_id, text) share ids; a BM25 list that is there already may be given.
+    vectors (vec_id, embedding) and docs (doc_id, text) share ids; a BM25 list and a dense one (query_id, doc_id, rank) that are there already may be given.
     """
-    near = dense(vectors, query_vectors, depth).withColumnRenamed("vec_id", "doc_id")
+    near = dense(vectors, query_vectors, depth).withColumnRenamed("vec_id", "doc_id") if near is None else near
     return fuse([near, bm25(docs, queries, depth) if lexical is None else lexical], k)
 
 

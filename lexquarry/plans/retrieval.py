@@ -82,11 +82,11 @@ def _hybrid(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Queries (vectors' ids divisible by 100 that are documents, with their text), and the dense, BM25 and fused lists."""
     vectors, vector_asked = _vectors(spark, sf)
     docs = _docs(spark, sf)
-    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text").join(vector_asked.select("query_id"), "query_id", "left_semi")
-    asked_vectors = vector_asked.select("query_id", F.col("embedding").alias("embedding")).join(docs.select(F.col("doc_id").alias("query_id")), "query_id", "left_semi")
-    lexical = S.bm25(docs, asked)
-    near = S.dense(vectors, asked_vectors).withColumnRenamed("vec_id", "doc_id")
-    return asked, near, lexical, S.hybrid(docs, asked, vectors, asked_vectors, lexical=lexical)
+    asked = stored(docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text").join(vector_asked.select("query_id"), "query_id", "left_semi"), "asked-texts")
+    asked_vectors = stored(vector_asked.join(asked.select("query_id"), "query_id", "left_semi"), "asked-vectors")
+    lexical = stored(S.bm25(docs, asked), "lexical")
+    near = stored(S.dense(vectors, asked_vectors).withColumnRenamed("vec_id", "doc_id"), "near")
+    return asked, near, lexical, S.hybrid(docs, asked, vectors, asked_vectors, lexical=lexical, near=near)
 
 
 def hybrid_retrieval(spark, sf):

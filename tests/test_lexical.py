@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexquarry.operators import lexical as L
 
@@ -97,3 +98,43 @@ def test_few_documents(spark):
     one = spark.createDataFrame([(7, "a b"), (None, "a")], "doc_id bigint, text string")
     assert [(r.query_id, r.doc_id, r.rank) for r in L.bm25(one, asked, 3).collect()] == [(1, 7, 1)]
     assert L.bm25(one, asked.limit(0), 3).collect() == []
+
+
+@pytest.mark.parametrize(("room", "many"), [(1_000_000, 1_000_000), (40, 0)])
+def test_scan_against_all_scores(spark, corpus, monkeypatch, room, many):
+    monkeypatch.setattr(L, "SCAN_WORDS", room)
+    monkeypatch.setattr(L, "MANY_DOCS", many)
+    monkeypatch.setattr(L, "SCAN_DOCS", 37)
+    docs, queries = corpus
+    docs = docs + [(None, "w1 w2")]
+    df, asked = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(queries, "query_id bigint, text string")
+    assert found(L.scanned(df, asked, 5)) == expected(docs[:-1], queries, 5, "score")
+    named = L.scanned(df.where("doc_id <> 10").select(F.format_string("d%05d", "doc_id").alias("doc_id"), "text"), asked, 5)
+    assert {(q, int(d[1:]), *rest) for q, d, *rest in found(named)} == expected([x for x in docs[:-1] if x[0] != 10], queries, 5, "score")
+
+
+def test_many_queries_write_no_pairs_with_ranges(spark, monkeypatch):
+    """Rows written for very many queries grow with documents and with queries, not with their product."""
+    rng, rows, real = random.Random(5), {}, L.stored
+    text = lambda n: " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
+    docs, queries = [(k, text(5)) for k in range(60_000)], [(k, text(25)) for k in range(1000)]
+
+    def counted(df, name):
+        out = real(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(L, "stored", counted)
+    df, asked = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), spark.createDataFrame(queries, "query_id bigint, text string")
+    hits = L.bm25(df, asked, 2)
+    assert hits.count() == 2000
+    assert rows.pop("words", 0) <= 60_000 and max(rows.values()) <= 30_000
+
+
+def test_scan_of_few_documents(spark):
+    none = spark.createDataFrame([], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "a"), (2, "???")], "query_id bigint, text string")
+    assert L.scanned(none, asked, 3).collect() == []
+    one = spark.createDataFrame([(7, "a b"), (None, "a")], "doc_id bigint, text string")
+    assert [(r.query_id, r.doc_id, r.rank) for r in L.scanned(one, asked, 3).collect()] == [(1, 7, 1)]
+    assert L.scanned(one, asked.limit(0), 3).collect() == []
