@@ -138,3 +138,21 @@ def test_scan_of_few_documents(spark):
     one = spark.createDataFrame([(7, "a b"), (None, "a")], "doc_id bigint, text string")
     assert [(r.query_id, r.doc_id, r.rank) for r in L.scanned(one, asked, 3).collect()] == [(1, 7, 1)]
     assert L.scanned(one, asked.limit(0), 3).collect() == []
+
+
+def test_hybrid_stages_search_vectors_once(spark, monkeypatch):
+    """The four stages share one dense list, and reranking leaves the texts of documents where they are."""
+    from lexquarry.plans import retrieval
+
+    calls, real = [], retrieval.S.dense
+    monkeypatch.setattr(retrieval.S, "dense", lambda *a, **b: calls.append(1) or real(*a, **b))
+    assert retrieval.four_stage_metrics(spark, "/root/testdata/sf0.001").count() == 4
+    assert len(calls) == 1
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).repartition(3)
+    monkeypatch.setattr(retrieval.S, "stored", lambda df, name: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = retrieval.S.rerank(docs.select(F.lit(1).alias("query_id"), "doc_id", F.lit(1).alias("rank")), docs, spark.createDataFrame([(1, "a")], "query_id int, text string"))
+        assert "BroadcastHashJoin [doc_id" in again._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
