@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.functions.html import links
 from lexquarry.functions.text import let, strip, white, words
-from lexquarry.sources.store import stored
+from lexquarry.operators.near import near_pairs as near_pairs  # near duplicates
 
 #: Thresholds.
 LOW_TEXT, OCR_TEXT, OCR_IMAGES = 100, 50, 1
@@ -95,34 +95,6 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("n_docs > 1 and sha256 is not null")
 
 
-def near_pairs(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
-    """u, v: pairs of the first ids of different texts whose sets of word shingles overlap by percent or more.
-
-    Equal texts are one. Prefix filter: shingles are ordered by how rare they are, and two sets that reach the bound
-    share a shingle among the rarest (100 - percent) % + 1 of either, so only these are joined; then sizes of
-    intersections are exact.
-    """
-    one = docs.where(F.col("text").isNotNull()).groupBy(F.xxhash64("text").alias("th"), F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("id"), F.first("text").alias("text"))
-    none = F.array().cast("array<bigint>")
-
-    def grams(w: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(size))))
-        return F.when(F.size(w) >= size, each).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(none)
-
-    sets = stored(one.select("id", F.array_distinct(let(words(F.lower("text")), grams)).alias("grams")), "shingles")
-    each = sets.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    # Shingles of one text come first in its order and lead to nobody: only their number is needed.
-    often = each.groupBy("g").agg(F.count("*").alias("often")).where("often > 1")
-    by_id = Window.partitionBy("id")
-    place = F.row_number().over(by_id.orderBy("often", "g")) + F.col("n") - F.count("*").over(by_id)
-    prefix = stored(each.join(often, "g").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("g", "id", "n"), "prefixes")
-    other = prefix.select("g", F.col("id").alias("v"), F.col("n").alias("m"))
-    pairs = prefix.withColumnRenamed("id", "u").join(other, "g").where((F.col("u") < F.col("v")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)).select("u", "v").distinct()
-    sides = pairs.join(sets.select(F.col("id").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("grams").alias("b")), "v")
-    both = F.size(F.array_intersect("a", "b"))
-    return sides.where(both * 100 >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
-
-
 def duplicate_peers(docs: DataFrame) -> DataFrame:
     """doc_id, n_peers, first_peer, next_peer: for each row whose text others share, the peer that comes first and the next one in scan order.
 
